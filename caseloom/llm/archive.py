@@ -94,19 +94,28 @@ def page_of(urn):
     return F.nullif(F.regexp_extract(urn, r"^<urn:page:(-?[0-9]+)>$", 1), F.lit("")).cast("long")
 
 
-def digest_table(records: DataFrame) -> DataFrame:
-    """What the records say on reading back: page_id, payload_bytes, payload_digest, record_type, refers_to.
+def digest_table(spark: SparkSession, archive: Archive) -> DataFrame:
+    """What the archive says on reading back: page_id, payload_bytes, payload_digest, record_type, refers_to of each record.
 
-    Length and digest are taken from the bytes read. A record whose bytes have changed, or don't match the digest in
-    its header, raises an error.
+    Length and digests are taken from the bytes read, once for each stored payload, before the join with the
+    headers. A payload that has changed, or lacks, or differs from the digest in a header raises an error.
     """
+    stored = spark.read.parquet(archive.payloads).select(
+        "address",
+        F.octet_length("payload").cast("long").alias("payload_bytes"),
+        F.sha1("payload").alias("digest"),
+        (F.sha2("payload", 256) == F.col("address")).alias("intact"),
+    )
     said = F.regexp_extract(header_field("WARC-Payload-Digest"), "^sha1:(.*)$", 1)
-    digest = F.sha1("payload")
     wrong = F.raise_error(F.concat(F.lit("damaged payload at "), F.col("address")))
-    return records.select(
-        page_of(header_field("WARC-Record-ID")).alias("page_id"),
-        F.octet_length("payload").cast("long").alias("payload_bytes"),
-        F.when(F.col("intact") & (said == digest), digest).otherwise(wrong).alias("payload_digest"),
-        header_field("WARC-Type").alias("record_type"),
-        page_of(header_field("WARC-Refers-To")).alias("refers_to"),
+    return (
+        spark.read.parquet(archive.headers)
+        .join(stored, "address", "left")
+        .select(
+            page_of(header_field("WARC-Record-ID")).alias("page_id"),
+            "payload_bytes",
+            F.when(F.col("intact") & (said == F.col("digest")), F.col("digest")).otherwise(wrong).alias("payload_digest"),
+            header_field("WARC-Type").alias("record_type"),
+            page_of(header_field("WARC-Refers-To")).alias("refers_to"),
+        )
     )
