@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from caseloom.llm import archive, mixing, packing, sharding, simhash
+from caseloom.llm import archive, chat, linededup, mixing, packing, sharding, simhash, toxicity, vectors
 from caseloom.llm.shared import fresh_path
 
 
@@ -29,21 +29,75 @@ def op3_simhash_golay(spark: SparkSession, sf_dir: str) -> DataFrame:
     return r.select("doc_id", F.lpad(F.lower(F.hex("fingerprint")), 16, "0").alias("fingerprint"), "component_id")
 
 
+def op4_ann_kmeans_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vectors.nearest(table(spark, sf_dir, "embeddings"))
+
+
+def op5_toxicity_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    r = toxicity.score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    return r.select("doc_id", "held_out", "score", "predicted", "terms", "neighbours")
+
+
+def op6_topk_norm_buckets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vectors.top_products(table(spark, sf_dir, "embeddings"))
+
+
+def op7_chat_prefix_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    said = "</s>[INST] ok [/INST]"
+    more = spark.createDataFrame([(-7, 0, "user", said), (-7, 1, "assistant", said)], "conv_id long, turn long, role string, text string")
+    given = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").union(more)
+    segments, members = chat.prefix_tree(given, public_tokenizers.path("byte_bpe_50k.json"))
+    return chat.read_back(segments, members)
+
+
 def op8_warc_archive(spark: SparkSession, sf_dir: str) -> DataFrame:
     made = archive.write_archive(table(spark, sf_dir, "pages"), fresh_path(spark, "warc"))
     return archive.digest_table(spark, made)
 
 
+def op10_line_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return linededup.drop_lines(table(spark, sf_dir, "documents")).select("doc_id", "n_lines", "dropped", "text")
+
+
 def op9_mix_fair_queue(spark: SparkSession, sf_dir: str) -> DataFrame:
     q = mixing.queued(table(spark, sf_dir, "documents"))
     return q.select("doc_id", "size", "source_size", "target", "taken")
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_pack_best_fit, op2_shard_label_propagation, op3_simhash_golay, op8_warc_archive, op9_mix_fair_queue)
+    f.__name__: f
+    for f in (
+        op1_pack_best_fit,
+        op2_shard_label_propagation,
+        op3_simhash_golay,
+        op4_ann_kmeans_tree,
+        op5_toxicity_nearest,
+        op6_topk_norm_buckets,
+        op7_chat_prefix_tree,
+        op8_warc_archive,
+        op9_mix_fair_queue,
+        op10_line_templates,
+    )
 }
 
 ORACLES: dict[str, str] = {
+    "op6_topk_norm_buckets": """
+        WITH e AS (SELECT vec_id, [floor(256 * x::DOUBLE)::BIGINT for x in embedding] AS v FROM embeddings
+                   WHERE embedding IS NOT NULL AND len(embedding) > 0 AND len([1 for x in embedding if x IS NULL OR NOT isfinite(x)]) = 0),
+             p AS (SELECT q.vec_id AS query_id, c.vec_id, list_sum([z[1] * z[2] for z in list_zip(q.v, c.v)])::BIGINT AS score
+                   FROM e q JOIN e c ON q.vec_id % 50 = 0 AND q.vec_id <> c.vec_id),
+             r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INT AS rank FROM p)
+        SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 5""",
+    "op7_chat_prefix_tree": r"""
+        WITH c AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+                   UNION ALL SELECT -7, 0, 'user', '</s>[INST] ok [/INST]' UNION ALL SELECT -7, 1, 'assistant', '</s>[INST] ok [/INST]')
+        SELECT conv_id, count(*)::BIGINT AS n_turns,
+               sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
+               coalesce(sum(length(text)) FILTER (role = 'assistant'), 0)::BIGINT AS loss_chars,
+               sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
+               sum(length(role) + length(text) + 24
+                   + len(regexp_extract_all(text, '<\\*\|im_start\|>|<\\*\|im_end\|>|<\\*s>|<\\*/s>|\[\\*INST\]|\[\\*/INST\]|<\\*<SYS>>|<\\*</SYS>>|<\\*\|endoftext\|>')))::BIGINT AS formatted_chars
+        FROM c GROUP BY conv_id""",
     "op8_warc_archive": """
         WITH p AS (SELECT page_id, encode(coalesce(html, '')) AS b FROM pages),
              q AS (SELECT page_id, octet_length(b) AS n, sha1(b) AS d, max(page_id) OVER (PARTITION BY b) AS top FROM p)
