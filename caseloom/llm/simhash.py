@@ -187,7 +187,8 @@ def keep_one(docs: DataFrame) -> DataFrame:
     roots = near_groups(slim.withColumnRenamed("_print", "fingerprint"))
     one = slim.join(roots, slim["_print"] == roots.fingerprint)
     order = F.struct(F.col("doc_id").isNull().alias("n"), "doc_id", "_h")
-    one = one.groupBy("root").agg(F.min(order).alias("w")).select(F.col("w.doc_id").alias("_id"), F.col("w._h").alias("_wh"))
-    kept = d.drop("_print").join(one, d.doc_id.eqNullSafe(one["_id"]) & (d["_h"] == one["_wh"]), "left_semi")
-    # Repeated rows of a kept document: equal doc_id and text, one stays. The text goes with the row only once.
-    return kept.dropDuplicates(["doc_id", "_h"]).drop("_h")
+    one = one.groupBy("root").agg(F.min(order).alias("w")).select(F.col("w.doc_id").alias("doc_id"), F.col("w._h").alias("_h"))
+    # The rows to keep are known by 128 bits of hash of doc_id and text; repeated rows of a kept document meet there, and one stays.
+    k1, k2 = F.xxhash64(F.lit(1), "doc_id", "_h").alias("_k1"), F.xxhash64(F.lit(2), "_h", "doc_id").alias("_k2")
+    kept = d.drop("_print").select("*", k1, k2).join(one.select(k1, k2), ["_k1", "_k2"], "left_semi")
+    return kept.dropDuplicates(["_k1", "_k2"]).select(docs.columns)

@@ -155,7 +155,7 @@ def _empty(tree: Tree) -> int:
     return -tree.leaves
 
 
-def nearest(vectors: DataFrame, k: int = 5, recall: float = 0.97, sample: int = 16_384, branch: int = 8, leaf_rows: int = 512, trials: int = 128, chunk: int = 4096) -> DataFrame:
+def nearest(vectors: DataFrame, k: int = 5, recall: float = 0.95, sample: int = 16_384, branch: int = 8, leaf_rows: int = 512, trials: int = 128, chunk: int = 4096) -> DataFrame:
     """query_id, rank, vec_id, score: approximate k nearest by cosine of every query row (vec_id divisible by 50) among all other rows.
 
     A hierarchical k-means tree is fitted on a sample (at most `sample` rows, smallest by a hash), and every row goes
