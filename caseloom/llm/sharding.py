@@ -9,7 +9,7 @@ from pyspark.sql.window import Window as W
 from caseloom.llm.shared import erase, with_offsets, written
 
 
-def shard(docs: DataFrame, shards: int = 8, rounds: int = 6, cells: int = 1024, buckets: int = 1024, seed: int = 2) -> DataFrame:
+def shard(docs: DataFrame, shards: int = 8, rounds: int = 6, cells: int = 256, buckets: int = 1024, seed: int = 2) -> DataFrame:
     """docs with size, text_crc32, law ('rows'), shard, slot, grown_shard (null): counts of the shards differ by one at most.
 
     Links join documents of equal text. Each link group starts spread over the shards by a hash of its rows,

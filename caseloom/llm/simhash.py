@@ -142,12 +142,12 @@ def near_groups(prints: DataFrame, leaders: int = 4, large: int = 64) -> DataFra
     left = lambda d, *more: d.select(keys, F.col("f").alias("a"), *[F.col(c).alias(f"{c}_a") for c in more])
     right = lambda d, *more: d.select(keys, F.col("f").alias("b"), *[F.col(c).alias(f"{c}_b") for c in more])
     near = _apart("a", "b") <= MOST_BITS
-    if big.limit(1).count() == 0:
-        found = left(nodes).join(right(nodes), "k").where(near & (F.col("a") < F.col("b"))).select("a", "b")
-    else:
-        marked = written(home.join(big, "home", "left").withColumn("big", F.coalesce("big", F.lit(False))), "marked")
-        rest, bigs = marked.where("not big"), marked.where("big")
-        found = left(rest).join(right(marked, "big"), "k").where(near & (F.col("big_b") | (F.col("a") < F.col("b")))).select("a", "b")
+    marked = written(home.join(big, "home", "left").withColumn("big", F.coalesce("big", F.lit(False))), "marked")
+    rest, bigs = marked.where("not big"), marked.where("big")
+    # The keys of `rest` are dealt out once and read by both joins.
+    found = left(rest).join(right(rest), "k").where(near & (F.col("a") < F.col("b"))).select("a", "b")
+    if big.limit(1).count():
+        found = found.union(left(rest).join(right(bigs), "k").where(near).select("a", "b"))
         met = left(bigs, "home").groupBy("k").agg(F.min("home_a").alias("lo"), F.max("home_a").alias("hi")).where("lo < hi").select("k")
         one, two = left(bigs, "home").join(met, "k", "left_semi"), right(bigs, "home").join(met, "k", "left_semi")
         found = found.union(one.join(two, "k").where(near & (F.col("home_a") < F.col("home_b"))).select("a", "b"))
@@ -155,7 +155,7 @@ def near_groups(prints: DataFrame, leaders: int = 4, large: int = 64) -> DataFra
     joined = components(links)
     out = nodes.join(joined, nodes.f == joined.node, "left").select(F.col("f").alias("fingerprint"), F.coalesce("root", "f").alias("root"))
     out = written(out, "roots")
-    for used in (star, home, big, links):
+    for used in (star, home, big, marked, links):
         erase(used)
     return out
 
