@@ -58,10 +58,12 @@ def write_archive(pages: DataFrame, path: str, min_revisit: int = 1000, date: st
     )
     to = Archive(f"{path}/headers", f"{path}/payloads")
     rec.select("address", F.encode(header, "UTF-8").alias("header")).write.parquet(to.headers)
-    # The holder's row brings the bytes: joined on address and page_id, a much copied payload moves once, not with every copy.
-    holders = first.withColumnRenamed("holder", "page_id")
-    same = p.page_id.eqNullSafe(holders.page_id) & (p.address == holders.address)
-    one = p.join(holders, same, "left_semi").select("address", "payload").dropDuplicates(["address"])
+    # The holder's row brings the bytes, known by 128 bits of hash of address and page_id: a much copied payload moves
+    # once, not with every copy, and repeated rows of a holder meet where the join has put them.
+    k1, k2 = F.xxhash64(F.lit(1), "page_id", "address").alias("k1"), F.xxhash64(F.lit(2), "address", "page_id").alias("k2")
+    holders = first.withColumnRenamed("holder", "page_id").select(k1, k2)
+    one = p.select(k1, k2, "address", "payload").join(holders, ["k1", "k2"], "left_semi")
+    one = one.dropDuplicates(["k1", "k2"]).select("address", "payload")
     one.write.parquet(to.payloads)
     return to
 
