@@ -169,13 +169,16 @@ def drop_lines(docs: DataFrame, depth: int = 5, least: int = 5, similar: float =
     lines to drop; null stays null. Null doc_ids come last in order. Empty input: no rows. Columns that clash
     with those added are replaced.
     """
-    d = docs.drop("n_lines", "dropped", "h").withColumn("h", F.xxhash64(F.coalesce("text", F.lit(""))))
-    drops = dropped_lines(d, depth, least, similar).withColumnsRenamed({"doc_id": "_id", "h": "_h"})
-    d = d.join(drops, d.doc_id.eqNullSafe(drops["_id"]) & (d.h == drops["_h"]), "left")
+    kept = [c for c in docs.columns if c not in ("n_lines", "dropped")]
+    h = F.xxhash64(F.coalesce("text", F.lit(""))).alias("h")
+    drops = dropped_lines(docs.select("doc_id", "text", h), depth, least, similar).withColumnsRenamed({"doc_id": "_id", "h": "_h"})
+    d = docs.select(F.struct(*kept).alias("row"), "text", h)  # columns of docs are kept apart from those used here
+    d = d.join(drops, F.col("row.doc_id").eqNullSafe(F.col("_id")) & (F.col("h") == F.col("_h")), "left")
     lines = F.split("text", "\n", -1)
     left = F.array_join(F.filter(lines, lambda x, i: ~F.array_contains("dropped", i)), "\n")
+    text = F.when(F.col("dropped").isNull(), F.col("text")).otherwise(left)
     return d.select(
-        *[F.when(F.col("dropped").isNull(), F.col("text")).otherwise(left).alias("text") if c == "text" else F.col(c) for c in docs.columns if c not in ("n_lines", "dropped", "h")],
+        *[text.alias("text") if c == "text" else F.col("row")[c].alias(c) for c in kept],
         F.when(F.col("text").isNull(), 0).otherwise(F.size(lines)).alias("n_lines"),
         F.coalesce("dropped", F.array().cast("array<int>")).alias("dropped"),
     )

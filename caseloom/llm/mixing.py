@@ -47,8 +47,9 @@ def queued(docs: DataFrame, weights: Sequence[float] = (5, 2, 1), share: float =
     are replaced.
     """
     own = {"size", "source_size", "weight", "target", "finish", "times", "taken"}
-    d = docs.drop(*own)
-    kept = d.columns
+    kept = [c for c in docs.columns if c not in own]
+    # Columns of docs are kept apart from those used here.
+    d = docs.select(F.struct(*kept).alias("row"), "doc_id", "text", "source")
     # MD5 of seed and doc_id: an order that any SQL engine can repeat. Its first 12 bits are the bucket.
     h = F.md5(F.encode(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))), "UTF-8"))
     d = (
@@ -63,7 +64,7 @@ def queued(docs: DataFrame, weights: Sequence[float] = (5, 2, 1), share: float =
     d = d.join(goal, "_key")
     times = sum((_taken_in(i) for i in range(passes)), F.lit(0)).cast("int")
     return d.select(
-        *kept,
+        *[F.col("row")[c].alias(c) for c in kept],
         "size",
         "source_size",
         "weight",

@@ -182,13 +182,13 @@ def keep_one(docs: DataFrame) -> DataFrame:
     Rows with that doc_id that repeat each other exactly, or share it with other texts of the group, are cut to one: the
     smallest by a hash of the text.
     """
-    d = with_fingerprint(docs, "_print").withColumn("_h", F.xxhash64(F.coalesce("text", F.lit(""))))
-    slim = written(d.select("doc_id", "_print", "_h"), "simhash")
-    roots = near_groups(slim.withColumnRenamed("_print", "fingerprint"))
-    one = slim.join(roots, slim["_print"] == roots.fingerprint)
-    order = F.struct(F.col("doc_id").isNull().alias("n"), "doc_id", "_h")
-    one = one.groupBy("root").agg(F.min(order).alias("w")).select(F.col("w.doc_id").alias("doc_id"), F.col("w._h").alias("_h"))
+    # Columns of docs are kept apart from those used here.
+    d = with_fingerprint(docs.select(F.struct("*").alias("row"), "doc_id", "text"), "fingerprint").withColumn("h", F.xxhash64(F.coalesce("text", F.lit(""))))
+    slim = written(d.select("doc_id", "fingerprint", "h"), "simhash")
+    one = slim.join(near_groups(slim), "fingerprint")
+    order = F.struct(F.col("doc_id").isNull().alias("n"), "doc_id", "h")
+    one = one.groupBy("root").agg(F.min(order).alias("w")).select(F.col("w.doc_id").alias("doc_id"), F.col("w.h").alias("h"))
     # The rows to keep are known by 128 bits of hash of doc_id and text; repeated rows of a kept document meet there, and one stays.
-    k1, k2 = F.xxhash64(F.lit(1), "doc_id", "_h").alias("_k1"), F.xxhash64(F.lit(2), "_h", "doc_id").alias("_k2")
-    kept = d.drop("_print").select("*", k1, k2).join(one.select(k1, k2), ["_k1", "_k2"], "left_semi")
-    return kept.dropDuplicates(["_k1", "_k2"]).select(docs.columns)
+    k1, k2 = F.xxhash64(F.lit(1), "doc_id", "h").alias("k1"), F.xxhash64(F.lit(2), "h", "doc_id").alias("k2")
+    kept = d.select("row", k1, k2).join(one.select(k1, k2), ["k1", "k2"], "left_semi")
+    return kept.dropDuplicates(["k1", "k2"]).select("row.*")
