@@ -152,31 +152,40 @@ def rising(votes: np.ndarray, labels: np.ndarray, floor: int = 20) -> tuple[np.n
     return np.array([a / n for a, _, n in out]), np.array([b / n for _, b, n in out])
 
 
-def _term_rows(docs: DataFrame, of: Vocabulary | None) -> DataFrame:
-    """(toxic, kin, term) once a document: all its terms, or those of a vocabulary."""
+def _term_families(docs: DataFrame) -> DataFrame:
+    """(term, kin) of all terms of each document."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out: list[tuple[int, int, bytes]] = []
-            for toxic, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+            for text in batch.column(0):
                 ws = words(text.as_py() or "")
-                kin = family(ws)
-                found = {t for w in set(ws) if of is None or w[: BEGINNINGS[0]] in of.heads for t in terms_of(w)}
-                out += [(toxic, kin, t) for t in found if of is None or t in of.number]
-            if out:
-                a, b, c = zip(*out, strict=True)
-                yield pa.RecordBatch.from_arrays([pa.array(a, pa.int32()), pa.array(b, pa.int64()), pa.array(c, pa.binary())], ["toxic", "kin", "term"])
+                found = list({t for w in set(ws) for t in terms_of(w)})
+                if found:
+                    yield pa.RecordBatch.from_arrays([pa.array(found, pa.binary()), pa.array([family(ws)] * len(found), pa.int64())], ["term", "kin"])
 
-    return docs.select("toxic", "text").mapInArrow(run, "toxic int, kin long, term binary")
+    return docs.select("text").mapInArrow(run, "term binary, kin long")
+
+
+def _term_counts(docs: DataFrame, of: Vocabulary) -> DataFrame:
+    """(term, n): documents with a term of the vocabulary, summed in each task."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        n = Counter()
+        for batch in batches:
+            for text in batch.column(0):
+                n.update({t for w in set(words(text.as_py() or "")) if w[: BEGINNINGS[0]] in of.heads for t in terms_of(w) if t in of.number})
+        if n:
+            yield pa.RecordBatch.from_arrays([pa.array(list(n), pa.binary()), pa.array(list(n.values()), pa.int64())], ["term", "n"])
+
+    return docs.select("text").mapInArrow(run, "term binary, n long")
 
 
 def choose_terms(examples: DataFrame, most_terms: int, floor: float = 0.005, odds: float = 10.0, z: float = 4.5) -> list[bytes]:
     """Terms that tell toxic examples from others: in families of toxic ones at a rate `odds` times that of the others, and surely so (z).
 
-    Families count, not documents, so that words of one much copied text are not taken for a sign.
+    Families of toxic documents count, not copies, so that words of one much copied text are not taken for a sign.
     """
-    rows = _term_rows(examples.where("toxic = 1"), None)
-    pos = rows.groupBy("term").agg(F.count_distinct("kin").alias("n"))
+    pos = _term_families(examples.where("toxic = 1")).groupBy("term").agg(F.count_distinct("kin").alias("n"))
     families = examples.groupBy("toxic").count().collect()  # two rows
     many = {r["toxic"]: r["count"] for r in families}
     p, n = many.get(1, 0), many.get(0, 0)
@@ -186,8 +195,8 @@ def choose_terms(examples: DataFrame, most_terms: int, floor: float = 0.005, odd
     pos = {bytes(r["term"]): r["n"] for r in pos.collect()}  # bounded by 16 * most_terms
     if not pos:
         return []
-    neg = _term_rows(examples.where("toxic = 0"), Vocabulary({t: i for i, t in enumerate(sorted(pos))}))
-    neg = {bytes(r["term"]): r["n"] for r in neg.groupBy("term").agg(F.count_distinct("kin").alias("n")).collect()}
+    neg = _term_counts(examples.where("toxic = 0"), Vocabulary({t: i for i, t in enumerate(sorted(pos))}))
+    neg = {bytes(r["term"]): r["n"] for r in neg.groupBy("term").agg(F.sum("n").alias("n")).collect()}
     good = []
     for t, a in pos.items():
         b = neg.get(t, 0)
