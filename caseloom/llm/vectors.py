@@ -117,6 +117,19 @@ class Tree:
         return out
 
 
+    def branches(self) -> np.ndarray:
+        """The branch of the root that each leaf hangs from."""
+        out = np.zeros(self.leaves, np.int32)
+        todo = [(child, b) for b, child in enumerate(self.children[0])] if self.centres else []
+        while todo:
+            node, b = todo.pop()
+            if node < 0:
+                out[-1 - node] = b
+            else:
+                todo += [(child, b) for child in self.children[node]]
+        return out
+
+
 def grow(sample: np.ndarray, rows: int, branch: int, leaf_rows: int, least: int = 24, turns: int = 8) -> Tree:
     """A tree over unit vectors: a node splits by k-means while it stands for more than leaf_rows rows and has 2 * least samples."""
     rng = np.random.default_rng(7)
@@ -163,8 +176,8 @@ def nearest(vectors: DataFrame, k: int = 5, recall: float = 0.95, sample: int =
     neighbours are found by brute force over all rows, and visits widen until `recall` of them lie in visited leaves.
     Scores are exact cosines in double precision of the vectors as given; ties go to the smaller vec_id.
 
-    A leaf with many rows is dealt out in chunks of about `chunk` rows, and its queries likewise, so that a
-    much repeated vector is shared by many tasks. Null, zero and non-finite vectors take no part (numbered), nor do
+    The rows under each branch of the root are dealt out in chunks of about `chunk` rows, and their queries likewise, so
+    that a much repeated vector is shared by many tasks; in a chunk a query meets the leaves it visits. Null, zero and non-finite vectors take no part (numbered), nor do
     rows with null vec_id as queries; they are candidates. Fewer candidates than k: all of them. Empty input: no rows.
     """
     spark = vectors.sparkSession
@@ -189,50 +202,81 @@ def nearest(vectors: DataFrame, k: int = 5, recall: float = 0.95, sample: int =
     visits = _calibrated(placed, tree, k, recall, trials)
 
     def to_visits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        branch_of = shared.value.branches()
         for b in batches:
-            q = matrix(b.column(2)) if b.num_rows else []
-            seen = [shared.value.order(u / np.linalg.norm(u), visits) for u in q]
-            at = np.repeat(np.arange(len(seen)), [len(s) for s in seen])
-            leaf = pa.array(np.concatenate(seen) if seen else [], pa.int32())
-            yield pa.RecordBatch.from_arrays([b.column(i).take(pa.array(at)) for i in range(3)] + [leaf], ["query_row", "query_id", "q", "leaf"])
-
-    asked = placed.where("query").select("row", "vec_id", "v").mapInArrow(to_visits, "query_row long, query_id long, q array<double>, leaf int")
+            at, where, leaves = [], [], []
+            for i, u in enumerate(matrix(b.column(2)) if b.num_rows else []):
+                seen = np.array(shared.value.order(u / np.linalg.norm(u), visits))
+                for branch in np.unique(branch_of[seen]):
+                    at.append(i)
+                    where.append(int(branch))
+                    leaves.append(seen[branch_of[seen] == branch].tolist())
+            yield pa.RecordBatch.from_arrays([b.column(i).take(pa.array(at, pa.int64())) for i in range(3)] + [pa.array(where, pa.int32()), pa.array(leaves, pa.list_(pa.int32()))], ["query_row", "query_id", "q", "branch", "leaves"])
+
+    asked = placed.where("query").select("row", "vec_id", "v").mapInArrow(to_visits, "query_row long, query_id long, q array<double>, branch int, leaves array<int>")
     asked = written(asked, "visits")
-    # Both tables have a row per leaf at most: bounded by sample / least.
-    parts = placed.groupBy("leaf").agg(F.ceil(F.count("*") / chunk).cast("int").alias("cs"))
-    parts = parts.join(asked.groupBy("leaf").agg(F.ceil(F.count("*") / chunk).cast("int").alias("qs")), "leaf")
+    stems = F.get(F.lit(tree.branches().tolist()), F.col("leaf")).cast("int")
+    held = placed.withColumn("branch", stems)
+    # A row for each branch of the root: rows and queries of a branch are dealt out in chunks.
+    parts = held.groupBy("branch").agg(F.ceil(F.count("*") / chunk).cast("int").alias("cs"))
+    parts = parts.join(asked.groupBy("branch").agg(F.ceil(F.count("*") / chunk).cast("int").alias("qs")), "branch")
     deal = lambda c, n: F.pmod(F.xxhash64(c), F.col(n)).cast("int")
     every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
-    left = asked.join(F.broadcast(parts), "leaf").select("leaf", deal("query_row", "qs").alias("qc"), every("cs").alias("cc"), "query_row", "query_id", "q")
-    right = placed.join(F.broadcast(parts), "leaf").select("leaf", every("qs").alias("qc"), deal("row", "cs").alias("cc"), "row", "vec_id", "v")
+    left = asked.join(F.broadcast(parts), "branch").select("branch", deal("query_row", "qs").alias("qc"), every("cs").alias("cc"), "query_row", "query_id", "q", "leaves")
+    right = held.join(F.broadcast(parts), "branch").select("branch", every("qs").alias("qc"), deal("row", "cs").alias("cc"), "row", "vec_id", "v", "leaf")
 
     def search(q: pa.Table, c: pa.Table) -> pa.Table:
         parts = []
         if q.num_rows and c.num_rows:
-            parts = _cosines(*(q[n].to_numpy() for n in ("query_row", "query_id")), matrix(q["q"]), c["row"].to_numpy(), ids_of(c["vec_id"]), matrix(c["v"]), k)
+            parts = _cosines(*(q[n].to_numpy() for n in ("query_row", "query_id")), matrix(q["q"]), c["row"].to_numpy(), ids_of(c["vec_id"]), matrix(c["v"]), k, c["leaf"].to_numpy(), q["leaves"].to_pylist())
         b = _rows(parts, pa.float64())
         return pa.Table.from_batches([b] if b else [], schema=_found_schema)
 
-    found = left.groupBy("leaf", "qc", "cc").cogroup(right.groupBy("leaf", "qc", "cc")).applyInArrow(search, FOUND + "double")
+    found = left.groupBy("branch", "qc", "cc").cogroup(right.groupBy("branch", "qc", "cc")).applyInArrow(search, FOUND + "double")
     return merged(found, k)
 
 
 _found_schema = pa.schema([(n, pa.int64()) for n in ("query_row", "query_id", "row", "vec_id")] + [("score", pa.float64())])
 
 
-def _cosines(query_rows, query_ids, q, rows, ids, v, k: int, block: int = 256) -> list[tuple]:
-    """The k best candidates of each query; every cosine is computed in one way, whatever else is in the block."""
+def _cosines(query_rows, query_ids, q, rows, ids, v, k: int, leaf=None, visited=None, block: int = 256) -> list[tuple]:
+    """The k best candidates of each query, of the leaves it visits if those are given.
+
+    Every cosine is computed in one way, whatever else is in the block.
+    """
+    if leaf is not None:
+        order = np.argsort(leaf, kind="stable")
+        rows, ids, v, leaf = rows[order], ids[order], v[order], leaf[order]
+        edges = {int(x): (a, b) for x, a, b in zip(*_runs(leaf), strict=True)}
     nq, nv, out = np.sqrt(np.einsum("id,id->i", q, q)), np.sqrt(np.einsum("id,id->i", v, v)), []
-    for a in range(0, len(q), block):
-        scores = np.einsum("id,jd->ij", q[a : a + block], v) / (nq[a : a + block, None] * nv)
-        scores[query_rows[a : a + block, None] == rows] = -np.inf
+    for start in range(0, len(q), block):
+        here = slice(start, start + block)
+        if leaf is None:
+            scores = np.einsum("id,jd->ij", q[here], v) / (nq[here, None] * nv)
+        else:
+            scores = np.full((len(q[here]), len(v)), -np.inf)
+            by_leaf: dict[int, list[int]] = {}
+            for i, leaves in enumerate(visited[here]):
+                for x in leaves:
+                    by_leaf.setdefault(x, []).append(i)
+            for x, who in by_leaf.items():
+                if x in edges:
+                    a, b = edges[x]
+                    scores[who, a:b] = np.einsum("id,jd->ij", q[here][who], v[a:b]) / (nq[here][who, None] * nv[a:b])
+        scores[query_rows[here, None] == rows] = -np.inf
         for i, s in enumerate(scores):
             at = best_of(s, ids, rows, k)
             n = len(at)
-            out.append((np.full(n, query_rows[a + i]), np.full(n, query_ids[a + i]), rows[at], ids[at], s[at]))
+            out.append((np.full(n, query_rows[start + i]), np.full(n, query_ids[start + i]), rows[at], ids[at], s[at]))
     return out
 
 
+def _runs(values: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Values of a sorted array, and where each begins and ends."""
+    found, first = np.unique(values, return_index=True)
+    return found, first, np.append(first[1:], len(values))
+
+
 def _calibrated(placed: DataFrame, tree: Tree, k: int, recall: float, trials: int) -> int:
     """How many leaves to visit so that `recall` of the true neighbours of the trial queries lie in them."""
     trial = placed.where("query").orderBy(F.xxhash64(F.lit("trial"), "row"), "row").limit(trials).select("row", "vec_id", "v").toArrow()
