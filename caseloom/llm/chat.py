@@ -101,9 +101,10 @@ def prefix_tree(conversations: DataFrame, tokenizer_path: str | None = None) ->
     else:
         nodes = nodes.withColumn("units", F.length("segment"))
     nodes = written(nodes, "nodes")
-    forks = nodes.groupBy("parent").count().where("count > 1").select(F.col("parent").alias("fork"))
+    forks = nodes.where("parent <> ''").groupBy("parent").count().where("count > 1").select(F.col("parent").alias("fork"))
     # The path holds the turns after a fork only: as long as the tree branches, not as long as the conversation.
-    step = rows.join(forks, F.col("parent") == F.col("fork"), "left").select("conv", "seq", "node", F.when(F.col("fork").isNotNull() | (F.col("seq") == 0), F.col("node")).alias("turned"))
+    above = F.when(F.col("seq") > 0, F.col("parent")).otherwise(F.col("node"))  # first turns have no parent to meet at
+    step = rows.join(forks, above == F.col("fork"), "left").select("conv", "seq", "node", F.when(F.col("fork").isNotNull() | (F.col("seq") == 0), F.col("node")).alias("turned"))
     units = nodes.select(F.col("node").alias("n2"), "units")
     step = step.join(units, F.col("node") == F.col("n2")).drop("n2")
     along = W.partitionBy("conv").orderBy("seq").rowsBetween(W.unboundedPreceding, 0)
