@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from caseloom.plans import catalog, screening
+from caseloom.plans import catalog, records, screening
 
-MODULES = (catalog, screening)
+MODULES = (catalog, screening, records)
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
