@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from caseloom.plans import catalog, graph, records, screening, text
+from caseloom.plans import catalog, graph, more, records, screening, text
 
-MODULES = (catalog, screening, records, graph, text)
+MODULES = (catalog, screening, records, graph, text, more)
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
