@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from caseloom.plans import catalog, graph, more, pages, records, screening, text
+from caseloom.plans import catalog, graph, more, pages, records, rest, screening, text
 
-MODULES = (catalog, screening, records, graph, text, more, pages)
+MODULES = (catalog, screening, records, graph, text, more, pages, rest)
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
