@@ -15,7 +15,7 @@ from pyspark.sql import types as T
 from caseloom.llm.shared import written
 
 #: Lengths of word beginnings that are terms, beside whole words; the first is the shortest.
-BEGINNINGS = (4, 5, 6)
+BEGINNINGS = (4, 5, 6, 7, 8)
 
 _SIGNS = bytes(c if c >= 128 or chr(c).isalnum() else 32 for c in range(256))
 
@@ -25,11 +25,29 @@ def words(text: str) -> list[bytes]:
     return text.lower().encode("utf-8", "surrogatepass").translate(_SIGNS).split()
 
 
+#: How often a term has to occur in a document for the terms that say so.
+OFTEN = ((2, b"+"), (4, b"++"))
+
+
 def terms_of(word: bytes) -> list[bytes]:
     """The word itself, and its beginnings marked by a hyphen."""
     return [word] + [word[:n] + b"-" for n in BEGINNINGS if len(word) >= n]
 
 
+def counts_of(ws: list[bytes], heads: set[bytes] | None = None) -> Counter:
+    """How often each term is in a document, of words with these heads if given; a frequent term is a second term too."""
+    n, out = BEGINNINGS[0], Counter()
+    for w, k in Counter(ws).items():
+        if heads is None or w[:n] in heads:
+            for t in terms_of(w):
+                out[t] += k
+    for t, k in list(out.items()):
+        for least, mark in OFTEN:
+            if k >= least:
+                out[t + mark] = 1
+    return out
+
+
 def family(ws: list[bytes]) -> int:
     """A number that near copies mostly share: the least hash of their three-word runs."""
     runs = zip(ws, ws[1:], ws[2:], strict=False)
@@ -49,16 +67,10 @@ class Vocabulary:
     heads: set[bytes] = field(default_factory=set)
 
     def __post_init__(self):
-        self.heads = {t.rstrip(b"-")[: BEGINNINGS[0]] for t in self.number}
+        self.heads = {t.rstrip(b"+-")[: BEGINNINGS[0]] for t in self.number}
 
     def counts(self, text: str) -> Counter:
-        n, out = BEGINNINGS[0], Counter()
-        for w, k in Counter(words(text)).items():
-            if w[:n] in self.heads:
-                for t in terms_of(w):
-                    if (i := self.number.get(t)) is not None:
-                        out[i] += k
-        return out
+        return Counter({self.number[t]: k for t, k in counts_of(words(text), self.heads).items() if t in self.number})
 
 
 class Index:
@@ -122,10 +134,13 @@ class Model:
         return unit({t: (1 + np.log(n)) * self.idf[t] for t, n in counts.items() if self.idf[t] > 0})
 
     def vote(self, counts: dict[int, int], but: int = -1) -> tuple[float, list[tuple[float, int]]]:
-        """The share of toxic among the neighbours by cosine, with `pull` of a vote for the rate among examples without any term."""
+        """The share of toxic among the neighbours, with `pull` of a vote for the rate among examples without any term.
+
+        A neighbour weighs the cube of its cosine, so that one shared term among many makes a weak vote.
+        """
         near = self.index.nearest(self.vector(counts), self.k, but)
-        total = sum(c for c, _ in near)
-        toxic = sum(c * self.labels[e] for c, e in near)
+        total = sum(c**3 for c, _ in near)
+        toxic = sum(c**3 * self.labels[e] for c, e in near)
         return float((toxic + self.pull * self.base) / (total + self.pull)), near
 
     def calibrated(self, vote: float) -> float:
@@ -159,7 +174,7 @@ def _term_families(docs: DataFrame) -> DataFrame:
         for batch in batches:
             for text in batch.column(0):
                 ws = words(text.as_py() or "")
-                found = list({t for w in set(ws) for t in terms_of(w)})
+                found = list(counts_of(ws))
                 if found:
                     yield pa.RecordBatch.from_arrays([pa.array(found, pa.binary()), pa.array([family(ws)] * len(found), pa.int64())], ["term", "kin"])
 
@@ -173,37 +188,37 @@ def _term_counts(docs: DataFrame, of: Vocabulary) -> DataFrame:
         n = Counter()
         for batch in batches:
             for text in batch.column(0):
-                n.update({t for w in set(words(text.as_py() or "")) if w[: BEGINNINGS[0]] in of.heads for t in terms_of(w) if t in of.number})
+                n.update(t for t in counts_of(words(text.as_py() or ""), of.heads) if t in of.number)
         if n:
             yield pa.RecordBatch.from_arrays([pa.array(list(n), pa.binary()), pa.array(list(n.values()), pa.int64())], ["term", "n"])
 
     return docs.select("text").mapInArrow(run, "term binary, n long")
 
 
-def choose_terms(examples: DataFrame, most_terms: int, floor: float = 0.005, odds: float = 10.0, z: float = 4.5) -> list[bytes]:
-    """Terms that tell toxic examples from others: in families of toxic ones at a rate `odds` times that of the others, and surely so (z).
+def choose_terms(examples: DataFrame, most_terms: int, floor: float = 0.005, odds: float = 10.0, doubt: float = 0.01) -> list[bytes]:
+    """Terms that tell toxic examples from others: in families of toxic ones at a rate `odds` times that of the others, and not by chance.
 
-    Families of toxic documents count, not copies, so that words of one much copied text are not taken for a sign.
+    By chance: under a bound of the binomial tail, fewer than `doubt` of all terms asked would do as well. Families of
+    toxic documents count, not copies, so that words of one much copied text are not taken for a sign.
     """
     pos = _term_families(examples.where("toxic = 1")).groupBy("term").agg(F.count_distinct("kin").alias("n"))
-    families = examples.groupBy("toxic").count().collect()  # two rows
-    many = {r["toxic"]: r["count"] for r in families}
+    many = {r["toxic"]: r["count"] for r in examples.groupBy("toxic").count().collect()}  # two rows
     p, n = many.get(1, 0), many.get(0, 0)
     if not p or not n:
         return []
-    pos = pos.where(F.col("n") >= max(4, floor * p)).orderBy(F.col("n").desc(), "term").limit(16 * most_terms)
-    pos = {bytes(r["term"]): r["n"] for r in pos.collect()}  # bounded by 16 * most_terms
+    pos = pos.where(F.col("n") >= max(4, floor * p)).orderBy(F.col("n").desc(), "term").limit(64 * most_terms)
+    pos = {bytes(r["term"]): r["n"] for r in pos.collect()}  # bounded by 64 * most_terms
     if not pos:
         return []
     neg = _term_counts(examples.where("toxic = 0"), Vocabulary({t: i for i, t in enumerate(sorted(pos))}))
     neg = {bytes(r["term"]): r["n"] for r in neg.groupBy("term").agg(F.sum("n").alias("n")).collect()}
-    good = []
+    good, share = [], p / (p + n)
     for t, a in pos.items():
         b = neg.get(t, 0)
-        rate = (a + b) / (p + n)
-        score = (a / p - b / n) / max(1e-9, (rate * (1 - rate) * (1 / p + 1 / n)) ** 0.5)
-        if (a + 0.5) / (p + 1) >= odds * (b + 0.5) / (n + 1) and score >= z:
-            good.append((-score, t))
+        if (a + 0.5) / (p + 1) >= odds * (b + 0.5) / (n + 1):
+            surprise = a * np.log(a / (a + b) / share) + (b * np.log(b / (a + b) / (1 - share)) if b else 0.0)
+            if surprise >= np.log(len(pos) / doubt):
+                good.append((-surprise, t))
     return sorted(t for _, t in sorted(good)[:most_terms])
 
 
