@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
 #: Word forms that a worker remembers at most; beyond that it starts anew.
-REMEMBERED = 800_000
+REMEMBERED = 600_000
 
 #: ASCII signs that may end a word; the tokenizer makes a piece of its own of a run of them.
 ENDINGS = b'.,!?;:*%&$#"()[]{}-_+=/@^~'
@@ -33,7 +33,6 @@ class WordIds(dict):
         super().__init__()
         self.tokenizer = Tokenizer.from_file(path)
         self.flat, self.first = array("i"), array("q", [0])
-        self.stems: dict[str, list[int]] = {}
         self.level = ByteLevel(add_prefix_space=False, use_regex=False)
 
     def __missing__(self, word: bytes) -> int:
@@ -42,21 +41,19 @@ class WordIds(dict):
         self.first.append(len(self.flat))
         return k
 
-    def ids_of(self, word: bytes) -> list[int]:
+    def ids_of(self, word: bytes) -> list[int] | array:
         text = word.decode("utf-8", "replace")
-        if b"<|" not in word:
-            stem = word.rstrip(ENDINGS)
-            s = text[: len(text) - (len(word) - len(stem))]
-            if s and plain(s):
-                return self.stem(s) + (self.stem(text[len(s) :]) if len(s) < len(text) else [])
+        stem = word.rstrip(ENDINGS)
+        if stem and plain(text[: len(text) - (len(word) - len(stem))]):
+            if len(stem) < len(word):  # the stem and the signs at its end are words of their own
+                return self.known(stem) + self.known(word[len(stem) :])
+            level = text if text.isascii() else self.level.pre_tokenize_str(text)[0][0]
+            return [t.id for t in self.tokenizer.model.tokenize(level)]
         return self.tokenizer.encode(text, add_special_tokens=False).ids
 
-    def stem(self, s: str) -> list[int]:
-        found = self.stems.get(s)
-        if found is None:
-            level = s if s.isascii() else self.level.pre_tokenize_str(s)[0][0]
-            found = self.stems[s] = [t.id for t in self.tokenizer.model.tokenize(level)]
-        return found
+    def known(self, word: bytes) -> array:
+        k = self[word]
+        return self.flat[self.first[k] : self.first[k + 1]]
 
     def numbers(self, words: list[bytes]) -> np.ndarray:
         return np.fromiter(map(self.__getitem__, words), np.int64, len(words))
