@@ -146,6 +146,7 @@ def dropped_lines(docs: DataFrame, depth: int = 5, least: int = 5, similar: floa
     seen = seen.join(into, "template", "left").select("doc_id", "h", "line_no", F.coalesce("into", "template").alias("template"))
     who = F.struct(F.col("doc_id").isNull().alias("n"), "doc_id", "h")
     first = seen.groupBy("template").agg(F.min(who).alias("a"), F.max(who).alias("z")).where("a <> z").select("template", "a")
+    first = written(first, "first")  # a join of its own after it, in which a frequent template's lines can be split
     again = seen.join(first, "template").where(who != F.col("a"))
     return again.groupBy("doc_id", "h").agg(F.sort_array(F.collect_set("line_no")).alias("dropped"))
 
