@@ -145,3 +145,35 @@ def chunk_quotes(passages: DataFrame, pages: DataFrame) -> DataFrame:
     )
     verdict = F.when(F.coalesce(F.trim("quote"), F.lit("")) == "", "empty").when(F.col("cited") == 1, "ok").when(F.col("other").isNotNull(), "corrected").otherwise("not_found")
     return g.select("passage_id", verdict.alias("verdict"), F.when(verdict == "ok", F.col("page")).when(verdict == "corrected", F.col("other")).alias("page"))
+
+
+def listing_rows(pages: DataFrame, kind: str) -> DataFrame:
+    """page_id, url, title, day of the listing rows (class views-row) of one case type."""
+    rows = pages.select("page_id", F.explode(F.regexp_extract_all("html", F.lit(r'(?s)<div class="views-row">(.*?)</div>'), F.lit(1))).alias("row"))
+    get = lambda pattern: F.trim(F.regexp_extract("row", pattern, 1))
+    d = rows.select("page_id", get('href="([^"]*)"').alias("url"), get(r"<a [^>]*>([^<]*)</a>").alias("title"), get(r"<time>([^<]*)</time>").alias("day"), get(r'<span class="type">([^<]*)</span>').alias("type"))
+    return d.where(F.col("type") == kind).drop("type")
+
+
+def merged_drafts(drafts: DataFrame, batch: str, case: str, seq: str, fields: list[str], preferred: Column) -> DataFrame:
+    """One record a batch of drafts, which must all be of one case (else an error): scalars by precedence, how many drafts."""
+    order = F.struct(F.when(preferred, 0).otherwise(1), seq)
+    picked = [F.min_by(f, F.when(F.col(f).isNotNull() & (F.col(f).cast("string") != ""), order)).alias(f) for f in fields]
+    g = drafts.groupBy(batch).agg(F.min(case).alias(case), F.max(case).alias("_last"), F.count("*").alias("drafts"), *picked)
+    mixed = F.raise_error(F.concat(F.lit("drafts of several cases in batch "), F.col(batch).cast("string")))
+    return g.withColumn(case, F.when(F.col(case) == F.col("_last"), F.col(case)).otherwise(mixed.cast(g.schema[case].dataType))).drop("_last")
+
+
+def unit_findings(units: DataFrame, kinds: list[str]) -> DataFrame:
+    """Unit assessments with a label, their findings of unknown kind as `other`, findings without a description left out."""
+    fixed = F.transform(F.filter("findings", lambda f: F.length(F.trim(f["description"])) > 0), lambda f: F.struct(F.when(f["kind"].isin(kinds), f["kind"]).otherwise("other").alias("kind"), f["description"].alias("description")))
+    return units.where(F.length(F.trim("label")) > 0).withColumn("findings", fixed)
+
+
+def aliases(passages: DataFrame, patterns: list[str], cut: Column | None = None) -> DataFrame:
+    """market_id, alias: phrases in a market's passages that a pattern's group names, once whatever their case."""
+    found = F.explode(F.array_distinct(F.flatten(F.array(*[F.regexp_extract_all("quote", F.lit(p), F.lit(1)) for p in patterns])))).alias("alias")
+    d = passages.select("market_id", found).withColumn("alias", F.trim("alias")).where("alias <> ''")
+    if cut is not None:
+        d = d.where(~cut)
+    return d.groupBy("market_id", F.lower("alias").alias("k")).agg(F.min("alias").alias("alias")).drop("k")

@@ -126,3 +126,31 @@ def g07_chunk_quotes(spark, sf):
     quote = F.expr("if(doc_id % 3 = 2, concat('zz ', substring(text, 1, 20)), substring(text, 1, 30))")
     q = p.where("page_number = 2 and length(text) > 40").select(F.col("doc_id").alias("passage_id"), F.col("doc_id").alias("chunk_id"), F.expr("if(doc_id % 3 = 1, 3, 2)").alias("page"), quote.alias("quote"))
     return I.chunk_quotes(q, p.where("page_number between 2 and 5").withColumnRenamed("doc_id", "chunk_id"))
+
+
+@query("""SELECT page_id, '/case/' || page_id AS url, 'Case ' || page_id AS title, '2024-02-01' AS day FROM pages WHERE page_id % 3 <> 0""")
+def s14_listing_rows(spark, sf):
+    row = lambda kind: F.concat(F.lit('<div class="views-row"><a href="/case/'), "page_id", F.lit('">Case '), "page_id", F.lit('</a> <time> 2024-02-01</time><span class="type">'), kind, F.lit("</span></div>"))
+    html = F.concat(row(F.expr("if(page_id % 3 = 0, 'Press', 'Merger')")), F.lit("<p>x</p>"), row(F.lit("Speech")))
+    return I.listing_rows(A.table(spark, sf, "pages").select("page_id", html.alias("html")), "Merger")
+
+
+@query(with_(Z.PARTS_SQL) + """ SELECT case_id AS batch, case_id, count(*) AS drafts, coalesce(arg_min(brand, seq) FILTER (brand <> '' AND draft = 1), arg_min(brand, seq) FILTER (brand <> '')) AS brand FROM d GROUP BY 1""")
+def a33_merged_drafts(spark, sf):
+    d = Z.part_drafts(spark, sf).withColumn("batch", F.col("case_id"))
+    return I.merged_drafts(d, "batch", "case_id", "seq", ["brand"], F.col("draft") == 1)
+
+
+@query("""SELECT p_size AS unit, count(*) FILTER (p_type IN ('ECONOMY', 'SMALL')) AS known, count(*) FILTER (p_type NOT IN ('ECONOMY', 'SMALL')) AS other FROM part WHERE p_partkey % 4 <> 0 AND p_size % 5 <> 0 GROUP BY 1""")
+def g08_unit_findings(spark, sf):
+    f = F.collect_list(F.struct(F.col("p_type").alias("kind"), F.expr("if(p_partkey % 4 = 0, ' ', p_name)").alias("description")))
+    u = A.table(spark, sf, "part").groupBy(F.col("p_size").alias("unit")).agg(f.alias("findings"), F.expr("if(first(p_size) % 5 = 0, '', 'u')").alias("label"))
+    u = I.unit_findings(u, ["ECONOMY", "SMALL"]).select("unit", F.explode("findings").alias("f"))
+    return u.groupBy("unit").agg(F.count_if(F.col("f.kind") != "other").alias("known"), F.count_if(F.col("f.kind") == "other").alias("other"))
+
+
+@query("""SELECT DISTINCT p_size AS market_id, p_name AS alias FROM part WHERE p_partkey % 2 = 0 UNION SELECT DISTINCT p_size, p_brand FROM part WHERE p_partkey % 2 = 1""")
+def t19_alias_phrases(spark, sf):
+    quote = F.expr("if(p_partkey % 2 = 0, concat('the market (\"', p_name, '\") is wide'), concat('it is also known as ', p_brand, '.'))")
+    p = A.table(spark, sf, "part").select(F.col("p_size").alias("market_id"), quote.alias("quote"))
+    return I.aliases(p, [r'\("([^"]+)"\)', r"also known as ([^.,;]+)"])

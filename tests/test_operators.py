@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StringType, StructField, StructType
 
 from caseloom.functions import text as T
-from caseloom.operators import catalog, drafts, grounding, matching, nearest, screening, sections
+from caseloom.operators import catalog, drafts, grounding, intake, matching, nearest, screening, sections
 from caseloom.plans import screening as plans
 from caseloom.sources import tables
 from caseloom.streaming.ingest import ingest
@@ -187,3 +187,21 @@ def test_slug_and_domain(spark):
     assert re.fullmatch(r"[a-z0-9_]+", one(spark, T.slug(F.col("c")), c="Case M.1234 – Foo/Bar (2020)"))
     assert one(spark, T.official(F.col("c"), ["x.eu"]), c="https://a.x.eu/p") is True
     assert one(spark, T.official(F.col("c"), ["x.eu"]), c="https://evilx.eu/p") is False
+
+
+def test_delimited_sink_and_profiles(spark, tmp_path):
+    (tmp_path / "f.csv").write_text("a;b\r\nc,d\n" + "x" * 50)
+    text = intake.delimited(spark, str(tmp_path / "f.csv"), 12).first().text
+    assert text == "a\tb\nc\td\nxxxx"
+    (tmp_path / "p.json").write_text('{"profile_id": "eu", "coverage_keywords": {"market": ["x"]}}\n')
+    p = intake.profiles(spark, str(tmp_path / "p.json")).first()
+    assert p.orphan_policy.default == "warn" and p.jurisdictions == [] and p.coverage_keywords == {"market": ["x"]}
+    d = spark.createDataFrame([(1, "a")], "case_id long, v string")
+    intake.sink(d, d.groupBy("v").count(), str(tmp_path / "run"))
+    assert spark.read.parquet(str(tmp_path / "run/totals")).first()["count"] == 1
+
+
+def test_drafts_of_several_cases_do_not_merge(spark):
+    d = spark.createDataFrame([(1, 10, 1, "x"), (1, 11, 2, "y")], "batch long, case_id long, seq long, v string")
+    with pytest.raises(PySparkException, match="several cases"):
+        intake.merged_drafts(d, "batch", "case_id", "seq", ["v"], F.lit(False)).collect()
