@@ -97,3 +97,43 @@ def status_of(entries: DataFrame, cap: int) -> DataFrame:
     d = entries.withColumn("new", new)
     settled = F.col("old").isNotNull() & (F.col("old") != "unknown") & (F.col("new") != "extracted")
     return d.withColumn("status", F.when(settled | (F.col("new") == "unknown") & F.col("old").isNotNull(), F.col("old")).otherwise(F.col("new")))
+
+
+#: What follows from a market's importance alone.
+BY_IMPORTANCE = {"background": "exclude_from_canonical", "ancillary": "keep_as_context_only", "precedent_only": "keep_as_context_only", "incomplete_source": "hold_pending_source_check", "assessed_no_overlap": "keep_as_context_only"}
+SEGMENTED, CONCLUSIVE = ["segmented", "possible_segmentation"], ["defined", "left_open", "considered"]
+
+
+def promotion_action(importance: Column, status: Column, has_refs: Column) -> Column:
+    """What to do with a draft market: importance decides first, then a lone unknown status, segmentation, and conclusions with sources."""
+    imp, st = F.trim(F.coalesce(importance, F.lit(""))), F.trim(F.coalesce(status, F.lit("")))
+    out = F.when(F.lit(False), F.lit(None))
+    for name, action in BY_IMPORTANCE.items():
+        out = out.when(imp == name, action)
+    return (
+        out.when(st.isin("unknown", "") & ~has_refs, "hold_pending_source_check")
+        .when(st.isin(SEGMENTED), "promote_with_uncertainty")
+        .when((imp == "core_assessed") & st.isin(CONCLUSIVE) & has_refs, "promote_to_canonical")
+        .otherwise("manual_review")
+    )
+
+
+def review_score(entries: DataFrame, passages: DataFrame, weights: dict[str, dict[str, float]], refs_scale: float = 5.0) -> DataFrame:
+    """Item, score: having passages (3), their number up to three (2), the strongest role (2), importance (1.5), status (1), category (0.5), cited pages (0.25).
+
+    weights: role, importance, status, category -> value -> share of the full mark; `default` for any other value.
+    """
+    mark = lambda kind, c: F.coalesce(F.try_element_at(F.create_map(*[F.lit(x) for k, v in weights[kind].items() for x in (k, float(v))]), F.coalesce(c, F.lit(""))), F.lit(float(weights[kind].get("default", 0.0))))
+    p = passages.groupBy("item").agg(F.count("*").alias("n"), F.max(mark("role", F.col("role"))).alias("role"))
+    d = entries.join(p, "item", "left")
+    n = F.coalesce("n", F.lit(0))
+    score = (
+        F.when(n > 0, 3.0).otherwise(0.0)
+        + 2.0 * F.least(n / 3.0, F.lit(1.0))
+        + 2.0 * F.coalesce("role", F.lit(0.0))
+        + 1.5 * mark("importance", F.col("importance"))
+        + mark("status", F.col("status"))
+        + 0.5 * mark("category", F.col("category"))
+        + 0.25 * F.least(F.col("source_refs") / refs_scale, F.lit(1.0))
+    )
+    return d.select("item", score.alias("score"))

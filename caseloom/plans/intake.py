@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from caseloom.operators import evals as E
 from caseloom.operators import intake as I
 from caseloom.plans import records as Z
 from caseloom.plans.catalog import with_
@@ -154,3 +155,23 @@ def t19_alias_phrases(spark, sf):
     quote = F.expr("if(p_partkey % 2 = 0, concat('the market (\"', p_name, '\") is wide'), concat('it is also known as ', p_brand, '.'))")
     p = A.table(spark, sf, "part").select(F.col("p_size").alias("market_id"), quote.alias("quote"))
     return I.aliases(p, [r'\("([^"]+)"\)', r"also known as ([^.,;]+)"])
+
+
+@query("""WITH m AS (SELECT p_partkey AS id, ['background', 'ancillary', 'core_assessed', 'assessed_no_overlap', 'incomplete_source', ''][1 + p_partkey % 6] AS imp,
+      ['defined', 'left_open', 'unknown', 'segmented', 'mentioned'][1 + p_partkey % 5] AS st, p_partkey % 2 = 0 AS refs FROM part)
+    SELECT id, CASE WHEN imp = 'background' THEN 'exclude_from_canonical' WHEN imp IN ('ancillary', 'assessed_no_overlap') THEN 'keep_as_context_only' WHEN imp = 'incomplete_source' THEN 'hold_pending_source_check'
+      WHEN st = 'unknown' AND NOT refs THEN 'hold_pending_source_check' WHEN st = 'segmented' THEN 'promote_with_uncertainty' WHEN imp = 'core_assessed' AND st IN ('defined', 'left_open') AND refs THEN 'promote_to_canonical' ELSE 'manual_review' END AS action FROM m""")
+def n23_promotion_actions(spark, sf):
+    imp = F.element_at(F.lit(["background", "ancillary", "core_assessed", "assessed_no_overlap", "incomplete_source", ""]), (1 + F.col("p_partkey") % 6).cast("int"))
+    st = F.element_at(F.lit(["defined", "left_open", "unknown", "segmented", "mentioned"]), (1 + F.col("p_partkey") % 5).cast("int"))
+    return A.table(spark, sf, "part").select(F.col("p_partkey").alias("id"), E.promotion_action(imp, st, F.col("p_partkey") % 2 == 0).alias("action"))
+
+
+@query("""WITH p AS (SELECT l_partkey AS item, count(*) AS n, max(CASE l_returnflag WHEN 'A' THEN 1.0 WHEN 'N' THEN 0.6 ELSE 0.2 END) AS role FROM lineitem WHERE l_linenumber = 1 GROUP BY 1)
+    SELECT p_partkey AS item, round(CASE WHEN n > 0 THEN 3.0 ELSE 0 END + 2 * least(coalesce(n, 0) / 3.0, 1) + 2 * coalesce(role, 0) + 1.5 * CASE p_type WHEN 'ECONOMY' THEN 1.0 ELSE 0.3 END + CASE p_brand WHEN 'Brand#1' THEN 1.0 ELSE 0 END
+      + 0.5 * 0.5 + 0.25 * least(p_size / 5.0, 1), 6)::DOUBLE AS score FROM part LEFT JOIN p ON item = p_partkey""")
+def n24_review_scores(spark, sf):
+    w = {"role": {"A": 1.0, "N": 0.6, "default": 0.2}, "importance": {"ECONOMY": 1.0, "default": 0.3}, "status": {"Brand#1": 1.0}, "category": {"x": 0.5}}
+    entries = A.table(spark, sf, "part").selectExpr("p_partkey AS item", "p_type AS importance", "p_brand AS status", "'x' AS category", "p_size AS source_refs")
+    passages = A.table(spark, sf, "lineitem").where("l_linenumber = 1").selectExpr("l_partkey AS item", "l_returnflag AS role")
+    return E.review_score(entries, passages, w).withColumn("score", F.round("score", 6))
