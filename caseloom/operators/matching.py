@@ -113,3 +113,44 @@ def greedy_merged(items: DataFrame, threshold: float = MATCH) -> DataFrame:
         return pd.DataFrame([(head["case_id"], head["kind"], m, x["item"]) for m, x in out.items()], columns=["case_id", "kind", "item", "kept"])
 
     return items.select("case_id", "kind", "item", "name", "valid").groupBy("case_id", "kind").applyInPandas(merge, "case_id long, kind string, item long, kept long")
+
+
+def paired_overlap(a: DataFrame, b: DataFrame) -> DataFrame:
+    """case_id, item, overlap: for each item of a, the largest share of the shorter name's tokens that it has in common with an item of b of its case.
+
+    a and b: case_id, item, name; pairs meet by a join on tokens.
+    """
+    words = lambda d: d.select("case_id", "item", F.array_distinct(T.tokens(F.col("name"))).alias("ws")).select("case_id", "item", F.size("ws").alias("n"), F.explode("ws").alias("token"))
+    x, y = words(a), words(b).withColumnsRenamed({"item": "other", "n": "m"})
+    p = x.join(y, ["case_id", "token"]).groupBy("case_id", "item", "other").agg((F.count("*") / F.least(F.first("n"), F.first("m"))).alias("overlap"))
+    return p.groupBy("case_id", "item").agg(F.max("overlap").alias("overlap"))
+
+
+def review_set(products: DataFrame, geographies: DataFrame, count: int, bonus: float = 0.4) -> DataFrame:
+    """case_id, item, pick, list: products first, each with a bonus by its overlap with a geography; then geographies, with one by the chosen products.
+
+    Both: case_id, item, name, status, score. Picks are diverse in status; a case short of items gives what it has.
+    """
+
+    def chosen(items: DataFrame, partners: DataFrame) -> DataFrame:
+        d = items.join(paired_overlap(items, partners), ["case_id", "item"], "left")
+        return diverse(d.withColumn("score", F.col("score") + bonus * F.coalesce("overlap", F.lit(0.0))), count)
+
+    first = chosen(products, geographies)
+    second = chosen(geographies, products.join(first, ["case_id", "item"], "left_semi"))
+    return first.withColumn("list", F.lit("product")).unionByName(second.withColumn("list", F.lit("geographic")))
+
+
+def gold_draft(items: DataFrame, selected: DataFrame, explicit: list[str], categories: list[str], passages: DataFrame) -> DataFrame:
+    """case_id, item, name, passages: items named outright, then those of a category, then the selected ones; one a name, the first of these.
+
+    items: case_id, item, name, category; selected: case_id, item; passages: case_id, item, passage.
+    """
+    key = F.lower(F.trim("name"))
+    chosen = items.join(selected.select("case_id", "item", F.lit(True).alias("picked")).distinct(), ["case_id", "item"], "left")
+    why = F.when(key.isin([x.strip().lower() for x in explicit]), 1).when(F.col("category").isin(categories), 2).when(F.col("picked"), 3)
+    d = chosen.withColumn("why", why).where("why is not null")
+    one = F.row_number().over(W.partitionBy("case_id", key).orderBy("why", "item"))
+    d = d.withColumn("n", one).where("n = 1")
+    p = passages.groupBy("case_id", "item").agg(F.sort_array(F.collect_set("passage")).alias("passages"))
+    return d.join(p, ["case_id", "item"], "left").select("case_id", "item", "name", F.coalesce("passages", F.array().cast(p.schema["passages"].dataType)).alias("passages"))

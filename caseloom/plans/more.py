@@ -344,3 +344,27 @@ def n20_json_replies(spark, sf):
     e = A.table(spark, sf, "events").withColumn("reply", F.concat(F.lit("```json\n"), "props", F.lit("\n```")))
     bare = F.regexp_replace("reply", "^```[a-z]*\\s*|\\s*```$", "")
     return e.select("event_id", F.from_json(bare, "k long").getField("k").alias("k"))
+
+
+def markets_by_kind(spark, sf):
+    p = A.table(spark, sf, "part")
+    columns = ("cast(p_size AS bigint) AS case_id", "p_partkey AS item", "p_name AS name", "p_type AS status", "p_retailprice / 1000 AS score")
+    return p.where("p_partkey % 3 > 0").selectExpr(*columns), p.where("p_partkey % 3 = 0").selectExpr(*columns)
+
+
+@query()
+def w17_review_set(spark, sf):
+    return M.review_set(*markets_by_kind(spark, sf), 3)
+
+
+@query("""WITH i AS (SELECT p_size::BIGINT AS case_id, p_partkey AS item, p_name AS name, p_type AS category FROM part),
+    w AS (SELECT *, CASE WHEN lower(name) = 'red widget' THEN 1 WHEN category = 'PROMO' THEN 2 WHEN item % 10 = 0 THEN 3 END AS why FROM i),
+    d AS (SELECT * FROM w WHERE why IS NOT NULL QUALIFY row_number() OVER (PARTITION BY case_id, lower(trim(name)) ORDER BY why, item) = 1),
+    p AS (SELECT l_partkey AS item, string_agg(DISTINCT l_suppkey::VARCHAR, ',' ORDER BY l_suppkey::VARCHAR) AS ps FROM lineitem WHERE l_linenumber = 1 GROUP BY 1)
+    SELECT case_id, d.item, name, coalesce(ps, '') AS passages FROM d LEFT JOIN p USING (item)""")
+def g18_gold_draft(spark, sf):
+    p = A.table(spark, sf, "part")
+    items = p.selectExpr("cast(p_size AS bigint) AS case_id", "p_partkey AS item", "p_name AS name", "p_type AS category")
+    li = A.table(spark, sf, "lineitem").where("l_linenumber = 1").join(p, F.col("l_partkey") == F.col("p_partkey"))
+    passages = li.selectExpr("cast(p_size AS bigint) AS case_id", "p_partkey AS item", "cast(l_suppkey AS string) AS passage")
+    return M.gold_draft(items, items.where("item % 10 = 0"), ["Red Widget"], ["PROMO"], passages).withColumn("passages", F.array_join("passages", ","))

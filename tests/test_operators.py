@@ -205,3 +205,11 @@ def test_drafts_of_several_cases_do_not_merge(spark):
     d = spark.createDataFrame([(1, 10, 1, "x"), (1, 11, 2, "y")], "batch long, case_id long, seq long, v string")
     with pytest.raises(PySparkException, match="several cases"):
         intake.merged_drafts(d, "batch", "case_id", "seq", ["v"], F.lit(False)).collect()
+
+
+def test_review_set_prefers_paired_names(spark):
+    make = lambda rows: spark.createDataFrame(rows, "case_id long, item long, name string, status string, score double")
+    products = make([(1, 1, "cement", "a", 1.0), (1, 2, "ready mix concrete", "a", 0.9)])
+    places = make([(1, 7, "concrete in Spain", "a", 0.5), (1, 8, "France", "a", 0.6)])
+    got = {r["list"]: r.item for r in matching.review_set(products, places, 1).collect()}
+    assert got == {"product": 2, "geographic": 7}
