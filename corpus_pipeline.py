@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from caseloom.llm import linededup, mixing, packing, simhash, toxicity
+from caseloom.llm import linededup, mixing, nearcopies, packing, toxicity
 from caseloom.llm.shared import written
 
 #: No SQL engine has the stages' tokenizer, XXH64 and nearest-neighbour votes: tests hold them against brute force.
@@ -25,8 +25,8 @@ def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_copy_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies."""
-    return simhash.keep_one(docs)
+    """One document of each group of near copies: 0.8 or more of their five-word shingles in common."""
+    return nearcopies.keep_one(docs)
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
