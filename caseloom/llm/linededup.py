@@ -57,16 +57,16 @@ class Leaves:
         return line
 
 
-def _found(docs: DataFrame, depth: int, least: int, similar: float, hold: int) -> DataFrame:
-    """A row per line of at least `least` tokens (kind o: doc, line number, template) and per template new to a task (kind t: its line).
+def _found(docs: DataFrame, depth: int, least: int, hold: int) -> DataFrame:
+    """A row per line of at least `least` tokens (kind o: doc, line number, the hash of its tokens) and per line new to a task (kind t: its tokens).
 
-    A task holds the templates of about `hold` bytes of text, then starts anew; equal lines in a task leave one template row.
+    A task knows the lines of about `hold` bytes of text, then starts anew; equal lines among these leave one row of kind t.
     """
     doc = docs.schema["doc_id"]
-    schema = T.StructType([T.StructField("kind", T.StringType()), doc, T.StructField("h", T.LongType()), T.StructField("line_no", T.IntegerType()), T.StructField("template", T.LongType()), T.StructField("leaf", T.LongType()), T.StructField("line", T.BinaryType())])
+    schema = T.StructType([T.StructField("kind", T.StringType()), doc, T.StructField("h", T.LongType()), T.StructField("line_no", T.IntegerType()), T.StructField("own", T.LongType()), T.StructField("leaf", T.LongType()), T.StructField("line", T.BinaryType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        leaves, known, held = Leaves(similar), {}, 0
+        known, held = set(), 0
         for batch in batches:
             kind = batch.column(0).type
             seen: list[tuple] = []
@@ -78,16 +78,13 @@ def _found(docs: DataFrame, depth: int, least: int, similar: float, hold: int) -
                         continue
                     joined = b" ".join(tokens)
                     own = _signed(xxhash.xxh64_intdigest(joined))
-                    template = known.get(own)
-                    if template is None:
-                        leaf = leaf_of(tokens, depth)
-                        template = known[own] = leaves.place(leaf, own, tokens)
-                        if template == own:
-                            new.append((own, leaf, joined))
+                    if own not in known:
+                        known.add(own)
+                        new.append((own, leaf_of(tokens, depth), joined))
                         held += len(joined)
-                    seen.append((doc_id, h, no, template))
+                    seen.append((doc_id, h, no, own))
                 if held > hold:
-                    leaves, known, held = Leaves(similar), {}, 0
+                    known, held = set(), 0
             if seen:
                 a, b, c, d = zip(*seen, strict=True)
                 n = len(seen)
@@ -100,50 +97,50 @@ def _found(docs: DataFrame, depth: int, least: int, similar: float, hold: int) -
     return docs.select("doc_id", "h", "text").mapInArrow(run, schema)
 
 
-def _merged(templates: DataFrame, similar: float) -> DataFrame:
-    """(template, into) of the templates of all tasks that another one of their leaf stands for.
+def _merged(lines: DataFrame, similar: float) -> DataFrame:
+    """(own, into) of the lines that join another one's template. Each distinct line of all tasks is placed once.
 
-    The rows of a leaf come in a row, in the order of their ids; only its leaders are held. Tasks have already
-    folded their own lines, so that a frequent leaf has a few rows for each task here.
+    The rows of a leaf come in a row, in the order of their hashes, equal lines of several tasks one after another;
+    only its leaders are held. So what a line joins does not depend on how documents are dealt out.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        leaves, leaf, template, lone = Leaves(similar), None, None, None
+        leaves, leaf, last, lone = Leaves(similar), None, None, None
         for batch in batches:
             out: list[tuple[int, int]] = []
             for of, own, line in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), strict=True):
                 if of != leaf:
-                    leaves, leaf, template, lone = Leaves(similar), of, own, line
+                    leaves, leaf, last, lone = Leaves(similar), of, own, line
                     continue
-                if own == template:
+                if own == last:
                     continue
                 if lone is not None:  # most leaves have one line: nothing is done for them
-                    leaves.place(leaf, template, lone.as_py().split(b" "))
+                    leaves.place(leaf, last, lone.as_py().split(b" "))
                     lone = None
-                template = own
+                last = own
                 into = leaves.place(leaf, own, line.as_py().split(b" "))
                 if into != own:
                     out.append((own, into))
             if out:
                 a, b = zip(*out, strict=True)
-                yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["template", "into"])
+                yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["own", "into"])
 
-    ordered = templates.select("leaf", "template", "line").repartition("leaf").sortWithinPartitions("leaf", "template")
-    return ordered.mapInArrow(run, "template long, into long")
+    ordered = lines.select("leaf", "own", "line").repartition("leaf").sortWithinPartitions("leaf", "own")
+    return ordered.mapInArrow(run, "own long, into long")
 
 
 def dropped_lines(docs: DataFrame, depth: int = 5, least: int = 5, similar: float = 0.8, hold: int = 16 << 20) -> DataFrame:
     """(doc_id, h, dropped array<int>) of the documents with lines to drop; docs needs doc_id, text and h, a hash of the text."""
     spark = docs.sparkSession
     path = fresh_path(spark, "lines")
-    _found(docs, depth, least, similar, hold).write.partitionBy("kind").parquet(path)
+    _found(docs, depth, least, hold).write.partitionBy("kind").parquet(path)
     if not _has(spark, path, "o"):
         return docs.select("doc_id", "h", F.array().cast("array<int>").alias("dropped")).limit(0)
     seen = spark.read.parquet(f"{path}/kind=o")
-    templates = spark.read.parquet(f"{path}/kind=t")
-    into = written(_merged(templates, similar), "merged")
-    erase(templates)
-    seen = seen.join(into, "template", "left").select("doc_id", "h", "line_no", F.coalesce("into", "template").alias("template"))
+    lines = spark.read.parquet(f"{path}/kind=t")
+    into = written(_merged(lines, similar), "merged")
+    erase(lines)
+    seen = seen.join(into, "own", "left").select("doc_id", "h", "line_no", F.coalesce("into", "own").alias("template"))
     who = F.struct(F.col("doc_id").isNull().alias("n"), "doc_id", "h")
     first = seen.groupBy("template").agg(F.min(who).alias("a"), F.max(who).alias("z")).where("a <> z").select("template", "a")
     first = written(first, "first")  # a join of its own after it, in which a frequent template's lines can be split
@@ -164,7 +161,7 @@ def drop_lines(docs: DataFrame, depth: int = 5, least: int = 5, similar: float =
     (`similar` of its places equal), or it begins one. A template that occurs in two documents or more recurs:
     its lines stay in the document with the smallest doc_id, and are dropped from all others. Lines that recur
     only inside one document stay, as do shorter lines. A line that is similar to several templates may go to
-    any of them; equal lines always go together.
+    any of them; equal lines always go together, and nothing depends on how the input is split.
 
     A document is a (doc_id, text) pair, so repeated rows count as one and stay alike. Null and empty texts: no
     lines to drop; null stays null. Null doc_ids come last in order. Empty input: no rows. Columns that clash
