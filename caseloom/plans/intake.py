@@ -27,7 +27,7 @@ def s24_dated_links(spark, sf):
     """Pages' own html, then a dated link twice and one without a date; links of the html itself have none after them."""
     day = F.concat(F.lit("2024-01-"), F.lpad((1 + F.col("page_id") % 28).cast("string"), 2, "0"))
     link = F.concat(F.lit(' <A href="d'), "page_id", F.lit('.pdf"> Decision </a> of '), day)
-    html = F.concat(F.lit('<a href="x">y</a>'), link, link, F.lit('<a href="z">no date</a> at all'))
+    html = F.concat(F.coalesce("html", F.lit("")), F.lit('<a href="x">y</a>'), link, link, F.lit('<a href="z">no date</a> at all'))
     return I.dated_links(A.table(spark, sf, "pages").select("page_id", html.alias("html")))
 
 
@@ -132,7 +132,7 @@ def g07_chunk_quotes(spark, sf):
 @query("""SELECT page_id, '/case/' || page_id AS url, 'Case ' || page_id AS title, '2024-02-01' AS day FROM pages WHERE page_id % 3 <> 0""")
 def s14_listing_rows(spark, sf):
     row = lambda kind: F.concat(F.lit('<div class="views-row"><a href="/case/'), "page_id", F.lit('">Case '), "page_id", F.lit('</a> <time> 2024-02-01</time><span class="type">'), kind, F.lit("</span></div>"))
-    html = F.concat(row(F.expr("if(page_id % 3 = 0, 'Press', 'Merger')")), F.lit("<p>x</p>"), row(F.lit("Speech")))
+    html = F.concat(F.coalesce("html", F.lit("")), row(F.expr("if(page_id % 3 = 0, 'Press', 'Merger')")), F.lit("<p>x</p>"), row(F.lit("Speech")))
     return I.listing_rows(A.table(spark, sf, "pages").select("page_id", html.alias("html")), "Merger")
 
 
