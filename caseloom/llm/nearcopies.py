@@ -1,4 +1,8 @@
-"""Near copies by their shingles: texts whose sets of five-word shingles have a Jaccard similarity of 0.8 or more are linked."""
+"""Near copies by SimHash and whole sets: texts whose sets of five-word shingles have a Jaccard similarity of 0.8 or more are linked.
+
+The Golay-code search of simhash finds most links. A fingerprint cannot tell all pairs at 0.8 (they differ in 5 to 12 of
+its 64 bits), so a prefix join finds the links between the groups that are left apart. Both are verified on whole sets.
+"""
 
 from collections.abc import Iterator
 
@@ -10,6 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from caseloom.llm.shared import components, erase, written
+from caseloom.llm.simhash import majority, near_links
 
 #: Words in a shingle, and the seed of its hash.
 SHINGLE, SEED = 5, 42
@@ -72,16 +77,16 @@ def _frequent(docs: DataFrame) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _with_prefix(docs: DataFrame) -> DataFrame:
-    """doc_id and h of docs, with s (a hash of the shingle set), n (its size) and keys (its prefix)."""
+    """doc_id and h of docs, with s (a hash of the shingle set), n (its size), keys (its prefix) and fingerprint (its SimHash)."""
     held = docs.sparkSession.sparkContext.broadcast(_frequent(docs))
-    schema = docs.select("doc_id", "h").schema.add("s", T.LongType()).add("n", T.IntegerType()).add("keys", T.ArrayType(T.LongType()))
+    schema = docs.select("doc_id", "h").schema.add("s", T.LongType()).add("n", T.IntegerType()).add("keys", T.ArrayType(T.LongType())).add("fingerprint", T.LongType())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in _slices(batches):
             found = [shingles(t.as_py()) for t in batch.column(2)]
             s = np.array([xxhash.xxh64_intdigest(x.tobytes()) for x in found], np.uint64).view(np.int64)
             keys = [prefix(x, *held.value) for x in found]
-            columns = [pa.array(s, pa.int64()), pa.array([len(x) for x in found], pa.int32()), pa.array(keys, pa.list_(pa.int64()))]
+            columns = [pa.array(s, pa.int64()), pa.array([len(x) for x in found], pa.int32()), pa.array(keys, pa.list_(pa.int64())), pa.array([majority(x.view(np.uint64)) for x in found], pa.int64())]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *columns], schema.names)
 
     return docs.select("doc_id", "h", "text").mapInArrow(run, schema)
@@ -112,33 +117,52 @@ def _possible(a: str, b: str, i: str, j: str):
     return (F.col(a) * DOWN >= F.col(b) * UP) & (F.col(b) * DOWN >= F.col(a) * UP) & (most * (UP + DOWN) >= (F.col(a) + F.col(b)) * UP)
 
 
+def _likely(slim: DataFrame) -> DataFrame:
+    """(a, b): sets whose fingerprints link; sets of one fingerprint meet the smallest of them, which stands for all at its links."""
+    prints = slim.where("n > 0").select("s", "fingerprint").distinct()
+    heads = prints.groupBy("fingerprint").agg(F.min("s").alias("head"))
+    links, _ = near_links(heads)
+    same = prints.join(heads, "fingerprint").where("s <> head").select(F.col("head").alias("a"), F.col("s").alias("b"))
+    a, b = (heads.select(F.col("fingerprint").alias(c), F.col("head").alias(f"s{c}")) for c in "ab")
+    out = written(same.union(links.join(a, "a").join(b, "b").select("sa", "sb")).distinct(), "likely")
+    erase(links)
+    return out
+
+
 def near_roots(docs: DataFrame, slim: DataFrame) -> DataFrame:
     """(s, root) of the shingle sets that links join with others; docs needs h and text, slim comes from _with_prefix.
 
-    1. Sets with a prefix shingle in common are compared with the smallest of their group. So a large group of near
-       copies joins at one row a member and shingle.
-    2. Groups that are not joined yet are compared in all pairs of different components. Prefixes lose no link, so
+    1. Sets whose SimHash fingerprints link by Golay keys are compared.
+    2. Sets with a prefix shingle in common, but not yet of one component, are compared with the smallest of their group. So
+       a large group of near copies joins at one row a member and shingle.
+    3. Groups that are not joined yet are compared in all pairs of different components. Prefixes lose no link, so
        that the components are those of all links.
     """
-    nodes = slim.where("n > 0").dropDuplicates(["s"]).select("s", "n", F.posexplode("keys").alias("i", "k"))
-    heads = nodes.groupBy("k").agg(F.min("s").alias("head"), F.max("s").alias("last")).where("head < last").select("k", "head")
+    likely = _likely(slim)
+    links = _verified(likely, slim, docs)
+    home = components(links).withColumnsRenamed({"node": "s", "root": "home"})
+    nodes = slim.where("n > 0").dropDuplicates(["s"]).select("s", "n", "keys").join(home, "s", "left")
+    nodes = nodes.select("s", "n", F.coalesce("home", "s").alias("home"), F.posexplode("keys").alias("i", "k"))
+    heads = nodes.groupBy("k").agg(F.min("s").alias("head"), F.min("home").alias("lo"), F.max("home").alias("hi")).where("lo < hi").select("k", "head")
     met = written(nodes.join(heads, "k"), "met")
-    lead = met.where("s = head").select("k", F.col("n").alias("m"), F.col("i").alias("j"))
-    star = met.where("s <> head").join(lead, "k").where(_possible("n", "m", "i", "j")).select(F.col("head").alias("a"), F.col("s").alias("b"))
+    lead = met.where("s = head").select("k", F.col("n").alias("m"), F.col("i").alias("j"), F.col("home").alias("home_b"))
+    star = met.where("s <> head").join(lead, "k").where((F.col("home") != F.col("home_b")) & _possible("n", "m", "i", "j"))
+    star = star.select(F.col("head").alias("a"), F.col("s").alias("b"))
     star = written(star.distinct(), "stars")
-    links = _verified(star, slim, docs)
+    links = links.union(_verified(star, slim, docs))
     home = components(links).withColumnsRenamed({"node": "s", "root": "home"})
-    met2 = met.join(home, "s", "left").select("k", "s", "n", "i", F.coalesce("home", "s").alias("home"))
+    met2 = met.drop("home").join(home, "s", "left").select("k", "s", "n", "i", F.coalesce("home", "s").alias("home"))
     met2 = written(met2, "homes")
     open_ = met2.groupBy("k").agg(F.min("home").alias("lo"), F.max("home").alias("hi")).where("lo < hi").select("k")
     left = met2.join(open_, "k", "left_semi")
     right = left.select("k", F.col("s").alias("b"), F.col("n").alias("m"), F.col("i").alias("j"), F.col("home").alias("home_b"))
     rest = left.join(right, "k").where((F.col("s") < F.col("b")) & (F.col("home") != F.col("home_b")) & _possible("n", "m", "i", "j"))
-    rest = rest.select(F.col("s").alias("a"), "b").distinct().join(star, ["a", "b"], "left_anti")
+    done = star.union(likely.select(F.least("a", "b"), F.greatest("a", "b")))
+    rest = rest.select(F.col("s").alias("a"), "b").distinct().join(done, ["a", "b"], "left_anti")
     rest = written(rest, "rest")
     more = _verified(rest, slim, docs)
     out = written(components(links.union(more)).withColumnRenamed("node", "s"), "roots")
-    for used in (met, star, met2, rest, links, more):
+    for used in (likely, met, star, met2, rest, links, more):
         erase(used)
     return out
 

@@ -1,11 +1,12 @@
 """Near copies by SimHash: Golay-code keys find fingerprints that differ in a few bits, joins verify them."""
 
+from functools import reduce
 from itertools import combinations
 
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from caseloom.llm.shared import components, erase, written
@@ -39,14 +40,18 @@ def fingerprints(texts: pd.Series) -> pd.Series:
             starts = np.concatenate(([0], ends[:-1] + 1))
             n = len(words) - shingle + 1
             hashes = [digest(line[a:b], seed) for a, b in zip(starts[:n].tolist(), ends[shingle - 1 :].tolist(), strict=True)]
-        counts = np.zeros(64, np.int64)
-        h = np.array(hashes, ">u8")
-        for k in range(0, len(h), 4096):
-            counts += np.unpackbits(h[k : k + 4096].view(np.uint8)).reshape(-1, 64).sum(0, dtype=np.int64)
-        out[i] = np.packbits(2 * counts > len(h)).view(">u8").astype(np.uint64).view(np.int64)[0]
+        out[i] = majority(np.array(hashes, np.uint64))
     return pd.Series(out)
 
 
+def majority(hashes: np.ndarray) -> int:
+    """The bits that are set in over half of the hashes, as a signed long; 0 of none."""
+    h, counts = hashes.astype(">u8"), np.zeros(64, np.int64)
+    for k in range(0, len(h), 4096):
+        counts += np.unpackbits(h[k : k + 4096].view(np.uint8)).reshape(-1, 64).sum(0, dtype=np.int64)
+    return int(np.packbits(2 * counts > len(h)).view(">u8").astype(np.uint64).view(np.int64)[0])
+
+
 def _syndrome(words: np.ndarray) -> np.ndarray:
     """The remainder of each 23-bit word by the generator polynomial."""
     r = words.astype(np.int64)
@@ -100,7 +105,7 @@ def golay_keys(prints: pd.Series) -> pd.Series:
         keys = (which << 24) | (a[:, :, None] << 12) | b[:, None, :]
         for row in range(len(v)):
             out[row].append(keys[row, : na[row], : nb[row]].ravel())
-    return pd.Series([np.concatenate(x) for x in out])
+    return pd.Series([np.concatenate(x).astype(np.int32) for x in out])
 
 
 def with_fingerprint(docs: DataFrame, column: str = "fingerprint") -> DataFrame:
@@ -108,56 +113,84 @@ def with_fingerprint(docs: DataFrame, column: str = "fingerprint") -> DataFrame:
     return docs.withColumn(column, F.pandas_udf(fingerprints, "long")("text"))
 
 
-def _apart(a: str, b: str):
-    return F.bit_count(F.col(a).bitwiseXOR(F.col(b)))
+def _apart(a: Column | str, b: Column | str) -> Column:
+    col = lambda c: F.col(c) if isinstance(c, str) else c
+    return F.bit_count(col(a).bitwiseXOR(col(b)))
+
 
+def _exact_keys(f: str, pieces: int, together: int) -> Column:
+    """Keys of each `together` of so many pieces of a fingerprint, as they stand."""
+    edges = [64 * i // pieces for i in range(pieces + 1)]
+    parts = [F.shiftrightunsigned(f, lo).bitwiseAND(F.lit((1 << (hi - lo)) - 1)) for lo, hi in zip(edges, edges[1:], strict=False)]
+    keys = []
+    for which, chosen in enumerate(combinations(range(pieces), together)):
+        key = F.lit(which).cast("long")
+        for i in chosen:
+            key = F.shiftleft(key, edges[i + 1] - edges[i]).bitwiseOR(parts[i])
+        keys.append(key)
+    return F.array(*keys)
 
-def near_groups(prints: DataFrame, leaders: int = 4, large: int = 64) -> DataFrame:
-    """(fingerprint, root) of every distinct fingerprint of prints: root is the smallest one reachable by links.
 
-    1. Stars: in each group of fingerprints with one segment in common, a few leaders (smallest by a hash) are
-       compared with all members. Links found so join a fingerprint to the star of its most linked leader.
-       Large groups of near copies so become a few stars, with one row a member rather than one a pair.
-    2. Golay keys: fingerprints sharing a key are compared, unless both belong to one large star. This finds
-       all links between stars and the rest, so that the components are those of all links.
+def _star_links(members: DataFrame, leaders: int) -> DataFrame:
+    """(a, b): fingerprints of members (k, f, root) within MOST_BITS of a leader of their group that has another root; one for each two roots.
+
+    Leaders are a few members of a group, drawn by root, so that a large component and a straggler are drawn alike. A
+    group makes a row a member at most, not a row a pair.
+    """
+    drawn = []
+    for r in range(leaders):
+        h = F.xxhash64(F.lit(r), "root")
+        drawn += [F.min_by("f", h).alias(f"f{r}"), F.min_by("root", h).alias(f"r{r}")]
+    heads = members.groupBy("k").agg(*drawn)
+    heads = heads.select("k", F.array_distinct(F.array(*[F.struct(F.col(f"f{r}").alias("f"), F.col(f"r{r}").alias("r")) for r in range(leaders)])).alias("heads"))
+    near = F.filter("heads", lambda x: (x["r"] != F.col("root")) & (_apart(F.col("f"), x["f"]) <= MOST_BITS))
+    met = members.join(heads.withColumnRenamed("k", "k2"), (F.col("k") == F.col("k2")) & (F.size(near) > 0)).select("f", "root", F.explode(near).alias("x"))
+    pair = met.select(F.least("root", "x.r").alias("ra"), F.greatest("root", "x.r").alias("rb"), F.least("f", "x.f").alias("a"), F.greatest("f", "x.f").alias("b"))
+    return _one_each(pair)
+
+
+def _one_each(pairs: DataFrame) -> DataFrame:
+    """One link (a, b) for each two roots (ra, rb)."""
+    h = F.xxhash64("a", "b")
+    return pairs.groupBy("ra", "rb").agg(F.min_by("a", h).alias("a"), F.min_by("b", h).alias("b"))
+
+
+def near_links(prints: DataFrame, leaders: int = 4) -> tuple[DataFrame, DataFrame]:
+    """(links, roots) of the distinct fingerprints in prints: links (a, b) join all that pairs within MOST_BITS join; roots: (fingerprint, root).
+
+    1. Stars: in groups that have one of three segments in common, then two of six, members meet a few leaders
+       (_star_links). So a large group of near copies is soon of one root, at a row a member and key.
+    2. Golay keys: in groups with a key in common, all pairs of different roots are compared. Two fingerprints within
+       MOST_BITS share a key, so that none stay apart that a link joins. Groups of one root are left out before.
     """
     nodes = written(prints.select(F.col("fingerprint").alias("f")).distinct(), "prints")
-    shift, parts = 64, []
-    for i, width in enumerate(SEGMENTS):
-        shift -= width
-        segment = F.shiftrightunsigned("f", shift).bitwiseAND(F.lit((1 << width) - 1))
-        parts.append(segment + F.lit(i << 24))
-    seg = nodes.select("f", F.explode(F.array(*parts)).alias("k"))
-    heads = seg.groupBy("k").agg(*[F.min(F.struct(F.xxhash64(F.lit(r), "f").alias("h"), "f")).alias(f"m{r}") for r in range(leaders)], F.count("*").alias("n"))
-    heads = heads.where("n > 1").select("k", F.array_distinct(F.array(*[F.col(f"m{r}.f") for r in range(leaders)])).alias("leaders"))
-    star = seg.join(heads, "k").select("f", F.explode("leaders").alias("leader")).where((F.col("f") != F.col("leader")) & (_apart("f", "leader") <= MOST_BITS))
-    star = written(star.distinct(), "stars")
-    fame = star.groupBy("leader").agg(F.count("*").alias("n"))
-    home = star.join(fame, "leader").groupBy("f").agg(F.max_by("leader", F.struct("n", "leader")).alias("home"))
-    home = written(nodes.join(home, "f", "left").select("f", F.coalesce("home", "f").alias("home")), "homes")
-    big = home.groupBy("home").agg(F.count("*").alias("n")).where(F.col("n") > large).select("home", F.lit(True).alias("big"))
-    big = written(big, "big")
-
-    keys = F.explode(F.pandas_udf(golay_keys, "array<long>")("f")).alias("k")
-    left = lambda d, *more: d.select(keys, F.col("f").alias("a"), *[F.col(c).alias(f"{c}_a") for c in more])
-    right = lambda d, *more: d.select(keys, F.col("f").alias("b"), *[F.col(c).alias(f"{c}_b") for c in more])
-    near = _apart("a", "b") <= MOST_BITS
-    marked = written(home.join(big, "home", "left").withColumn("big", F.coalesce("big", F.lit(False))), "marked")
-    rest, bigs = marked.where("not big"), marked.where("big")
-    # The keys of `rest` are dealt out once and read by both joins.
-    found = left(rest).join(right(rest), "k").where(near & (F.col("a") < F.col("b"))).select("a", "b")
-    if big.limit(1).count():
-        found = found.union(left(rest).join(right(bigs), "k").where(near).select("a", "b"))
-        met = left(bigs, "home").groupBy("k").agg(F.min("home_a").alias("lo"), F.max("home_a").alias("hi")).where("lo < hi").select("k")
-        one, two = left(bigs, "home").join(met, "k", "left_semi"), right(bigs, "home").join(met, "k", "left_semi")
-        found = found.union(one.join(two, "k").where(near & (F.col("home_a") < F.col("home_b"))).select("a", "b"))
-    links = written(found.distinct().union(star.select("f", "leader")), "links")
-    joined = components(links)
-    out = nodes.join(joined, nodes.f == joined.node, "left").select(F.col("f").alias("fingerprint"), F.coalesce("root", "f").alias("root"))
-    out = written(out, "roots")
-    for used in (star, home, big, marked, links):
-        erase(used)
-    return out
+    first = written(_star_links(nodes.select("f", F.col("f").alias("root"), F.explode(_exact_keys("f", 3, 1)).alias("k")), leaders), "links")
+    # One step along these links gives roots for the next stars.
+    near = nodes.join(first.groupBy(F.col("b").alias("f")).agg(F.min("a").alias("root")), "f", "left").select("f", F.coalesce("root", "f").alias("root"))
+    second = written(_star_links(near.select("f", "root", F.explode(_exact_keys("f", 6, 2)).alias("k")), leaders), "links")
+    roots = _rooted(nodes.select("f", F.col("f").alias("root")), components(first.union(second)))
+    # The keys are dealt out once: what follows reads the same exchange.
+    dealt = roots.select("root", "f", F.explode(F.pandas_udf(golay_keys, "array<int>")("f")).alias("k")).repartition("k")
+    closed = dealt.groupBy("k").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count("*").alias("n")).where("lo = hi and n > 1")
+    left = dealt.join(closed, "k", "left_anti").select("k", F.col("f").alias("a"), F.col("root").alias("ra"))
+    right = left.withColumnsRenamed({"a": "b", "ra": "rb"})
+    rest = left.join(right, "k").where((_apart("a", "b") <= MOST_BITS) & (F.col("ra") < F.col("rb")))
+    third = written(_one_each(rest.select("ra", "rb", "a", "b")), "links")
+    if not third.isEmpty():
+        roots = _rooted(roots, components(third, "ra", "rb"))
+    links = reduce(DataFrame.union, [x.select("a", "b") for x in (first, second, third)])
+    return links, roots.select(F.col("f").alias("fingerprint"), "root")
+
+
+def _rooted(roots: DataFrame, joined: DataFrame) -> DataFrame:
+    """roots (f, root), with the roots that components gives for those it knows."""
+    tops = joined.select(F.col("node").alias("root"), F.col("root").alias("top"))
+    return written(roots.join(tops, "root", "left").select("f", F.coalesce("top", "root").alias("root")), "roots")
+
+
+def near_groups(prints: DataFrame, leaders: int = 4) -> DataFrame:
+    """(fingerprint, root) of every distinct fingerprint of prints: root is the smallest one reachable by links."""
+    return near_links(prints, leaders)[1]
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
@@ -174,21 +207,3 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     name = name.select("fingerprint", "root", "m")
     least = name.groupBy("root").agg(F.min("m").alias("component_id"))
     return slim.join(name.select("fingerprint", "root").join(least, "root").drop("root"), "fingerprint").select("doc_id", "fingerprint", "component_id")
-
-
-def keep_one(docs: DataFrame) -> DataFrame:
-    """Rows of docs, one document of each near-duplicate group: the one with the smallest doc_id (null last).
-
-    Rows with that doc_id that repeat each other exactly, or share it with other texts of the group, are cut to one: the
-    smallest by a hash of the text.
-    """
-    # Columns of docs are kept apart from those used here.
-    d = with_fingerprint(docs.select(F.struct("*").alias("row"), "doc_id", "text"), "fingerprint").withColumn("h", F.xxhash64(F.coalesce("text", F.lit(""))))
-    slim = written(d.select("doc_id", "fingerprint", "h"), "simhash")
-    one = slim.join(near_groups(slim), "fingerprint")
-    order = F.struct(F.col("doc_id").isNull().alias("n"), "doc_id", "h")
-    one = one.groupBy("root").agg(F.min(order).alias("w")).select(F.col("w.doc_id").alias("doc_id"), F.col("w.h").alias("h"))
-    # The rows to keep are known by 128 bits of hash of doc_id and text; repeated rows of a kept document meet there, and one stays.
-    k1, k2 = F.xxhash64(F.lit(1), "doc_id", "h").alias("k1"), F.xxhash64(F.lit(2), "h", "doc_id").alias("k2")
-    kept = d.select("row", k1, k2).join(one.select(k1, k2), ["k1", "k2"], "left_semi")
-    return kept.dropDuplicates(["k1", "k2"]).select("row.*")

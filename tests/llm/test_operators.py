@@ -12,7 +12,7 @@ import xxhash
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from caseloom.llm import archive, chat, linededup, mixing, packing, sharding, simhash, toxicity, vectors
+from caseloom.llm import archive, chat, linededup, mixing, nearcopies, packing, sharding, simhash, toxicity, vectors
 from caseloom.llm.shared import components, fresh_path, with_offsets
 
 WORDS = public_tokenizers.path("word_bpe_49k.json")
@@ -41,7 +41,7 @@ OPERATORS = {
     "pack": lambda s, d: packing.pack(d, WORDS),
     "shard": lambda s, d: sharding.shard(d),
     "near": lambda s, d: simhash.near_duplicates(d),
-    "keep": lambda s, d: simhash.keep_one(d),
+    "keep": lambda s, d: nearcopies.keep_one(d),
     "score": lambda s, d: toxicity.score(d, s.createDataFrame([(1, 0, 1), (5, 0, 0), (None, 1, 1), (6, 1, None)], "doc_id long, quality int, toxic int")),
     "clean": lambda s, d: toxicity.keep_clean(d, s.createDataFrame([(1, 0, 0)], "doc_id long, quality int, toxic int")),
     "queue": lambda s, d: mixing.queued(d),
@@ -203,13 +203,13 @@ def test_groups_equal_brute_force_also_in_a_dense_cluster(spark):
         for j in np.nonzero(np.bitwise_count(v[i + 1 :] ^ v[i]) <= 4)[0]:
             a, b = sorted((find(x), find(prints[i + 1 + int(j)])))
             root[b] = a
-    got = {r.fingerprint: r.root for r in simhash.near_groups(spark.createDataFrame([(x,) for x in prints], "fingerprint long"), large=20).collect()}
+    got = {r.fingerprint: r.root for r in simhash.near_groups(spark.createDataFrame([(x,) for x in prints], "fingerprint long")).collect()}
     assert got == {x: find(x) for x in prints}
 
 
 def test_keep_one_keeps_the_smallest_id(spark):
     d = spark.createDataFrame([(3, "a b c d e f"), (1, "a b c d e f"), (1, "a b c d e f"), (2, "x y z q w r")], "doc_id long, text string")
-    assert sorted(r.doc_id for r in simhash.keep_one(d).collect()) == [1, 2]
+    assert sorted(r.doc_id for r in nearcopies.keep_one(d).collect()) == [1, 2]
 
 
 # ------------------------------------------------------------------ 4 and 6 vectors
