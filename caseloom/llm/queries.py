@@ -60,8 +60,7 @@ def op10_line_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_mix_fair_queue(spark: SparkSession, sf_dir: str) -> DataFrame:
-    q = mixing.queued(table(spark, sf_dir, "documents"))
-    return q.select("doc_id", "size", "source_size", "target", "taken")
+    return mixing.shares(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
@@ -115,9 +114,10 @@ ORACLES: dict[str, str] = {
              l AS (SELECT *, (1.5 * total - coalesce(sum(cap) OVER (ORDER BY r, k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))::DOUBLE
                              / sum(w) OVER (ORDER BY r, k ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS level FROM c),
              t AS (SELECT k, source_size, least(cap::DOUBLE, coalesce(max(level) FILTER (level <= r) OVER () * w, cap::DOUBLE)) AS target FROM l),
-             u AS (SELECT doc_id, k, size, sum(size) OVER (PARTITION BY k ORDER BY h, size ROWS UNBOUNDED PRECEDING) AS upto FROM d)
-        SELECT doc_id, size, source_size, target,
-               (size * ((source_size > 0 AND 2 * upto - size <= 2 * target)::INT
-                        + (source_size > 0 AND 2 * (source_size + upto) - size <= 2 * target)::INT))::BIGINT AS taken
-        FROM u JOIN t USING (k)""",
+             u AS (SELECT row_number() OVER () AS rid, doc_id, k, h, size, sum(size) OVER (PARTITION BY k ORDER BY h, size ROWS UNBOUNDED PRECEDING) AS upto FROM d),
+             q AS (SELECT rid, k, h, size, i, (i * source_size + upto) / target AS finish FROM u JOIN t USING (k), (VALUES (0), (1)) v(i) WHERE target > 0),
+             z AS (SELECT rid, size, sum(size) OVER (ORDER BY finish, k, h, size, i ROWS UNBOUNDED PRECEDING) AS run FROM q),
+             g AS (SELECT rid, sum(size)::BIGINT AS taken FROM z WHERE 2 * run - size <= 3 * (SELECT sum(size) FROM d) GROUP BY rid)
+        SELECT doc_id, size, source_size, target, coalesce(taken, 0)::BIGINT AS taken
+        FROM u JOIN t USING (k) LEFT JOIN g USING (rid)""",
 }
