@@ -3,6 +3,7 @@
 import hashlib
 import re
 from collections.abc import Iterator
+from functools import reduce
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -10,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window as W
 
-from caseloom.llm.shared import written
+from caseloom.llm.shared import with_offsets, written
 
 #: Strings that steer chat templates. Those of the template here are OPEN and CLOSE.
 OPEN, CLOSE = "<|im_start|>", "<|im_end|>"
@@ -75,74 +76,108 @@ def _turns(conversations: DataFrame) -> DataFrame:
 
 
 def prefix_tree(conversations: DataFrame, tokenizer_path: str | None = None) -> tuple[DataFrame, DataFrame]:
-    """The merged output and where each conversation lies in it.
+    """The merged output, written, and where each conversation ends in it.
 
     segments, a row per node of the prefix tree (a turn and all before it): tree (id of the first turn), node,
-    parent, depth, role, segment (formatted turn), loss_from and loss_to (the assistant's text in it; null for others), start
-    and end (place in the tree's sequence, depth-first, each turn once), position (that of its first unit in any of
-    its conversations: units of all its ancestors), ancestors array<struct<from,to>> (what it may attend to besides
-    itself; adjoining intervals are one). Units are characters, or with tokenizer_path its tokens (then the column
-    ids has them). members: conv_id, seq, node.
+    parent, depth, role, loss_from and loss_to (the assistant's text in the formatted turn; null for others), start
+    and end (place in the tree's sequence, depth-first, each turn once), run (where the run of turns it is in starts),
+    position (that of its first unit in any of its conversations: units of all its ancestors), ancestors
+    array<struct<from,to>> (what it may attend to besides itself: a stretch from the start of each run on its path), and
+    its units: ids, tokens with tokenizer_path, else segment, the formatted turn itself in characters.
+    members: conv_id, leaf (its last turn).
+
+    Each turn belongs to the first conversation that has it; what a conversation owns is one run of turns to its end. In
+    depth-first order a run comes whole, then the runs that fork off it, the deepest fork first. Runs are
+    laid out level by level, as deep as forks lie within forks; the runs of one fork are summed in two levels, so that a
+    first turn that many conversations share is never in one task's memory.
 
     Order: rows of a conversation by turn, then role, then text, so ties are settled and repeated rows are turns
     of their own. Null roles and texts: empty. Null conv_id: one conversation of that id. Empty input: no rows. Other columns
-    are not read. A first turn that many conversations share is one tree; its sequence is ordered and summed in Spark,
-    never in one task's memory.
+    are not read.
     """
-    rows = written(_turns(conversations), "turns")
-    members = rows.select(F.col("conv").alias("conv_id"), "seq", "node")
-    # One row of each node brings its text: the one of the smallest conversation.
-    owner = rows.groupBy("node").agg(F.min(F.struct(F.col("conv").isNull().alias("n"), "conv")).alias("o"))
-    owner = owner.select(F.col("node").alias("n2"), F.col("o.conv").alias("c2"))
-    nodes = rows.join(owner, (F.col("node") == F.col("n2")) & F.col("conv").eqNullSafe(F.col("c2")))
-    nodes = nodes.select("node", "parent", "role", "segment", "text_start", "text_end", F.col("seq").alias("depth"), "conv")
+    rows = written(_turns(conversations).withColumn("c", F.coalesce(F.concat(F.lit("s"), F.col("conv").cast("string")), F.lit("n"))), "turns")
+    owner = rows.groupBy("node").agg(F.min("c").alias("owner"))
+    own = F.col("c") == F.col("owner")
+    owned = rows.join(owner, "node").withColumn("segment", F.when(own, F.col("segment")))
+    owned = written(owned, "owned")
+    members = owned.groupBy("conv").agg(F.max_by("node", "seq").alias("leaf")).withColumnRenamed("conv", "conv_id")
+
+    nodes = owned.where(own).select("c", "seq", "node", "parent", "role", "segment", "text_start", "text_end")
     if tokenizer_path:
-        nodes = nodes.withColumn("ids", _encoder(tokenizer_path)("segment")).withColumn("units", F.size("ids"))
+        nodes = nodes.withColumn("ids", _encoder(tokenizer_path)("segment")).withColumn("units", F.size("ids").cast("long"))
     else:
-        nodes = nodes.withColumn("units", F.length("segment"))
-    nodes = written(nodes, "nodes")
-    forks = nodes.where("parent <> ''").groupBy("parent").count().where("count > 1").select(F.col("parent").alias("fork"))
-    # The path holds the turns after a fork only: as long as the tree branches, not as long as the conversation.
-    above = F.when(F.col("seq") > 0, F.col("parent")).otherwise(F.col("node"))  # first turns have no parent to meet at
-    step = rows.join(forks, above == F.col("fork"), "left").select("conv", "seq", "node", F.when(F.col("fork").isNotNull() | (F.col("seq") == 0), F.col("node")).alias("turned"))
-    units = nodes.select(F.col("node").alias("n2"), "units")
-    step = step.join(units, F.col("node") == F.col("n2")).drop("n2")
-    along = W.partitionBy("conv").orderBy("seq").rowsBetween(W.unboundedPreceding, 0)
-    before = W.partitionBy("conv").orderBy("seq").rowsBetween(W.unboundedPreceding, -1)
-    step = step.select("conv", "seq", "node", F.collect_list("turned").over(along).alias("path"), F.coalesce(F.sum("units").over(before), F.lit(0)).alias("position"))
-    own = nodes.select(F.col("node").alias("n2"), F.col("conv").alias("c2"))
-    step = step.join(own, (F.col("node") == F.col("n2")) & F.col("conv").eqNullSafe(F.col("c2"))).select(F.col("node").alias("n3"), "path", "position")
-    laid = nodes.join(step, F.col("node") == F.col("n3")).drop("n3", "conv").withColumn("tree", F.col("path")[0])
-    laid = written(laid.withColumn("key", F.array_join("path", "")), "laid")
-
-    # Depth-first order is that of (key, depth). Sums go by tree and branch first, then inside a branch.
-    branch = laid.groupBy("tree", "key").agg(F.sum("units").alias("all"))
-    order = W.partitionBy("tree").orderBy("key").rowsBetween(W.unboundedPreceding, -1)
-    branch = branch.select("tree", "key", F.coalesce(F.sum("all").over(order), F.lit(0)).alias("at"))
-    inside = W.partitionBy("tree", "key").orderBy("depth").rowsBetween(W.unboundedPreceding, -1)
-    laid = laid.join(branch, ["tree", "key"]).withColumn("start", F.col("at") + F.coalesce(F.sum("units").over(inside), F.lit(0)))
-    laid = laid.withColumn("end", F.col("start") + F.col("units"))
-    # A branch is one run of turns; what a turn may attend to is its own branch up to it, and each branch on its path, whole.
-    span = laid.groupBy("tree", "key").agg(F.min("start").alias("from"), F.max("end").alias("to"))
-    up = laid.select("tree", "key", "path").dropDuplicates(["tree", "key"])
-    up = up.select("tree", "key", F.explode(F.sequence(F.lit(1), F.size("path"))).alias("i"), "path")
-    up = up.select("tree", F.col("key").alias("of"), F.array_join(F.slice("path", 1, F.col("i")), "").alias("key")).where("of <> key")
-    up = up.join(span, ["tree", "key"]).groupBy("tree", "of").agg(F.sort_array(F.collect_list(F.struct("from", "to"))).alias("above"))
-    laid = laid.join(up.withColumnRenamed("of", "key"), ["tree", "key"], "left")
-    none = F.array().cast("array<struct<from:bigint,to:bigint>>")
-    here = F.array(F.struct(F.col("at").cast("long").alias("from"), F.col("start").cast("long").alias("to")))
-    found = F.concat(F.coalesce(F.col("above"), none), F.when(F.col("start") > F.col("at"), here).otherwise(none))
-    joined = F.aggregate(
-        found,
-        none,
-        lambda done, x: F.when(
-            (F.size(done) > 0) & (F.get(done, F.size(done) - 1)["to"] == x["from"]),
-            F.concat(F.slice(done, 1, F.size(done) - 1), F.array(F.struct(F.get(done, F.size(done) - 1)["from"].alias("from"), x["to"].alias("to")))),
-        ).otherwise(F.concat(done, F.array(x))),
-    )
+        nodes = nodes.withColumn("units", F.length("segment").cast("long"))
+    before = W.partitionBy("c").orderBy("seq").rowsBetween(W.unboundedPreceding, -1)
+    nodes = written(nodes.withColumn("off", F.coalesce(F.sum("units").over(before), F.lit(0))), "nodes")
+
+    runs = nodes.groupBy("c").agg(F.sum("units").alias("own"), F.min_by("node", "seq").alias("first"))
+    shared_seq = F.when(~own, F.col("seq"))
+    forks = owned.groupBy("c").agg(F.max(shared_seq).alias("fork"), F.max_by("owner", shared_seq).alias("p"))
+    ends = nodes.select(F.col("c").alias("p"), F.col("seq").alias("fork"), (F.col("off") + F.col("units")).alias("upto"))
+    runs = written(runs.join(forks, "c").join(ends, ["p", "fork"], "left"), "runs")
+    laid = _laid_out(runs)
+
+    span = lambda a, b: F.struct(a.alias("from"), b.alias("to"))
+    start = F.col("run") + F.col("off")
+    here = F.when(F.col("off") > 0, F.array(span(F.col("run"), start))).otherwise(F.array().cast(NO_SPANS))
     loss = lambda c: F.when(F.col("role") == "assistant", F.col(c))
-    columns = ["tree", "node", "parent", "depth", "role", "segment", loss("text_start").alias("loss_from"), loss("text_end").alias("loss_to"), "start", "end", "position", joined.alias("ancestors")]
-    return laid.select(*columns, *(["ids"] if tokenizer_path else [])), members
+    segments = nodes.join(laid, "c").select(
+        "tree",
+        "node",
+        "parent",
+        F.col("seq").alias("depth"),
+        "role",
+        loss("text_start").alias("loss_from"),
+        loss("text_end").alias("loss_to"),
+        start.alias("start"),
+        (start + F.col("units")).alias("end"),
+        "run",
+        (F.col("base") + F.col("off")).alias("position"),
+        F.concat("above", here).alias("ancestors"),
+        "ids" if tokenizer_path else "segment",
+    )
+    return written(segments, "segments"), members
+
+
+NO_SPANS = "array<struct<from:bigint,to:bigint>>"
+
+
+def _laid_out(runs: DataFrame) -> DataFrame:
+    """(c, tree, run, base, above) of runs (c, own, first, p, fork, upto): p is the run it forks off, after `upto` of its units.
+
+    run: where it starts in the tree's sequence; base: units of all turns before it in its conversations; above: the
+    stretches of those turns. One round a level of forks within forks, over the runs of that level.
+    """
+    levels = [written(runs.where("p is null"), "level")]
+    while not levels[-1].isEmpty():
+        levels.append(written(runs.join(levels[-1].select(F.col("c").alias("p")), "p").select(runs.columns), "level"))
+    levels.pop()
+    if not levels:
+        return runs.select("c", F.col("first").alias("tree"), F.lit(0).cast("long").alias("run"), F.lit(0).cast("long").alias("base"), F.array().cast(NO_SPANS).alias("above"))
+    totals: list[DataFrame] = []
+    for level in reversed(levels):  # units of a run and all runs that fork off it
+        t = level.select("c", "p", "fork", "own", "upto", "first").withColumn("total", F.col("own"))
+        if totals:
+            below = totals[-1].groupBy(F.col("p").alias("c")).agg(F.sum("total").alias("below"))
+            t = t.join(below, "c", "left").withColumn("total", F.col("own") + F.coalesce("below", F.lit(0))).drop("below")
+        totals.append(written(t, "totals"))
+    totals.reverse()
+    # Of the runs that fork off one, the deepest fork comes first; those of one fork go by a hash.
+    place = (F.pmod(F.xxhash64("c"), F.lit(256)) - 256 * F.col("fork")).alias("_place")
+    done = [written(totals[0].select("c", "own", F.col("first").alias("tree"), F.lit(0).cast("long").alias("run"), F.lit(0).cast("long").alias("base"), F.array().cast(NO_SPANS).alias("above")), "laid")]
+    for t in totals[1:]:
+        t = with_offsets(t.withColumn("_place", place), ["p"], "_place", F.col("total"), [F.col("c")], "_upto")
+        up = done[-1].select(F.col("c").alias("p"), "tree", F.col("own").alias("own_p"), F.col("run").alias("run_p"), F.col("base").alias("base_p"), F.col("above").alias("above_p"))
+        t = t.join(up, "p").select(
+            "c",
+            "own",
+            "tree",
+            (F.col("run_p") + F.col("own_p") + F.col("_upto") - F.col("total")).alias("run"),
+            (F.col("base_p") + F.col("upto")).alias("base"),
+            F.concat("above_p", F.array(F.struct(F.col("run_p").alias("from"), (F.col("run_p") + F.col("upto")).alias("to")))).alias("above"),
+        )
+        done.append(written(t, "laid"))
+    return reduce(DataFrame.union, done).drop("own")
 
 
 def _encoder(path: str):
@@ -163,13 +198,29 @@ def _encoder(path: str):
 _tokenizers: dict = {}
 
 
-def read_back(segments: DataFrame, members: DataFrame) -> DataFrame:
+def _decoded(ids: pa.Array, path: str) -> list[str]:
+    from tokenizers import Tokenizer
+
+    if path not in _tokenizers:
+        _tokenizers[path] = Tokenizer.from_file(path)
+        _tokenizers[path].encode_special_tokens = True
+    return _tokenizers[path].decode_batch(ids.to_pylist(), skip_special_tokens=False)
+
+
+def read_back(segments: DataFrame, members: DataFrame, tokenizer_path: str | None = None) -> DataFrame:
     """conv_id, n_turns, turns_sha256, loss_chars, loss_sha256, formatted_chars of each conversation, from the merged output alone.
 
-    The turns of a conversation are gathered from the shared segments and parsed; rows stream in order through digests.
+    A conversation's turns are those in the stretches that its last turn may attend to, and that turn, in order of
+    position; each stretch begins a run, so that the two meet by (tree, run). Turns are decoded from their tokens and parsed;
+    rows stream in order through digests. Positions that do not follow one another raise an error.
     """
-    rows = members.join(segments.select("node", "segment", "loss_from", "loss_to"), "node")
-    rows = rows.repartition("conv_id").sortWithinPartitions("conv_id", "seq").select("conv_id", "segment", "loss_from", "loss_to")
+    leaf = segments.select(F.col("node").alias("leaf"), "tree", F.col("run").alias("_run"), F.col("end").alias("_end"), "ancestors")
+    mine = F.array(F.struct(F.col("_run").alias("from"), F.col("_end").alias("to")))
+    spans = members.join(leaf, "leaf").select("conv_id", "tree", F.explode(F.concat(F.filter("ancestors", lambda x: x["from"] != F.col("_run")), mine)).alias("x"))
+    spans = spans.select("conv_id", "tree", F.col("x.from").alias("run"), F.col("x.to").alias("_to"))
+    body = "ids" if tokenizer_path else "segment"
+    rows = spans.join(segments.select("tree", "run", "start", "position", "loss_from", "loss_to", body), ["tree", "run"]).where("start < _to")
+    rows = rows.repartition("conv_id").sortWithinPartitions("conv_id", "position").select("conv_id", body, "loss_from", "loss_to", "position")
     conv = members.schema["conv_id"].dataType
     kinds = {"n_turns": T.LongType(), "turns_sha256": T.StringType(), "loss_chars": T.LongType(), "loss_sha256": T.StringType(), "formatted_chars": T.LongType()}
     schema = T.StructType([T.StructField("conv_id", conv), *[T.StructField(k, v) for k, v in kinds.items()]])
@@ -185,11 +236,16 @@ def read_back(segments: DataFrame, members: DataFrame) -> DataFrame:
         kind = None
         for batch in batches:
             done, kind = [], batch.column(0).type
-            for key, segment, a, b in zip(*[batch.column(i).to_pylist() for i in range(4)], strict=True):
+            held = batch.column(1)
+            turns = _decoded(held, tokenizer_path) if tokenizer_path else held.to_pylist()
+            units = map(len, held.to_pylist())
+            for key, segment, n, a, b, position in zip(batch.column(0).to_pylist(), turns, units, *[batch.column(i).to_pylist() for i in (2, 3, 4)], strict=True):
                 if not begun or key != now:
                     if begun:
                         done.append(ended())
-                    begun, now, state = True, key, [0, hashlib.sha256(), 0, hashlib.sha256(), 0]
+                    begun, now, state = True, key, [0, hashlib.sha256(), 0, hashlib.sha256(), 0, 0]
+                if position != state[5]:
+                    raise ValueError(f"conversation {key}: position {position} after {state[5]} units")
                 role, text = parsed(segment)
                 state[0] += 1
                 state[1].update(f"{role}\n{text}\n".encode("utf-8", "surrogatepass"))
@@ -198,6 +254,7 @@ def read_back(segments: DataFrame, members: DataFrame) -> DataFrame:
                     state[2] += len(learned)
                     state[3].update(learned.encode("utf-8", "surrogatepass"))
                 state[4] += len(segment)
+                state[5] += n
             if done:
                 yield batch_of(done, kind)
         if begun:

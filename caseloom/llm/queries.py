@@ -46,8 +46,9 @@ def op7_chat_prefix_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     said = "</s>[INST] ok [/INST]"
     more = spark.createDataFrame([(-7, 0, "user", said), (-7, 1, "assistant", said)], "conv_id long, turn long, role string, text string")
     given = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").union(more)
-    segments, members = chat.prefix_tree(given, public_tokenizers.path("byte_bpe_50k.json"))
-    return chat.read_back(segments, members)
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    segments, members = chat.prefix_tree(given, path)
+    return chat.read_back(segments, members, path)
 
 
 def op8_warc_archive(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -383,6 +383,26 @@ def test_tree_reads_back_and_lays_out(spark):
         assert spans[0][0] == 0 and all(a[1] == b[0] for a, b in zip(spans, spans[1:], strict=False))
 
 
+def test_tree_with_forks_in_forks_reads_back_from_tokens(spark):
+    """Forks three deep, prefixes and equal conversations; and a wrong layout does not go unseen."""
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    said = ["q", "a é\u0301 🙂", "[INST] x", "y" * 50, "z"]
+    paths = [(0, 1, 2, 3), (0, 1, 2, 4), (0, 1, 3, 2), (0, 1, 3, 4), (0, 1), (0, 1, 2, 3), (1, 0), (0, 1, 2, 4, 0, 1), (0, 1, 2, 4, 0, 2)]
+    rows = [(i, t, "user" if t % 2 == 0 else "assistant", said[x]) for i, p in enumerate(paths) for t, x in enumerate(p)]
+    rows += [(100, 0, "user", "long " * 200_000), (100, 1, "assistant", None)]
+    d = with_clashes(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string"))
+    segments, members = chat.prefix_tree(d, path)
+    got = {r.conv_id: (r.n_turns, r.turns_sha256) for r in chat.read_back(segments, members, path).collect()}
+    by = defaultdict(list)
+    for c, _, role, text in rows:
+        by[c].append(f"{role}\n{text or ''}\n")
+    assert got == {c: (len(v), hashlib.sha256("".join(v).encode()).hexdigest()) for c, v in by.items()}
+    assert segments.count() == len({(c, p[: i + 1]) for c, p in [(0, p) for p in paths] for i in range(len(p))}) + 2
+    wrong = segments.withColumn("position", F.col("position") + F.when(F.col("depth") == 1, 1).otherwise(0))
+    with pytest.raises(Exception, match="position"):
+        chat.read_back(wrong, members, path).collect()
+
+
 def test_chat_empty(spark):
     d, _ = conversations(spark)
     segments, members = chat.prefix_tree(d.limit(0))
