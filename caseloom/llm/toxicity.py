@@ -1,6 +1,5 @@
 """Toxicity by nearest labelled examples: exact TF-IDF cosine over a block-max inverted index, distance-weighted votes."""
 
-import heapq
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
@@ -34,13 +33,12 @@ def terms_of(word: bytes) -> list[bytes]:
     return [word] + [word[:n] + b"-" for n in BEGINNINGS if len(word) >= n]
 
 
-def counts_of(ws: list[bytes], heads: set[bytes] | None = None) -> Counter:
-    """How often each term is in a document, of words with these heads if given; a frequent term is a second term too."""
-    n, out = BEGINNINGS[0], Counter()
+def counts_of(ws: list[bytes]) -> Counter:
+    """How often each word and word beginning is in a document; a frequent term is a second term too."""
+    out = Counter()
     for w, k in Counter(ws).items():
-        if heads is None or w[:n] in heads:
-            for t in terms_of(w):
-                out[t] += k
+        for t in terms_of(w):
+            out[t] += k
     for t, k in list(out.items()):
         for least, mark in OFTEN:
             if k >= least:
@@ -61,67 +59,122 @@ def held_out(doc_id: Column) -> Column:
 
 @dataclass
 class Vocabulary:
-    """Terms with their numbers; heads are the first bytes of words worth a look."""
+    """Terms with their numbers: all words of the examples, and the telling terms (words, beginnings, frequent ones)."""
 
     number: dict[bytes, int]
+    telling: list[bytes]
     heads: set[bytes] = field(default_factory=set)
 
     def __post_init__(self):
-        self.heads = {t.rstrip(b"+-")[: BEGINNINGS[0]] for t in self.number}
-
-    def counts(self, text: str) -> Counter:
-        return Counter({self.number[t]: k for t, k in counts_of(words(text), self.heads).items() if t in self.number})
+        self.heads = {t.rstrip(b"+-")[: BEGINNINGS[0]] for t in self.telling if t.endswith((b"+", b"-"))}
+        self.marked = {t for t in self.telling if t.endswith((b"+", b"-"))}
+
+    def counts(self, text: str) -> dict[int, int]:
+        """The numbers of the text's terms, and how often each is there. Beginnings are cut only of words that may have a telling one."""
+        n, number, out, more = BEGINNINGS[0], self.number, {}, Counter()
+        for w, k in Counter(words(text)).items():
+            i = number.get(w)
+            if i is not None:
+                out[i] = k
+            if w[:n] in self.heads:
+                for t in terms_of(w):
+                    more[t] += k
+        for t, k in more.items():
+            for s in (t, *(t + mark for least, mark in OFTEN if k >= least)):
+                if s in self.marked:
+                    out[number[s]] = k if s == t else 1
+        return out
 
 
 class Index:
-    """Block-max inverted index of example vectors: postings by term, and each term's largest weight in each block of examples."""
+    """Block-max inverted index of example vectors: each term's largest weight in each block of examples, and the block's postings.
+
+    Terms that many examples have are rows of a matrix, so that their products go for many queries at once.
+    """
 
-    def __init__(self, vectors: list[dict[int, float]], terms: int, block: int = 128):
-        self.block, self.n = block, len(vectors)
+    def __init__(self, vectors: list[dict[int, float]], terms: int, block: int = 512, heavy: float = 1 / 16):
+        self.block, self.n, self.terms = block, len(vectors), terms
         blocks = -(-self.n // block)
-        self.most = np.zeros((terms, blocks))
-        rows: list[list[tuple[int, int, float]]] = [[] for _ in range(blocks)]
-        for i, v in enumerate(vectors):
-            for t, x in v.items():
-                rows[i // block].append((t, i % block, x))
-                self.most[t, i // block] = max(self.most[t, i // block], x)
-        self.rows = [[np.array(c) for c in zip(*r, strict=True)] if r else None for r in rows]
-
-    def nearest(self, query: dict[int, float], k: int, but: int = -1) -> list[tuple[float, int]]:
-        """The k examples of largest cosine, (cosine, example), ties to the smaller number; exact. Zero cosines are no neighbours.
-
-        Blocks are opened by falling bound until the bound is under the k-th best so far.
+        t = np.array([t for v in vectors for t in v], np.int64)
+        x = np.array([x for v in vectors for x in v.values()], np.float64)
+        e = np.repeat(np.arange(self.n), [len(v) for v in vectors])
+        many = np.nonzero(np.bincount(t, minlength=terms) > max(1, heavy * self.n))[0] if self.n else np.zeros(0, np.int64)
+        self.place = np.full(terms + 1, -1, np.int32)
+        self.place[many] = np.arange(len(many))
+        self.most = np.zeros((terms, blocks), np.float32)
+        self.dense = [np.zeros((len(many), min(block, self.n - b * block))) for b in range(blocks)]
+        self.first, self.rows, self.weights = [], [], []
+        for b in range(blocks):
+            here = e // block == b
+            tb, xb, eb = t[here], x[here], e[here] - b * block
+            # Rounded up: a bound in single precision has to be no less than the weight.
+            np.maximum.at(self.most[:, b], tb, np.nextafter(xb.astype(np.float32), np.float32(np.inf)))
+            thick = self.place[tb] >= 0
+            self.dense[b][self.place[tb[thick]], eb[thick]] = xb[thick]
+            order = np.argsort(tb[~thick], kind="stable")
+            self.first.append(np.searchsorted(tb[~thick][order], np.arange(terms + 1)).astype(np.int32))
+            self.rows.append(eb[~thick][order].astype(np.int32))
+            self.weights.append(xb[~thick][order])
+
+    def nearest(self, queries: list[dict[int, float]], k: int, but: list[int] | None = None) -> list[list[tuple[float, int]]]:
+        """Of each query the k examples of largest cosine, (cosine, example), ties to the smaller number; exact. Zero cosines are no neighbours.
+
+        A query opens blocks by falling bound until the bound is under its k-th best so far; queries that open the same
+        block in a turn do so together. but: an example that each query leaves out.
         """
-        if not query:
-            return []
-        ts = np.fromiter(query, np.int64)
-        xs = np.fromiter(query.values(), np.float64)
-        bounds = xs @ self.most[ts]
-        dense = np.zeros(len(self.most))
-        dense[ts] = xs
-        best: list[tuple[float, int]] = []
-        for b in np.argsort(-bounds, kind="stable"):
-            if bounds[b] <= 0 or len(best) == k and bounds[b] < best[0][0] - 1e-12:
+        best = [(np.zeros(0), np.zeros(0, np.int64)) for _ in queries]
+        if not self.n or not queries:
+            return [[] for _ in queries]
+        ts = [np.fromiter(q, np.int64, len(q)) for q in queries]
+        xs = [np.fromiter(q.values(), np.float64, len(q)) for q in queries]
+        bounds = np.stack([x @ self.most[t] if len(t) else np.zeros(self.most.shape[1]) for t, x in zip(ts, xs, strict=True)])
+        order = np.argsort(-bounds, 1, kind="stable")
+        thick = np.zeros((len(queries), len(self.dense[0])))
+        for i, (t, x) in enumerate(zip(ts, xs, strict=True)):
+            p = self.place[t]
+            thick[i, p[p >= 0]] = x[p >= 0]
+            ts[i], xs[i] = t[p < 0], x[p < 0]
+        open_ = np.arange(len(queries))
+        for turn in range(order.shape[1]):
+            b_of = order[open_, turn]
+            bound = bounds[open_, b_of]
+            floor = np.array([best[i][0][k - 1] if len(best[i][0]) >= k else 0.0 for i in open_])
+            go = (bound > 0) & (bound >= floor - 1e-9)
+            open_, b_of = open_[go], b_of[go]
+            if not len(open_):
                 break
-            t, i, x = self.rows[b]
-            cosine = np.bincount(i.astype(np.int64), dense[t.astype(np.int64)] * x, self.block).round(12)
-            for j in np.nonzero(cosine)[0]:
-                e = int(b) * self.block + int(j)
-                if e != but:
-                    item = (float(cosine[j]), -e)
-                    if len(best) < k:
-                        heapq.heappush(best, item)
-                    elif item > best[0]:
-                        heapq.heapreplace(best, item)
-        return [(c, -e) for c, e in sorted(best, reverse=True)]
+            for b in np.unique(b_of):
+                who = open_[b_of == b]
+                scores = thick[who] @ self.dense[b]
+                first, rows, weights = self.first[b], self.rows[b], self.weights[b]
+                for i, s in zip(who, scores, strict=True):
+                    lo = first[ts[i]]
+                    n = first[ts[i] + 1] - lo
+                    total = int(n.sum())
+                    if total:
+                        at = np.repeat(lo - np.concatenate(([0], np.cumsum(n)[:-1])), n) + np.arange(total)
+                        s += np.bincount(rows[at], weights[at] * np.repeat(xs[i], n), len(s))
+                    if but is not None and but[i] // self.block == b:
+                        s[but[i] % self.block] = 0
+                    s = s.round(12)
+                    old, ids = best[i]
+                    floor_i = old[k - 1] if len(old) >= k else 0.0
+                    new = np.nonzero((s > 0) & (s >= floor_i))[0]
+                    if len(new) > 4 * k:
+                        new = new[s[new] >= np.partition(s[new], len(new) - k)[len(new) - k]]
+                    if len(new):
+                        c, e = np.concatenate((old, s[new])), np.concatenate((ids, new + b * self.block))
+                        keep = np.lexsort((e, -c))[:k]
+                        best[i] = c[keep], e[keep]
+        return [list(zip(c.tolist(), e.tolist(), strict=True)) for c, e in best]
 
 
 @dataclass
 class Model:
-    """Everything scoring needs; its size is bounded by the numbers of terms and examples."""
+    """Everything scoring needs; its size is bounded by the examples."""
 
     vocabulary: Vocabulary
-    idf: np.ndarray
+    weight: np.ndarray
     index: Index
     ids: list
     labels: np.ndarray
@@ -131,17 +184,23 @@ class Model:
     steps: tuple[np.ndarray, np.ndarray]
 
     def vector(self, counts: dict[int, int]) -> dict[int, float]:
-        return unit({t: (1 + np.log(n)) * self.idf[t] for t, n in counts.items() if self.idf[t] > 0})
+        """TF-IDF weights of unit length; those of telling terms are stressed."""
+        t = np.fromiter(counts, np.int64, len(counts))
+        x = (1 + np.log(np.fromiter(counts.values(), np.float64, len(counts)))) * self.weight[t]
+        norm = np.sqrt((x * x).sum())
+        return dict(zip(t[x > 0].tolist(), (x[x > 0] / norm).tolist(), strict=True)) if norm else {}
 
-    def vote(self, counts: dict[int, int], but: int = -1) -> tuple[float, list[tuple[float, int]]]:
-        """The share of toxic among the neighbours, with `pull` of a vote for the rate among examples without any term.
+    def votes(self, counts: list[dict[int, int]], but: list[int] | None = None) -> list[tuple[float, list[tuple[float, int]]]]:
+        """Of each document the share of toxic among its neighbours, with `pull` of a vote for the rate among examples without telling terms.
 
         A neighbour weighs the cube of its cosine, so that one shared term among many makes a weak vote.
         """
-        near = self.index.nearest(self.vector(counts), self.k, but)
-        total = sum(c**3 for c, _ in near)
-        toxic = sum(c**3 * self.labels[e] for c, e in near)
-        return float((toxic + self.pull * self.base) / (total + self.pull)), near
+        out = []
+        for near in self.index.nearest([self.vector(c) for c in counts], self.k, but):
+            total = sum(c**3 for c, _ in near)
+            toxic = sum(c**3 * self.labels[e] for c, e in near)
+            out.append((float((toxic + self.pull * self.base) / (total + self.pull)), near))
+        return out
 
     def calibrated(self, vote: float) -> float:
         """The rate of toxic examples at such a vote, rising with it, and a trace of the vote itself to keep its order."""
@@ -149,11 +208,6 @@ class Model:
         return float(np.clip(0.99 * np.interp(vote, x, y) + 0.01 * vote, 0, 1)) if len(x) else vote
 
 
-def unit(v: dict[int, float]) -> dict[int, float]:
-    norm = sum(x * x for x in v.values()) ** 0.5
-    return {t: x / norm for t, x in v.items()} if norm else {}
-
-
 def rising(votes: np.ndarray, labels: np.ndarray, floor: int = 20) -> tuple[np.ndarray, np.ndarray]:
     """Pooled adjacent violators: mean vote and rate of steps that rise, from bins of about `floor` examples at least."""
     order = np.argsort(votes, kind="stable")
@@ -167,145 +221,156 @@ def rising(votes: np.ndarray, labels: np.ndarray, floor: int = 20) -> tuple[np.n
     return np.array([a / n for a, _, n in out]), np.array([b / n for _, b, n in out])
 
 
-def _term_families(docs: DataFrame) -> DataFrame:
-    """(term, kin) of all terms of each document."""
+def _terms_in(examples: DataFrame) -> DataFrame:
+    """(term, kin, toxic) of all terms of each example: words, beginnings, frequent ones. kin: a number of its family."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for text in batch.column(0):
+            for text, toxic in zip(batch.column(0), batch.column(1).to_pylist(), strict=True):
                 ws = words(text.as_py() or "")
                 found = list(counts_of(ws))
                 if found:
-                    yield pa.RecordBatch.from_arrays([pa.array(found, pa.binary()), pa.array([family(ws)] * len(found), pa.int64())], ["term", "kin"])
-
-    return docs.select("text").mapInArrow(run, "term binary, kin long")
-
-
-def _term_counts(docs: DataFrame, of: Vocabulary) -> DataFrame:
-    """(term, n): documents with a term of the vocabulary, summed in each task."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        n = Counter()
-        for batch in batches:
-            for text in batch.column(0):
-                n.update(t for t in counts_of(words(text.as_py() or ""), of.heads) if t in of.number)
-        if n:
-            yield pa.RecordBatch.from_arrays([pa.array(list(n), pa.binary()), pa.array(list(n.values()), pa.int64())], ["term", "n"])
+                    n = len(found)
+                    yield pa.RecordBatch.from_arrays([pa.array(found, pa.binary()), pa.array([family(ws)] * n, pa.int64()), pa.array([toxic] * n, pa.int32())], ["term", "kin", "toxic"])
 
-    return docs.select("text").mapInArrow(run, "term binary, n long")
+    return examples.select("text", "toxic").mapInArrow(run, "term binary, kin long, toxic int")
 
 
-def choose_terms(examples: DataFrame, most_terms: int, floor: float = 0.005, odds: float = 10.0, doubt: float = 0.01) -> list[bytes]:
+def telling_terms(examples: DataFrame, floor: float = 0.005, odds: float = 10.0, doubt: float = 0.01) -> list[bytes]:
     """Terms that tell toxic examples from others: in families of toxic ones at a rate `odds` times that of the others, and not by chance.
 
     By chance: under a bound of the binomial tail, fewer than `doubt` of all terms asked would do as well. Families of
     toxic documents count, not copies, so that words of one much copied text are not taken for a sign.
     """
-    pos = _term_families(examples.where("toxic = 1")).groupBy("term").agg(F.count_distinct("kin").alias("n"))
     many = {r["toxic"]: r["count"] for r in examples.groupBy("toxic").count().collect()}  # two rows
     p, n = many.get(1, 0), many.get(0, 0)
     if not p or not n:
         return []
-    pos = pos.where(F.col("n") >= max(4, floor * p)).orderBy(F.col("n").desc(), "term").limit(64 * most_terms)
-    pos = {bytes(r["term"]): r["n"] for r in pos.collect()}  # bounded by 64 * most_terms
-    if not pos:
-        return []
-    neg = _term_counts(examples.where("toxic = 0"), Vocabulary({t: i for i, t in enumerate(sorted(pos))}))
-    neg = {bytes(r["term"]): r["n"] for r in neg.groupBy("term").agg(F.sum("n").alias("n")).collect()}
-    good, share = [], p / (p + n)
-    for t, a in pos.items():
-        b = neg.get(t, 0)
-        if (a + 0.5) / (p + 1) >= odds * (b + 0.5) / (n + 1):
-            surprise = a * np.log(a / (a + b) / share) + (b * np.log(b / (a + b) / (1 - share)) if b else 0.0)
-            if surprise >= np.log(len(pos) / doubt):
-                good.append((-surprise, t))
-    return sorted(t for _, t in sorted(good)[:most_terms])
-
-
-def _counted(docs: DataFrame, vocabulary: Vocabulary) -> DataFrame:
-    """doc_id, held_out and the counts of vocabulary terms of every document: terms array<int>, counts array<int>."""
+    found = _terms_in(examples).groupBy("term").agg(F.count_distinct(F.when(F.col("toxic") == 1, F.col("kin"))).alias("a"), F.count_if(F.col("toxic") == 0).alias("b"))
+    found = written(found.where(F.col("a") >= max(4, floor * p)), "terms")
+    asked, share = max(1, found.count()), p / (p + n)
+    a, b = F.col("a"), F.col("b")
+    surprise = a * F.log(a / (a + b) / share) + F.when(b > 0, b * F.log(b / (a + b) / (1 - share))).otherwise(0.0)
+    good = found.where(((a + 0.5) / (p + 1) >= odds * (b + 0.5) / (n + 1)) & (surprise >= float(np.log(asked / doubt))))
+    return sorted(bytes(r["term"]) for r in good.select("term").collect())  # terms of at most most_examples texts
+
+
+def _document_counts(docs: DataFrame, vocabulary: Vocabulary) -> tuple[int, np.ndarray]:
+    """How many documents there are, and how many have each term of the vocabulary: summed in each task, then by term."""
     shared = docs.sparkSession.sparkContext.broadcast(vocabulary)
-    schema = T.StructType([docs.schema["doc_id"], *[T.StructField(c, T.ArrayType(T.IntegerType())) for c in ("terms", "counts")], T.StructField("h", T.LongType())])
+    m = len(vocabulary.number)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        v = shared.value
-        ints = pa.list_(pa.int32())
+        v, n, rows = shared.value, np.zeros(m + 1, np.int64), 0
         for batch in batches:
-            found = [sorted(v.counts(t.as_py() or "").items()) for t in batch.column(1)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([[t for t, _ in f] for f in found], ints), pa.array([[n for _, n in f] for f in found], ints), batch.column(2)], schema.names)
-
-    return docs.select("doc_id", "text", F.xxhash64(F.coalesce("text", F.lit(""))).alias("h")).mapInArrow(run, schema)
-
-
-def fit(docs: DataFrame, labels: DataFrame, most_examples: int = 20_000, most_terms: int = 512, k: int = 25, pull: float = 0.5) -> tuple[Model, DataFrame]:
-    """A model, and the table of term counts of all documents that it was fitted with.
+            rows += batch.num_rows
+            for text in batch.column(0):
+                n[list(v.counts(text.as_py() or ""))] += 1
+        n[m] = rows
+        at = np.nonzero(n)[0]
+        if rows:
+            yield pa.RecordBatch.from_arrays([pa.array(at, pa.int64()), pa.array(n[at], pa.int64())], ["t", "n"])
+
+    out = np.zeros(m + 1, np.int64)
+    got = docs.select("text").mapInArrow(run, "t long, n long").groupBy("t").agg(F.sum("n").alias("n")).toArrow()  # a row a term of the vocabulary
+    out[got["t"].to_numpy()] = got["n"].to_numpy()
+    return int(out[m]), out[:m]
+
+
+def _together(counts: list[dict[int, int]], terms: int, clusters: int = 8, turns: int = 6) -> np.ndarray:
+    """An order of the examples in which those that share frequent words come together, so that blocks differ and bounds tell."""
+    df = np.bincount([t for c in counts for t in c], minlength=terms)
+    top = np.argsort(-df, kind="stable")[:512]
+    place = {int(t): i for i, t in enumerate(top)}
+    x = np.zeros((len(counts), len(top)))
+    for i, c in enumerate(counts):
+        for t in c:
+            if t in place:
+                x[i, place[t]] = np.log((len(counts) + 1) / (df[t] + 1)) + 0.01
+    x /= np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-9)
+    centres = [x[0]]
+    for _ in range(min(clusters, len(x)) - 1):  # each next centre is the example farthest from those there are
+        centres.append(x[np.argmin(np.max(x @ np.stack(centres).T, 1))])
+    c = np.stack(centres)
+    for _ in range(turns):
+        near = np.argmax(x @ c.T, 1)
+        c = np.stack([x[near == i].mean(0) if (near == i).any() else c[i] for i in range(len(c))])
+        c /= np.maximum(np.linalg.norm(c, axis=1, keepdims=True), 1e-9)
+    return np.lexsort((np.arange(len(x)), np.argmax(x @ c.T, 1)))
+
+
+def fit(docs: DataFrame, labels: DataFrame, most_examples: int = 4096, k: int = 25, pull: float = 0.5, stress: float = 6.0) -> Model:
+    """A model of labelled examples.
 
     Labels are taken from rows not held out; of these at most most_examples (smallest by a hash of the id) are
-    examples: the bound of the model's size. Document frequencies are counted over all documents.
+    examples: the bound of the model's size. Terms are all words of the examples, and their telling terms, which
+    weigh `stress` times as much. Document frequencies are counted over all documents.
     """
     usable = labels.where(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id")))
     usable = usable.groupBy("doc_id").agg((F.max("toxic") > 0).cast("int").alias("toxic"))
-    sample = usable.orderBy(F.xxhash64("doc_id"), "doc_id").limit(most_examples)
-    sample = written(sample, "toxic-sample")
+    sample = written(usable.orderBy(F.xxhash64("doc_id"), "doc_id").limit(most_examples), "toxic-sample")
     examples = docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id")  # the sample is bounded
-    vocabulary = Vocabulary({t: i for i, t in enumerate(choose_terms(examples, most_terms))})
-    counted = written(_counted(docs, vocabulary), "toxic-terms")
+    examples = written(examples.dropDuplicates(["doc_id"]), "toxic-examples")
+    telling = telling_terms(examples)
+    rows = examples.orderBy("doc_id").collect()  # at most most_examples rows
+    found = {w for r in rows for w in words(r["text"] or "")} | set(telling)
+    vocabulary = Vocabulary({t: i for i, t in enumerate(sorted(found))}, telling)
     m = len(vocabulary.number)
-    df = np.zeros(m)
-    for r in counted.select(F.explode("terms").alias("t")).groupBy("t").count().collect():  # at most most_terms rows
-        df[r["t"]] = r["count"]
-    total = counted.count()
-    idf = np.log((total + 1) / (df + 1)) if m else np.zeros(0)
-
-    known = counted.join(F.broadcast(sample), "doc_id")
-    none = known.where(F.size("terms") == 0).agg(F.count("*"), F.sum("toxic")).first()
-    base = ((none[1] or 0) + 0.5) / (none[0] + 1 + (none[0] == 0))
-    some = known.where(F.size("terms") > 0).dropDuplicates(["doc_id"]).orderBy("doc_id").collect()  # at most most_examples rows
-    labels_of = np.array([r["toxic"] for r in some], float)
-    model = Model(vocabulary, idf, Index([], m), [r["doc_id"] for r in some], labels_of, k, float(base), pull, (np.zeros(0), np.zeros(0)))
-    counts = [dict(zip(r["terms"], r["counts"], strict=True)) for r in some]
+    total, df = _document_counts(docs, vocabulary)
+    weight = np.log((total + 1) / (df + 1)) if m else np.zeros(0)
+    marks = np.array([vocabulary.number[t] for t in telling], np.int64)
+    weight[marks] *= stress
+
+    counts = [vocabulary.counts(r["text"] or "") for r in rows]
+    if rows:
+        order = _together(counts, max(m, 1))
+        rows, counts = [rows[i] for i in order], [counts[i] for i in order]
+    labels_of = np.array([r["toxic"] for r in rows], float)
+    told = set(marks.tolist())
+    plain = [r["toxic"] for r, c in zip(rows, counts, strict=True) if told.isdisjoint(c)]
+    base = (sum(plain) + 0.5) / (len(plain) + 1 + (not plain))
+    model = Model(vocabulary, weight, Index([], m), [r["doc_id"] for r in rows], labels_of, k, float(base), pull, (np.zeros(0), np.zeros(0)))
     model.index = Index([model.vector(c) for c in counts], m)
-    if some:
-        own = np.array([model.vote(c, but=i)[0] for i, c in enumerate(counts)])
-        own = np.append(own, np.full(min(none[0], 10 * len(own)), model.base))
-        model.steps = rising(own, np.append(labels_of, np.full(len(own) - len(labels_of), model.base)))
-    return model, counted
+    if rows:
+        own = [v for i in range(0, len(rows), CHUNK) for v, _ in model.votes(counts[i : i + CHUNK], list(range(i, min(i + CHUNK, len(rows)))))]
+        model.steps = rising(np.array(own), labels_of)
+    return model
+
+
+#: Documents that are scored together.
+CHUNK = 256
 
 
 def score(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, evidence: int = 3, **how) -> DataFrame:
     """doc_id, h, held_out, score (0 to 1), predicted, terms array<string>, neighbours array<doc_id> of every document.
 
-    A document is the vector of its TF-IDF weights over terms that tell toxic examples (choose_terms); its score is
-    the calibrated vote of its k nearest examples by exact cosine. Terms and neighbours are the evidence. Texts are
-    taken whole. Documents with none of the terms, empty and null texts among them, have the rate of such examples.
+    A document is the vector of its TF-IDF weights over all terms of the examples (fit); its score is the calibrated vote
+    of its k nearest examples by exact cosine. Its telling terms and first neighbours are the evidence. Texts are
+    taken whole. Documents that share no term with an example, empty and null texts among them, have no neighbours and the
+    score of a vote for the rate among examples without telling terms.
 
     Null doc_ids have no label and are not held out. Repeated rows come out alike. Documents with several labels
-    count as toxic if any says so. No labels at all: all scores are one half of the pull, 0.5, cut to under the
-    threshold only by labels. Empty input: no rows. Other columns are not read. h is a hash of the text.
+    count as toxic if any says so. No usable labels: no neighbours, and all scores are 0.25. Empty input: no rows. Other
+    columns are not read. h is a hash of the text.
     """
-    model, counted = fit(docs, labels, **how)
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+    shared = docs.sparkSession.sparkContext.broadcast(fit(docs, labels, **how))
     doc = docs.schema["doc_id"]
     schema = T.StructType([doc, T.StructField("h", T.LongType()), T.StructField("score", T.DoubleType()), T.StructField("terms", T.ArrayType(T.StringType())), T.StructField("neighbours", T.ArrayType(doc.dataType))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m: Model = shared.value
-        names = [t.decode("utf-8", "replace") for t in m.vocabulary.number]
-        memory: dict[tuple, tuple] = {}
-        for batch in batches:
-            out = []
-            for ts, ns in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
-                key = (tuple(ts), tuple(ns))
-                if key not in memory:
-                    if len(memory) > 50_000:
-                        memory.clear()
-                    vote, near = m.vote(dict(zip(ts, ns, strict=True)))
-                    memory[key] = (m.calibrated(vote), [names[t] for t in ts], [m.ids[e] for _, e in near[:evidence]])
-                out.append(memory[key])
-            a, b, c = zip(*out, strict=True) if out else ((), (), ())
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(a, pa.float64()), pa.array(b, pa.list_(pa.string())), pa.array(c, pa.list_(batch.column(0).type))], schema.names)
-
-    scored = counted.select("doc_id", "h", "terms", "counts").mapInArrow(run, schema)
+        names = {m.vocabulary.number[t]: t.decode("utf-8", "replace") for t in m.vocabulary.telling}
+        for whole in batches:
+            for start in range(0, whole.num_rows, CHUNK):
+                batch = whole.slice(start, CHUNK)
+                counts = [m.vocabulary.counts(t.as_py() or "") for t in batch.column(2)]
+                votes = m.votes(counts)
+                a = [m.calibrated(v) for v, _ in votes]
+                b = [sorted(names[t] for t in c.keys() & names.keys()) for c in counts]
+                c = [[m.ids[e] for _, e in near[:evidence]] for _, near in votes]
+                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(a, pa.float64()), pa.array(b, pa.list_(pa.string())), pa.array(c, pa.list_(batch.column(0).type))], schema.names)
+
+    scored = docs.select("doc_id", F.xxhash64(F.coalesce("text", F.lit(""))).alias("h"), "text").mapInArrow(run, schema)
     return scored.select("doc_id", "h", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"), "terms", "neighbours")
 
 

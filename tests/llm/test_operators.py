@@ -322,14 +322,54 @@ def test_held_out_labels_are_not_read(spark):
     assert a == b
 
 
-def test_index_is_exact():
+def _unit(v):
+    norm = sum(x * x for x in v.values()) ** 0.5
+    return {t: x / norm for t, x in v.items()}
+
+
+@pytest.mark.parametrize("heavy", [0.05, 0.5])
+def test_index_is_exact(heavy):
     rng = np.random.default_rng(1)
-    vs = [toxicity.unit({int(t): float(x) for t, x in zip(rng.choice(30, 4, replace=False), rng.random(4), strict=True)}) for _ in range(700)]
-    index = toxicity.Index(vs, 30, block=16)
-    for q in vs[:60]:
-        want = sorted(((round(sum(x * v.get(t, 0) for t, x in q.items()), 9), -i) for i, v in enumerate(vs)), reverse=True)[:10]
-        got = index.nearest(q, 10)
-        assert [round(c, 9) for c, _ in got] == [c for c, _ in want]
+    vs = [_unit({int(t): float(x) for t, x in zip(rng.choice(30, 4, replace=False), rng.random(4), strict=True)}) for _ in range(700)]
+    index = toxicity.Index(vs, 30, block=16, heavy=heavy)
+    got = index.nearest([*vs[:60], {}], 10, but=[*range(60), -1])
+    assert got[60] == []
+    for i, q in enumerate(vs[:60]):
+        want = sorted(((round(sum(x * v.get(t, 0) for t, x in q.items()), 9), -j) for j, v in enumerate(vs) if j != i), reverse=True)[:10]
+        assert [round(c, 9) for c, _ in got[i]] == [c for c, _ in want if c]
+        assert all(c == pytest.approx(sum(x * vs[e].get(t, 0) for t, x in q.items())) for c, e in got[i])
+
+
+def test_scores_equal_brute_force(spark):
+    """Whole scores from plain loops: document frequencies, cosines with every example, votes, steps."""
+    docs, labels, truth = toxic_table(spark)
+    docs = docs.union(spark.createDataFrame([(5000, "nothing in common"), (5001, None), (5002, "grumblax")], docs.schema))
+    model = toxicity.fit(docs, labels)
+    texts = {r.doc_id: r.text or "" for r in docs.collect()}
+    number, telling = model.vocabulary.number, set(model.vocabulary.telling)
+    learn = [i for i in truth if zlib.crc32(str(i).encode()) % 4 != 2]
+    assert set(model.ids) == set(learn) and telling
+    assert set(number) == {w for i in learn for w in toxicity.words(texts[i])} | telling
+
+    def counts(text):
+        own = toxicity.counts_of(toxicity.words(text))
+        plain = Counter(toxicity.words(text))
+        return {t: own[t] for t in own if t in telling} | {t: n for t, n in plain.items() if t in number}
+
+    every = {i: counts(t) for i, t in texts.items()}
+    df = Counter(t for c in every.values() for t in c)
+    weight = {t: np.log((len(texts) + 1) / (df[t] + 1)) * (6 if t in telling else 1) for t in number}
+    vec = {i: {t: (1 + np.log(n)) * weight[t] for t, n in c.items() if weight[t] > 0} for i, c in every.items()}
+    vec = {i: _unit(v) if v else {} for i, v in vec.items()}
+    got = {r.doc_id: r for r in toxicity.score(docs, labels).collect()}
+    assert len(got) == len(texts)
+    for i in [*range(0, 900, 9), 5000, 5001, 5002]:
+        near = sorted(((round(sum(x * vec[e].get(t, 0) for t, x in vec[i].items()), 12), -model.ids.index(e)) for e in model.ids), reverse=True)[:25]
+        near = [(c, model.ids[-e]) for c, e in near if c > 0]
+        vote = (sum(c**3 * truth[e] for c, e in near) + 0.5 * model.base) / (sum(c**3 for c, _ in near) + 0.5)
+        assert got[i].score == pytest.approx(model.calibrated(vote), abs=1e-9)
+        assert got[i].neighbours == [e for _, e in near[:3]] or len({c for c, _ in near[:4]}) < 4
+    assert got[5000].neighbours == [] and got[5001].neighbours == [] and got[5002].predicted == 1
 
 
 # ------------------------------------------------------------------ 7 chat
