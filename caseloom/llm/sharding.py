@@ -2,109 +2,101 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window as W
 
-from caseloom.llm.shared import erase, with_offsets, written
+from caseloom.llm.shared import with_offsets, written
+
+GROUP = ("_g1", "_g2")
 
 
-def shard(docs: DataFrame, shards: int = 8, rounds: int = 6, cells: int = 256, buckets: int = 1024, seed: int = 2) -> DataFrame:
+def shard(docs: DataFrame, shards: int = 8, cells: int = 256, buckets: int = 1024, seed: int = 2) -> DataFrame:
     """docs with size, text_crc32, law ('rows'), shard, slot, grown_shard (null): counts of the shards differ by one at most.
 
-    Links join documents of equal text. Each link group starts spread over the shards by a hash of its rows,
-    at most `cells` cells a group, so that the largest group is a bounded number of rows here. In each round
-    a group's cells move to the shard that holds most of the group, if its quota allows: what flows the other
-    way plus the room left. Documents without links are ballast: they fill the shards to their exact counts
-    at the end, as do rows above a shard's count. What is cut are groups larger than a shard has room for.
+    Links join documents of equal text. Every linked row first gets a label by a hash. In each round a group
+    turns to the shard that has most of its rows, of those with room for it, and the shards take whole groups in, the
+    largest first, up to their exact room (two-level prefix sums). Rounds go on until no group can move, so that a group
+    is cut only if no shard has room for it at the end: fewer than `shards` groups, and those larger than a shard. The
+    latter go in `cells` pieces, which fill one shard after another. Documents without links are ballast: they fill
+    the shards to their exact counts, after the rows of groups without a place.
 
     Size: UTF-8 bytes of the text plus 1 (null text: 1, in the group of empty texts). Null doc_ids and
     repeated rows are rows like any other. Empty input: no rows. Clashing columns are replaced. Slots are gapless from 0 in
-    each shard.
+    each shard. Shards do not depend on how the input is split.
     """
-    spark = docs.sparkSession
-    own = ("size", "text_crc32", "law", "shard", "slot", "grown_shard")
     text = F.coalesce(F.col("text"), F.lit(""))
-    d = docs.select(
+    g1 = F.xxhash64(text)
+    base = docs.select(
         F.col("doc_id"),
         (F.octet_length(text) + 1).cast("long").alias("size"),
         F.crc32(F.encode(text, "UTF-8")).alias("text_crc32"),
-        F.xxhash64(text).alias("_g1"),
+        g1.alias("_g1"),
         F.xxhash64(F.lit("again"), text).alias("_g2"),
-        F.monotonically_increasing_id().alias("_row"),
+        F.xxhash64(F.lit(seed), "doc_id", g1).alias("_row"),
     )
-    d = d.withColumn("_cell", F.pmod(F.xxhash64(F.lit(seed), "_row"), F.lit(cells)).cast("int"))
-    base = written(d, "shard-rows")
+    base = written(base, "shard-rows")
     total = base.count()
-    group = ["_g1", "_g2"]
+    full = [total // shards + (s < total % shards) for s in range(shards)]
+    first = F.pmod(F.xxhash64(F.lit("first"), "_row"), F.lit(shards))
+    groups = base.groupBy(*GROUP).agg(F.count("*").alias("n"), F.array(*[F.count_if(first == s) for s in range(shards)]).alias("held"))
+    groups = written(groups.where("n > 1"), "shard-groups")
+    huge = groups.where(F.col("n") > max(full)).select(*GROUP, F.lit(True).alias("_huge"))  # fewer than `shards` rows
+    cell = F.when(F.col("_huge"), F.pmod(F.xxhash64(F.lit("cell"), "_row"), F.lit(cells))).otherwise(-1).cast("int")
+    base = base.join(F.broadcast(huge), list(GROUP), "left").withColumn("_cell", cell)
+    pieces = base.where("_huge").groupBy(*GROUP, "_cell").agg(F.count("*").alias("n")).withColumn("held", F.array_repeat(F.lit(0).cast("long"), shards))
+    whole = groups.where(F.col("n") <= max(full)).select(*GROUP, F.lit(-1).alias("_cell"), "n", "held")
 
-    state = base.groupBy(*group, "_cell").agg(F.count("*").alias("n"))
-    linked = state.groupBy(*group).agg(F.sum("n").alias("_n")).where("_n > 1").drop("_n")
-    state = state.join(linked, group, "left_semi").withColumn("at", F.pmod("_cell", F.lit(shards)).cast("int"))
-    state = written(state, "shard-cells")
-    room = -(-total // shards)
-    for turn in range(rounds):
-        moved = written(_moved(state, group, shards, room, turn), "shard-cells")
-        changed = moved.where("at <> was").limit(1).count()
-        erase(state)
-        state = moved.drop("was")
-        if not changed:
-            break
+    room, settled, left = list(full), [], []
+    for waiting in (pieces, whole):
+        while True:
+            step = written(_turned(waiting, room), "shard-round")
+            got = step.where("at is not null").groupBy("at").agg(F.sum("n").alias("n")).collect()  # a row a shard
+            if not got:
+                left.append(step)
+                break
+            for r in got:
+                room[r["at"]] -= r["n"]
+            settled.append(step.where("at is not null").select(*GROUP, "_cell", "at"))
+            waiting = step.where("at is null").drop("at")
 
-    d = base.join(state.select(*group, "_cell", "at"), [*group, "_cell"], "left")
-    held = [0] * shards
-    for r in state.groupBy("at").agg(F.sum("n").alias("n")).collect():  # a row per shard
-        held[r["at"]] = r["n"]
-    full = [total // shards + (s < total % shards) for s in range(shards)]
-    d = d.withColumn("_b", F.pmod(F.xxhash64(F.lit(seed + 1), "_row"), F.lit(buckets)))
-    one = F.lit(1).cast("long")
-    d = with_offsets(d.withColumn("_k", F.coalesce("at", F.lit(-1))), ["_k"], "_b", one, [F.col("_row")], "_nth")
-    # Rows that stay where they are have the first slots; those without a place, and those above a shard's count, fill the rest.
-    spill, starts = F.col("_nth") - 1, []
-    loose = total - sum(held)
-    pool_at, place = loose, F.when(F.col("_k") == -1, spill)
-    for s in range(shards):
-        if held[s] > full[s]:
-            place = place.when((F.col("_k") == s) & (F.col("_nth") > full[s]), F.col("_nth") - 1 - full[s] + pool_at)
-            pool_at += held[s] - full[s]
-    d = d.withColumn("_pool", place)
-    to, slot, start = F.lit(None).cast("int"), F.lit(None).cast("long"), 0
-    for s in range(shards):
-        free = full[s] - min(held[s], full[s])
-        if free:
-            starts.append((s, start, start + free, min(held[s], full[s])))
-            start += free
-    shard_of = F.when(F.col("_pool").isNull(), F.col("at"))
-    slot_of = F.when(F.col("_pool").isNull(), F.col("_nth") - 1)
-    for s, lo, hi, first in starts:
-        here = (F.col("_pool") >= lo) & (F.col("_pool") < hi)
-        shard_of = shard_of.when(here, F.lit(s))
-        slot_of = slot_of.when(here, F.col("_pool") - lo + first)
-    return d.select(
-        "doc_id",
-        "size",
-        "text_crc32",
-        F.lit("rows").alias("law"),
-        shard_of.otherwise(to).cast("int").alias("shard"),
-        slot_of.otherwise(slot).cast("long").alias("slot"),
-        F.lit(None).cast("int").alias("grown_shard"),
-    )
+    # Groups without a place: fewer than `shards`, and pieces of those larger than a shard.
+    lost = reduce(DataFrame.union, [x.select(*GROUP) for x in left]).distinct().orderBy(*GROUP).collect()
+    d = base
+    if settled:
+        d = d.join(reduce(DataFrame.union, settled).hint("merge"), [*GROUP, "_cell"], "left")
+    else:
+        d = d.withColumn("at", F.lit(None).cast("int"))
+    rank = F.lit(len(lost))
+    for i, r in enumerate(lost):
+        rank = F.when((F.col("_g1") == r["_g1"]) & (F.col("_g2") == r["_g2"]), i).otherwise(rank)
+    spread = F.pmod(F.xxhash64(F.lit("slot"), "_row"), F.lit(buckets))
+    d = d.withColumn("_k", F.coalesce("at", F.lit(-1))).withColumn("_b", F.when(F.col("at").isNull(), rank * buckets).otherwise(0) + spread)
+    d = with_offsets(d, ["_k"], "_b", F.lit(1).cast("long"), [F.col("_row"), F.col("doc_id")], "_nth")
+    to, slot = F.col("at"), F.col("_nth") - 1
+    start = 0
+    for s in range(shards):  # rows without a place fill the room that is left, shard after shard
+        here = F.col("at").isNull() & (F.col("_nth") > start) & (F.col("_nth") <= start + room[s])
+        to = F.when(here, F.lit(s)).otherwise(to)
+        slot = F.when(here, F.col("_nth") - 1 - start + full[s] - room[s]).otherwise(slot)
+        start += room[s]
+    return d.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), to.cast("int").alias("shard"), slot.cast("long").alias("slot"), F.lit(None).cast("int").alias("grown_shard"))
+
+
+def _turned(waiting: DataFrame, room: list[int]) -> DataFrame:
+    """One round: waiting (group, _cell, n, held) with at, the shard that took the unit in, or null."""
 
+    def choice(s: int) -> Column:
+        tie = F.when(F.col("_cell") < 0, F.pmod(F.xxhash64(F.lit(s), *GROUP), F.lit(1 << 30))).otherwise(F.lit(room[s]).cast("long"))
+        return F.when(F.col("n") <= F.lit(room[s]), F.struct(F.get("held", F.lit(s)).alias("h"), tie.alias("t"), F.lit(s).alias("s")))
 
-def _moved(state: DataFrame, group: list[str], shards: int, room: int, turn: int) -> DataFrame:
-    """One round: (group, cell, n, was, at) with the cells that the quotas let move."""
-    held = state.groupBy(*group, "at").agg(F.sum("n").alias("n"))
-    best = held.groupBy(*group).agg(F.max_by("at", F.struct("n", F.xxhash64(*group, "at"))).alias("to"))
-    wish = state.join(best, group)
-    flow = wish.where("at <> to").groupBy("at", "to").agg(F.sum("n").alias("f"))
-    load = state.groupBy("at").agg(F.sum("n").alias("load"))
-    back = flow.select(F.col("at").alias("to"), F.col("to").alias("at"), F.col("f").alias("back"))
-    quota = flow.join(back, ["at", "to"], "left").join(load.withColumnRenamed("at", "to"), "to", "left")
-    into = W.partitionBy("to")
-    free = F.greatest(F.lit(0), F.lit(room) - F.coalesce("load", F.lit(0)))
-    may = F.coalesce("back", F.lit(0)) + free * F.col("f") / F.sum("f").over(into)
-    quota = quota.select("at", "to", F.least(F.lit(1.0), may / F.col("f")).alias("p"))
-    dice = F.pmod(F.xxhash64(F.lit(turn), *group, "_cell"), F.lit(1 << 30)) / F.lit(float(1 << 30))
-    # at most shards * (shards - 1) quotas: a bounded broadcast
-    go = wish.join(F.broadcast(quota), ["at", "to"], "left").withColumn("was", F.col("at"))
-    return go.select(*group, "_cell", "n", "was", F.when(dice < F.coalesce("p", F.lit(0.0)), F.col("to")).otherwise(F.col("at")).alias("at"))
+    units = waiting.withColumn("_best", F.array_max(F.array(*[choice(s) for s in range(len(room))])))
+    units = units.withColumn("to", F.col("_best.s")).withColumn("_h", F.col("_best.h")).drop("_best")
+    rest = units.where("to is null").select(*waiting.columns, F.lit(None).cast("int").alias("at"))
+    # The largest first; those of one size are dealt to as many buckets as there may be of them.
+    sub = F.pmod(F.xxhash64(*GROUP, "_cell"), F.greatest(F.lit(1).cast("long"), F.floor(F.lit(1024) / F.col("n"))))
+    asked = units.where("to is not null").withColumn("_size", sub - 1024 * F.col("n"))
+    asked = with_offsets(asked, ["to"], "_size", F.col("n"), [F.desc("_h"), *map(F.col, GROUP), F.col("_cell")], "_upto")
+    fits = F.col("_upto") <= F.get(F.array(*[F.lit(r).cast("long") for r in room]), F.col("to"))
+    return asked.select(*waiting.columns, F.when(fits, F.col("to")).cast("int").alias("at")).union(rest)

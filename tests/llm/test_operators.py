@@ -142,12 +142,12 @@ def test_packing_round_trip(spark):
 # ------------------------------------------------------------------ 2 sharding
 
 
-@pytest.mark.parametrize("hot", [0, 200, 500])
-def test_shards_are_even_and_keep_copies_together(spark, hot):
-    rows = [(i, f"own {i}") for i in range(400)] + [(1000 + i, f"twin {i // 3}") for i in range(150)] + [(5000 + i, "hot") for i in range(hot)]
-    got = sharding.shard(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+def sharded(spark, rows, parts=4):
+    """Rows of the operator, its laws checked, and the texts that are cut."""
+    got = sharding.shard(spark.createDataFrame(rows, "doc_id long, text string").repartition(parts)).collect()
     sizes = Counter(r.shard for r in got)
-    assert len(got) == len(rows) and set(sizes) == set(range(8)) and max(sizes.values()) - min(sizes.values()) <= 1
+    held = [sizes[s] for s in range(8)]
+    assert len(got) == len(rows) and max(held) - min(held) <= 1 and set(sizes) <= set(range(8))
     for s in range(8):
         assert sorted(r.slot for r in got if r.shard == s) == list(range(sizes[s]))
     text = dict(rows)
@@ -155,8 +155,36 @@ def test_shards_are_even_and_keep_copies_together(spark, hot):
     for r in got:
         assert r.size == len(text[r.doc_id]) + 1 and r.text_crc32 == zlib.crc32(text[r.doc_id].encode())
         places[text[r.doc_id]].add(r.shard)
-    cut = sum(len(v) > 1 for k, v in places.items() if k != "hot")
-    assert cut <= (12 if hot == 500 else 5)  # with half of all rows in one group, quotas leave some cut
+    return {r.doc_id: r.shard for r in got}, {t for t, p in places.items() if len(p) > 1}
+
+
+def need_cuts(sizes, shards=8):
+    """A lower bound of groups to cut, by what whole groups of one size leave of each shard."""
+    total = sum(sizes)
+    linked = Counter(n for n in sizes if n > 1)
+    (n, many), = linked.most_common(1)
+    return max(0, many - sum((total // shards + (s < total % shards)) // n for s in range(shards)))
+
+
+@pytest.mark.parametrize("hot", [0, 200, 500])
+def test_shards_are_even_and_keep_copies_together(spark, hot):
+    rows = [(i, f"own {i}") for i in range(400)] + [(1000 + i, f"twin {i // 3}") for i in range(150)] + [(5000 + i, "hot") for i in range(hot)]
+    place, cut = sharded(spark, rows)
+    assert cut <= {"hot"}
+    if hot:  # larger than a shard: in as few shards as can be, but for one
+        assert len({s for i, s in place.items() if i >= 5000}) <= -(-hot // (len(rows) // 8)) + 1
+    assert sharded(spark, rows, 1)[0] == place  # whatever the split
+
+
+def test_no_more_groups_are_cut_than_must_be(spark):
+    fours = [(i, f"four {i // 4}") for i in range(6000)]
+    assert len(sharded(spark, fours)[1]) == need_cuts([4] * 1500) == 4
+    big = [(i, f"big {i // 300}") for i in range(4800)] + [(10_000 + i, f"own {i}") for i in range(1200)]
+    assert sharded(spark, big)[1] == set() and need_cuts([300] * 16 + [1] * 1200) == 0
+    rng, mixed = random.Random(12), []
+    for g in range(120):
+        mixed += [(len(mixed) + i, f"mixed {g}") for i in range(rng.randint(2, 60))]
+    assert len(sharded(spark, mixed)[1]) < 8
 
 
 # ------------------------------------------------------------------ 3 near copies
