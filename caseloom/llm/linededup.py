@@ -33,27 +33,29 @@ def leaf_of(tokens: list[bytes], depth: int) -> int:
     return _signed(xxhash.xxh64_intdigest(b"%d " % len(tokens) + b" ".join(tokens[:depth])))
 
 
-class Leaves:
-    """The templates of each leaf, each led by the line that began it."""
+class Leaf:
+    """The templates of a leaf, each led by the line that began it."""
 
     def __init__(self, similar: float):
         self.similar = similar
-        self.of: dict[int, tuple[list[int], list[np.ndarray]]] = {}
+        self.ids: list[int] = []
+        self.leaders = np.zeros((0, 0), np.int64)
 
-    def place(self, leaf: int, line: int, tokens: list[bytes]) -> int:
-        """The id of the template of a line: the most similar leader of its leaf, or the line's own id as a new one.
+    def place(self, line: int, tokens: list[bytes]) -> int:
+        """The id of the template of a line: the most similar leader, the first of equals, or the line's own id as a new one.
 
         Similarity: the share of places with the same token. Where members differ from the leader the template has a field.
         """
-        code = np.fromiter(map(hash, tokens), np.int64, len(tokens))
-        ids, leaders = self.of.setdefault(leaf, ([], []))
-        if ids:
-            same = (np.stack(leaders) == code).mean(1) if len(ids) > 1 else [(leaders[0] == code).mean()]
+        code, n = np.fromiter(map(hash, tokens), np.int64, len(tokens)), len(self.ids)
+        if n:
+            same = (self.leaders[:n] == code).sum(1)
             best = int(np.argmax(same))
-            if same[best] >= self.similar:
-                return ids[best]
-        ids.append(line)
-        leaders.append(code)
+            if same[best] >= self.similar * len(tokens) - 1e-9:
+                return self.ids[best]
+        if n == len(self.leaders):
+            self.leaders = np.resize(self.leaders if n else code, (max(4, 2 * n), len(tokens)))
+        self.ids.append(line)
+        self.leaders[n] = code
         return line
 
 
@@ -105,20 +107,20 @@ def _merged(lines: DataFrame, similar: float) -> DataFrame:
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        leaves, leaf, last, lone = Leaves(similar), None, None, None
+        templates, leaf, last, lone = Leaf(similar), None, None, None
         for batch in batches:
             out: list[tuple[int, int]] = []
             for of, own, line in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), strict=True):
                 if of != leaf:
-                    leaves, leaf, last, lone = Leaves(similar), of, own, line
+                    templates, leaf, last, lone = Leaf(similar), of, own, line
                     continue
                 if own == last:
                     continue
                 if lone is not None:  # most leaves have one line: nothing is done for them
-                    leaves.place(leaf, last, lone.as_py().split(b" "))
+                    templates.place(last, lone.as_py().split(b" "))
                     lone = None
                 last = own
-                into = leaves.place(leaf, own, line.as_py().split(b" "))
+                into = templates.place(own, line.as_py().split(b" "))
                 if into != own:
                     out.append((own, into))
             if out:
@@ -129,7 +131,7 @@ def _merged(lines: DataFrame, similar: float) -> DataFrame:
     return ordered.mapInArrow(run, "own long, into long")
 
 
-def dropped_lines(docs: DataFrame, depth: int = 5, least: int = 5, similar: float = 0.8, hold: int = 16 << 20) -> DataFrame:
+def dropped_lines(docs: DataFrame, depth: int = 5, least: int = 1, similar: float = 0.8, hold: int = 16 << 20) -> DataFrame:
     """(doc_id, h, dropped array<int>) of the documents with lines to drop; docs needs doc_id, text and h, a hash of the text."""
     spark = docs.sparkSession
     path = fresh_path(spark, "lines")
@@ -153,15 +155,16 @@ def _has(spark, path: str, kind: str) -> bool:
     return p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p)
 
 
-def drop_lines(docs: DataFrame, depth: int = 5, least: int = 5, similar: float = 0.8) -> DataFrame:
+def drop_lines(docs: DataFrame, depth: int = 5, least: int = 1, similar: float = 0.8) -> DataFrame:
     """docs with the text less its recurring lines, and n_lines, dropped (line numbers from 0).
 
     Each line of at least `least` tokens goes down a tree of fixed depth, by its number of tokens and its first
     `depth` tokens (those with a digit are fields), to a leaf, and there to the most similar template
     (`similar` of its places equal), or it begins one. A template that occurs in two documents or more recurs:
     its lines stay in the document with the smallest doc_id, and are dropped from all others. Lines that recur
-    only inside one document stay, as do shorter lines. A line that is similar to several templates may go to
-    any of them; equal lines always go together, and nothing depends on how the input is split.
+    only inside one document stay, as do blank lines. Under five tokens, lines of a template are equal but for fields.
+    A line that is similar to several templates goes to the most similar of those that lines of smaller hash began;
+    equal lines always go together, and nothing depends on how the input is split.
 
     A document is a (doc_id, text) pair, so repeated rows count as one and stay alike. Null and empty texts: no
     lines to drop; null stays null. Null doc_ids come last in order. Empty input: no rows. Columns that clash
