@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 CRLF = "\r\n"
@@ -80,44 +80,49 @@ def read_archive(spark: SparkSession, archive: Archive) -> DataFrame:
 
 def record_bytes(records: DataFrame) -> DataFrame:
     """records with record: the exact bytes of each WARC record, revisits without payload."""
-    end = F.encode(F.lit(CRLF * 2), "UTF-8")
-    body = F.when(header_field("WARC-Type") == "revisit", F.encode(F.lit(""), "UTF-8")).otherwise(F.col("payload"))
-    return records.withColumn("record", F.concat("header", body, end))
+    body = F.when(header_field("WARC-Type", F.col("header")) == "revisit", F.encode(F.lit(""), "UTF-8")).otherwise(F.col("payload"))
+    return records.withColumn("record", F.concat("header", body, F.encode(F.lit(CRLF * 2), "UTF-8")))
 
 
-def header_field(name: str):
-    """The value of a named field in the column header; null where the header has none."""
-    found = F.regexp_extract(F.decode("header", "UTF-8"), rf"\r\n{name}: ([^\r]*)\r\n", 1)
+def header_field(name: str, header: Column) -> Column:
+    """The value of a named field in a header; null where the header has none."""
+    found = F.regexp_extract(F.decode(header, "UTF-8"), rf"\r\n{name}: ([^\r]*)\r\n", 1)
     return F.nullif(found, F.lit(""))
 
 
-def page_of(urn):
+def page_of(urn: Column) -> Column:
     """The page id in a record id; null for the id of a null page_id."""
     return F.nullif(F.regexp_extract(urn, r"^<urn:page:(-?[0-9]+)>$", 1), F.lit("")).cast("long")
 
 
+def parsed(record: Column) -> tuple[Column, Column, Column]:
+    """Header (with its blank line) and payload of a record's bytes, and whether the payload is as long as the header says."""
+    # Latin 1 has a character for each byte, so that places in the text are places in the bytes.
+    ends = F.instr(F.decode(record, "ISO-8859-1"), CRLF * 2) + 3
+    header = F.substring(record, F.lit(1), ends)
+    length = header_field("Content-Length", header).cast("int")
+    payload = F.substring(record, ends + 1, length)
+    return header, payload, F.octet_length(record) == ends + length + 4
+
+
 def digest_table(spark: SparkSession, archive: Archive) -> DataFrame:
     """What the archive says on reading back: page_id, payload_bytes, payload_digest, record_type, refers_to of each record.
 
-    Length and digests are taken from the bytes read, once for each stored payload, before the join with the
-    headers. A payload that has changed, or lacks, or differs from the digest in a header raises an error.
+    Records are rebuilt from headers and payloads, and parsed again: type, ids and digest come from the header in the
+    record's bytes, length and SHA-1 of a response from its payload there, those of a revisit from the stored payload it
+    refers to. A payload that has changed, or lacks, or differs from the digest in the header, and a record that is not as
+    long as it says, raise an error.
     """
-    stored = spark.read.parquet(archive.payloads).select(
-        "address",
+    rebuilt = record_bytes(read_archive(spark, archive))
+    header, payload, whole = parsed(F.col("record"))
+    r = rebuilt.select("address", "intact", header.alias("header"), F.when(header_field("WARC-Type", F.col("header")) == "revisit", F.col("payload")).otherwise(payload).alias("payload"), whole.alias("whole"))
+    said = F.regexp_extract(header_field("WARC-Payload-Digest", F.col("header")), "^sha1:(.*)$", 1)
+    digest = F.sha1("payload")
+    wrong = F.raise_error(F.concat(F.lit("damaged record at "), F.col("address")))
+    return r.select(
+        page_of(header_field("WARC-Record-ID", F.col("header"))).alias("page_id"),
         F.octet_length("payload").cast("long").alias("payload_bytes"),
-        F.sha1("payload").alias("digest"),
-        (F.sha2("payload", 256) == F.col("address")).alias("intact"),
-    )
-    said = F.regexp_extract(header_field("WARC-Payload-Digest"), "^sha1:(.*)$", 1)
-    wrong = F.raise_error(F.concat(F.lit("damaged payload at "), F.col("address")))
-    return (
-        spark.read.parquet(archive.headers)
-        .join(stored, "address", "left")
-        .select(
-            page_of(header_field("WARC-Record-ID")).alias("page_id"),
-            "payload_bytes",
-            F.when(F.col("intact") & (said == F.col("digest")), F.col("digest")).otherwise(wrong).alias("payload_digest"),
-            header_field("WARC-Type").alias("record_type"),
-            page_of(header_field("WARC-Refers-To")).alias("refers_to"),
-        )
+        F.when(F.col("intact") & F.col("whole") & (said == digest), digest).otherwise(wrong).alias("payload_digest"),
+        header_field("WARC-Type", F.col("header")).alias("record_type"),
+        page_of(header_field("WARC-Refers-To", F.col("header"))).alias("refers_to"),
     )
