@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -12,18 +11,18 @@ from pyspark.sql.window import Window as W
 #: A word: a run of anything but ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
 
-_own_dir: list[str] = []
-
-
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or one of our own where that is unset."""
+    """The folder that driver and executors share: spark.checkpoint.dir, or one in the warehouse where that is unset.
+
+    A warehouse on the driver's own disk will do in local mode alone: on a cluster it raises an error.
+    """
     place = spark.conf.get("spark.checkpoint.dir", None)
     if place:
         return place
-    if not _own_dir:
-        _own_dir.append(tempfile.mkdtemp(prefix="spark-", dir="/tmp"))
-        spark.sparkContext.setCheckpointDir(_own_dir[0])
-    return _own_dir[0]
+    path = spark.conf.get("spark.sql.warehouse.dir").rstrip("/")
+    if path.partition(":")[0] == "file" and not spark.sparkContext.master.startswith("local["):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    return f"{path}/_scratch"
 
 
 def fresh_path(spark: SparkSession, tag: str) -> str:

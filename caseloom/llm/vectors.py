@@ -16,8 +16,9 @@ from caseloom.llm.shared import written
 def numbered(vectors: DataFrame, value: Column, zero: bool, most: float = float("inf")) -> DataFrame:
     """(row, vec_id, v array<double or long>, query) of the vectors that take part, written: row numbers tell repeated rows apart.
 
-    Left out: null vectors, those with null or non-finite components or some of size `most` or over, zero vectors unless
-    zero, and vectors whose length is not the most frequent one.
+    Left out: null vectors, empty ones, those with null or non-finite components, zero vectors unless zero, and those with
+    components of size `most` or over, whose products no long holds. Vectors of unequal lengths: the shorter ones
+    get zeros at their ends.
     """
     e = F.col("embedding")
     fine = F.forall(e, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < most))
@@ -26,8 +27,11 @@ def numbered(vectors: DataFrame, value: Column, zero: bool, most: float = float(
     d = vectors.where(e.isNotNull() & (F.size(e) > 0)).where(fine)
     d = d.select("vec_id", value.alias("v"), (F.coalesce(F.col("vec_id") % 50 == 0, F.lit(False))).alias("query")).where(F.forall("v", lambda x: x.isNotNull()))
     d = written(d.withColumn("row", F.monotonically_increasing_id()), "vectors")
-    sizes = d.groupBy(F.size("v").alias("n")).count().orderBy(F.col("count").desc(), "n").limit(1).collect()
-    return d.where(F.size("v") == (sizes[0]["n"] if sizes else 0))
+    low, high = d.agg(F.min(F.size("v")), F.max(F.size("v"))).first()
+    if low == high:
+        return d
+    kind = d.schema["v"].dataType.elementType
+    return d.withColumn("v", F.concat("v", F.array_repeat(F.lit(0).cast(kind), F.lit(high) - F.size("v"))))
 
 
 def matrix(column: pa.ChunkedArray | pa.Array, kind: type = np.float64) -> np.ndarray:
@@ -356,8 +360,7 @@ def top_products(vectors: DataFrame, k: int = 5, scale: int = 256, bucket: int =
     reach it, and inside a chunk each query prunes by coordinates or by length (candidates), then verifies products.
     Pruning only leaves out what cannot reach the threshold; ties are kept, and go to the smaller vec_id.
 
-    Left out as queries and candidates: null vectors and those with null or non-finite components, or of another length
-    than most (numbered). Zero vectors take part. Null vec_ids: candidates only, first among ties. Empty input: no rows.
+    Left out as queries and candidates: null vectors and those with null or non-finite components (numbered). Zero vectors take part. Null vec_ids: candidates only, first among ties. Empty input: no rows.
     """
     value = F.transform("embedding", lambda x: F.floor(x.cast("double") * scale))
     d = numbered(vectors, value, zero=True, most=2.0**62 / scale)
@@ -411,6 +414,8 @@ def top_products(vectors: DataFrame, k: int = 5, scale: int = 256, bucket: int =
     lengths = sizes.orderBy("bucket").collect()  # at most most_buckets rows, from long to short
     reached = F.size(F.filter(F.lit([r["longest"] for r in lengths]), lambda x: x >= F.col("need")))
     reach = asked.withColumn("bucket", F.explode(F.slice(F.lit([r["bucket"] for r in lengths]), F.lit(1), reached))).drop("need")
+    # A block meets the chunks of a bucket one by one, so that a norm that most vectors have is shared by many tasks.
+    reach = reach.join(F.broadcast(sizes.select("bucket", "chunks")), "bucket").withColumn("chunk", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1))).drop("chunks")
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -442,6 +447,6 @@ def top_products(vectors: DataFrame, k: int = 5, scale: int = 256, bucket: int =
             if (r := _rows(parts, pa.int64())) is not None:
                 yield r
 
-    pairs = reach.join(chunks, "bucket").select("q_rows", "q_ids", "qs", "thetas", "rows", "ids", "vs")
+    pairs = reach.join(chunks, ["bucket", "chunk"]).select("q_rows", "q_ids", "qs", "thetas", "rows", "ids", "vs")
     found = pairs.mapInArrow(verify, FOUND + "long")
     return merged(found, k)
