@@ -22,15 +22,66 @@ def folded(s: pd.Series) -> pd.Series:
     return s.map(lambda x: None if x is None else unicodedata.normalize("NFKD", x).encode("ascii", "ignore").decode().lower())
 
 
-def normalized(c: Column) -> Column:
-    """T01 less its Unicode part: plain quotes, single blanks."""
+@F.pandas_udf(StringType())
+def composed(s: pd.Series) -> pd.Series:
+    """Compatibility forms in their plain form, composed (NFKC)."""
+    return s.map(lambda x: x if x is None or x.isascii() else unicodedata.normalize("NFKC", x))
+
+
+def plain(c: Column) -> Column:
+    """Plain quotes, single blanks."""
     return F.trim(F.regexp_replace(F.translate(c, QUOTES, PLAIN), r"\s+", " "))
 
 
+def normalized(c: Column) -> Column:
+    """Compatibility forms composed, plain quotes, single blanks."""
+    return plain(composed(c))
+
+
+def bare(c: Column) -> Column:
+    """ASCII lower case without accents, signs as blanks, single blanks."""
+    return F.trim(F.regexp_replace(folded(c), r"[^a-z0-9]+", " "))
+
+
+def is_contents(c: Column) -> Column:
+    """A page with four or more runs of leader dots, each of four dots or more."""
+    return F.coalesce(F.regexp_count(c, F.lit(r"\.{4,}")) >= 4, F.lit(False))
+
+
+#: Operative articles and phrases, in the order in which they decide, with outcome and stage.
+ARTICLES = [
+    ("article 8(3)", "blocked", "phase2"),
+    ("article 8, paragraph 3", "blocked", "phase2"),
+    ("article 8(2)", "cleared_with_conditions", "phase2"),
+    ("article 8, paragraph 2", "cleared_with_conditions", "phase2"),
+    ("article 8(1)", "cleared", "phase2"),
+    ("article 8, paragraph 1", "cleared", "phase2"),
+    ("article 6(2)", "cleared_with_conditions", "phase1"),
+    ("article 6, paragraph 2", "cleared_with_conditions", "phase1"),
+    ("article 6(1)(b)", "cleared", "phase1"),
+    ("article 6(1)(c)", "pending", "phase2"),
+    ("does not raise serious doubts", "cleared", "unknown"),
+    ("compatible with the internal market", "cleared", "unknown"),
+    ("does not significantly impede effective competition", "cleared", "unknown"),
+]
+CONDITIONAL = ["condition", "commitment", "undertaking"]
+
+
+def article_outcome(c: Column) -> Column:
+    """Outcome and stage by the first article or phrase of ARTICLES in the text; article 6(1)(b) with a word of CONDITIONAL is cleared with conditions."""
+    t, out = F.lower(c), F.struct(F.lit("unknown").alias("outcome"), F.lit("unknown").alias("stage"))
+    for phrase, outcome, stage in reversed(ARTICLES):
+        said = F.lit(outcome)
+        if phrase == "article 6(1)(b)":
+            said = F.when(F.exists(F.lit(CONDITIONAL), lambda w: F.contains(t, w)), "cleared_with_conditions").otherwise(outcome)
+        out = F.when(F.contains(t, F.lit(phrase)), F.struct(said.alias("outcome"), F.lit(stage).alias("stage"))).otherwise(out)
+    return out
+
+
 def html_text(html: Column) -> Column:
     """Text of a page without scripts, styles and tags."""
     bare = F.regexp_replace(html, r"(?is)<(script|style)[^>]*>.*?</\1>", " ")
-    return normalized(F.regexp_replace(bare, "<[^>]+>", " "))
+    return plain(F.regexp_replace(bare, "<[^>]+>", " "))
 
 
 def tokens(c: Column) -> Column:

@@ -27,9 +27,9 @@ def grounded(passages: DataFrame, pages: DataFrame) -> DataFrame:
 
     passages: passage_id, doc_id, page, quote; only pages of the cited document are read, by an equi-join.
     """
-    q, t = T.normalized(F.col("quote")), T.normalized(F.col("text"))
-    d = passages.join(pages, "doc_id", "left")
-    hit = F.coalesce(F.contains(t, q), F.lit(False))
+    p, t = passages.withColumn("q", T.normalized(F.col("quote"))), pages.withColumn("t", T.normalized(F.col("text")))
+    d = p.join(t, "doc_id", "left")
+    hit = F.coalesce(F.contains("t", F.col("q")), F.lit(False))
     g = d.groupBy("passage_id").agg(
         F.first("page").alias("page"),
         F.count("page_number").alias("pages"),
@@ -65,3 +65,39 @@ def dense(pairs: DataFrame, recall: float = 0.85) -> DataFrame:
     best = sums.withColumn("run", run).groupBy("pair_id").agg(F.max(F.col("run") / F.col("of")).alias("best"))
     d = d.join(best, "pair_id", "left")
     return d.select("pair_id", (F.col("verbatim") | F.coalesce(F.col("best") >= recall, F.lit(False))).alias("found"))
+
+
+#: Words in a run that a quote and a text must share before they are compared.
+RUN = 5
+
+
+def verbatim(quotes: DataFrame, texts: DataFrame) -> DataFrame:
+    """item_id, doc_id where the whole quote q is in the whole text t; both sides come in one form, with single blanks.
+
+    A quote's words but for the first and last are words of the text, so that quote and text meet at the second to
+    sixth word of it (at the second alone, if it has fewer than seven), by a join on hashes of runs of words. Quotes under
+    three words say nothing and are left out, as are null ones.
+    """
+    ws = F.split("q", " ")
+    key = F.when(F.size(ws) >= RUN + 2, F.xxhash64(F.array_join(F.slice(ws, 2, RUN), " "))).when(F.size(ws) >= 3, F.xxhash64(F.get(ws, F.lit(1))))
+    q = quotes.select("item_id", "q", key.alias("k")).where("k is not null")
+    runs = F.transform(F.sequence(F.lit(1), F.greatest(F.size("w") - RUN + 1, F.lit(1))), lambda i: F.xxhash64(F.array_join(F.slice("w", i, RUN), " ")))
+    d = texts.where("t <> ''").select("doc_id", F.split("t", " ").alias("w"))
+    d = d.select("doc_id", F.explode(F.array_distinct(F.concat(runs, F.transform("w", lambda x: F.xxhash64(x))))).alias("k"))
+    pairs = d.join(q.select("item_id", "k"), "k").select("item_id", "doc_id").distinct()
+    return pairs.join(q.select("item_id", "q"), "item_id").join(texts.select("doc_id", "t"), "doc_id").where(F.contains("t", F.col("q"))).select("item_id", "doc_id")
+
+
+def likely(quotes: DataFrame, texts: DataFrame, recall: float = 0.85) -> DataFrame:
+    """Pairs (item_id, doc_id) of quotes (item_id, quote) and texts (doc_id, text) of which dense may say yes; quotes under four distinct tokens are left out.
+
+    A quote of n distinct tokens has that share of them in the text, or all but two if it is there verbatim: of its
+    n - ceil(recall * n) + 1 rarest tokens, three at least, one is in the text.
+    """
+    words = lambda d, c, *keys: d.select(*keys, F.array_distinct(T.tokens(T.normalized(F.col(c)))).alias("ts"))
+    docs = words(texts, "text", "doc_id").select("doc_id", F.explode("ts").alias("tok"))
+    df = docs.groupBy("tok").agg(F.count("*").alias("df"))
+    q = words(quotes, "quote", "item_id").where(F.size("ts") > 3).select("item_id", F.size("ts").alias("n"), F.explode("ts").alias("tok")).join(df, "tok", "left")
+    q = q.withColumn("i", F.row_number().over(W.partitionBy("item_id").orderBy(F.coalesce("df", F.lit(0)), "tok")))
+    q = q.where(F.col("i") <= F.greatest(F.col("n") - F.ceil(F.lit(recall) * F.col("n")) + 1, F.lit(3)))
+    return docs.join(q.select("item_id", "tok"), "tok").select("item_id", "doc_id").distinct()

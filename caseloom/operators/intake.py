@@ -12,11 +12,17 @@ from caseloom.functions import text as T
 from caseloom.operators import checks as K
 
 
+#: Fixed value: what follows a text that is cut.
+TRUNCATED = "\n\n[... document truncated ...]"
+
+
 def delimited(spark: SparkSession, path: str, most: int = 30_000) -> DataFrame:
-    """Path and text of each delimited file: its cells joined by tabs and line breaks, cut at `most` signs (the reader's limit)."""
-    rows = spark.read.text(path, wholetext=True).select(F.input_file_name().alias("path"), "value")
-    cells = F.regexp_replace(F.regexp_replace("value", r"\r\n?", "\n"), r"[,;\t]", "\t")
-    return rows.select("path", F.substring(F.trim(cells), 1, most).alias("text"))
+    """Path and text of each delimited file, as it stands; over `most` signs it is cut and says so. Files of blanks alone are left out."""
+    return clipped(spark.read.text(path, wholetext=True).select(F.input_file_name().alias("path"), F.col("value").alias("text")).where("trim(text) <> ''"), most)
+
+
+def clipped(texts: DataFrame, most: int) -> DataFrame:
+    return texts.withColumn("text", F.when(F.length("text") > most, F.concat(F.substring("text", 1, most), F.lit(TRUNCATED))).otherwise(F.col("text")))
 
 
 def sink(rows: DataFrame, totals: DataFrame, path: str) -> None:
@@ -35,7 +41,7 @@ def profiles(spark: SparkSession, path: str) -> DataFrame:
 
 def dated_links(pages: DataFrame, date: str = r"(\d{4}-\d{2}-\d{2})") -> DataFrame:
     """page_id, label, url, day of the links of a page with a date in the text after them; both needed, repeats once."""
-    parts = pages.select("page_id", F.explode(F.slice(F.split("html", "(?i)<a "), 2, 1_000_000)).alias("part"))
+    parts = pages.select("page_id", F.explode(F.expr("filter(split(html, '(?i)<a '), (x, i) -> i > 0)")).alias("part"))
     url, label = F.regexp_extract("part", 'href="([^"]*)"', 1), F.trim(F.regexp_extract("part", r">([^<]*)</a>", 1))
     tail = F.regexp_extract("part", r"(?s)</a>(.*)$", 1)
     d = parts.select("page_id", label.alias("label"), url.alias("url"), F.regexp_extract(tail, date, 1).alias("day"))
@@ -72,13 +78,22 @@ def seed_records(seeds: DataFrame) -> tuple[DataFrame, DataFrame]:
     return d.where("lacks is null").drop("lacks"), d.where("lacks is not null")
 
 
-#: Rates to the euro used where a deal brings none.
-RATES = {"EUR": 1.0, "USD": 0.92, "GBP": 1.17, "JPY": 0.0062}
+#: Units of a currency for a US dollar, used where a deal brings no rate.
+RATES = {
+    "USD": 1.0,
+    "EUR": 0.92, "GBP": 0.79, "CNY": 7.24, "CAD": 1.37, "BRL": 5.10,
+    "JPY": 150.0, "KRW": 1370.0, "INR": 84.0, "AUD": 1.53, "ZAR": 18.5,
+    "TRY": 32.0, "MXN": 17.0, "PLN": 4.0, "ILS": 3.7, "AED": 3.67,
+    "SAR": 3.75, "NTD": 32.0, "ARS": 1050.0, "NGN": 1600.0, "NZD": 1.63,
+    "RUB": 90.0, "COP": 4200.0, "KES": 130.0, "EGP": 50.0, "SGD": 1.35,
+    "HUF": 370.0, "CZK": 23.0, "DKK": 6.9, "SEK": 10.5, "NOK": 10.8,
+    "CHF": 0.9, "RON": 4.6,
+}
 
 
-def in_base_units(millions: Column, currency: Column) -> Column:
-    """An amount given in millions of a currency, in euros; null for an unknown currency."""
-    return millions * 1e6 * F.try_element_at(F.create_map(*[F.lit(x) for kv in RATES.items() for x in kv]), currency)
+def in_base_units(millions: Column, currency: Column, rates: dict[str, float] = RATES) -> Column:
+    """An amount given in millions of a currency, in US dollars; null for an unknown currency."""
+    return millions * 1e6 / F.try_element_at(F.create_map(*[F.lit(x) for kv in rates.items() for x in kv]), currency)
 
 
 def url_signs(url: Column, title: Column) -> Column:

@@ -31,9 +31,73 @@ def ratio(a: Column, b: Column) -> Column:
     return F.pandas_udf(of, DoubleType())(a, b)
 
 
+#: Synonyms of names, narrower ones first.
+SYNONYMS = [
+    (r"\bwearable\s+os(?:es?|s)?\b", "wearable operating system"),
+    (r"\blicensable\s+os(?:es?|s)?\b", "licensable operating system"),
+    (r"\bos(?:es?|s)?\b", "operating system"),
+    (r"\bplatform(?:s)?\b", "operating system"),
+    (r"\bwrist[-\s]?worn\b", "wearable"),
+    (r"\bad[-\s]?tech(?:nology)?\b", "advertising technology"),
+    (r"\badtech\b", "advertising technology"),
+    (r"\bintermediation\b", "advertising"),
+    (r"\bapplication\s+store(?:s)?\b", "app store"),
+]
+#: Words of names that tell nothing; for names of places, those of regions and scope too.
+STOP = "the a an of for and or to in at by on with from within market markets relevant".split()
+GEO_STOP = STOP + "eea eu uk us national worldwide global international geographic geographical scope geo regional area territory least along lines excluding china wide eeea".split()
+#: Words of each class of device; classes that conflict; what a conflict leaves of a similarity.
+DEVICES = {
+    "pc": r"\b(?:pc(?:s)?\b|personal\s+computer|desktop|laptop)",
+    "mobile": r"\b(?:smart\s+mobile|mobile\s+devices?|smartphone|smart\s*phone|cell\s*phone)",
+    "wearable": r"\b(?:wearable|smartwatch|fitness\s+tracker|wristband)",
+}
+CONFLICTS, CONFLICT_FACTOR = [("pc", "wearable"), ("pc", "mobile")], 0.55
+#: Weight of the context of two places, and its least overlap for a rename.
+CONTEXT_WEIGHT, CONTEXT_LEAST = 0.85, 0.30
+
+
+def synonymous(c: Column) -> Column:
+    """A name in lower case with its synonyms written one way."""
+    out = F.lower(c)
+    for pattern, one in SYNONYMS:
+        out = F.regexp_replace(out, pattern, one)
+    return out
+
+
+def name_words(c: Column, stop: list[str]) -> Column:
+    """Distinct words of a synonymous name, longer than two signs, without stop words and plural endings."""
+    ws = F.filter(F.regexp_extract_all(synonymous(c), F.lit(r"(?U)\b\w+\b"), F.lit(0)), lambda w: (F.length(w) > 2) & ~w.isin(stop))
+    return F.array_distinct(F.transform(ws, lambda w: F.when((F.length(w) > 4) & w.endswith("s") & ~w.endswith("ss"), F.substring(w, F.lit(1), F.length(w) - 1)).otherwise(w)))
+
+
+def shared_words(a: Column, b: Column, stop: list[str]) -> Column:
+    """Common words over all words of two names; 0 if either has none."""
+    x, y = name_words(a, stop), name_words(b, stop)
+    return F.when((F.size(x) > 0) & (F.size(y) > 0), F.size(F.array_intersect(x, y)) / F.size(F.array_union(x, y))).otherwise(0.0)
+
+
 def similarity(a: Column, b: Column) -> Column:
-    """The larger of the ratio of the names in lower case and the overlap of their tokens."""
-    return F.greatest(ratio(F.lower(F.trim(a)), F.lower(F.trim(b))), T.overlap(a, b))
+    """The largest of the ratio of two names, that of their synonymous forms, and the overlap of their words."""
+    form = lambda c: F.trim(F.lower(c))
+    return F.greatest(ratio(form(a), form(b)), ratio(form(synonymous(a)), form(synonymous(b))), shared_words(a, b, STOP))
+
+
+def device_factor(a: Column, b: Column) -> Column:
+    """What a conflict of the devices that two names are about leaves of their similarity; else 1."""
+    has = lambda c, d: F.regexp_like(synonymous(c), F.lit(f"(?i){DEVICES[d]}"))
+    clash = F.lit(False)
+    for x, y in CONFLICTS:
+        some = (has(a, x) | has(a, y)) & (has(b, x) | has(b, y))
+        clash = clash | (some & ((has(a, x) != has(b, x)) | (has(a, y) != has(b, y))))
+    return F.when(clash, CONFLICT_FACTOR).otherwise(1.0)
+
+
+def contextual(a: Column, b: Column, kind: Column) -> Column:
+    """Similarity by the kind of proposition: products are cut by a conflict of devices, places raised by their shared context."""
+    s = similarity(a, b)
+    context = F.least(shared_words(a, b, GEO_STOP) * CONTEXT_WEIGHT, F.lit(MATCH - 0.01))
+    return F.when(kind == "geographic", F.greatest(s, context)).when(kind == "product", s * device_factor(a, b)).otherwise(s)
 
 
 def reconciled(existing: DataFrame, drafts: DataFrame) -> DataFrame:
@@ -41,7 +105,7 @@ def reconciled(existing: DataFrame, drafts: DataFrame) -> DataFrame:
 
     existing: case_id, kind, item, name; drafts: case_id, kind, draft, draft_name. Ties go to the first draft.
     """
-    p = existing.join(drafts, ["case_id", "kind"]).withColumn("similarity", similarity(F.col("name"), F.col("draft_name")))
+    p = existing.join(drafts, ["case_id", "kind"]).withColumn("similarity", contextual(F.col("name"), F.col("draft_name"), F.col("kind")))
     best = F.row_number().over(W.partitionBy("case_id", "kind", "item").orderBy(F.col("similarity").desc(), "draft"))
     p = p.withColumn("n", best).where("n = 1").select("case_id", "kind", "item", "draft", "similarity")
     d = existing.join(p, ["case_id", "kind", "item"], "left")

@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from functools import reduce
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
@@ -15,17 +20,47 @@ def cosine(a: Column, b: Column) -> Column:
     return dot(a, b) / (F.sqrt(dot(a, a)) * F.sqrt(dot(b, b)))
 
 
+#: Query vectors that go to every task at once.
+BLOCK = 4096
+
+
 def top_k(vectors: DataFrame, queries: DataFrame, k: int, floor: float = 0.5) -> DataFrame:
     """query_id, id, similarity, rank: the k nearest of each query from a floor up; ties by id.
 
-    queries is a stated set (a handful of vectors a request): it goes to every task, and its size is checked.
+    queries is a stated set: blocks of BLOCK vectors meet all rows one after another, in tasks that keep the k
+    best of each query and batch. Null and zero vectors, and those with null components, have no similarity. Vectors are of one length.
     """
-    if queries.limit(10_001).count() > 10_000:
-        raise ValueError("more than 10000 query vectors: ask in parts")
-    q = queries.select(F.col("id").alias("query_id"), F.col("embedding").alias("q"))
-    d = vectors.crossJoin(F.broadcast(q)).withColumn("similarity", cosine(F.col("embedding"), F.col("q"))).where(F.col("similarity") >= floor)
-    rank = F.row_number().over(W.partitionBy("query_id").orderBy(F.col("similarity").desc(), "id"))
-    return d.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "id", "similarity", "rank")
+    has = lambda d: d.where(F.forall("embedding", lambda x: x.isNotNull()) & F.exists("embedding", lambda x: x != 0)).select("id", F.transform("embedding", lambda x: x.cast("double")).alias("v"))
+    q, v = has(queries), has(vectors)
+    blocks = max(1, -(-q.count() // BLOCK))
+    q = q.withColumn("block", F.pmod(F.xxhash64("id"), F.lit(blocks)))
+    found = reduce(DataFrame.union, [_near(v, q.where(F.col("block") == b), k, floor) for b in range(blocks)])
+    rank = F.row_number().over(W.partitionBy("query_id").orderBy(F.round("similarity", 12).desc(), "id"))
+    return found.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "id", "similarity", "rank")
+
+
+def _near(vectors: DataFrame, queries: DataFrame, k: int, floor: float) -> DataFrame:
+    rows = queries.select("id", "v").toArrow()  # one block
+    ids = rows["id"].to_numpy()
+    held = vectors.sparkSession.sparkContext.broadcast(_unit(rows["v"]) if len(ids) else None)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if held.value is None or not batch.num_rows:
+                continue
+            s = np.clip(held.value @ _unit(batch.column(1)).T, -1, 1)
+            own = batch.column(0).to_numpy()
+            least = np.partition(s, -k, 1)[:, -k] if len(own) > k else np.full(len(s), -1.0)
+            i, j = np.nonzero(s >= np.maximum(floor, least - 1e-9)[:, None])
+            yield pa.RecordBatch.from_arrays([pa.array(ids[i], pa.int64()), pa.array(own[j], pa.int64()), pa.array(s[i, j], pa.float64())], ["query_id", "id", "similarity"])
+
+    return vectors.select(F.col("id").cast("long"), "v").mapInArrow(run, "query_id long, id long, similarity double")
+
+
+def _unit(column: pa.Array | pa.ChunkedArray) -> np.ndarray:
+    column = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
+    m = column.flatten().to_numpy(zero_copy_only=False).reshape(len(column), -1)
+    return m / np.sqrt((m * m).sum(1, keepdims=True))
 
 
 def with_catalog(hits: DataFrame, catalog: DataFrame, k: int) -> DataFrame:

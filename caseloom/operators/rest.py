@@ -148,8 +148,8 @@ def concept_label(c: Column) -> Column:
 
 
 def gold_form(c: Column) -> Column:
-    """Quotes, dashes, soft hyphens and line-end hyphens in one form, lower case, single blanks."""
-    s = F.regexp_replace(c, r"(\w)-[ \t]*\n[ \t]*(\w)", "$1$2")
+    """Compatibility forms (ligatures) composed; quotes, dashes, soft hyphens and line-end hyphens in one form, lower case, single blanks."""
+    s = F.regexp_replace(T.composed(c), r"(\w)-[ \t]*\n[ \t]*(\w)", "$1$2")
     s = F.translate(F.regexp_replace(s, "­", ""), "‘’“”‐‑–—", "''\"\"----")
     return F.trim(F.regexp_replace(F.lower(s), r"\s+", " "))
 

@@ -63,10 +63,10 @@ def t13_seed_records(spark, sf):
     return built.select(F.lit("built").alias("lacks")).union(rest.select("lacks")).groupBy("lacks").agg(F.count("*").alias("n"))
 
 
-@query("""SELECT o_orderkey AS id, round(o_totalprice / 1000 * 1000000 * CASE o_orderkey % 4 WHEN 0 THEN 1.0 WHEN 1 THEN 0.92 WHEN 2 THEN 1.17 END, 2)::DOUBLE AS euros FROM orders""")
+@query("""SELECT o_orderkey AS id, round(o_totalprice / 1000 * 1000000 / CASE o_orderkey % 4 WHEN 0 THEN 0.92 WHEN 1 THEN 1.0 WHEN 2 THEN 0.79 END, 2)::DOUBLE AS dollars FROM orders""")
 def n13_unit_scaling(spark, sf):
     currency = F.expr("case o_orderkey % 4 when 0 then 'EUR' when 1 then 'USD' when 2 then 'GBP' else 'XXX' end")
-    return A.table(spark, sf, "orders").select(F.col("o_orderkey").alias("id"), F.round(I.in_base_units(F.col("o_totalprice") / 1000, currency), 2).alias("euros"))
+    return A.table(spark, sf, "orders").select(F.col("o_orderkey").alias("id"), F.round(I.in_base_units(F.col("o_totalprice") / 1000, currency), 2).alias("dollars"))
 
 
 @query(r"""SELECT page_id, regexp_matches(lower(url), '/(search|portal|cases)/?(\?|$)') AS portal, regexp_matches(lower(url), '/[0-9]{5,}([/?#]|$)') AS opaque, contains(lower(url), 'tionsh') AS titled FROM pages""")

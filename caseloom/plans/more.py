@@ -105,11 +105,11 @@ def p24_truncated_quotes(spark, sf):
     return p.select("doc_id", "page_number", cut.alias("truncated"))
 
 
-@query(with_(A.PAGES_SQL) + r""" SELECT doc_id, count(*) FILTER (len(regexp_extract_all(text, '\.[^.]*\.')) >= 4) AS toc_like FROM text_pages GROUP BY 1""")
+@query(with_(A.PAGES_SQL) + r""" SELECT doc_id, count(*) FILTER (len(regexp_extract_all(replace(text, ' ', '.... '), '\.{4,}')) >= 4) AS toc_like FROM text_pages GROUP BY 1""")
 def p23_contents_pages(spark, sf):
-    """Runs of dots with fewer between, as driver text has no dotted leaders."""
-    p = A.text_pages(spark, sf)
-    return p.groupBy("doc_id").agg(F.count_if(F.regexp_count("text", F.lit(r"\.[^.]*\.")) >= 4).alias("toc_like"))
+    """Each blank of a page's text stands for a leader, as driver text has none."""
+    p = A.text_pages(spark, sf).withColumn("text", F.replace("text", F.lit(" "), F.lit(".... ")))
+    return p.groupBy("doc_id").agg(F.count_if(T.is_contents(F.col("text"))).alias("toc_like"))
 
 
 @query("SELECT user_id AS id, CASE WHEN max(CASE WHEN event_type = 'purchase' THEN 1 ELSE 0 END) = 1 THEN 'REVIEWED' WHEN count(*) > 70 THEN 'UNKNOWN' ELSE 'NO_REVIEW' END AS status FROM events GROUP BY 1")
@@ -125,13 +125,13 @@ def p31_review_status(spark, sf):
 
 @query(with_(A.MARKETS_SQL) + """, k AS (SELECT *, lower(trim(name)) AS key FROM markets), f AS (SELECT lower(trim(name)) AS q FROM markets ORDER BY seq LIMIT 1),
     s AS (SELECT DISTINCT case_id FROM k, f WHERE key = q), c AS (SELECT key, count(DISTINCT case_id) AS n, min(seq) AS s FROM k, f WHERE key <> q AND case_id IN (FROM s) GROUP BY 1),
-    b AS (SELECT lower(trim(p_brand)) AS key, min(p_partkey) AS r FROM part WHERE p_partkey < 8 GROUP BY 1),
+    b AS (SELECT lower(trim(p_brand)) AS key, min(p_partkey) AS r FROM part GROUP BY 1),
     u AS (SELECT key, 0 AS src, row_number() OVER (ORDER BY n DESC, s) AS r FROM c UNION ALL SELECT key, 1, r FROM b WHERE key NOT IN (SELECT key FROM c))
     SELECT key, CASE src WHEN 0 THEN 'cooccurrence' ELSE 'semantic' END AS origin FROM u ORDER BY src, r LIMIT 8""")
 def j08_similar_names(spark, sf):
     m = A.markets(spark, sf)
     co = C.cooccurring(m, m.orderBy("seq").first()["name"]).select("key", F.lit(0).alias("src"), F.row_number().over(W.orderBy(F.col("shared_cases").desc(), "first_seq")).cast("long").alias("r"))
-    sem = A.table(spark, sf, "part").where("p_partkey < 8").groupBy(C.name_key(F.col("p_brand")).alias("key")).agg(F.min("p_partkey").alias("r")).select("key", F.lit(1).alias("src"), "r")
+    sem = A.table(spark, sf, "part").groupBy(C.name_key(F.col("p_brand")).alias("key")).agg(F.min("p_partkey").alias("r")).select("key", F.lit(1).alias("src"), "r")
     every = co.unionByName(sem.join(co, "key", "left_anti")).orderBy("src", "r").limit(8)
     return every.select("key", F.when(F.col("src") == 0, "cooccurrence").otherwise("semantic").alias("origin"))
 
@@ -298,24 +298,24 @@ def a36_evaluation_gate(spark, sf):
 # ------------------------------------------------------------------ text and sections
 
 
-@query(with_(A.PAGES_SQL) + """, q AS (SELECT doc_id AS id, substring(text, 3, 70) AS q FROM text_pages WHERE page_number = 1 AND length(text) > 90),
-    d AS (SELECT id, substring(q, 1, 30) || ' inserted words ' || substring(q, 31) AS q, text AS t FROM q JOIN text_pages ON id = doc_id),
-    s AS (SELECT id, q, t, substring(q, 1, 28) AS f1, substring(q, 57, 28) AS f5, contains(t, substring(q, 1, 28)) AND contains(t, substring(q, 57, 28)) AS x FROM d)
-    SELECT id, count(*) AS pages, count(*) FILTER (contains(t, q)) AS verbatim FROM s GROUP BY 1""")
+@query(with_(A.PAGES_SQL) + """, q AS (SELECT doc_id AS id, text AS t, substring(text, 3, 30) || ' inserted words ' || substring(text, 33, 40) AS q FROM text_pages WHERE length(text) > 90),
+    s AS (SELECT id, contains(t, q) AS v, contains(t, substring(q, 1, 28)) AND contains(substring(t, strpos(t, substring(q, 1, 28)) + 28), substring(q, 57, 28)) AS x FROM q)
+    SELECT id, count(*) AS pages, count(*) FILTER (v) AS verbatim, count(*) FILTER (x) AS found FROM s GROUP BY 1""")
 def t07_fragment_quotes(spark, sf):
-    """Pages on which a quote with words put in is verbatim (none); fragments find it all the same, see the tests."""
-    p = A.text_pages(spark, sf)
-    q = p.where("page_number = 1 and length(text) > 90").select(F.col("doc_id").alias("id"), F.expr("concat(substring(text, 3, 30), ' inserted words ', substring(text, 33, 40))").alias("quote"))
-    d = q.join(p, q.id == p.doc_id).withColumn("found", G.by_fragments(F.col("quote"), F.col("text")))
-    return d.groupBy("id").agg(F.count("*").alias("pages"), F.count_if(F.contains("text", F.col("quote"))).alias("verbatim"))
+    """Quotes of every page with words put in: how many are verbatim, and how many fragments find."""
+    p = A.text_pages(spark, sf).where("length(text) > 90")
+    q = p.withColumn("quote", F.expr("concat(substring(text, 3, 30), ' inserted words ', substring(text, 33, 40))"))
+    found = G.by_fragments(F.col("quote"), F.col("text"))
+    return q.groupBy(F.col("doc_id").alias("id")).agg(F.count("*").alias("pages"), F.count_if(F.contains("text", F.col("quote"))).alias("verbatim"), F.count_if(found).alias("found"))
 
 
-@query("""WITH t AS (SELECT page_id AS id, page_id % 4 AS a, page_id % 3 AS b FROM pages) SELECT id, concat_ws(' > ', '1 Market', CASE a WHEN 0 THEN NULL ELSE '1.' || a || ' Part' END, CASE WHEN a > 0 AND b > 0 THEN '1.' || a || '.' || b || ' Item' END) AS path FROM t""")
+@query(with_(A.PAGES_SQL) + """, h AS (SELECT doc_id, page_number, page_number - (page_number - 1) % 7 AS a, (page_number - 1) % 7 >= 2 AS b, text FROM text_pages)
+    SELECT h.doc_id, h.page_number, '1 H ' || x.text || CASE WHEN b THEN ' > 1.2 H ' || y.text ELSE '' END AS path
+    FROM h JOIN text_pages x ON x.doc_id = h.doc_id AND x.page_number = a LEFT JOIN text_pages y ON y.doc_id = h.doc_id AND y.page_number = a + 2""")
 def w01_heading_paths(spark, sf):
-    """Each page's key as a document of three lines with numbered headings; the path open at the last line."""
-    p = A.table(spark, sf, "pages").selectExpr("page_id AS doc_id", "array('1. Market', if(page_id % 4 > 0, concat('1.', page_id % 4, ' Part'), 'plain'), if(page_id % 4 > 0 and page_id % 3 > 0, concat('1.', page_id % 4, '.', page_id % 3, ' Item'), 'more')) AS l")
-    p = p.select("doc_id", F.posexplode("l").alias("p", "text")).select("doc_id", (F.col("p") + 1).alias("page_number"), "text")
-    return S.heading_paths(p).where("page_number = 3").select(F.col("doc_id").alias("id"), "path")
+    """The lines of documents, of which one in seven is a heading and the second after it one below it; the path open at each line."""
+    p = A.text_pages(spark, sf)
+    return S.heading_paths(p.withColumn("text", F.expr("case (page_number - 1) % 7 when 0 then concat('1. H ', text) when 2 then concat('1.2 H ', text) else concat('x ', text) end"))).select("doc_id", "page_number", "path")
 
 
 @query("SELECT p_partkey AS id, CASE p_type WHEN 'ECONOMY' THEN 'defined' WHEN 'SMALL' THEN 'discussed' WHEN 'PROMO' THEN 'considered' END AS status, p_type NOT IN ('ECONOMY', 'SMALL', 'PROMO') AS warning FROM part")

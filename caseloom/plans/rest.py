@@ -139,7 +139,7 @@ def w09_split_points(spark, sf):
 @query()
 def k04_vector_index(spark, sf):
     v = A.table(spark, sf, "embeddings").select(F.col("vec_id").alias("id"), "embedding")
-    return R.approximate(v, v.where("id < 10"), 10)
+    return R.approximate(v, v.where("id % 100 = 0"), 10)
 
 
 @query("SELECT p_type AS name, count(*) AS n, min(p_partkey) AS first_seq FROM part GROUP BY 1")
@@ -171,13 +171,12 @@ def t22_labels(spark, sf):
     return A.table(spark, sf, "part").select(F.col("p_partkey").alias("id"), R.concept_label(c).alias("label"))
 
 
-@query(r"""WITH q AS (SELECT item_id, lower(trim(regexp_replace(substring(text, 1, 40), '\s+', ' ', 'g'))) AS q FROM benchmark), d AS (SELECT doc_id, lower(trim(regexp_replace(text, '\s+', ' ', 'g'))) AS t FROM documents)
-    SELECT item_id, count(*) AS documents FROM q JOIN d ON contains(t, q) GROUP BY 1""")
+@query(r"""WITH q AS (SELECT item_id, lower(trim(regexp_replace(text, '\s+', ' ', 'g'))) AS q FROM benchmark), d AS (SELECT doc_id, lower(trim(regexp_replace(text, '\s+', ' ', 'g'))) AS t FROM documents)
+    SELECT item_id, doc_id FROM q JOIN d ON contains(t, q)""")
 def t08_verbatim_quotes(spark, sf):
-    """Documents that have the head of a benchmark passage verbatim, both sides in one form. The passages are a stated, short set."""
-    q = A.table(spark, sf, "benchmark").select("item_id", R.gold_form(F.substring("text", 1, 40)).alias("q"))
-    d = A.table(spark, sf, "documents").select("doc_id", R.gold_form(F.col("text")).alias("t"))
-    return d.join(F.broadcast(q), F.contains(F.col("t"), F.col("q"))).groupBy("item_id").agg(F.count("*").alias("documents"))
+    """Documents that have a whole benchmark passage verbatim, both sides in one form."""
+    q = A.table(spark, sf, "benchmark").select("item_id", R.gold_form(F.col("text")).alias("q"))
+    return G.verbatim(q, A.table(spark, sf, "documents").select("doc_id", R.gold_form(F.col("text")).alias("t")))
 
 
 @query("SELECT o_orderkey AS id, CASE o_orderkey % 5 WHEN 0 THEN 1e6 WHEN 1 THEN 1e9 WHEN 2 THEN 1e3 WHEN 3 THEN 1e6 ELSE 1 END::DOUBLE AS times FROM orders")

@@ -150,10 +150,13 @@ def test_greedy_merge_keeps_the_better_supported(spark):
     assert got == {1: 2, 2: 2, 3: 3}
 
 
-def test_query_vectors_are_bounded(spark):
-    d = spark.range(10_001).select("id", F.array(F.lit(1.0)).alias("embedding"))
-    with pytest.raises(ValueError, match="query vectors"):
-        nearest.top_k(d, d, 1)
+def test_many_query_vectors_go_in_blocks(spark, monkeypatch):
+    rng = random.Random(2)
+    d = spark.createDataFrame([(i, [rng.gauss(0, 1) for _ in range(4)]) for i in range(300)], "id long, embedding array<double>")
+    found = lambda: sorted((r.query_id, r.rank, r.id, round(r.similarity, 9)) for r in nearest.top_k(d, d, 4).collect())
+    want = found()
+    monkeypatch.setattr(nearest, "BLOCK", 70)
+    assert found() == want
 
 
 SCHEMA = StructType([StructField("case_id", LongType()), StructField("name", StringType())])
@@ -192,7 +195,7 @@ def test_slug_and_domain(spark):
 def test_delimited_sink_and_profiles(spark, tmp_path):
     (tmp_path / "f.csv").write_text("a;b\r\nc,d\n" + "x" * 50)
     text = intake.delimited(spark, str(tmp_path / "f.csv"), 12).first().text
-    assert text == "a\tb\nc\td\nxxxx"
+    assert text == "a;b\r\nc,d\nxx" + intake.TRUNCATED
     (tmp_path / "p.json").write_text('{"profile_id": "eu", "coverage_keywords": {"market": ["x"]}}\n')
     p = intake.profiles(spark, str(tmp_path / "p.json")).first()
     assert p.orphan_policy.default == "warn" and p.jurisdictions == [] and p.coverage_keywords == {"market": ["x"]}
@@ -213,3 +216,93 @@ def test_review_set_prefers_paired_names(spark):
     places = make([(1, 7, "concrete in Spain", "a", 0.5), (1, 8, "France", "a", 0.6)])
     got = {r["list"]: r.item for r in matching.review_set(products, places, 1).collect()}
     assert got == {"product": 2, "geographic": 7}
+
+
+# ------------------------------------------------------------------ names, forms, quotes
+
+
+@pytest.mark.parametrize(
+    "a,b,least,most",
+    [
+        ("Wearable OS / platforms", "Supply of licensable OSs for wrist-worn wearable devices", 0.45, 0.75),
+        ("Steel pipes", "steel pipes ", 1.0, 1.0),
+        ("Ad-tech", "Advertising technology", 1.0, 1.0),
+        ("Market for widgets", "Widgets markets", 1.0, 1.0),
+        ("Gas", "Poultry", 0.0, 0.35),
+    ],
+)
+def test_name_similarity(spark, a, b, least, most):
+    got = one(spark, matching.similarity(F.col("a"), F.col("b")), a=a, b=b)
+    assert least - 1e-9 <= got <= most + 1e-9
+
+
+def test_devices_and_places_in_reconciliation(spark):
+    assert one(spark, matching.device_factor(F.col("a"), F.col("b")), a="OSs for PCs", b="Wrist-worn OS") == 0.55
+    assert one(spark, matching.device_factor(F.col("a"), F.col("b")), a="desktop software", b="laptops") == 1.0
+    assert one(spark, matching.device_factor(F.col("a"), F.col("b")), a="smartphones", b="smartwatch") == 1.0
+    assert one(spark, matching.shared_words(F.col("a"), F.col("b"), matching.GEO_STOP), a="EEA market for wearables", b="Worldwide wearables") == 1.0
+    place = one(spark, matching.contextual(F.col("a"), F.col("b"), F.lit("geographic")), a="EEA: search engines", b="National scope of search engines in the UK")
+    assert 0.7 < place < 0.75
+
+
+def test_normal_forms(spark):
+    assert one(spark, T.normalized(F.col("c")), c="ﬁrm’s  ½ “ｆｕｌｌ”") == "firm's 1⁄2 \"full\""
+    assert one(spark, T.bare(F.col("c")), c="  Éx–ample: Ünï, ﬁn! ") == "example uni fin"
+    from caseloom.operators import rest
+
+    assert one(spark, rest.gold_form(F.col("c")), c="The ﬂuo-\n ride’s “co­op”") == "the fluoride's \"coop\""
+    assert one(spark, T.is_contents(F.col("c")), c="1 A......3\n2 B....4\n3 C.....5\n4 D........6") is True
+    assert one(spark, T.is_contents(F.col("c")), c="One. Two. Three. Four... Five.") is False
+
+
+@pytest.mark.parametrize(
+    "text,outcome,stage",
+    [("under Article 8(3) and Article 8(2)", "blocked", "phase2"), ("Article 6(1)(b) with commitments", "cleared_with_conditions", "phase1"), ("ARTICLE 6(1)(b)", "cleared", "phase1"), ("Article 6(1)(c)", "pending", "phase2"), ("It does not raise serious doubts.", "cleared", "unknown"), ("nothing", "unknown", "unknown")],
+)
+def test_article_outcomes(spark, text, outcome, stage):
+    assert tuple(one(spark, T.article_outcome(F.col("c")), c=text)) == (outcome, stage)
+
+
+def test_long_files_are_cut_and_say_so(spark, tmp_path):
+    (tmp_path / "a.csv").write_text('x,"1,200"\n' * 10)
+    (tmp_path / "b.csv").write_text("y" * 50)
+    got = {r.path[-5:]: r.text for r in intake.delimited(spark, str(tmp_path), 120).collect()}
+    assert got == {"a.csv": 'x,"1,200"\n' * 10, "b.csv": "y" * 50}
+    got = {r.path[-5:]: r.text for r in intake.delimited(spark, str(tmp_path), 20).collect()}
+    assert got["b.csv"] == "y" * 20 + "\n\n[... document truncated ...]"
+
+
+def test_quotes_in_texts_equal_brute_force(spark):
+    rng = random.Random(3)
+    word = lambda: "".join(rng.choice("abcde") for _ in range(rng.randint(1, 4)))
+    texts = [(i, " ".join(word() for _ in range(rng.randint(0, 80)))) for i in range(60)] + [(900, ""), (901, None)]
+    quotes = []
+    for j in range(80):
+        t = texts[rng.randrange(60)][1]
+        a = rng.randrange(len(t) + 1)
+        q = " ".join(t[a : a + rng.randint(5, 90)].split())
+        if j % 3 == 0:
+            q = q.replace("a", "b", 2)
+        quotes.append((j, q))
+    quotes += [(500, None), (501, "")]
+    want = {(j, i) for j, q in quotes for i, t in texts if q and t and len(q.split(" ")) >= 3 and q in t}
+    got = grounding.verbatim(spark.createDataFrame(quotes, "item_id long, q string"), spark.createDataFrame(texts, "doc_id long, t string")).collect()
+    assert {(r.item_id, r.doc_id) for r in got} == want and len(got) == len(want) > 20
+
+    qs, ts = spark.createDataFrame(quotes, "item_id long, quote string"), spark.createDataFrame(texts, "doc_id long, text string")
+    every = qs.crossJoin(ts).withColumn("pair_id", F.struct("item_id", "doc_id"))
+    found = {tuple(r.pair_id) for r in grounding.dense(every.select("pair_id", "quote", "text")).where("found").collect()}
+    near = {(r.item_id, r.doc_id) for r in grounding.likely(qs, ts).collect()}
+    tokens = {j: {w for w in re.findall("[a-z0-9]+", (q or "").lower()) if len(w) > 1} for j, q in quotes}
+    assert {(j, i) for j, i in found if len(tokens[j]) > 3} <= near and len(near) < 80 * 60 / 2
+
+
+def test_approximate_neighbours_have_recall(spark):
+    from caseloom.operators import rest
+
+    rng = random.Random(1)
+    v = spark.createDataFrame([(i, [rng.gauss(i % 7, 1) for _ in range(16)]) for i in range(600)], "id long, embedding array<double>")
+    q = v.where("id % 50 = 0")
+    want = {(r.query_id, r.id) for r in nearest.top_k(v, q, 6, -1.0).where("query_id <> id").collect()}
+    got = {(r.query_id, r.id) for r in rest.approximate(v, q, 5).collect()}
+    assert len(got & want) >= 0.9 * len(got) and len(got) == 5 * 12
