@@ -101,6 +101,13 @@ def slug(c: Column, most: int = 60) -> Column:
     return F.rtrim(F.substring(F.regexp_replace(s, "^_+|_+$", ""), 1, most), F.lit("_"))
 
 
+def cache_key(url: Column, most: int = 120) -> Column:
+    """Host and path of a link as a name for a file; "source" if nothing is left."""
+    place = F.concat(F.regexp_extract(url, r"^[a-z]+://([^/?#]*)", 1), F.lit("_"), F.regexp_extract(url, r"^[a-z]+://[^/?#]*([^?#]*)", 1))
+    s = F.regexp_replace(F.regexp_replace(F.lower(place), "[^a-z0-9]+", "_"), "^_+|_+$", "")
+    return F.coalesce(F.nullif(F.substring(s, 1, most), F.lit("")), F.lit("source"))
+
+
 def is_language(c: Column) -> Column:
     """T24."""
     return F.coalesce(c.rlike("^[a-z]{3}$"), F.lit(False))

@@ -181,3 +181,9 @@ def full_text(docs: DataFrame, query: str, k: int = 20, k1: float = 1.2, b: floa
         tf = F.col(f"t{i}")
         score = score + idf * tf * (k1 + 1) / (tf + k1 * (1 - b + b * F.col("n") / F.lit(corpus["mean"])))
     return d.select("doc_id", score.alias("score")).where("score > 0").orderBy(F.col("score").desc(), "doc_id").limit(k)
+
+
+def in_layers(canonical: DataFrame, indexed: DataFrame, column: str) -> DataFrame:
+    """The distinct values of a column over two layers, and in which they occur."""
+    both = canonical.select(column, F.lit(True).alias("canonical")).union(indexed.select(column, F.lit(False)))
+    return both.groupBy(column).agg(F.bool_or("canonical").alias("canonical"), F.bool_or(~F.col("canonical")).alias("indexed"))

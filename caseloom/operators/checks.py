@@ -106,3 +106,21 @@ def failed_links(results: DataFrame) -> DataFrame:
     d = results.join(ok, "doc")
     level = F.when(F.col("status") == "ok", "PASS").when((F.col("kind") == "case_page") & (F.col("pdf_ok") == 1), "WARN").otherwise("FAIL")
     return d.withColumn("level", level).drop("pdf_ok")
+
+
+def gate_folded(sidecars: DataFrame, gate: str, failed: Column, promoted: int) -> DataFrame:
+    """A gate's entry in failures replaced by that of its last run; the tier is `promoted` at least if it passed, 1 at most if not."""
+    rest = F.filter("failures", lambda x: x != gate)
+    out = sidecars.withColumn("failures", F.when(failed, F.concat(rest, F.array(F.lit(gate)))).otherwise(rest))
+    return out.withColumn("tier", F.when(failed, F.least("tier", F.lit(1))).otherwise(F.greatest("tier", F.lit(promoted))))
+
+
+def structure(rows: DataFrame, key: str, errors: dict[str, Column], warnings: dict[str, Column]) -> DataFrame:
+    """Key, issue (level and name) of each rule that a draft breaks; errors block it, warnings do not."""
+    return violations(rows, key, {f"ERROR: {k}": c for k, c in errors.items()} | {f"WARNING: {k}": c for k, c in warnings.items()}).withColumnRenamed("rule", "issue")
+
+
+def sidecar_tiers(passages: DataFrame, key: str) -> DataFrame:
+    """Per rule its tier (2 with a number confirmed in a grounded passage, 1 with a grounded one, else 0) and how many passages failed."""
+    tier = F.max(F.when(F.col("grounded") & F.col("numbers"), 2).when(F.col("grounded"), 1).otherwise(0))
+    return passages.groupBy(key).agg(tier.alias("tier"), F.count_if(~F.col("grounded")).alias("failures"))

@@ -91,3 +91,31 @@ def gold_matches(gold: DataFrame, drafts: DataFrame) -> DataFrame:
     both = by_name.select("gold_id", "tier", "pos", "draft_id", "seq").unionByName(by_id.select("gold_id", "tier", "pos", "draft_id", "seq"))
     one = F.row_number().over(W.partitionBy("gold_id").orderBy("tier", "pos", "seq"))
     return both.withColumn("n", one).where("n = 1").select("gold_id", "draft_id", "tier")
+
+
+def known_to_gold(gold: DataFrame, drafts: DataFrame) -> DataFrame:
+    """draft_id, known: whether a draft has the name, an alias, an expected name or the expected id of any gold item."""
+    norm = lambda c: F.lower(F.trim(c))
+    names = gold.select(F.explode(F.concat(F.array("name"), "aliases", "expected_names")).alias("k")).select(norm(F.col("k")).alias("k"))
+    ids = gold.select(F.explode("expected_ids").alias("draft_id")).distinct().withColumn("by_id", F.lit(True))
+    d = drafts.withColumn("k", norm(F.col("name"))).join(names.distinct().withColumn("by_name", F.lit(True)), "k", "left").join(ids, "draft_id", "left")
+    return d.select("draft_id", (F.coalesce("by_name", F.lit(False)) | F.coalesce("by_id", F.lit(False))).alias("known"))
+
+
+def merged_by_kind(items: DataFrame, by: dict[str, tuple[str, str]], longest: list[str]) -> DataFrame:
+    """Items of each kind merged by the key of that kind (kind -> key, prefix of new ids): kind, case_id, key, collapsed, the longest texts."""
+    parts = []
+    for kind, (key, prefix) in by.items():
+        d = merged_records(items.where(F.col("kind") == kind), [key], longest, [], [], prefix)
+        parts.append(d.select(F.lit(kind).alias("kind"), "case_id", F.col(key).alias("key"), "collapsed", *longest))
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out
+
+
+def viewed_together(drafts: DataFrame, key: str, lists: list[str], scalars: list[str]) -> DataFrame:
+    """Per key the lists of all drafts one after another, and of other fields the first value that is not empty; drafts by seq."""
+    some = lambda c: F.when(F.col(c).isNotNull() & (F.col(c).cast("string") != ""), F.col("seq"))
+    aggs = [F.flatten(F.transform(F.sort_array(F.collect_list(F.struct("seq", c))), _field(c))).alias(c) for c in lists]
+    return drafts.groupBy(key).agg(*aggs, *[F.min_by(c, some(c)).alias(c) for c in scalars])

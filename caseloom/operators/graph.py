@@ -47,3 +47,10 @@ def drawn(edges: DataFrame, nodes: DataFrame, catalog: DataFrame) -> DataFrame:
     known = catalog.select(F.col("case_id").cast("string").alias("dst"), F.lit("Case").alias("dst_label"), F.concat(F.lit("/cases/"), "case_id").alias("href"))
     edge_id = F.concat("src", F.lit("->"), "dst", F.lit(":"), "type")
     return d.join(known, ["dst_label", "dst"], "left").select(edge_id.alias("edge_id"), "dst_label", "name", "href")
+
+
+def from_records(cases: DataFrame, markets: DataFrame) -> DataFrame:
+    """Each case's neighbours from the records alone: authority, jurisdiction, how many markets and their names."""
+    m = markets.groupBy("case_id").agg(F.count("*").alias("markets"), F.array_join(F.sort_array(F.collect_set("name")), "|").alias("names"))
+    d = cases.join(m, "case_id", "left")
+    return d.select("case_id", "authority", "jurisdiction", F.coalesce("markets", F.lit(0)).alias("markets"), F.coalesce("names", F.lit("")).alias("names"))

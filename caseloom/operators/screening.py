@@ -71,7 +71,7 @@ def nth_country(metric: Column, party: Column, count: Column, country_set: Colum
 def scoped(deals: DataFrame, rules: DataFrame, zero_is_missing: bool = False) -> DataFrame:
     """Deals as each jurisdiction sees them: what is domestic comes from the country map where it is not given.
 
-    zero_is_missing: the reading of expected results, where a zero stands for no data.
+    zero_is_missing: the reading of expected results, where a zero stands for no data, and the uk and us figures are the domestic ones there.
     """
     d = deals.crossJoin(F.broadcast(rules.select("rule_id").distinct()))
     for side in ("acquirer", "target"):
@@ -80,6 +80,10 @@ def scoped(deals: DataFrame, rules: DataFrame, zero_is_missing: bool = False) ->
         if zero_is_missing:
             at, own = F.nullif(at, F.lit(0.0)), F.nullif(own, F.lit(0.0))
         home = F.coalesce(own, at)
+        if zero_is_missing:
+            rule = F.lower("rule_id")
+            named = F.when(rule == "uk", F.try_element_at(side, F.lit("uk"))).when(rule.isin("us", "us_hsr"), F.try_element_at(side, F.lit("us")))
+            home = F.coalesce(home, named)
         rest = F.map_filter(side, lambda k, v: k != "domestic")
         d = d.withColumn(side, F.when(home.isNotNull(), F.map_concat(rest, F.create_map(F.lit("domestic"), home))).otherwise(rest))
     return d
@@ -205,3 +209,8 @@ def summary(results: DataFrame) -> DataFrame:
 def mismatches(results: DataFrame, expected: DataFrame) -> DataFrame:
     """deal_id, rule_id, expected, status where a gold deal's status differs."""
     return expected.join(results, ["deal_id", "rule_id"], "left").where(~F.col("status").eqNullSafe(F.col("expected"))).select("deal_id", "rule_id", "expected", "status")
+
+
+def rule_currency(conditions: DataFrame, default: str = "EUR") -> DataFrame:
+    """Each rule's currency: that of its first condition that has one, else the default."""
+    return conditions.groupBy("rule").agg(F.coalesce(F.min_by("currency", F.when(F.col("currency").isNotNull(), F.col("seq"))), F.lit(default)).alias("currency"))

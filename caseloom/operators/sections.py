@@ -90,3 +90,56 @@ def best_links(links: DataFrame, score: Column, lead: int | None = None) -> Data
     if lead is not None:
         d = d.where(F.col("second").isNull() | (F.col("score") - F.col("second") >= lead))
     return d.select("page_id", "url", "score")
+
+
+def best_dated(links: DataFrame, score: Column) -> DataFrame:
+    """The link of the highest score over 0 of each page, then of the latest date, then the first."""
+    order = W.partitionBy("page_id").orderBy(F.col("score").desc(), F.col("day").desc(), "pos")
+    d = links.withColumn("score", score).where("score > 0").withColumn("n", F.row_number().over(order))
+    return d.where("n = 1").select("page_id", "url", "score")
+
+
+#: What names of reports have, and their scores.
+REPORTS = [
+    (100, r"final.report"),
+    (90, r"(inquiry.report|main.report)"),
+    (80, r"provisional.findings.report"),
+    (70, r"provisional.findings(?!.*(appendix|appendices|notice|summary))"),
+    (60, r"full.text.*(phase.1|phase1)"),
+    (50, r"report"),
+    (45, r"(ftd|full.?text.?decision|fulltext.decision|full.?text)"),
+    (42, r"decision"),
+    (42, r"fntq"),
+    (38, r"non.confidential"),
+    (40, r"^\d[\d\-]+\.pdf$"),
+]
+#: What names of other papers have.
+NO_REPORT = (
+    r"(final.order|interim.order|final.undertaking|interim.undertaking"
+    r"|notice|summary|appendix|appendices|glossary|annex"
+    r"|response|submission|working.paper|issues.statement"
+    r"|survey|research|timetable|extension|cancellation"
+    r"|news.release|press.rel|press_rel|enforcement.order"
+    r"|disclosures?.of.interest"
+    r"|explanatory.note|draft.final|draft_final"
+    r"|terms.of.reference|ieo|directions|commencement"
+    r"|derogation|revocation.order|revocation_order)"
+)
+
+
+def report_score(url: Column) -> Column:
+    """The score of the first of REPORTS that a file's name has; null for other papers, 0 for the rest."""
+    name = F.element_at(F.split(url, "/"), -1)
+    out = F.lit(0)
+    for score, pattern in reversed(REPORTS):
+        out = F.when(F.regexp_like(name, F.lit(f"(?i){pattern}")), score).otherwise(out)
+    return F.when(~F.regexp_like(name, F.lit(f"(?i){NO_REPORT}")), out)
+
+
+def best_reports(links: DataFrame, url: Column) -> DataFrame:
+    """page_id, url, how: the first link of the highest score over 0; else the only one that is no other paper; else none, to be looked up by hand."""
+    d = links.withColumn("score", report_score(url))
+    ours = F.when(F.col("score").isNotNull(), F.col("pos"))
+    g = d.groupBy("page_id").agg(F.max("score").alias("top"), F.max_by("url", F.when(F.col("score") > 0, F.struct("score", -F.col("pos")))).alias("best"), F.min_by("url", ours).alias("lone"), F.count("score").alias("n"))
+    how = F.when(F.col("top") > 0, "scored").when(F.col("n") == 1, "only").otherwise("manual")
+    return g.select("page_id", F.when(how == "scored", F.col("best")).when(how == "only", F.col("lone")).alias("url"), how.alias("how"))

@@ -8,12 +8,14 @@ from pyspark.sql.types import StructType
 from pyspark.sql.window import Window as W
 
 
-def records(spark: SparkSession, path: str, schema: StructType, strict: bool = False, allowed: list[str] | None = None) -> DataFrame:
+def records(spark: SparkSession, path: str, schema: StructType, strict: bool = False, allowed: list[str] | None = None, skip: str | None = None) -> DataFrame:
     """JSON records under a folder, one a line, with path and _corrupt_record; strict stops at the first bad one.
 
-    allowed: fields that may occur at all; a record with another is corrupt too. The last path of a key wins: see last_wins.
+    allowed: fields that may occur at all; a record with another is corrupt too. skip: paths that match it are no records. The last path of a key wins: see last_wins.
     """
     raw = spark.read.text(path, recursiveFileLookup=True).select(F.col("value").alias("raw"), F.input_file_name().alias("path")).where("trim(raw) <> ''")
+    if skip:
+        raw = raw.where(~F.col("path").rlike(skip))
     names = F.json_object_keys("raw")
     parsed = F.from_json("raw", schema, {"mode": "FAILFAST" if strict else "PERMISSIVE"})
     bad = names.isNull()
@@ -29,9 +31,9 @@ def last_wins(rows: DataFrame, key: str, order: str) -> DataFrame:
     return rows.withColumn("_n", F.row_number().over(W.partitionBy(key).orderBy(F.col(order).desc()))).where("_n = 1").drop("_n")
 
 
-def pages(spark: SparkSession, path: str) -> DataFrame:
-    """doc_id, page_number, text from documents landed as one JSON file each."""
-    d = spark.read.schema("source_document_id string, page_count int, pages array<struct<page_number:int,text:string>>").json(path, multiLine=True)
+def pages(spark: SparkSession, path: str, lines: bool = False) -> DataFrame:
+    """doc_id, page_number, text from documents landed as one JSON file each, or one a line."""
+    d = spark.read.schema("source_document_id string, page_count int, pages array<struct<page_number:int,text:string>>").json(path, multiLine=not lines, recursiveFileLookup=True)
     return d.select(F.col("source_document_id").alias("doc_id"), F.explode("pages").alias("p")).select("doc_id", "p.*")
 
 

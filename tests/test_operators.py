@@ -195,7 +195,7 @@ def test_slug_and_domain(spark):
 def test_delimited_sink_and_profiles(spark, tmp_path):
     (tmp_path / "f.csv").write_text("a;b\r\nc,d\n" + "x" * 50)
     text = intake.delimited(spark, str(tmp_path / "f.csv"), 12).first().text
-    assert text == "a;b\r\nc,d\nxx" + intake.TRUNCATED
+    assert text == "a;b\r\nc,d\nxxx" + intake.TRUNCATED
     (tmp_path / "p.json").write_text('{"profile_id": "eu", "coverage_keywords": {"market": ["x"]}}\n')
     p = intake.profiles(spark, str(tmp_path / "p.json")).first()
     assert p.orphan_policy.default == "warn" and p.jurisdictions == [] and p.coverage_keywords == {"market": ["x"]}
