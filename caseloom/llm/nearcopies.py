@@ -144,9 +144,9 @@ def near_roots(docs: DataFrame, slim: DataFrame) -> DataFrame:
     nodes = slim.where("n > 0").dropDuplicates(["s"]).select("s", "n", "keys").join(home, "s", "left")
     nodes = nodes.select("s", "n", F.coalesce("home", "s").alias("home"), F.posexplode("keys").alias("i", "k"))
     heads = nodes.groupBy("k").agg(F.min("s").alias("head"), F.min("home").alias("lo"), F.max("home").alias("hi")).where("lo < hi").select("k", "head")
-    met = written(nodes.join(heads, "k"), "met")
+    met = written(nodes.join(heads.hint("merge"), "k"), "met")  # sizes after explode are not estimated: no broadcast
     lead = met.where("s = head").select("k", F.col("n").alias("m"), F.col("i").alias("j"), F.col("home").alias("home_b"))
-    star = met.where("s <> head").join(lead, "k").where((F.col("home") != F.col("home_b")) & _possible("n", "m", "i", "j"))
+    star = met.where("s <> head").join(lead.hint("merge"), "k").where((F.col("home") != F.col("home_b")) & _possible("n", "m", "i", "j"))
     star = star.select(F.col("head").alias("a"), F.col("s").alias("b"))
     star = written(star.distinct(), "stars")
     links = links.union(_verified(star, slim, docs))
@@ -154,9 +154,9 @@ def near_roots(docs: DataFrame, slim: DataFrame) -> DataFrame:
     met2 = met.drop("home").join(home, "s", "left").select("k", "s", "n", "i", F.coalesce("home", "s").alias("home"))
     met2 = written(met2, "homes")
     open_ = met2.groupBy("k").agg(F.min("home").alias("lo"), F.max("home").alias("hi")).where("lo < hi").select("k")
-    left = met2.join(open_, "k", "left_semi")
+    left = met2.join(open_.hint("merge"), "k", "left_semi")
     right = left.select("k", F.col("s").alias("b"), F.col("n").alias("m"), F.col("i").alias("j"), F.col("home").alias("home_b"))
-    rest = left.join(right, "k").where((F.col("s") < F.col("b")) & (F.col("home") != F.col("home_b")) & _possible("n", "m", "i", "j"))
+    rest = left.join(right.hint("merge"), "k").where((F.col("s") < F.col("b")) & (F.col("home") != F.col("home_b")) & _possible("n", "m", "i", "j"))
     done = star.union(likely.select(F.least("a", "b"), F.greatest("a", "b")))
     rest = rest.select(F.col("s").alias("a"), "b").distinct().join(done, ["a", "b"], "left_anti")
     rest = written(rest, "rest")

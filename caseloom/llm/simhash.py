@@ -135,7 +135,7 @@ def _star_links(members: DataFrame, leaders: int) -> DataFrame:
     """(a, b): fingerprints of members (k, f, root) within MOST_BITS of a leader of their group that has another root; one for each two roots.
 
     Leaders are a few members of a group, drawn by root, so that a large component and a straggler are drawn alike. A
-    group makes a row a member at most, not a row a pair.
+    group makes a row a member at most, not a row a pair. Sizes after explode are not estimated, so that joins are told not to broadcast.
     """
     drawn = []
     for r in range(leaders):
@@ -144,7 +144,7 @@ def _star_links(members: DataFrame, leaders: int) -> DataFrame:
     heads = members.groupBy("k").agg(*drawn)
     heads = heads.select("k", F.array_distinct(F.array(*[F.struct(F.col(f"f{r}").alias("f"), F.col(f"r{r}").alias("r")) for r in range(leaders)])).alias("heads"))
     near = F.filter("heads", lambda x: (x["r"] != F.col("root")) & (_apart(F.col("f"), x["f"]) <= MOST_BITS))
-    met = members.join(heads.withColumnRenamed("k", "k2"), (F.col("k") == F.col("k2")) & (F.size(near) > 0)).select("f", "root", F.explode(near).alias("x"))
+    met = members.join(heads.withColumnRenamed("k", "k2").hint("merge"), (F.col("k") == F.col("k2")) & (F.size(near) > 0)).select("f", "root", F.explode(near).alias("x"))
     pair = met.select(F.least("root", "x.r").alias("ra"), F.greatest("root", "x.r").alias("rb"), F.least("f", "x.f").alias("a"), F.greatest("f", "x.f").alias("b"))
     return _one_each(pair)
 
@@ -172,9 +172,9 @@ def near_links(prints: DataFrame, leaders: int = 4) -> tuple[DataFrame, DataFram
     # The keys are dealt out once: what follows reads the same exchange.
     dealt = roots.select("root", "f", F.explode(F.pandas_udf(golay_keys, "array<int>")("f")).alias("k")).repartition("k")
     closed = dealt.groupBy("k").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count("*").alias("n")).where("lo = hi and n > 1")
-    left = dealt.join(closed, "k", "left_anti").select("k", F.col("f").alias("a"), F.col("root").alias("ra"))
+    left = dealt.join(closed.hint("merge"), "k", "left_anti").select("k", F.col("f").alias("a"), F.col("root").alias("ra"))
     right = left.withColumnsRenamed({"a": "b", "ra": "rb"})
-    rest = left.join(right, "k").where((_apart("a", "b") <= MOST_BITS) & (F.col("ra") < F.col("rb")))
+    rest = left.join(right.hint("merge"), "k").where((_apart("a", "b") <= MOST_BITS) & (F.col("ra") < F.col("rb")))
     third = written(_one_each(rest.select("ra", "rb", "a", "b")), "links")
     if not third.isEmpty():
         roots = _rooted(roots, components(third, "ra", "rb"))

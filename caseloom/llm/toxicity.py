@@ -57,6 +57,10 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(F.encode(doc_id.cast("string"), "UTF-8")) % 4 == 2, F.lit(False))
 
 
+#: Numbers of terms, and a value of each.
+Sparse = tuple[np.ndarray, np.ndarray]
+
+
 @dataclass
 class Vocabulary:
     """Terms with their numbers: all words of the examples, and the telling terms (words, beginnings, frequent ones)."""
@@ -69,7 +73,7 @@ class Vocabulary:
         self.heads = {t.rstrip(b"+-")[: BEGINNINGS[0]] for t in self.telling if t.endswith((b"+", b"-"))}
         self.marked = {t for t in self.telling if t.endswith((b"+", b"-"))}
 
-    def counts(self, text: str) -> dict[int, int]:
+    def counts(self, text: str) -> Sparse:
         """The numbers of the text's terms, and how often each is there. Beginnings are cut only of words that may have a telling one."""
         n, number, out, more = BEGINNINGS[0], self.number, {}, Counter()
         for w, k in Counter(words(text)).items():
@@ -83,7 +87,7 @@ class Vocabulary:
             for s in (t, *(t + mark for least, mark in OFTEN if k >= least)):
                 if s in self.marked:
                     out[number[s]] = k if s == t else 1
-        return out
+        return np.fromiter(out, np.int32, len(out)), np.fromiter(out.values(), np.float64, len(out))
 
 
 class Index:
@@ -92,12 +96,12 @@ class Index:
     Terms that many examples have are rows of a matrix, so that their products go for many queries at once.
     """
 
-    def __init__(self, vectors: list[dict[int, float]], terms: int, block: int = 512, heavy: float = 1 / 16):
+    def __init__(self, vectors: list[Sparse], terms: int, block: int = 512, heavy: float = 1 / 16):
         self.block, self.n, self.terms = block, len(vectors), terms
         blocks = -(-self.n // block)
-        t = np.array([t for v in vectors for t in v], np.int64)
-        x = np.array([x for v in vectors for x in v.values()], np.float64)
-        e = np.repeat(np.arange(self.n), [len(v) for v in vectors])
+        t = np.concatenate([np.zeros(0, np.int32), *[t for t, _ in vectors]])
+        x = np.concatenate([np.zeros(0), *[x for _, x in vectors]])
+        e = np.repeat(np.arange(self.n), [len(t) for t, _ in vectors])
         many = np.nonzero(np.bincount(t, minlength=terms) > max(1, heavy * self.n))[0] if self.n else np.zeros(0, np.int64)
         self.place = np.full(terms + 1, -1, np.int32)
         self.place[many] = np.arange(len(many))
@@ -116,7 +120,7 @@ class Index:
             self.rows.append(eb[~thick][order].astype(np.int32))
             self.weights.append(xb[~thick][order])
 
-    def nearest(self, queries: list[dict[int, float]], k: int, but: list[int] | None = None) -> list[list[tuple[float, int]]]:
+    def nearest(self, queries: list[Sparse], k: int, but: list[int] | None = None) -> list[list[tuple[float, int]]]:
         """Of each query the k examples of largest cosine, (cosine, example), ties to the smaller number; exact. Zero cosines are no neighbours.
 
         A query opens blocks by falling bound until the bound is under its k-th best so far; queries that open the same
@@ -125,8 +129,7 @@ class Index:
         best = [(np.zeros(0), np.zeros(0, np.int64)) for _ in queries]
         if not self.n or not queries:
             return [[] for _ in queries]
-        ts = [np.fromiter(q, np.int64, len(q)) for q in queries]
-        xs = [np.fromiter(q.values(), np.float64, len(q)) for q in queries]
+        ts, xs = [t for t, _ in queries], [x for _, x in queries]
         bounds = np.stack([x @ self.most[t] if len(t) else np.zeros(self.most.shape[1]) for t, x in zip(ts, xs, strict=True)])
         order = np.argsort(-bounds, 1, kind="stable")
         thick = np.zeros((len(queries), len(self.dense[0])))
@@ -183,14 +186,12 @@ class Model:
     pull: float
     steps: tuple[np.ndarray, np.ndarray]
 
-    def vector(self, counts: dict[int, int]) -> dict[int, float]:
+    def vector(self, counts: Sparse) -> Sparse:
         """TF-IDF weights of unit length; those of telling terms are stressed."""
-        t = np.fromiter(counts, np.int64, len(counts))
-        x = (1 + np.log(np.fromiter(counts.values(), np.float64, len(counts)))) * self.weight[t]
-        norm = np.sqrt((x * x).sum())
-        return dict(zip(t[x > 0].tolist(), (x[x > 0] / norm).tolist(), strict=True)) if norm else {}
+        x = (1 + np.log(counts[1])) * self.weight[counts[0]]
+        return counts[0][x > 0], x[x > 0] / np.sqrt((x * x).sum())
 
-    def votes(self, counts: list[dict[int, int]], but: list[int] | None = None) -> list[tuple[float, list[tuple[float, int]]]]:
+    def votes(self, counts: list[Sparse], but: list[int] | None = None) -> list[tuple[float, list[tuple[float, int]]]]:
         """Of each document the share of toxic among its neighbours, with `pull` of a vote for the rate among examples without telling terms.
 
         A neighbour weighs the cube of its cosine, so that one shared term among many makes a weak vote.
@@ -265,7 +266,7 @@ def _document_counts(docs: DataFrame, vocabulary: Vocabulary) -> tuple[int, np.n
         for batch in batches:
             rows += batch.num_rows
             for text in batch.column(0):
-                n[list(v.counts(text.as_py() or ""))] += 1
+                n[v.counts(text.as_py() or "")[0]] += 1
         n[m] = rows
         at = np.nonzero(n)[0]
         if rows:
@@ -277,16 +278,16 @@ def _document_counts(docs: DataFrame, vocabulary: Vocabulary) -> tuple[int, np.n
     return int(out[m]), out[:m]
 
 
-def _together(counts: list[dict[int, int]], terms: int, clusters: int = 8, turns: int = 6) -> np.ndarray:
+def _together(counts: list[Sparse], terms: int, clusters: int = 8, turns: int = 6) -> np.ndarray:
     """An order of the examples in which those that share frequent words come together, so that blocks differ and bounds tell."""
-    df = np.bincount([t for c in counts for t in c], minlength=terms)
+    df = np.bincount(np.concatenate([t for t, _ in counts]), minlength=terms)
     top = np.argsort(-df, kind="stable")[:512]
-    place = {int(t): i for i, t in enumerate(top)}
+    place = np.full(terms, -1)
+    place[top] = np.arange(len(top))
     x = np.zeros((len(counts), len(top)))
-    for i, c in enumerate(counts):
-        for t in c:
-            if t in place:
-                x[i, place[t]] = np.log((len(counts) + 1) / (df[t] + 1)) + 0.01
+    for i, (t, _) in enumerate(counts):
+        t = t[place[t] >= 0]
+        x[i, place[t]] = np.log((len(counts) + 1) / (df[t] + 1)) + 0.01
     x /= np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-9)
     centres = [x[0]]
     for _ in range(min(clusters, len(x)) - 1):  # each next centre is the example farthest from those there are
@@ -326,8 +327,7 @@ def fit(docs: DataFrame, labels: DataFrame, most_examples: int = 4096, k: int =
         order = _together(counts, max(m, 1))
         rows, counts = [rows[i] for i in order], [counts[i] for i in order]
     labels_of = np.array([r["toxic"] for r in rows], float)
-    told = set(marks.tolist())
-    plain = [r["toxic"] for r, c in zip(rows, counts, strict=True) if told.isdisjoint(c)]
+    plain = [r["toxic"] for r, (t, _) in zip(rows, counts, strict=True) if not np.isin(t, marks).any()]
     base = (sum(plain) + 0.5) / (len(plain) + 1 + (not plain))
     model = Model(vocabulary, weight, Index([], m), [r["doc_id"] for r in rows], labels_of, k, float(base), pull, (np.zeros(0), np.zeros(0)))
     model.index = Index([model.vector(c) for c in counts], m)
@@ -360,13 +360,15 @@ def score(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, evidence:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m: Model = shared.value
         names = {m.vocabulary.number[t]: t.decode("utf-8", "replace") for t in m.vocabulary.telling}
+        told = np.zeros(len(m.vocabulary.number), bool)
+        told[list(names)] = True
         for whole in batches:
             for start in range(0, whole.num_rows, CHUNK):
                 batch = whole.slice(start, CHUNK)
                 counts = [m.vocabulary.counts(t.as_py() or "") for t in batch.column(2)]
                 votes = m.votes(counts)
                 a = [m.calibrated(v) for v, _ in votes]
-                b = [sorted(names[t] for t in c.keys() & names.keys()) for c in counts]
+                b = [sorted(names[t] for t in ts[told[ts]].tolist()) for ts, _ in counts]
                 c = [[m.ids[e] for _, e in near[:evidence]] for _, near in votes]
                 yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(a, pa.float64()), pa.array(b, pa.list_(pa.string())), pa.array(c, pa.list_(batch.column(0).type))], schema.names)
 

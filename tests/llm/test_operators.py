@@ -361,8 +361,9 @@ def _unit(v):
 def test_index_is_exact(heavy):
     rng = np.random.default_rng(1)
     vs = [_unit({int(t): float(x) for t, x in zip(rng.choice(30, 4, replace=False), rng.random(4), strict=True)}) for _ in range(700)]
-    index = toxicity.Index(vs, 30, block=16, heavy=heavy)
-    got = index.nearest([*vs[:60], {}], 10, but=[*range(60), -1])
+    sparse = lambda v: (np.array(list(v), np.int32), np.array(list(v.values()), float))
+    index = toxicity.Index([sparse(v) for v in vs], 30, block=16, heavy=heavy)
+    got = index.nearest([sparse(v) for v in [*vs[:60], {}]], 10, but=[*range(60), -1])
     assert got[60] == []
     for i, q in enumerate(vs[:60]):
         want = sorted(((round(sum(x * v.get(t, 0) for t, x in q.items()), 9), -j) for j, v in enumerate(vs) if j != i), reverse=True)[:10]
