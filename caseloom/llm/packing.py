@@ -11,6 +11,8 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
+from caseloom.llm.shared import forget, remembered
+
 #: Word forms that a worker remembers at most; beyond that it starts anew.
 REMEMBERED = 600_000
 
@@ -221,12 +223,10 @@ def pack(docs: DataFrame, tokenizer_path: str, window: int = 4096, end_id: int =
     return docs.select("doc_id", "text").mapInArrow(run, T.StructType(fields))
 
 
-_known: dict[str, WordIds] = {}
-
-
 def word_ids(path: str) -> WordIds:
     """The worker's memory of words for one tokenizer; emptied when full."""
-    if path not in _known or len(_known[path]) > REMEMBERED:
-        _known.pop(path, None)
-        _known[path] = WordIds(path)
-    return _known[path]
+    known = remembered(path, lambda: WordIds(path))
+    if len(known) > REMEMBERED:
+        forget()
+        known = remembered(path, lambda: WordIds(path))
+    return known

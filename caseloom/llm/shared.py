@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -46,6 +47,22 @@ def erase(df: DataFrame) -> None:
         path.getFileSystem(conf).delete(path, True)
 
 
+_memory: dict[str, object] = {}
+
+
+def remembered(name: str, make: Callable[[], object]) -> object:
+    """What a Python worker keeps between its tasks: of one name at a time, so that operators' memories do not add up."""
+    if name not in _memory:
+        _memory.clear()
+        _memory[name] = make()
+    return _memory[name]
+
+
+def forget() -> None:
+    """Drop what the worker keeps of earlier tasks."""
+    _memory.clear()
+
+
 def with_offsets(df: DataFrame, keys: list[str], bucket: str, size: Column, order: list[Column], upto: str) -> DataFrame:
     """df with upto: the running sum of size within keys, ordered by bucket, then order, this row included.
 

@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from caseloom.llm.shared import written
+from caseloom.llm.shared import forget, written
 
 #: Lengths of word beginnings that are terms, beside whole words; the first is the shortest.
 BEGINNINGS = (4, 5, 6, 7, 8)
@@ -226,6 +226,7 @@ def _terms_in(examples: DataFrame) -> DataFrame:
     """(term, kin, toxic) of all terms of each example: words, beginnings, frequent ones. kin: a number of its family."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget()
         for batch in batches:
             for text, toxic in zip(batch.column(0), batch.column(1).to_pylist(), strict=True):
                 ws = words(text.as_py() or "")
@@ -262,6 +263,7 @@ def _document_counts(docs: DataFrame, vocabulary: Vocabulary) -> tuple[int, np.n
     m = len(vocabulary.number)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget()
         v, n, rows = shared.value, np.zeros(m + 1, np.int64), 0
         for batch in batches:
             rows += batch.num_rows
@@ -358,6 +360,7 @@ def score(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, evidence:
     schema = T.StructType([doc, T.StructField("h", T.LongType()), T.StructField("score", T.DoubleType()), T.StructField("terms", T.ArrayType(T.StringType())), T.StructField("neighbours", T.ArrayType(doc.dataType))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget()
         m: Model = shared.value
         names = {m.vocabulary.number[t]: t.decode("utf-8", "replace") for t in m.vocabulary.telling}
         told = np.zeros(len(m.vocabulary.number), bool)
