@@ -117,6 +117,16 @@ def _possible(a: str, b: str, i: str, j: str):
     return (F.col(a) * DOWN >= F.col(b) * UP) & (F.col(b) * DOWN >= F.col(a) * UP) & (most * (UP + DOWN) >= (F.col(a) + F.col(b)) * UP)
 
 
+def _enough(pairs: DataFrame) -> DataFrame:
+    """(a, b) of pairs (a, b, n, m; a row a common prefix shingle) whose prefixes have enough in common.
+
+    What two sets of n and m have in common beside their prefixes lies in the rest of that whose prefix ends first.
+    """
+    rest = lambda c: F.floor(F.col(c) * UP / DOWN + (DOWN - 1) / DOWN) - 1  # noqa: E731  what is not in the prefix
+    g = pairs.groupBy("a", "b").agg(F.count("*").alias("c"), F.first("n").alias("n"), F.first("m").alias("m"))
+    return g.where((F.col("c") + F.greatest(rest("n"), rest("m"))) * (UP + DOWN) >= (F.col("n") + F.col("m")) * UP).select("a", "b")
+
+
 def _likely(slim: DataFrame) -> DataFrame:
     """(a, b): sets whose fingerprints link; sets of one fingerprint meet the smallest of them, which stands for all at its links."""
     prints = slim.where("n > 0").select("s", "fingerprint").distinct()
@@ -147,8 +157,7 @@ def near_roots(docs: DataFrame, slim: DataFrame) -> DataFrame:
     met = written(nodes.join(heads.hint("merge"), "k"), "met")  # sizes after explode are not estimated: no broadcast
     lead = met.where("s = head").select("k", F.col("n").alias("m"), F.col("i").alias("j"), F.col("home").alias("home_b"))
     star = met.where("s <> head").join(lead.hint("merge"), "k").where((F.col("home") != F.col("home_b")) & _possible("n", "m", "i", "j"))
-    star = star.select(F.col("head").alias("a"), F.col("s").alias("b"))
-    star = written(star.distinct(), "stars")
+    star = written(_enough(star.select(F.col("head").alias("a"), F.col("s").alias("b"), "n", "m")), "stars")
     links = links.union(_verified(star, slim, docs))
     home = components(links).withColumnsRenamed({"node": "s", "root": "home"})
     met2 = met.drop("home").join(home, "s", "left").select("k", "s", "n", "i", F.coalesce("home", "s").alias("home"))
@@ -158,7 +167,7 @@ def near_roots(docs: DataFrame, slim: DataFrame) -> DataFrame:
     right = left.select("k", F.col("s").alias("b"), F.col("n").alias("m"), F.col("i").alias("j"), F.col("home").alias("home_b"))
     rest = left.join(right.hint("merge"), "k").where((F.col("s") < F.col("b")) & (F.col("home") != F.col("home_b")) & _possible("n", "m", "i", "j"))
     done = star.union(likely.select(F.least("a", "b"), F.greatest("a", "b")))
-    rest = rest.select(F.col("s").alias("a"), "b").distinct().join(done, ["a", "b"], "left_anti")
+    rest = _enough(rest.select(F.col("s").alias("a"), "b", "n", "m")).join(done, ["a", "b"], "left_anti")
     rest = written(rest, "rest")
     more = _verified(rest, slim, docs)
     out = written(components(links.union(more)).withColumnRenamed("node", "s"), "roots")
