@@ -302,12 +302,13 @@ def _together(counts: list[Sparse], terms: int, clusters: int = 8, turns: int =
     return np.lexsort((np.arange(len(x)), np.argmax(x @ c.T, 1)))
 
 
-def fit(docs: DataFrame, labels: DataFrame, most_examples: int = 4096, k: int = 25, pull: float = 0.5, stress: float = 6.0) -> Model:
+def fit(docs: DataFrame, labels: DataFrame, most_examples: int = 4096, most_indexed: int = 2048, k: int = 25, pull: float = 0.5, stress: float = 6.0) -> Model:
     """A model of labelled examples.
 
-    Labels are taken from rows not held out; of these at most most_examples (smallest by a hash of the id) are
-    examples: the bound of the model's size. Terms are all words of the examples, and their telling terms, which
-    weigh `stress` times as much. Document frequencies are counted over all documents.
+    Labels are taken from rows not held out; of these at most most_examples (smallest by a hash of the id) show which
+    terms tell, and the first most_indexed of them are the examples that the index holds, the bound of the model's size.
+    Terms are all words of these, and the telling terms, which weigh `stress` times as much. Document frequencies are
+    counted over all documents.
     """
     usable = labels.where(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id")))
     usable = usable.groupBy("doc_id").agg((F.max("toxic") > 0).cast("int").alias("toxic"))
@@ -315,7 +316,8 @@ def fit(docs: DataFrame, labels: DataFrame, most_examples: int = 4096, k: int =
     examples = docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id")  # the sample is bounded
     examples = written(examples.dropDuplicates(["doc_id"]), "toxic-examples")
     telling = telling_terms(examples)
-    rows = examples.orderBy("doc_id").collect()  # at most most_examples rows
+    first = sample.orderBy(F.xxhash64("doc_id"), "doc_id").limit(most_indexed).select("doc_id")
+    rows = examples.join(F.broadcast(first), "doc_id", "left_semi").orderBy("doc_id").collect()  # at most most_indexed rows
     found = {w for r in rows for w in words(r["text"] or "")} | set(telling)
     vocabulary = Vocabulary({t: i for i, t in enumerate(sorted(found))}, telling)
     m = len(vocabulary.number)
