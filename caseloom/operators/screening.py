@@ -187,7 +187,7 @@ def prefiltered(deals: DataFrame, rules: DataFrame) -> DataFrame:
 
 
 def screened(deals: DataFrame, conditions: DataFrame, rules: DataFrame) -> DataFrame:
-    """The whole screening: pairs out of scope are settled first and meet no condition; the rest by their tests."""
+    """The whole screening: pairs out of scope have the status of their scope, whatever their tests say; the rest go by their tests."""
     out = prefiltered(deals, rules)
     early = out.select("deal_id", "rule_id", F.lit("not_triggered").alias("status"), F.lit("").alias("triggered_by"), "confidence")
     tested = statuses(tests_fired(conditions_met(deals, conditions)))
