@@ -7,9 +7,11 @@ import json
 import re
 from array import array
 from collections.abc import Callable, Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -18,99 +20,112 @@ from caseloom.llm.shared import forget, remembered, written
 
 #: UTF-8 bytes of texts that a worker aligns at a time, and of a lane: a stretch of a document that ends with a word.
 BATCH_BYTES, LANE_BYTES = 1 << 22, 1 << 10
-#: Stretches that a worker remembers at most for each tokenizer; beyond that it starts anew.
-REMEMBERED = 400_000
+#: Words, with the space before them, that a worker remembers at most; beyond that it starts anew.
+REMEMBERED = 800_000
 
 #: Signs whose class is the same in every Unicode version, and whose class Python's expressions tell: other texts are encoded whole.
-_OTHER = re.compile("[^\t-\r\x20-\x7e\xa0-\xb1\xb4-\xb8\xba\xbb\xbf-ɏ]")
-_WORDS = re.compile(r"'(?:[stmd]|re|ve|ll)| ?[^\W\d_]+| ?\d+| ?(?:[^\s\w]|_)+|\s+(?!\S)|\s+")
-_SPACED = re.compile(" +[^ ]*")
+_OTHER = re.compile("[^\t-\r\x20-\x7e\xa0-\xb1\xb4-\xb8\xba\xbb\xbf-\u024f]")
+_PARTS = re.compile(r"'(?:[stmd]|re|ve|ll)| ?[^\W\d_]+| ?\d+| ?(?:[^\s\w]|_)+|\s+(?!\S)|\s+")
+_WORD = re.compile(r"\s+\S*(?:[^\S ]\s*\S*)*")
 
 
-class Stretches(dict):
-    """Stretch of text -> its number; ids and byte lengths of the tokens of stretch k lie in ids, sizes[first[k]:first[k + 1]].
+class Side:
+    """Tokens of remembered words for one tokenizer: those of word k are ids, sizes (bytes) from first[k] to first[k + 1].
 
-    encode: ids of a stretch; names: bytes of each id. exact[k]: the tokens' bytes, joined, are the stretch's.
+    encode: ids of each of many words; names: the bytes of each id. exact[k]: the tokens' bytes, joined, are the word's.
     """
 
-    def __init__(self, encode: Callable[[str], list[int]], names: list[bytes]):
-        super().__init__()
-        self.encode, self.names = encode, names
+    def __init__(self, encode: Callable[[list[str]], list[list[int]]], names: list[bytes]):
+        self.encode, self.names, self.lengths = encode, names, np.array(list(map(len, names)), np.int32)
         self.ids, self.sizes, self.first, self.exact = array("i"), array("i"), array("q", [0]), bytearray()
 
-    def __missing__(self, text: str) -> int:
-        self[text] = k = self.add(text, self.encode(text))
-        return k
-
-    def add(self, text: str, ids: list[int]) -> int:
-        names = [self.names[i] for i in ids]
-        self.ids.extend(ids)
-        self.sizes.extend(map(len, names))
-        self.first.append(len(self.ids))
-        self.exact.append(b"".join(names) == text.encode())
-        return len(self.exact) - 1
-
-    def gather(self, numbers: np.ndarray, documents: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Ids, ends in bytes over all, and number of tokens of each document, of stretches in a row; documents: stretches of each."""
+    def add(self, words: list[str], found: list[list[int]]) -> None:
+        ids = np.fromiter(chain.from_iterable(found), np.int32)
+        many = np.cumsum(np.fromiter(map(len, found), np.int64, len(found)))
+        sizes = self.lengths[ids]
+        upto = np.r_[0, np.cumsum(sizes, dtype=np.int64)][many]
+        texts = [w.encode() for w in words]
+        joined = b"".join(map(self.names.__getitem__, ids.tolist()))
+        bounds = [0, *upto.tolist()]
+        self.exact.extend(joined[a:b] == t for a, b, t in zip(bounds[:-1], bounds[1:], texts, strict=True))
+        self.first.frombytes((many + len(self.ids)).tobytes())
+        self.ids.frombytes(ids.tobytes())
+        self.sizes.frombytes(sizes.tobytes())
+
+    def gather(self, words: np.ndarray, many_words: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Ids, ends in bytes over all, and number of tokens of each document, whose words stand in a row."""
         first = np.frombuffer(self.first, np.int64)
-        begin = first[numbers]
-        many = first[numbers + 1] - begin
-        upto = np.cumsum(many)
-        at = np.repeat(begin - (upto - many), many) + np.arange(many.sum())
-        n = np.diff(np.r_[0, np.r_[0, upto][np.cumsum(documents)]])
+        begin = first[words]
+        many = first[words + 1] - begin
+        upto = np.r_[0, np.cumsum(many)]
+        at = np.repeat(begin - upto[:-1], many) + np.arange(upto[-1])
+        n = np.diff(upto[np.r_[0, np.cumsum(many_words)]])
         return np.frombuffer(self.ids, np.int32)[at], np.cumsum(np.frombuffer(self.sizes, np.int32)[at], dtype=np.int64), n
 
 
-class Pair:
-    """Both tokenizers: A byte-level, of space + text; B with word pieces and byte fallback, which adds the space itself."""
+class Pair(dict):
+    """Both tokenizers, and the numbers of the words that were met: A byte-level, of space + text; B of word pieces with byte fallback, which adds the space itself.
+
+    A word here ends before a space that follows a sign other than white space: both tokenizers have a token's end there.
+    """
 
     def __init__(self, a_path: str, b_path: str):
         from sentencepiece import SentencePieceProcessor
         from tokenizers import Tokenizer
 
-        self.a = Tokenizer.from_file(a_path)
-        self.a.encode_special_tokens = True
-        self.b = SentencePieceProcessor(model_file=b_path)
+        super().__init__()
+        whole = Tokenizer.from_file(a_path)
+        whole.encode_special_tokens = True
+        pieces = SentencePieceProcessor(model_file=b_path)
         signs = byte_signs()
-        model, back = self.a.model, {c: b for b, c in enumerate(signs)}
-        self.level = dict(enumerate(signs))
-        a_names = [b""] * self.a.get_vocab_size()
-        for token, i in self.a.get_vocab().items():
+        level, back, model = dict(enumerate(signs)), {c: b for b, c in enumerate(signs)}, whole.model
+        a_names = [b""] * whole.get_vocab_size()
+        for token, i in whole.get_vocab().items():
             a_names[i] = bytes(map(back.get, token)) if all(c in back for c in token) else token.encode()
-        b_names = [piece_bytes(self.b.id_to_piece(i)) for i in range(self.b.get_piece_size())]
-        #: No piece holds a space after another sign: what begins with spaces and ends before the next ones is encoded alone.
-        self.splits = not any("▁" in self.b.id_to_piece(i).lstrip("▁") for i in range(self.b.get_piece_size()))
-        one_space = self.b.piece_to_id("▁")
-        self.words = Stretches(lambda s: [t.id for t in model.tokenize(s.encode().decode("latin-1").translate(self.level))], a_names)
-        self.pieces = Stretches(lambda s: self.b.encode(s[1:]) if len(s) > 1 else [one_space], b_names)
-        self.a_names, self.b_names = a_names, b_names
-
-    def tokens(self, texts: list[str]) -> tuple[tuple, tuple, np.ndarray]:
-        """(ids, ends, tokens of each text) of A and of B, and the UTF-8 bytes of space + text in one array.
-
-        Texts whose joined bytes differ from space + text, and empty ones, must have been taken out (`agree`).
-        """
-        found = [], []
-        many = [], []
-        for text in texts:
-            for out, count, stretches in zip(found, many, self.stretches(text), strict=True):
-                out.extend(stretches)
-                count.append(len(stretches))
-        a, b = (s.gather(np.array(f, np.int64), np.array(m, np.int64)) for s, f, m in zip((self.words, self.pieces), found, many, strict=True))
-        return a, b, np.frombuffer("".join(" " + t for t in texts).encode(), np.uint8)
-
-    def stretches(self, text: str) -> tuple[list[int], list[int]]:
-        given = " " + text
-        a = [self.words.add(given, self.a.encode(given, add_special_tokens=False).ids)] if _OTHER.search(text) else list(map(self.words.__getitem__, _WORDS.findall(given)))
-        b = list(map(self.pieces.__getitem__, _SPACED.findall(given))) if self.splits else [self.pieces.add(given, self.b.encode(text))]
-        if self.splits and not all(map(self.pieces.exact.__getitem__, b)):
-            b = [self.pieces.add(given, self.b.encode(text))]
-        return a, b
-
-    def agree(self, text: str) -> bool:
-        """Whether the tokens of both, joined, are space + text."""
-        a, b = self.stretches(text)
-        return all(map(self.words.exact.__getitem__, a)) and all(map(self.pieces.exact.__getitem__, b))
+        b_tokens = [pieces.id_to_piece(i) for i in range(pieces.get_piece_size())]
+        #: Whether no piece of B goes on with a space after another sign.
+        self.splits = not any("\u2581" in t.lstrip("\u2581") for t in b_tokens)
+        space = pieces.piece_to_id("\u2581")
+
+        def a_ids(words: list[str]) -> list[list[int]]:
+            return [[t.id for part in _PARTS.findall(w) for t in model.tokenize(part.encode().decode("latin-1").translate(level))] for w in words]
+
+        def b_ids(words: list[str]) -> list[list[int]]:  # the space that B adds is the word's own
+            found = pieces.encode([w[1:] for w in words], num_threads=1)
+            return [ids or [space] for ids in found]
+
+        self.whole_a = lambda text: whole.encode(" " + text, add_special_tokens=False).ids
+        self.whole_b = pieces.encode
+        self.a, self.b = Side(a_ids, a_names), Side(b_ids, [piece_bytes(t) for t in b_tokens])
+
+    def learn(self, words: list[str]) -> None:
+        self.update(zip(words, range(len(self.a.exact), len(self.a.exact) + len(words)), strict=True))
+        self.a.add(words, self.a.encode(words))
+        self.b.add(words, self.b.encode(words))
+
+    def whole(self, text: str) -> int:
+        """The number of a word that is the whole text, which is not looked up again."""
+        self.a.add([" " + text], [self.whole_a(text)])
+        self.b.add([" " + text], [self.whole_b(text)])
+        return len(self.a.exact) - 1
+
+    def tokens(self, texts: list[str]) -> tuple[np.ndarray, tuple, tuple]:
+        """Which texts are given back byte for byte by both, and of these (ids, ends, tokens of each text) of A and of B."""
+        found = [_WORD.findall(" " + t) if t and self.splits and not _OTHER.search(t) else [] for t in texts]
+        self.learn(list(set(chain.from_iterable(found)).difference(self)))
+        many = np.fromiter(map(len, found), np.int64, len(found))
+        words = np.fromiter(map(self.__getitem__, chain.from_iterable(found)), np.int64, int(many.sum()))
+        exact = np.r_[0, np.cumsum(np.frombuffer(self.a.exact, bool)[words] & np.frombuffer(self.b.exact, bool)[words])]
+        ends = np.r_[0, np.cumsum(many)]
+        rest = [k for k in np.flatnonzero((np.diff(exact[ends]) < many) | (many == 0)).tolist() if texts[k]]
+        if rest:
+            parts = [words[a:b] for a, b in zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True)]
+            for k in rest:
+                n = self.whole(texts[k])
+                parts[k] = np.array([n] if self.a.exact[n] and self.b.exact[n] else [], np.int64)
+            words, many = np.concatenate(parts), np.array(list(map(len, parts)))
+        good = many > 0
+        return good, self.a.gather(words, many[good]), self.b.gather(words, many[good])
 
 
 def byte_signs() -> list[str]:
@@ -207,8 +222,9 @@ def align(docs: DataFrame, a_path: str, b_path: str, outputs: tuple[str, ...] =
         for batch in batches:
             size, begin = 0, 0
             texts = batch.column(1)
+            lengths = [n or 0 for n in pc.binary_length(texts).to_pylist()]
             for k in range(len(texts)):
-                size += texts[k].as_buffer().size if texts[k].is_valid else 0
+                size += lengths[k]
                 if size >= BATCH_BYTES or k == len(texts) - 1:
                     pair = tokenizer_pair(a_path, b_path)
                     columns = _aligned(pair, [t.as_py() or "" for t in texts[begin : k + 1]], outputs)
@@ -220,30 +236,30 @@ def align(docs: DataFrame, a_path: str, b_path: str, outputs: tuple[str, ...] =
 
 def _aligned(pair: Pair, texts: list[str], outputs: tuple[str, ...]) -> list[pa.Array]:
     """The output columns of a batch of texts."""
-    good = np.array([bool(t) and pair.agree(t) for t in texts])
-    kept = [t for t, g in zip(texts, good, strict=True) if g]
+    good, (a, ends_a, n_a), (b, ends_b, n_b) = pair.tokens(texts)
+    joined = np.frombuffer("".join(" " + t for t, g in zip(texts, good.tolist(), strict=True) if g).encode(), np.uint8)
 
     def for_all(values: np.ndarray) -> np.ndarray:
         out = np.zeros(len(texts), np.int64)
         out[good] = values
         return out
 
-    (a, ends_a, n_a), (b, ends_b, n_b), joined = pair.tokens(kept)
-    cut_a, cut_b = lockstep(ends_a, ends_b, *lanes(joined, ends_a, ends_b, ends_a[np.cumsum(n_a) - 1])) if kept else (np.zeros(0, bool),) * 2
+    documents = ends_a[np.cumsum(n_a) - 1]
+    cut_a, cut_b = lockstep(ends_a, ends_b, *lanes(joined, ends_a, ends_b, documents))
     groups = for_all(np.diff(np.r_[0, np.r_[0, np.cumsum(cut_a)][np.cumsum(n_a)]]))
     starts = pa.array(np.r_[0, np.cumsum(groups)], pa.int32())
     made = {"n_a": lambda: pa.array(for_all(n_a)), "n_b": lambda: pa.array(for_all(n_b)), "n_groups": lambda: pa.array(groups), "n_links": lambda: pa.array(groups)}
-    made["links"] = lambda: pa.ListArray.from_arrays(starts, pa.array(a[cut_a] * np.int32(len(pair.b_names)) + b[cut_b], pa.int32()))
+    made["links"] = lambda: pa.ListArray.from_arrays(starts, pa.array(a[cut_a] * np.int32(len(pair.b.names)) + b[cut_b], pa.int32()))
 
     def digests() -> pa.Array:
-        texts = group_texts(a, cut_a, n_a, b, cut_b, n_b, group_signs(max(len(pair.a_names), len(pair.b_names))))
+        texts = group_texts(a, cut_a, n_a, b, cut_b, n_b, group_signs(max(len(pair.a.names), len(pair.b.names))))
         found = (hashlib.sha256(t.encode()).hexdigest() for t in texts)
         return pa.array([next(found) if g else "" for g in good], pa.string())
 
     def spans() -> pa.Array:
         many = [np.diff(np.r_[-1, np.flatnonzero(c)]) for c in (cut_a, cut_b)]
         lists = [pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(m)], pa.int32()), pa.array(ids, pa.int32())) for m, ids in zip(many, (a, b), strict=True)]
-        before = np.repeat(np.r_[0, ends_a[np.cumsum(n_a) - 1]][:-1] if kept else [], groups[good]).astype(np.int64)
+        before = np.repeat(np.r_[0, documents][:-1], groups[good])
         return pa.ListArray.from_arrays(starts, pa.StructArray.from_arrays([pa.array(ends_a[cut_a] - before), *lists], ["end", "a", "b"]))
 
     made |= {"groups_sha256": digests, "groups": spans}
@@ -262,7 +278,7 @@ def tokenizer_pair(a_path: str, b_path: str) -> Pair:
     """The worker's memory of both tokenizers; emptied when full."""
     name = json.dumps([a_path, b_path])
     pair = remembered(name, lambda: Pair(a_path, b_path))
-    if max(len(pair.words.exact), len(pair.pieces.exact)) > REMEMBERED:
+    if len(pair.a.exact) > REMEMBERED:
         forget()
         pair = remembered(name, lambda: Pair(a_path, b_path))
     return pair
@@ -272,7 +288,7 @@ def most_pairs(a_path: str, b_path: str) -> int:
     """How many pairs of ids can be linked at all: of two tokens that end together the shorter one is the end of the longer."""
     pair = Pair(a_path, b_path)
     ids: dict[bytes, tuple[int, int]] = {}
-    for k, names in enumerate((pair.a_names, pair.b_names)):
+    for k, names in enumerate((pair.a.names, pair.b.names)):
         for name in names:
             old = ids.get(name, (0, 0))
             ids[name] = (old[0] + 1, old[1]) if k == 0 else (old[0], old[1] + 1)

@@ -8,8 +8,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from caseloom.llm import archive, chat, linededup, mixing, packing, sharding, simhash, toxicity, vectors
-from caseloom.llm.shared import fresh_path
+from caseloom.llm import align, archive, chat, linededup, mixing, packing, sharding, simhash, toxicity, trie, vectorpack, vectors
+from caseloom.llm.shared import fresh_path, written
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -64,6 +64,36 @@ def op9_mix_fair_queue(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.shares(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op11_vector_best_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vectorpack.pack_vectors(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+
+
+def op12_lockstep_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    paths = public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model")
+    aligned = written(align.align(table(spark, sf_dir, "documents"), *paths, ("n_a", "n_b", "n_groups", "n_links", "groups_sha256", "links")), "aligned")
+    return align.with_counts(aligned, *paths)
+
+
+def rebuilt(rows: DataFrame) -> DataFrame:
+    """rows (`trie.ordered`) of the conversations that op13's contract makes of them: the first turns of another one, then its own after as many."""
+    head = lambda c: F.crc32(c.cast("string")) % 9
+    convs = rows.groupBy("conv_id").agg(F.max("depth").alias("n"))
+    base = F.col("conv_id") - F.col("conv_id") % 5
+    given = convs.select(F.col("conv_id").alias("base"), F.col("n").alias("given"))
+    convs = convs.select("conv_id", base.alias("base")).join(given, "base", "left").select("conv_id", F.least(head(F.col("conv_id")), F.coalesce("given", F.lit(0))).alias("taken"))
+    own = rows.where(F.col("depth") > head(F.col("conv_id"))).join(convs, "conv_id")
+    own = own.select("conv_id", (F.col("depth") - head(F.col("conv_id")) + F.col("taken")).alias("depth"), "said", "size")
+    heads = rows.where((F.col("depth") < 9) & (F.col("conv_id") % 5 == 0)).withColumn("from", F.col("conv_id"))
+    heads = heads.withColumn("conv_id", F.explode(F.transform(F.sequence(F.lit(-4), F.lit(4)), lambda k: F.col("from") + k)))
+    heads = heads.where(base == F.col("from")).join(convs, "conv_id").where(F.col("depth") <= F.col("taken")).select(*own.columns)
+    return written(own.unionByName(heads), "rebuilt")
+
+
+def op13_depth_band_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = table(spark, sf_dir, "conversations")
+    return trie.prefix_trie(rebuilt(trie.ordered(turns)), turns.select("conv_id"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
@@ -77,6 +107,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op8_warc_archive,
         op9_mix_fair_queue,
         op10_line_templates,
+        op11_vector_best_fit,
+        op12_lockstep_alignment,
+        op13_depth_band_trie,
     )
 }
 
@@ -121,4 +154,26 @@ ORACLES: dict[str, str] = {
              g AS (SELECT rid, sum(size)::BIGINT AS taken FROM z WHERE 2 * run - size <= 3 * (SELECT sum(size) FROM d) GROUP BY rid)
         SELECT doc_id, size, source_size, target, coalesce(taken, 0)::BIGINT AS taken
         FROM u JOIN t USING (k) LEFT JOIN g USING (rid)""",
+    "op13_depth_band_trie": """
+        WITH t AS (SELECT conv_id, coalesce(role, '') AS role, coalesce(text, '') AS text,
+                          row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, coalesce(role, ''), coalesce(text, '')) AS i
+                   FROM conversations WHERE conv_id IS NOT NULL),
+             o AS (SELECT conv_id, list({'role': role, 'text': text} ORDER BY i) AS turns FROM t GROUP BY conv_id),
+             h AS (SELECT conv_id, turns, conv_id - conv_id % 5 AS base,
+                          xor(4294967295, list_reduce(list_prepend(4294967295::BIGINT, list_transform(string_split(conv_id::VARCHAR, ''), lambda x: ord(x)::BIGINT)),
+                              lambda crc, byte: list_reduce(list_prepend(xor(crc, byte), range(8)), lambda a, k: xor(a >> 1, 3988292384 * (a & 1))))) % 9 AS h FROM o),
+             r AS (SELECT h.conv_id, coalesce(list_slice(b.turns, 1, h.h), []) || coalesce(list_slice(h.turns, h.h + 1, len(h.turns)), []) AS turns
+                   FROM h LEFT JOIN o b ON b.conv_id = h.base),
+             p AS (SELECT conv_id, len(turns) AS n, unnest(range(len(turns) + 1)) AS depth, turns FROM r),
+             k AS (SELECT conv_id, n, depth, list_slice(turns, 1, depth) AS prefix, list_slice(turns, 1, depth - 1) AS above,
+                          CASE WHEN depth > 0 THEN octet_length(encode(turns[depth].text)) ELSE 0 END AS size FROM p),
+             d AS (SELECT depth, prefix, any_value(above) AS above, min(conv_id) AS conv_id, count(*) AS n_convs, (count(*) - 1) * any_value(size) AS saved,
+                          sha256(coalesce(string_agg(conv_id::VARCHAR, ',' ORDER BY conv_id) FILTER (n = depth), '')) AS ends_sha256
+                   FROM k GROUP BY depth, prefix),
+             c AS (SELECT depth - 1 AS depth, above AS prefix, count(*) AS n_children FROM d WHERE depth > 0 GROUP BY ALL),
+             e AS (SELECT d.*, coalesce(n_children, 0) AS n_children FROM d LEFT JOIN c USING (depth, prefix)),
+             u AS (SELECT e.depth, e.prefix, e.n_children, e.saved, unnest(range(e.depth + 1)) AS up FROM e),
+             s AS (SELECT up AS depth, list_slice(prefix, 1, up) AS prefix, count(*) FILTER (n_children = 0) AS n_leaves, sum(saved) AS saved_tokens FROM u GROUP BY ALL)
+        SELECT e.conv_id, e.depth::BIGINT AS depth, a.conv_id AS parent_conv_id, e.n_convs, e.n_children, n_leaves, saved_tokens::BIGINT AS saved_tokens, e.ends_sha256
+        FROM e JOIN s USING (depth, prefix) LEFT JOIN d a ON a.depth = e.depth - 1 AND a.prefix = e.above""",
 }

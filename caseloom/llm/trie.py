@@ -19,7 +19,8 @@ BLOCK = 4096
 #: Conversation numbers that are joined into one string before the strings of a node are hashed in order.
 ENDS = 12
 
-ROOT = F.struct(F.lit(0).cast("long").alias("hi"), F.lit(0).cast("long").alias("lo"))
+#: The root's fingerprint: no turns at all.
+ROOT = "named_struct('hi', 0L, 'lo', 0L)"
 
 
 def ordered(turns: DataFrame) -> DataFrame:
@@ -144,7 +145,7 @@ def prefix_trie(rows: DataFrame, convs: DataFrame) -> DataFrame:
 
     Repeated conv_ids in convs count once; nulls are left out. No conversation at all: no rows.
     """
-    p = _banded(_prefixes(rows), 1, "block")
+    p = written(_banded(_prefixes(rows), 1, "block"), "prefixes")
     folds = [F.min("conv_id").alias("conv_id"), F.count("*").alias("n_convs"), F.first("size").alias("size")]
     node = p.groupBy("depth", "node").agg(*folds, *(F.first(c).alias(c) for c in ("parent", "path", "root")))
     node = written(node, "trie")
@@ -160,13 +161,12 @@ def prefix_trie(rows: DataFrame, convs: DataFrame) -> DataFrame:
     total = _totals([own.select("node", "depth", "path", "root", "leaves", "saved"), *upper])
 
     convs = convs.where("conv_id is not null").select("conv_id").distinct()
-    last = rows.groupBy("conv_id").agg(F.max("depth").alias("depth"))
-    last = p.join(last, ["conv_id", "depth"]).select("conv_id", "node")
-    last = last.unionByName(convs.join(last, "conv_id", "left_anti").select("conv_id", ROOT.alias("node")))
+    none = convs.select("conv_id", F.lit(0).cast("long").alias("depth"), F.expr(ROOT).alias("node"))
+    last = p.select("conv_id", "depth", "node").unionByName(none).groupBy("conv_id").agg(F.max_by("node", "depth").alias("node"))
     stats = total.join(_ends(last), "node", "full").select("node", F.col("leaves").alias("n_leaves"), F.col("saved").alias("saved_tokens"), "ends_sha256")
     top = own.agg(F.coalesce(F.sum("leaves"), F.lit(0)).alias("leaves"), F.coalesce(F.sum("saved"), F.lit(0)).alias("saved"), F.sum((F.col("depth") == 1).cast("long")).alias("kids")).first()
     root = convs.agg(F.min("conv_id").alias("conv_id"), F.count("*").alias("n_convs")).where("n_convs > 0")
-    root = root.select("conv_id", F.lit(0).cast("long").alias("depth"), F.lit(None).cast(convs.schema["conv_id"].dataType).alias("parent_conv_id"), "n_convs", F.lit(top["kids"] or 0).cast("long").alias("n_children"), ROOT.alias("node"))
+    root = root.select("conv_id", F.lit(0).cast("long").alias("depth"), F.lit(None).cast(convs.schema["conv_id"].dataType).alias("parent_conv_id"), "n_convs", F.lit(top["kids"] or 0).cast("long").alias("n_children"), F.expr(ROOT).alias("node"))
     above = own.select(F.col("node").alias("parent"), F.col("conv_id").alias("parent_conv_id"))
     above = above.unionByName(root.select(F.col("node").alias("parent"), F.col("conv_id").alias("parent_conv_id")))
     d = own.join(above, "parent").select("conv_id", "depth", "parent_conv_id", "n_convs", F.coalesce("n_children", F.lit(0)).alias("n_children"), "node")
