@@ -22,4 +22,4 @@ def test_stages(spark, sf):
 
 def test_run_and_queries(spark, sf):
     assert P.run(spark, sf).count() > 0
-    assert len([k for k in queries.QUERIES if k.startswith("op")]) == 10
+    assert len([k for k in queries.QUERIES if k.startswith("op")]) == 13
