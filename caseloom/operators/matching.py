@@ -4,14 +4,20 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from difflib import SequenceMatcher
+from itertools import chain, groupby
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import DoubleType
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import ArrayType, DoubleType, StringType, StructType
 from pyspark.sql.window import Window as W
 
 from caseloom.functions import text as T
+from caseloom.operators import similar
+from caseloom.sources.scratch import kept, smallest_reachable
 
 #: Similarity from which two names match, and from which one may be a rename of the other.
 MATCH, RENAME = 0.75, 0.45
@@ -100,17 +106,80 @@ def contextual(a: Column, b: Column, kind: Column) -> Column:
     return F.when(kind == "geographic", F.greatest(s, context)).when(kind == "product", s * device_factor(a, b)).otherwise(s)
 
 
+def _prepared(rows: DataFrame, id: str, name: str) -> DataFrame:
+    """case_id, kind, id (the first of the rows of that name), and what `contextual` compares of a name, once for each distinct name of a case and kind."""
+    n = F.col(name)
+    bits = [F.when(F.regexp_like(synonymous(n), F.lit(f"(?i){p}")), 1 << k).otherwise(0) for k, p in enumerate(DEVICES.values())]
+    rule = F.when(F.col("kind") == "geographic", 2).when(F.col("kind") == "product", 1).otherwise(0)
+    d = rows.groupBy("case_id", "kind", name).agg(F.min(F.col(id).cast("long")).alias("id"))
+    form = lambda c: F.coalesce(F.trim(F.lower(c)), F.lit(""))
+    words = lambda stop: F.coalesce(name_words(n, stop), F.array().cast("array<string>"))
+    return d.select("case_id", "kind", "id", rule.alias("rule"), form(n).alias("raw"), form(synonymous(n)).alias("plain"), words(STOP).alias("words"), words(GEO_STOP).alias("places"), F.coalesce(sum(bits[1:], bits[0]), F.lit(0)).alias("devices"))
+
+
+def _device_factors() -> np.ndarray:
+    """`device_factor` of two names by the devices they are about, as sums of powers of two in the order of DEVICES."""
+    order, out = list(DEVICES), np.ones((8, 8))
+    for a in range(8):
+        for b in range(8):
+            for pair in CONFLICTS:
+                x, y = (tuple(bool(n >> order.index(d) & 1) for d in pair) for n in (a, b))
+                if any(x) and any(y) and x != y:
+                    out[a, b] = CONFLICT_FACTOR
+    return out
+
+
+def _best_drafts(existing: list[tuple], drafts: list[tuple]) -> Iterator[tuple]:
+    """id, similarity, draft, gated, gated_draft of each existing name of a block that has a draft of RENAME or more: the best one, and the best of those that share enough context."""
+    raw, plain = similar.Names([d[2] for d in drafts]), similar.Names([d[3] for d in drafts])
+    word_sets, place_sets = ([set(d[k]) for d in drafts] for k in (4, 5))
+    devices, factors = np.array([d[6] for d in drafts], np.int64), _device_factors()
+
+    def shares(words: list[str], sets: list[set]) -> np.ndarray:
+        own = set(words)
+        return np.array([len(own & s) / len(own | s) if own and s else 0.0 for s in sets])
+
+    for id, rule, name, form, words, places, device in existing:
+        common = shares(words, word_sets)
+        factor = factors[device][devices] if rule == 1 else np.ones(len(drafts))
+        context = shares(places, place_sets) if rule == 2 else np.zeros(len(drafts))
+        raised = np.minimum(context * CONTEXT_WEIGHT, MATCH - 0.01)
+        bound = np.maximum(np.maximum(np.maximum(raw.bounds(name, RENAME), plain.bounds(form, RENAME)), common) * factor, raised)
+        best = gated = (0.0, 0)
+        for k in np.argsort(-bound, kind="stable").tolist():
+            enough = bound[k] < best[0] and (rule != 2 or best[0] >= MATCH or bound[k] < gated[0])
+            if bound[k] < RENAME or enough:
+                break
+            s = max(max(similar.ratio(name, raw.names[k]), similar.ratio(form, plain.names[k]), common[k]) * factor[k], raised[k])
+            if s >= RENAME:
+                best = max(best, (s, -drafts[k][0])) if best[0] else (s, -drafts[k][0])
+                if context[k] >= CONTEXT_LEAST:
+                    gated = max(gated, (s, -drafts[k][0])) if gated[0] else (s, -drafts[k][0])
+        if best[0]:
+            yield id, float(best[0]), -best[1], float(gated[0]) if gated[0] else None, -gated[1] if gated[0] else None
+
+
 def reconciled(existing: DataFrame, drafts: DataFrame) -> DataFrame:
     """Per existing item its best draft of the same case and kind, each on its own (a draft may serve several): matched, renamed or unmatched.
 
-    existing: case_id, kind, item, name; drafts: case_id, kind, draft, draft_name. Ties go to the first draft.
+    existing: case_id, kind, item, name; drafts: case_id, kind, draft, draft_name. Similarity is that of `contextual`, ties go to
+    the first draft. A place is renamed only to a draft that shares enough context, the best of these. Distinct
+    names of a case and kind meet block by block, and only pairs whose bound (`similar.Names`) can win are compared in full.
     """
-    p = existing.join(drafts, ["case_id", "kind"]).withColumn("similarity", contextual(F.col("name"), F.col("draft_name"), F.col("kind")))
-    best = F.row_number().over(W.partitionBy("case_id", "kind", "item").orderBy(F.col("similarity").desc(), "draft"))
-    p = p.withColumn("n", best).where("n = 1").select("case_id", "kind", "item", "draft", "similarity")
-    d = existing.join(p, ["case_id", "kind", "item"], "left")
-    how = F.when(F.col("similarity") >= MATCH, "matched").when(F.col("similarity") >= RENAME, "renamed").otherwise("unmatched")
-    return d.select("case_id", "kind", "item", F.when(how != "unmatched", F.col("draft")).alias("draft"), how.alias("result"))
+    on = ["case_id", "kind"]
+    fields = "id long, similarity double, draft long, gated double, gated_draft long"
+    found = similar.tiled(_prepared(existing, "item", "name"), _prepared(drafts, "draft", "draft_name"), on, _best_drafts, fields)
+    top = lambda s, d: F.max(F.when(F.col(s).isNotNull(), F.struct(F.col(s).alias("s"), (-F.col(d)).alias("d"))))
+    found = found.groupBy(*on, "id").agg(top("similarity", "draft").alias("best"), top("gated", "gated_draft").alias("gated"))
+    first = existing.groupBy(*on, "name").agg(F.min(F.col("item").cast("long")).alias("id"))
+    same = lambda a, b: (F.col(f"a.{a}").eqNullSafe(F.col(f"b.{b}")))
+    named = first.join(found, [*on, "id"])
+    d = existing.alias("a").join(named.alias("b"), same("case_id", "case_id") & same("kind", "kind") & same("name", "name"), "left")
+    sure = F.col("best.s") >= MATCH
+    renamed = F.when(F.col("a.kind") == "geographic", F.col("gated.d")).otherwise(F.col("best.d"))
+    draft = -F.when(sure, F.col("best.d")).otherwise(renamed)
+    how = F.when(sure, "matched").when(draft.isNotNull(), "renamed").otherwise("unmatched")
+    return d.select("a.case_id", "a.kind", "a.item", draft.cast(drafts.schema["draft"].dataType).alias("draft"), how.alias("result"))
 
 
 def additions(drafts: DataFrame, reconciled: DataFrame) -> DataFrame:
@@ -125,10 +194,11 @@ def token_pairs(a: DataFrame, b: DataFrame, a_id: str, b_id: str, stop: list[str
 
 
 def nearest_names(missed: DataFrame, drafts: DataFrame, k: int = 5) -> DataFrame:
-    """For each missed name of a case, the k drafts of largest token overlap over 0; ties to the first."""
-    p = missed.join(drafts, "case_id").withColumn("overlap", T.overlap(F.col("name"), F.col("draft_name"))).where("overlap > 0")
-    n = F.row_number().over(W.partitionBy("case_id", "item").orderBy(F.col("overlap").desc(), "draft"))
-    return p.withColumn("rank", n).where(F.col("rank") <= k).select("case_id", "item", "draft", "rank", F.round("overlap", 6).alias("overlap"))
+    """For each missed name of a case, the k drafts of largest token overlap over 0; ties to the first. Names meet block by block."""
+    words = lambda d, id, name, to: d.select("case_id", F.col(id).cast("long").alias(to), F.array_distinct(T.tokens(F.col(name))).alias("words")).where("size(words) > 0")
+    d = similar.overlapping(words(missed, "item", "name", "id"), words(drafts, "draft", "draft_name", "other"), ["case_id"], k)
+    kinds = missed.schema["item"].dataType, drafts.schema["draft"].dataType
+    return d.select("case_id", F.col("id").cast(kinds[0]).alias("item"), F.col("other").cast(kinds[1]).alias("draft"), "rank", F.round("overlap", 6).alias("overlap"))
 
 
 def diverse(scored: DataFrame, count: int, bonus: float = 0.25) -> DataFrame:
@@ -151,32 +221,133 @@ def diverse(scored: DataFrame, count: int, bonus: float = 0.25) -> DataFrame:
     return short.select("case_id", "item", "status", "score").groupBy("case_id").applyInPandas(pick, "case_id long, item long, pick int")
 
 
+#: How strongly a status defines a place.
+STRENGTH = {"defined": 6, "left_open": 5, "considered": 4, "not_conclusive": 3, "segmented": 2, "precedent_only": 1, "unknown": 0}
+#: Fixed value: quotes that begin with the same so many signs are one.
+SAME_QUOTE = 60
+
+
+def joined_notes(first: str, second: str) -> str:
+    """Notes of the stronger of two places, with the other's where they say more."""
+    more = second.strip()
+    return first.rstrip() + (" | " if first.strip() else "") + more if more and more not in first else first
+
+
+class Slot:
+    """An item kept so far, with what was merged into it."""
+
+    def __init__(self, row: tuple):
+        self.item, self.name, self.rank, self.status, self.notes, self.quotes = row
+
+    def take(self, row: tuple, place: bool) -> None:
+        """Merge an item: the one of higher rank stands, this one on ties; of places the other's notes and further quotes stay."""
+        new = Slot(row)
+        win, lose = (new, self) if new.rank > self.rank else (self, new)
+        if place:
+            seen = {q[:SAME_QUOTE] for q in win.quotes}
+            win.notes, win.quotes = joined_notes(win.notes, lose.notes), win.quotes + [q for q in lose.quotes if q[:SAME_QUOTE] not in seen]
+        if win is new:
+            self.__dict__.update(new.__dict__)
+
+
+def _fold(rows: Iterator[tuple], place: bool) -> Iterator[tuple]:
+    """(item, slot, notes, quotes, status): of each item the slot that it went to, then, with item as the kept one, of each slot.
+
+    rows of one component: first its pairs of names with their ratios, then its items in order. What is held are slots and pairs.
+    """
+    near: dict[str, list[tuple[str, float]]] = {}
+    slots: list[Slot] = []
+    by_name: dict[str, list[int]] = {}
+    for side, item, name, other, value, status, notes, quotes in rows:
+        if side == 0:
+            near.setdefault(name, []).append((other, value))
+            continue
+        row = (item, name, value, status, notes or "", quotes or [])
+        met = [(r, -k) for n, r in [(name, 1.0), *near.get(name, [])] for k in by_name.get(n, [])]
+        if met:
+            k = -max(met)[1]
+            before = slots[k].name
+            slots[k].take(row, place)
+            if slots[k].name != before:
+                by_name[before].remove(k)
+                by_name.setdefault(slots[k].name, []).append(k)
+        else:
+            k = len(slots)
+            slots.append(Slot(row))
+            by_name.setdefault(name, []).append(k)
+        yield False, item, k, None, None, None
+    for k, s in enumerate(slots):
+        yield True, s.item, k, s.notes, s.quotes, s.status
+
+
+def _merged(items: DataFrame, threshold: float) -> tuple[DataFrame, DataFrame]:
+    """case_id, kind, item, kept of all items; and case_id, kind, item, status, notes, quotes of the kept ones.
+
+    Items meet only names that are linked with theirs, so each connected component of linked names is folded on its own, in
+    order of its items; items are streamed, not gathered.
+    """
+    on = ["case_id", "kind"]
+    d = items.withColumns({c: F.lit(None).cast(t) for c, t in (("status", "string"), ("notes", "string"), ("quotes", "array<string>")) if c not in items.columns})
+    place = F.col("kind") == "geographic"
+    strength = F.coalesce(F.create_map(*(F.lit(x) for kv in STRENGTH.items() for x in kv))[F.col("status")], F.lit(0))
+    d = d.select(*on, F.col("item").cast("long").alias("item"), F.coalesce(F.trim(F.lower("name")), F.lit("")).alias("name"), F.when(place, strength).otherwise(F.coalesce("valid", F.lit(0))).cast("double").alias("value"), "status", "notes", "quotes")
+    pairs = kept(similar.similar_pairs(d.select(*on, "name").distinct(), on, threshold), "similar")
+    node = lambda c: F.xxhash64(*on, c)
+    roots = smallest_reachable(pairs.select(node("a").alias("a"), node("b").alias("b")))
+    none = lambda *cs: [F.lit(None).cast(d.schema[c].dataType).alias(c) for c in cs]
+    links = pairs.select(*on, F.lit(0).alias("side"), F.lit(None).cast("long").alias("item"), F.col("a").alias("name"), F.col("b").alias("other"), F.col("ratio").alias("value"), *none("status", "notes", "quotes"))
+    both = links.unionByName(d.withColumn("side", F.lit(1)).withColumn("other", F.lit(None).cast("string")))
+    both = both.withColumn("node", node("name")).join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    keys = [*on, "root"]
+    both = both.select(*keys, "side", "item", "name", "other", "value", "status", "notes", "quotes").repartition(*keys).sortWithinPartitions(*keys, "side", "item")
+    out = spark_schema(d, on)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = chain.from_iterable(zip(*(c.to_pylist() for c in b.columns), strict=True) for b in batches)
+        made = []
+        for key, group in groupby(rows, key=lambda r: r[:3]):
+            for row in _fold((r[3:] for r in group), key[1] == "geographic"):
+                made.append(key + row)
+                if len(made) >= 10_000:
+                    yield record(made)
+                    made = []
+        yield record(made)
+
+    arrow = to_arrow_schema(out)
+
+    def record(rows: list[tuple]) -> pa.RecordBatch:
+        columns = zip(*rows, strict=True) if rows else [()] * len(arrow)
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, arrow.types, strict=True)], schema=arrow)
+
+    done = kept(both.mapInArrow(run, out), "merged")
+    slots = done.where("stands").withColumnRenamed("item", "kept")
+    same = (F.col("a.root") == F.col("b.root")) & (F.col("a.slot") == F.col("b.slot")) & F.col("a.case_id").eqNullSafe(F.col("b.case_id")) & F.col("a.kind").eqNullSafe(F.col("b.kind"))
+    members = done.where("not stands").alias("a").join(slots.alias("b"), same)
+    kind = items.schema["item"].dataType
+    members = members.select("a.case_id", "a.kind", F.col("a.item").cast(kind).alias("item"), F.col("b.kept").cast(kind).alias("kept"))
+    return members, slots.select(*on, F.col("kept").cast(kind).alias("item"), "status", "notes", "quotes")
+
+
+def spark_schema(d: DataFrame, on: list[str]) -> StructType:
+    """The rows of a fold: its keys, whether it is a slot, and what `_fold` yields."""
+    out = StructType([d.schema[c] for c in on])
+    for name, kind in (("root", "long"), ("stands", "boolean"), ("item", "long"), ("slot", "integer"), ("notes", "string"), ("quotes", ArrayType(StringType())), ("status", "string")):
+        out = out.add(name, kind)
+    return out
+
+
 def greedy_merged(items: DataFrame, threshold: float = MATCH) -> DataFrame:
-    """Per case and kind, items in order join the nearest kept name from the threshold up; of two the one with more valid passages stands.
+    """case_id, kind, item, kept (the item it stands under): per case and kind, items in order join the nearest kept name from the threshold up, ties to the oldest.
 
-    items: case_id, kind, item, name, valid. Returns case_id, kind, item, kept (the item it stands under).
+    items: case_id, kind, item, name, valid, and for places status, notes, quotes. Of two items the one with more valid
+    passages stands, of two places the one of stronger status; the one kept so far on ties. Null names are empty; null counts 0.
     """
+    return _merged(items, threshold)[0]
+
 
-    def merge(g: pd.DataFrame) -> pd.DataFrame:
-        kept: list[dict] = []
-        out: dict[int, dict] = {}
-        for r in g.sort_values("item").to_dict("records"):
-            near = [(SequenceMatcher(None, r["name"].lower(), x["name"].lower()).ratio(), -i) for i, x in enumerate(kept)]
-            best = max(near, default=(0.0, 0))
-            if best[0] >= threshold:
-                slot = kept[-best[1]]
-                slot["members"].append(r["item"])
-                if r["valid"] > slot["valid"]:
-                    slot.update(name=r["name"], valid=r["valid"], item=r["item"])
-            else:
-                kept.append({"name": r["name"], "valid": r["valid"], "item": r["item"], "members": [r["item"]]})
-        for x in kept:
-            for m in x["members"]:
-                out[m] = x
-        head = g.iloc[0]
-        return pd.DataFrame([(head["case_id"], head["kind"], m, x["item"]) for m, x in out.items()], columns=["case_id", "kind", "item", "kept"])
-
-    return items.select("case_id", "kind", "item", "name", "valid").groupBy("case_id", "kind").applyInPandas(merge, "case_id long, kind string, item long, kept long")
+def merged_items(items: DataFrame, threshold: float = MATCH) -> DataFrame:
+    """case_id, kind, item, status, notes, quotes of the items that stand. Places keep the notes of both where they differ, and quotes of both once."""
+    return _merged(items, threshold)[1]
 
 
 def paired_overlap(a: DataFrame, b: DataFrame) -> DataFrame:
