@@ -5,7 +5,7 @@ from __future__ import annotations
 import unicodedata
 
 import pandas as pd
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
@@ -38,6 +38,12 @@ def normalized(c: Column) -> Column:
     return plain(composed(c))
 
 
+def normalized_rows(d: DataFrame, name: str, to: str) -> DataFrame:
+    """d with `to`, the T01 form of column name: only rows with a sign beyond ASCII go through Python, by a split and a union."""
+    beyond = F.coalesce(F.col(name).rlike(r"[^\x00-\x7F]"), F.lit(False))
+    return d.where(~beyond).withColumn(to, plain(F.col(name))).unionByName(d.where(beyond).withColumn(to, normalized(F.col(name))))
+
+
 def bare(c: Column) -> Column:
     """ASCII lower case without accents, signs as blanks, single blanks."""
     return F.trim(F.regexp_replace(folded(c), r"[^a-z0-9]+", " "))

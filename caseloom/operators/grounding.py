@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
 from caseloom.functions import text as T
+from caseloom.sources.scratch import kept
 
 
 def by_fragments(quote: Column, text: Column, size: int = 28) -> Column:
@@ -22,22 +23,52 @@ def by_fragments(quote: Column, text: Column, size: int = 28) -> Column:
     return F.contains(text, quote) | ((F.length(quote) >= size) & (found >= 2))
 
 
+#: Words in a run that a quote and a text must share before they are compared.
+RUN = 5
+
+
+def _word_key(q: Column) -> Column:
+    """Hash of a run of words that lie wholly inside a text which holds the quote: the second to sixth, or the second alone; null under three words."""
+    ws = F.split(q, " ")
+    return F.when(F.size(ws) >= RUN + 2, F.xxhash64(F.array_join(F.slice(ws, 2, RUN), " "))).when(F.size(ws) >= 3, F.xxhash64(F.get(ws, F.lit(1))))
+
+
+def _word_runs(texts: DataFrame, sizes: tuple[int, ...], *keys: str) -> DataFrame:
+    """keys and k: hashes of all runs of so many words of a text t, once each; none in a shorter one."""
+    d = texts.select(*keys, F.split("t", " ").alias("w"))
+    runs = []
+    for size in sizes:
+        some = F.transform("w", lambda w: F.xxhash64(w)) if size == 1 else F.transform(F.sequence(F.lit(1), F.size("w") - size + 1), lambda i: F.xxhash64(F.array_join(F.slice("w", i, size), " ")))  # noqa: B023
+        runs.append(F.when(F.size("w") >= size, some).otherwise(F.array().cast("array<bigint>")))
+    return d.select(*keys, F.explode(F.array_distinct(F.concat(*runs))).alias("k"))
+
+
 def grounded(passages: DataFrame, pages: DataFrame) -> DataFrame:
     """passage_id, status (ok, wrong_page, not_found, no_cache) and the page where the quote is: the cited one, else the first other.
 
-    passages: passage_id, doc_id, page, quote; only pages of the cited document are read, by an equi-join.
+    passages: passage_id, doc_id, page, quote. Cited pages come first, by an equi-join on document and page. What is
+    still open then looks for its run of words in an index of the word runs of those documents (quotes under three
+    words, which have none, in their document's pages), and only pages that have it are searched.
     """
-    p, t = passages.withColumn("q", T.normalized(F.col("quote"))), pages.withColumn("t", T.normalized(F.col("text")))
-    d = p.join(t, "doc_id", "left")
-    hit = F.coalesce(F.contains("t", F.col("q")), F.lit(False))
-    g = d.groupBy("passage_id").agg(
-        F.first("page").alias("page"),
-        F.count("page_number").alias("pages"),
-        F.max((hit & (F.col("page_number") == F.col("page"))).cast("int")).alias("cited"),
-        F.min(F.when(hit, F.col("page_number"))).alias("first_hit"),
-    )
-    status = F.when(F.col("pages") == 0, "no_cache").when(F.col("cited") == 1, "ok").when(F.col("first_hit").isNotNull(), "wrong_page").otherwise("not_found")
-    return g.select("passage_id", status.alias("status"), F.when(F.col("cited") == 1, F.col("page")).otherwise(F.col("first_hit")).alias("found_page"))
+    q = passages.select("passage_id", "doc_id", "page", T.normalized(F.col("quote")).alias("q"))
+    t = pages.select("doc_id", F.col("page_number").alias("found"), T.normalized(F.col("text")).alias("t"))
+    at = (F.col("p.doc_id") == F.col("t.doc_id")) & (F.col("p.page") == F.col("t.found")) & F.contains("t.t", F.col("p.q"))
+    first = kept(q.alias("p").join(t.alias("t"), at, "left").select("p.*", "t.found"), "cited")
+    open_ = first.where("found is null").withColumn("k", _word_key(F.col("q")))
+    known = pages.select("doc_id").distinct()
+    several = (F.size(F.split("q", " ")) >= RUN + 2) & F.col("k").isNotNull()
+    candidates = []
+    for some, size in ((several, RUN), (~several & F.col("k").isNotNull(), 1)):
+        o = open_.where(some).select("passage_id", "doc_id", "k", "q")
+        index = _word_runs(t.join(o.select("doc_id").distinct(), "doc_id", "left_semi"), (size,), "doc_id", "found")
+        candidates.append(index.join(o, ["doc_id", "k"]).select("passage_id", "doc_id", "found", "q"))
+    shared = candidates[0].unionByName(candidates[1]).join(t, ["doc_id", "found"])
+    short = open_.where("k is null").select("passage_id", "doc_id", "q").join(t, "doc_id")
+    hit = shared.unionByName(short.select(*shared.columns)).where(F.contains("t", F.col("q"))).groupBy("passage_id").agg(F.min("found").alias("other"))
+    d = first.groupBy("passage_id").agg(F.first("doc_id").alias("doc_id"), F.min("found").alias("found")).join(hit, "passage_id", "left")
+    d = d.join(known.withColumn("cached", F.lit(True)), "doc_id", "left")
+    status = F.when(F.col("cached").isNull(), "no_cache").when(F.col("found").isNotNull(), "ok").when(F.col("other").isNotNull(), "wrong_page").otherwise("not_found")
+    return d.select("passage_id", status.alias("status"), F.coalesce("found", "other").alias("found_page"))
 
 
 def levels(grounded: DataFrame) -> DataFrame:
@@ -67,37 +98,50 @@ def dense(pairs: DataFrame, recall: float = 0.85) -> DataFrame:
     return d.select("pair_id", (F.col("verbatim") | F.coalesce(F.col("best") >= recall, F.lit(False))).alias("found"))
 
 
-#: Words in a run that a quote and a text must share before they are compared.
-RUN = 5
+#: First signs by which quotes of one or two words meet texts: a text with the quote has them.
+HEAD = 3
+
+
+def _short_pairs(quotes: DataFrame, texts: DataFrame) -> DataFrame:
+    """Pairs (item_id, doc_id) of quotes q under three words that are somewhere in a text t, by its runs of up to HEAD signs."""
+    q = quotes.where((F.size(F.split("q", " ")) < 3) & (F.col("q") != "")).select("item_id", "q", F.substring("q", 1, HEAD).alias("k"))
+    if q.isEmpty():
+        return q.select("item_id").crossJoin(texts.select("doc_id").limit(0))
+    heads = F.explode(F.array_distinct(F.flatten(F.transform(F.sequence(F.lit(1), F.length("t")), lambda i: F.array(*(F.substring("t", i, F.lit(n)) for n in range(1, HEAD + 1)))))))
+    d = texts.where("t <> ''").select("doc_id", heads.alias("k")).join(q, "k").select("item_id", "doc_id", "q")
+    return d.join(texts.select("doc_id", "t"), "doc_id").where(F.contains("t", F.col("q"))).select("item_id", "doc_id").distinct()
 
 
 def verbatim(quotes: DataFrame, texts: DataFrame) -> DataFrame:
     """item_id, doc_id where the whole quote q is in the whole text t; both sides come in one form, with single blanks.
 
     A quote's words but for the first and last are words of the text, so that quote and text meet at the second to
-    sixth word of it (at the second alone, if it has fewer than seven), by a join on hashes of runs of words. Quotes under
-    three words say nothing and are left out, as are null ones.
+    sixth word of it (at the second alone, if it has fewer than seven), by a join on hashes of runs of words. Quotes of one
+    or two words meet texts by their first signs. Null and empty quotes are in no text.
     """
-    ws = F.split("q", " ")
-    key = F.when(F.size(ws) >= RUN + 2, F.xxhash64(F.array_join(F.slice(ws, 2, RUN), " "))).when(F.size(ws) >= 3, F.xxhash64(F.get(ws, F.lit(1))))
-    q = quotes.select("item_id", "q", key.alias("k")).where("k is not null")
-    runs = F.transform(F.sequence(F.lit(1), F.greatest(F.size("w") - RUN + 1, F.lit(1))), lambda i: F.xxhash64(F.array_join(F.slice("w", i, RUN), " ")))
-    d = texts.where("t <> ''").select("doc_id", F.split("t", " ").alias("w"))
-    d = d.select("doc_id", F.explode(F.array_distinct(F.concat(runs, F.transform("w", lambda x: F.xxhash64(x))))).alias("k"))
+    q = quotes.select("item_id", "q", _word_key(F.col("q")).alias("k")).where("k is not null")
+    d = _word_runs(texts.where("t <> ''"), (RUN, 1), "doc_id")
     pairs = d.join(q.select("item_id", "k"), "k").select("item_id", "doc_id").distinct()
-    return pairs.join(q.select("item_id", "q"), "item_id").join(texts.select("doc_id", "t"), "doc_id").where(F.contains("t", F.col("q"))).select("item_id", "doc_id")
+    pairs = pairs.join(q.select("item_id", "q"), "item_id").join(texts.select("doc_id", "t"), "doc_id").where(F.contains("t", F.col("q"))).select("item_id", "doc_id")
+    return pairs.unionByName(_short_pairs(quotes, texts))
 
 
 def likely(quotes: DataFrame, texts: DataFrame, recall: float = 0.85) -> DataFrame:
-    """Pairs (item_id, doc_id) of quotes (item_id, quote) and texts (doc_id, text) of which dense may say yes; quotes under four distinct tokens are left out.
+    """Pairs (item_id, doc_id) of quotes (item_id, quote) and texts (doc_id, text) of which dense may say yes.
 
     A quote of n distinct tokens has that share of them in the text, or all but two if it is there verbatim: of its
-    n - ceil(recall * n) + 1 rarest tokens, three at least, one is in the text.
+    n - ceil(recall * n) + 1 rarest tokens, three at least, one is in the text. A quote under four has all of its tokens in the
+    text, or is there verbatim with no whole token: that is looked for by its first signs, as by `verbatim`.
     """
     words = lambda d, c, *keys: d.select(*keys, F.array_distinct(T.tokens(T.normalized(F.col(c)))).alias("ts"))
     docs = words(texts, "text", "doc_id").select("doc_id", F.explode("ts").alias("tok"))
     df = docs.groupBy("tok").agg(F.count("*").alias("df"))
-    q = words(quotes, "quote", "item_id").where(F.size("ts") > 3).select("item_id", F.size("ts").alias("n"), F.explode("ts").alias("tok")).join(df, "tok", "left")
+    q = words(quotes, "quote", "item_id").select("item_id", F.size("ts").alias("n"), F.explode("ts").alias("tok")).join(df, "tok", "left")
     q = q.withColumn("i", F.row_number().over(W.partitionBy("item_id").orderBy(F.coalesce("df", F.lit(0)), "tok")))
     q = q.where(F.col("i") <= F.greatest(F.col("n") - F.ceil(F.lit(recall) * F.col("n")) + 1, F.lit(3)))
-    return docs.join(q.select("item_id", "tok"), "tok").select("item_id", "doc_id").distinct()
+    met = docs.join(q.select("item_id", "tok"), "tok").select("item_id", "doc_id")
+    few = words(quotes, "quote", "item_id", "quote").where(F.size("ts") < 4).select("item_id", T.normalized(F.col("quote")).alias("q")).where("q <> ''")
+    if few.isEmpty():
+        return met.distinct()
+    inner = texts.select("doc_id", T.normalized(F.col("text")).alias("t"))
+    return met.unionByName(verbatim(few, inner)).distinct()
