@@ -209,7 +209,7 @@ def a14_gate_result(spark, sf):
 
 @query(with_(screens.STATUS_SQL) + " SELECT rule_id, status, confidence, count(*) AS n FROM result GROUP BY ALL")
 def a17_confidence(spark, sf):
-    r = S.statuses(S.tests_fired(S.conditions_met(screens.deals(spark, sf), screens.conditions(spark))))
+    r = S.deal_statuses(screens.deals(spark, sf), screens.conditions(spark))
     return r.groupBy("rule_id", "status", "confidence").agg(F.count("*").alias("n"))
 
 

@@ -29,12 +29,12 @@ CONDITIONS = [
     ("jp", "t1", "c1", "revenue", "worldwide", "target_group", ">", 1.0, "JPY", None, None, True),
 ]
 RULES = [
-    ("eu", [], None),
-    ("uk", ["full_merger", "minority_stake"], (True, "material_influence", [])),
-    ("us", ["full_merger", "minority_stake", "joint_venture"], (True, "percentage_based", [("any", ">", 30.0), ("non_horizontal", ">=", 15.0)])),
-    ("de", ["full_merger", "minority_stake"], (True, "percentage_based", [("horizontal", ">=", 25.0)])),
-    ("fr", ["full_merger", "joint_venture"], (True, "control_based", [])),
-    ("jp", [], (False, "none", [])),
+    ("eu", [], None, ["Simplified procedure may apply."]),
+    ("uk", ["full_merger", "minority_stake"], (True, "material_influence", []), ["Voluntary regime.", "Share of supply test."]),
+    ("us", ["full_merger", "minority_stake", "joint_venture"], (True, "percentage_based", [("any", ">", 30.0), ("non_horizontal", ">=", 15.0)]), []),
+    ("de", ["full_merger", "minority_stake"], (True, "percentage_based", [("horizontal", ">=", 25.0)]), None),
+    ("fr", ["full_merger", "joint_venture"], (True, "control_based", []), []),
+    ("jp", [], (False, "none", []), []),
 ]
 
 
@@ -43,7 +43,7 @@ def conditions(spark):
 
 
 def rules(spark):
-    return spark.createDataFrame(RULES, "rule_id string, triggers array<string>, minority struct<applies:boolean,standard:string,rules:array<struct<relation:string,op:string,pct:double>>>")
+    return spark.createDataFrame(RULES, "rule_id string, triggers array<string>, minority struct<applies:boolean,standard:string,rules:array<struct<relation:string,op:string,pct:double>>>, notes array<string>")
 
 
 def deals(spark, sf):
@@ -62,6 +62,8 @@ def deals(spark, sf):
         ],
         "if(o_orderkey % 3 = 0, null, c_acctbal * 500D) AS acquirer_assets",
         "if(o_orderkey % 4 = 0, null, s_acctbal * 500D) AS target_assets",
+        "if(c_nationkey % 2 = 0, map('de', c_acctbal * 70D), map()) AS acquirer_assets_countries",
+        "if(s_nationkey % 2 = 0, map('fr', s_acctbal * 60D), map()) AS target_assets_countries",
         "if(o_orderkey % 7 = 0, null, o_totalprice) AS deal_value",
         "'EUR' AS deal_currency",
         "'EUR' AS revenue_currency",
@@ -77,7 +79,8 @@ def deals(spark, sf):
 
 
 def _v(x) -> str:
-    return "NULL" if x is None else str(x).upper() if isinstance(x, bool) else f"'{x}'" if isinstance(x, str) else repr(x) + "::DOUBLE" if isinstance(x, float) else repr(x)
+    text = lambda v: "'" + v.replace("'", "''") + "'"
+    return "NULL" if x is None else str(x).upper() if isinstance(x, bool) else text(x) if isinstance(x, str) else repr(x) + "::DOUBLE" if isinstance(x, float) else repr(x)
 
 
 COND_SQL = "cond(rule_id, test_id, condition_id, metric, scope, party, op, value, currency, q_count, q_set, pending) AS (VALUES " + ", ".join("(" + ", ".join(map(_v, r)) + ")" for r in CONDITIONS) + ")"
@@ -136,21 +139,25 @@ active AS (SELECT deal_id, rule_id, count(*) FILTER (NOT pending) AS n, count(*)
 result AS (SELECT deal_id, rule_id, CASE WHEN n = 0 THEN 'not_triggered' WHEN nulls = n THEN 'data_insufficient' WHEN hits > 0 THEN 'triggered'
                   WHEN nulls > 0 THEN 'unclear' ELSE 'not_triggered' END AS status, triggered_by,
                   CASE WHEN nulls > 0 THEN 'medium' WHEN close THEN 'low' ELSE 'high' END AS confidence FROM active)"""
-PREFILTER_SQL = """prefilter AS (
-    SELECT deal_id, rule_id, confidence FROM (
-        SELECT deal_id, rule_id, CASE
-            WHEN kind IS NOT NULL AND list_contains(CASE rule_id WHEN 'fr' THEN ['minority_stake'] ELSE [] END, kind) THEN 'high'
+PREFILTER_SQL = f"""prefilter AS (
+    SELECT deal_id, rule_id, o.confidence AS confidence, o.note AS note FROM (
+        SELECT *, CASE
+            WHEN kind IS NOT NULL AND list_contains(CASE rule_id WHEN 'fr' THEN ['minority_stake'] ELSE [] END, kind)
+                THEN {{'confidence': 'high', 'note': printf({_v(S.NOTES["type"])}, kind, 'full_merger, joint_venture')}}
             WHEN NOT (coalesce(kind = 'minority_stake', FALSE) OR control = 'no_control') THEN NULL
-            WHEN rule_id = 'jp' THEN 'high'
-            WHEN rule_id = 'uk' AND control = 'no_control' THEN 'medium'
-            WHEN rule_id = 'fr' AND control = 'no_control' THEN 'high'
-            WHEN rule_id = 'us' AND pct IS NOT NULL AND NOT (pct > 30 OR (pct >= 15 AND (relation IS NULL OR relation IN ('vertical', 'conglomerate')))) THEN 'high'
-            WHEN rule_id = 'de' AND pct IS NOT NULL AND NOT (pct >= 25 AND (relation IS NULL OR relation = 'horizontal')) THEN 'high' END AS confidence
-        FROM deals, (SELECT unnest(['eu', 'uk', 'us', 'de', 'fr', 'jp']) AS rule_id)) WHERE confidence IS NOT NULL)"""
+            WHEN rule_id = 'jp' THEN {{'confidence': 'high', 'note': {_v(S.NOTES["minority"])}}}
+            WHEN rule_id = 'uk' AND control = 'no_control' THEN {{'confidence': 'medium', 'note': {_v(S.NOTES["influence"])}}}
+            WHEN rule_id = 'fr' AND control = 'no_control' THEN {{'confidence': 'high', 'note': {_v(S.NOTES["control"])}}}
+            WHEN rule_id = 'us' AND pct IS NOT NULL AND NOT (pct > 30 OR (pct >= 15 AND (relation IS NULL OR relation IN ('vertical', 'conglomerate'))))
+                THEN {{'confidence': 'high', 'note': printf({_v(S.NOTES["share"])}, pct, 'any >30.0%' || CASE WHEN relation IS NULL OR relation IN ('vertical', 'conglomerate') THEN ', non_horizontal >=15.0%' ELSE '' END)}}
+            WHEN rule_id = 'de' AND coalesce(relation = 'horizontal', TRUE) AND pct < 25 THEN {{'confidence': 'high', 'note': printf({_v(S.NOTES["share"])}, pct, 'horizontal >=25.0%')}}
+            WHEN rule_id = 'de' AND relation <> 'horizontal' THEN {{'confidence': 'high', 'note': {_v(S.NOTES["other"])}}} END AS o
+        FROM deals, (SELECT unnest(['eu', 'uk', 'us', 'de', 'fr', 'jp']) AS rule_id)) WHERE o IS NOT NULL)"""
 SCREEN_SQL = STATUS_SQL + ", " + PREFILTER_SQL + """,
 screened AS (
     SELECT r.deal_id, r.rule_id, CASE WHEN p.confidence IS NULL THEN status ELSE 'not_triggered' END AS status,
-           CASE WHEN p.confidence IS NULL THEN triggered_by ELSE '' END AS triggered_by, coalesce(p.confidence, r.confidence) AS confidence
+           CASE WHEN p.confidence IS NULL THEN triggered_by ELSE '' END AS triggered_by, coalesce(p.confidence, r.confidence) AS confidence,
+           coalesce(note, CASE r.rule_id WHEN 'eu' THEN 'Simplified procedure may apply.' WHEN 'uk' THEN 'Voluntary regime.|Share of supply test.' ELSE '' END) AS notes
     FROM result r LEFT JOIN prefilter p ON r.deal_id = p.deal_id AND r.rule_id = p.rule_id)"""
 
 
@@ -186,41 +193,43 @@ def a18_nth_country_value(spark, sf):
 
 @query(with_(TESTS_SQL) + " SELECT deal_id, rule_id, test_id, fired FROM tests")
 def a15_tests_fired(spark, sf):
-    return S.tests_fired(S.conditions_met(deals(spark, sf), conditions(spark))).select("deal_id", "rule_id", "test_id", "fired")
+    return S.deal_tests(deals(spark, sf), conditions(spark)).select("deal_id", "rule_id", "test_id", "fired")
 
 
 @query(with_(STATUS_SQL) + " SELECT deal_id, rule_id, status, triggered_by, confidence FROM result")
 def a16_rule_status(spark, sf):
-    return S.statuses(S.tests_fired(S.conditions_met(deals(spark, sf), conditions(spark))))
+    return S.deal_statuses(deals(spark, sf), conditions(spark))
 
 
-@query(with_(DEALS_SQL, PREFILTER_SQL) + " SELECT deal_id, rule_id, confidence FROM prefilter")
+@query(with_(DEALS_SQL, PREFILTER_SQL) + " SELECT deal_id, rule_id, confidence, note FROM prefilter")
 def n12_scope_prefilter(spark, sf):
     return S.prefiltered(deals(spark, sf), rules(spark))
 
 
-@query(with_(SCREEN_SQL) + " SELECT deal_id, rule_id, status, triggered_by, confidence FROM screened")
+@query(with_(SCREEN_SQL) + " SELECT deal_id, rule_id, status, triggered_by, confidence, notes FROM screened")
 def j14_screen_all(spark, sf):
-    return S.screened(deals(spark, sf), conditions(spark), rules(spark))
+    return S.screened(deals(spark, sf), conditions(spark), rules(spark)).withColumn("notes", F.array_join("notes", "|"))
 
 
 @query(with_(SCREEN_SQL) + " SELECT deal_id, count(*) FILTER (status = 'triggered') AS filings, count(*) FILTER (status IN ('unclear', 'data_insufficient')) AS unclear FROM screened GROUP BY 1")
 def a19_filing_counts(spark, sf):
-    return S.summary(S.screened(deals(spark, sf), conditions(spark), rules(spark)))
+    return S.filing_counts(deals(spark, sf), conditions(spark), rules(spark))
 
 
 @query(with_(SCREEN_SQL) + """ SELECT deal_id, rule_id, status, triggered_by, confidence,
     CASE status WHEN 'triggered' THEN 0 WHEN 'unclear' THEN 1 WHEN 'data_insufficient' THEN 2 ELSE 3 END::INT AS place FROM screened WHERE rule_id IN ('eu', 'us')""")
 def k07_ranked_results(spark, sf):
-    return S.ranked(S.screened(deals(spark, sf), conditions(spark), rules(spark)), ["eu", "us"])
+    return S.ranked(S.screened(deals(spark, sf), conditions(spark), rules(spark)).drop("notes"), ["eu", "us"])
 
 
 @query(with_(DEALS_SQL) + """, r AS (SELECT unnest(['de', 'fr']) AS rule_id)
     SELECT deal_id, rule_id, CASE rule_id WHEN 'de' THEN x * 200 ELSE CASE WHEN n % 2 = 1 THEN x * 150 END END AS acquirer_domestic,
-           nullif(CASE rule_id WHEN 'de' THEN y * 200 ELSE CASE WHEN m % 2 = 1 THEN y * 150 END END, 0) AS target_domestic FROM deals, r""")
+           CASE rule_id WHEN 'de' THEN y * 200 ELSE CASE WHEN m % 2 = 1 THEN y * 150 END END AS target_domestic,
+           CASE WHEN rule_id = 'de' AND n % 2 = 0 THEN x * 70 ELSE aa END AS acquirer_assets, CASE WHEN rule_id = 'fr' AND m % 2 = 0 THEN y * 60 ELSE ta END AS target_assets FROM deals, r""")
 def j15_scoped_deals(spark, sf):
-    d = S.scoped(deals(spark, sf), rules(spark).where("rule_id in ('de', 'fr')"), zero_is_missing=True)
-    return d.select("deal_id", "rule_id", F.try_element_at("acquirer", F.lit("domestic")).alias("acquirer_domestic"), F.try_element_at("target", F.lit("domestic")).alias("target_domestic"))
+    d = S.scoped(deals(spark, sf), rules(spark).where("rule_id in ('de', 'fr')"))
+    home = lambda side: F.try_element_at(side, F.lit("domestic")).alias(f"{side}_domestic")
+    return d.select("deal_id", "rule_id", home("acquirer"), home("target"), "acquirer_assets", "target_assets")
 
 
 @query(with_(SCREEN_SQL) + """ SELECT deal_id, rule_id, 'triggered' AS expected, status FROM screened WHERE rule_id = 'us' AND deal_id % 3 = 0 AND status <> 'triggered'""")

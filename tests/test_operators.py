@@ -306,3 +306,49 @@ def test_approximate_neighbours_have_recall(spark):
     want = {(r.query_id, r.id) for r in nearest.top_k(v, q, 6, -1.0).where("query_id <> id").collect()}
     got = {(r.query_id, r.id) for r in rest.approximate(v, q, 5).collect()}
     assert len(got & want) >= 0.9 * len(got) and len(got) == 5 * 12
+
+
+def deal(**given):
+    """A deal with every column of the screening, empty but for what is given."""
+    kinds = {"deal_id": "long", "acquirer": "map<string,double>", "target": "map<string,double>", "acquirer_countries": "map<string,double>", "target_countries": "map<string,double>", "acquirer_assets": "double", "target_assets": "double"}
+    kinds |= {"acquirer_assets_countries": "map<string,double>", "target_assets_countries": "map<string,double>", "deal_value": "double", "deal_currency": "string", "revenue_currency": "string", "fx_rates": "map<string,double>"}
+    kinds |= {"combined_share": "map<string,double>", "acquirer_share": "map<string,double>", "incremental_share": "map<string,double>", "deal_type": "string", "control": "string", "relation": "string", "pct_shares": "double"}
+    return tuple(given.get(c, {} if t.startswith("map") else "EUR" if c.endswith("currency") else None) for c, t in kinds.items()), ", ".join(f"{c} {t}" for c, t in kinds.items())
+
+
+def test_screening_in_the_deals_row(spark):
+    """Scope and its note come before the tests; a rule without tests is not triggered; notes of the rule go with its tests."""
+    minority = {"deal_type": "minority_stake", "acquirer": {"worldwide": 20.0}}
+    given = [deal(deal_id=1, **minority, relation="vertical"), deal(deal_id=2, **minority, relation="horizontal"), deal(deal_id=3, **minority, relation="horizontal", pct_shares=10.0), deal(deal_id=4, deal_type="joint_venture"), deal(deal_id=5, acquirer={"worldwide": 20.0})]
+    d = spark.createDataFrame([x[0] for x in given], given[0][1])
+    rules = spark.createDataFrame(
+        [("a", ["minority_stake", "full_merger"], (True, "percentage_based", [("horizontal", ">=", 25.0)]), ["said"]), ("b", [], None, None)],
+        "rule_id string, triggers array<string>, minority struct<applies:boolean,standard:string,rules:array<struct<relation:string,op:string,pct:double>>>, notes array<string>",
+    )
+    conditions = plans.conditions(spark).where("rule_id = 'us' and condition_id = 'c1'").withColumns({"rule_id": F.lit("a"), "metric": F.lit("revenue"), "value": F.lit(19.0)})
+    got = {(r.deal_id, r.rule_id): (r.status, r.triggered_by, r.confidence, r.notes) for r in screening.screened(d, conditions, rules).collect()}
+    assert len(got) == 10 and all(got[k, "b"] == ("not_triggered", "", "high", []) for k in range(1, 6))
+    assert got[1, "a"] == ("not_triggered", "", "high", [screening.NOTES["other"]])
+    assert got[2, "a"] == ("triggered", "t1", "high" if 1 / 19 >= 0.1 else "low", ["said"])
+    assert got[3, "a"] == ("not_triggered", "", "high", [screening.NOTES["share"] % (10.0, "horizontal >=25.0%")])
+    assert got[4, "a"] == ("not_triggered", "", "high", [screening.NOTES["type"] % ("joint_venture", "minority_stake, full_merger")])
+    assert got[5, "a"] == got[2, "a"]
+    counts = {r.deal_id: (r.filings, r.unclear) for r in screening.filing_counts(d, conditions, rules).collect()}
+    assert counts == {1: (0, 0), 2: (1, 0), 3: (0, 0), 4: (0, 0), 5: (1, 0)}
+
+
+def test_screening_in_a_row_equals_the_steps(spark, sf):
+    d, c = plans.deals(spark, sf), plans.conditions(spark)
+    steps = screening.statuses(screening.tests_fired(screening.conditions_met(d, c)))
+    assert sorted(map(tuple, screening.deal_statuses(d, c).collect())) == sorted(map(tuple, steps.collect()))
+    plan = screening.screened(d, c, plans.rules(spark))._jdf.queryExecution().optimizedPlan().toString()
+    assert "Cross" not in plan and "Aggregate" not in plan and plan.count("Join") == 2
+
+
+def test_assets_of_a_country_stand_for_all(spark):
+    row, kinds = deal(deal_id=1, acquirer_assets=9.0, acquirer_assets_countries={"ca": 5.0}, target_assets=8.0, acquirer={"domestic": 0.0}, acquirer_countries={"CA": 3.0}, target_countries={"ca": 4.0})
+    d = spark.createDataFrame([row], kinds)
+    rules = spark.createDataFrame([("CA",), ("us",)], "rule_id string")
+    got = {r.rule_id: (r.acquirer_assets, r.target_assets, r.acquirer["domestic"], r.target.get("domestic")) for r in screening.scoped(d, rules).collect()}
+    assert got == {"CA": (5.0, 8.0, 0.0, 4.0), "us": (9.0, 8.0, 0.0, None)}
+    assert screening.scoped(d, rules, zero_is_missing=True).where("rule_id = 'CA'").first().acquirer["domestic"] == 3.0
