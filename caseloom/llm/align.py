@@ -21,7 +21,7 @@ from caseloom.llm.shared import forget, remembered, written
 #: UTF-8 bytes of texts that a worker aligns at a time, and of a lane: a stretch of a document that ends with a word.
 BATCH_BYTES, LANE_BYTES = 1 << 20, 1 << 10
 #: Words, with the space before them, that a worker remembers at most; beyond that it starts anew.
-REMEMBERED = 400_000
+REMEMBERED = 150_000
 
 #: Signs whose class is the same in every Unicode version, and whose class Python's expressions tell: other texts are encoded whole.
 _OTHER = re.compile("[^\t-\r\x20-\x7e\xa0-\xb1\xb4-\xb8\xba\xbb\xbf-\u024f]")
@@ -325,6 +325,7 @@ def with_counts(aligned: DataFrame, a_path: str, b_path: str) -> DataFrame:
     names = [f.name for f in rest]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget()  # the words that the worker keeps from aligning
         pairs, many, best = known.value
         for batch in batches:
             links = batch.column("links")
