@@ -20,13 +20,51 @@ def signal_scores(rows: DataFrame, key: str, text: str, weights: DataFrame) -> D
     return hit.groupBy(key, "kind").agg(F.sum("weight").alias("score"))
 
 
-def candidate_pages(propositions: DataFrame, pages: DataFrame, k: int = 5) -> DataFrame:
-    """The k pages of the proposition's document with most of its keywords, earlier pages first among equals, by a join on tokens."""
-    words = lambda d, c, *keys: d.select(*keys, F.explode(F.array_distinct(T.tokens(F.col(c)))).alias("token"))
-    p = words(propositions, "text", "prop_id", "doc_id").join(words(pages, "text", "doc_id", "page_number"), ["doc_id", "token"])
-    n = p.groupBy("prop_id", "doc_id", "page_number").agg(F.count("*").alias("hits"))
-    rank = F.row_number().over(W.partitionBy("prop_id").orderBy(F.col("hits").desc(), "page_number"))
-    return n.withColumn("rank", rank).where(F.col("rank") <= k).select("prop_id", "page_number", "hits", "rank")
+#: What sections' words add and take, by how many words they share with the proposition and how deep the section is.
+TOPIC = {"two": 6, "one": 3, "deep": 5, "shallow": 2, "wrong": 4}
+
+
+def topic_words(c: Column, stop: list[str], most: int = 12) -> Column:
+    """The first distinct words of three letters or more of a name or heading, without its number and stop words."""
+    bare = F.regexp_replace(F.regexp_replace(c, r"^\d+(?:\.\d+)*\s*", ""), r"[/\-\u2013\u2014|]+", " ")
+    return F.slice(F.array_distinct(F.filter(F.regexp_extract_all(F.lower(bare), F.lit("[a-z]{3,}"), F.lit(0)), lambda w: ~w.isin(stop))), 1, most)
+
+
+def _signals(text: Column, kind: Column, signals: list[tuple[str, str, int]]) -> Column:
+    """The sum of the weights of a kind's phrases that the lower-case text has."""
+    table = F.lit([f"{k}\t{p}\t{w}" for k, p, w in signals]) if signals else F.array().cast("array<string>")
+    parts = lambda x: F.split(x, "\t")
+    own = F.filter(table, lambda x: (parts(x)[0] == kind) & F.contains(text, parts(x)[1]))
+    return F.aggregate(own, F.lit(0), lambda s, x: s + parts(x)[2].cast("int"))
+
+
+def candidate_pages(propositions: DataFrame, pages: DataFrame, bonus: list[tuple[str, str, int]] = (), penalty: list[tuple[str, str, int]] = (), stop: list[str] = (), k: int = 5) -> DataFrame:
+    """prop_id, page_number, hits, bonus, penalty, topic_bonus, topic_penalty, score, rank: the k best pages of a proposition's document, earlier ones first among equals.
+
+    propositions: prop_id, doc_id, keywords array, and where they have them kinds array (its type and subtype), name; pages: doc_id, page_number, text, and path, the
+    section it lies in (`heading_paths`). A page counts by its keywords (in any case, inside words too), the
+    phrases of the proposition's kinds (bonus and penalty: kind, phrase, weight; twice each), and the words that its section
+    shares with the name: 6 for two, 3 for one (twice each); none costs 5 in a section below another and 2 in one at the top (three times each).
+    A section that costs 4 or more makes the rest moot: keywords less twice the cost. Pages of contents and pages without a keyword are left out.
+    """
+    p = propositions
+    for c, kind in (("kinds", "array<string>"), ("name", "string")):
+        if c not in p.columns:
+            p = p.withColumn(c, F.lit(None).cast(kind))
+    p = p.select("prop_id", "doc_id", F.transform("keywords", lambda w: F.lower(w)).alias("keywords"), F.coalesce("kinds", F.array().cast("array<string>")).alias("kinds"), topic_words(F.coalesce("name", F.lit("")), list(stop)).alias("topic"))
+    t = pages if "path" in pages.columns else pages.withColumn("path", F.lit(""))
+    t = t.where((F.length("text") > 0) & ~T.is_contents(F.col("text"))).select("doc_id", "page_number", F.lower("text").alias("text"), topic_words(F.coalesce("path", F.lit("")), list(stop)).alias("section"), F.contains(F.coalesce("path", F.lit("")), F.lit(" > ")).alias("deep"))
+    d = p.join(t, "doc_id").withColumn("hits", F.size(F.filter("keywords", lambda w: F.contains(F.col("text"), w)))).where("hits > 0")
+    add = lambda table: F.aggregate("kinds", F.lit(0), lambda s, kind: s + _signals(F.col("text"), kind, list(table)))
+    shared = F.size(F.array_intersect("topic", "section"))
+    no_topic = (F.size("topic") == 0) | (F.size("section") == 0)
+    good = F.when(no_topic, 0).when(shared >= 2, TOPIC["two"]).when(shared == 1, TOPIC["one"]).otherwise(0)
+    bad = F.when(no_topic | (shared > 0), 0).when(F.col("deep"), TOPIC["deep"]).otherwise(TOPIC["shallow"])
+    d = d.withColumns({"bonus": add(bonus), "penalty": add(penalty), "topic_bonus": good, "topic_penalty": bad})
+    score = F.when(F.col("topic_penalty") >= TOPIC["wrong"], F.col("hits") - 2 * F.col("topic_penalty")).otherwise(F.expr("hits + 2 * bonus - 2 * penalty + 2 * topic_bonus - 3 * topic_penalty"))
+    d = d.withColumn("score", score)
+    rank = F.row_number().over(W.partitionBy("prop_id").orderBy(F.col("score").desc(), "page_number"))
+    return d.withColumn("rank", rank).where(F.col("rank") <= k).select("prop_id", "page_number", "hits", "bonus", "penalty", "topic_bonus", "topic_penalty", "score", "rank")
 
 
 def ordered_passages(passages: DataFrame, roles: list[str], cap: int = 3) -> DataFrame:

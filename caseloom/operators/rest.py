@@ -89,20 +89,6 @@ def prefix_batches(chunks: DataFrame, pattern: str) -> DataFrame:
     return g.withColumn("batch", F.row_number().over(W.partitionBy("doc_id").orderBy("first_page")))
 
 
-def covered_selection(chunks: DataFrame, focus: Column, least_pages: int = 20, share: float = 0.25, large: int = 30) -> DataFrame:
-    """Chunks of the focus; a document whose focus has fewer pages than least_pages, or (of `large` pages or more) a smaller share, is marked to be supplemented."""
-    d = chunks.withColumn("hit", focus)
-    g = d.groupBy("doc_id").agg(F.sum(F.when(F.col("hit"), F.col("pages")).otherwise(0)).alias("focused"), F.sum("pages").alias("all"))
-    thin = (F.col("focused") < least_pages) | ((F.col("all") >= large) & (F.col("focused") < share * F.col("all")))
-    return g.select("doc_id", "focused", "all", thin.alias("supplement"))
-
-
-def trimmed(pages: DataFrame, heading: str, prefix: str) -> DataFrame:
-    """The text of each page up to the first heading that is no part of the prefix."""
-    first = F.regexp_instr("text", F.lit(rf"(?m)^(?!{prefix})({heading})"))
-    return pages.withColumn("text", F.when(first > 0, F.substring("text", F.lit(1), first - 1)).otherwise(F.col("text")))
-
-
 def split_points(windows: DataFrame, most: int = 15) -> DataFrame:
     """Pages in a cluster part at a change of prefix, and after `most` pages of one; doc_id, cluster, part, first_page, last_page."""
     order = W.partitionBy("doc_id", "cluster").orderBy("page_number")
@@ -200,8 +186,35 @@ def verified(conditions: DataFrame, passages: DataFrame, sources: DataFrame) ->
     return d.groupBy("condition_id").agg(F.max(tier).alias("tier"), F.count("passage_id").alias("passages"))
 
 
+#: Which list of a new passage names the proposition, by its kind; the confidence of such a passage.
+SUPPORTS = {"product_market": "supports_markets", "geographic_market": "supports_geographic_markets", "theory_of_harm": "supports_theories"}
+CONFIDENCE = 0.70
+
+
 def repaired(passages: DataFrame, grounded: DataFrame) -> DataFrame:
     """Passages on a wrong page get the page where the quote is, and their review starts anew."""
     d = passages.join(grounded, "passage_id", "left")
     wrong = F.coalesce(F.col("status") == "wrong_page", F.lit(False))
     return d.select("passage_id", F.when(wrong, F.col("found_page")).otherwise(F.col("page")).alias("page"), F.when(wrong, "unreviewed").otherwise("reviewed").alias("review"))
+
+
+def added_passages(passages: DataFrame, accepted: DataFrame) -> DataFrame:
+    """case_id, passage_id, doc_id, page, quote, review, confidence and the lists of SUPPORTS: a new passage for each accepted candidate.
+
+    passages: case_id, passage_id (string); accepted: case_id, prop_id, kind, doc_id, page, quote, order (in which they are
+    written); those without a quote or document are left out. New ids are sp_n: n goes on from the number of passages of the case and
+    past ids that are taken; the i-th new passage has the i-th free number.
+    """
+    a = accepted.where("quote <> '' and doc_id is not null").withColumn("i", F.row_number().over(W.partitionBy("case_id").orderBy("order", "prop_id")))
+    have = passages.groupBy("case_id").agg(F.count("*").alias("have"))
+    taken = passages.select("case_id", F.regexp_extract("passage_id", r"^sp_([1-9][0-9]{0,8})$", 1).alias("n")).where("n <> ''").select("case_id", F.col("n").cast("long").alias("n")).distinct()
+    wanted = a.groupBy("case_id").agg(F.max("i").alias("many")).join(have, "case_id", "left").withColumn("have", F.coalesce("have", F.lit(0)))
+    # The i-th passage begins at have + i and takes the first number past the one before that is free: taken numbers push the rest on.
+    over = taken.join(wanted, "case_id").where("n > have").select("case_id", "have", "n")
+    over = over.withColumn("rank", F.row_number().over(W.partitionBy("case_id").orderBy("n"))).withColumn("slots", F.col("n") - F.col("have") - F.col("rank"))
+    before = over.select("case_id", "slots").alias("o")
+    a = a.join(wanted.select("case_id", "have"), "case_id").alias("a")
+    pushed = a.join(before, (F.col("a.case_id") == F.col("o.case_id")) & (F.col("o.slots") < F.col("a.i")), "left").groupBy("a.case_id", "a.i").agg(F.count("o.slots").alias("pushed"))
+    d = a.select("a.*").join(pushed, ["case_id", "i"]).withColumn("n", F.col("have") + F.col("i") + F.col("pushed"))
+    lists = [F.when(F.col("kind") == kind, F.array("prop_id")).otherwise(F.array().cast(f"array<{accepted.schema['prop_id'].dataType.simpleString()}>")).alias(name) for kind, name in SUPPORTS.items()]
+    return d.select("case_id", F.concat(F.lit("sp_"), F.col("n").cast("string")).alias("passage_id"), "doc_id", F.col("page").cast("string").alias("page"), "quote", F.lit("unreviewed").alias("review"), F.lit(CONFIDENCE).alias("confidence"), *lists)

@@ -253,11 +253,15 @@ def a51_link_resolution(spark, sf):
 # ------------------------------------------------------------------ sections, links, vectors, sets
 
 
-@query(with_(A.PAGES_SQL) + r""" SELECT doc_id, page_number, CASE WHEN page_number % 3 = 0 THEN text || chr(10) ELSE text END AS text FROM text_pages""")
-def w07_trimmed_pages(spark, sf):
-    """A page in three has a heading of another section after its text, with more after that; both go."""
-    p = A.text_pages(spark, sf).withColumn("text", F.when(F.col("page_number") % 3 == 0, F.concat("text", F.lit("\n7.2 Other part\nmore"))).otherwise(F.concat("text", F.lit(""))))
-    return X.trimmed(p, r"[0-9]+\.[0-9]+ [A-Z]", r"7\.1")
+@query(with_(A.PAGES_SQL) + r""", p AS (SELECT doc_id, page_number, (page_number - 1) // 3 AS chunk, (page_number - 1) % 3 AS i, text, regexp_replace(text, '\s+$', '') AS r FROM text_pages)
+    SELECT doc_id, chunk, page_number, 'own' AS part, CASE i WHEN 0 THEN '7.1 Own part' || chr(10) || text WHEN 1 THEN text ELSE r END AS text FROM p WHERE i < 2 OR r <> ''
+    UNION ALL SELECT doc_id, chunk - 1, page_number, 'spill', 'before' FROM p WHERE i = 0 AND chunk > 0""")
+def w07_section_texts(spark, sf):
+    """Chunks of three pages: the first begins with the last words of the chunk before it and another section, the last ends in one."""
+    p = A.text_pages(spark, sf).withColumn("chunk", F.floor((F.col("page_number") - 1) / 3)).withColumn("i", (F.col("page_number") - 1) % 3)
+    text = F.expr("case i when 0 then concat('before\\n7.2 Other part\\nmore\\n7.1 Own part\\n', text) when 1 then text else concat(text, '\\n7.2 Other part\\nmore') end")
+    p = p.select("doc_id", "chunk", "page_number", text.alias("text"))
+    return L.section_texts(p, p.select("doc_id", "chunk", F.lit("7.1").alias("prefix")).distinct())
 
 
 @query(with_(A.PAGES_SQL) + """, u AS (SELECT doc_id, page_number, (page_number - 1) // 20 AS cluster, CASE WHEN (page_number - 1) % 20 < 12 THEN 'Unit One' ELSE 'Other' END AS prefix FROM text_pages),

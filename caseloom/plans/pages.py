@@ -34,13 +34,25 @@ def t21_signal_scores(spark, sf):
     return P.signal_scores(A.table(spark, sf, "documents"), "doc_id", "text", w)
 
 
-@query(with_(A.PAGES_SQL) + f""", p AS (SELECT doc_id AS prop_id, doc_id, unnest(list_distinct({TOK.format('text')})) AS token FROM text_pages WHERE page_number = 1),
-    t AS (SELECT doc_id, page_number, unnest(list_distinct({TOK.format('text')})) AS token FROM text_pages),
-    n AS (SELECT prop_id, page_number, count(*) AS hits FROM p JOIN t USING (doc_id, token) GROUP BY 1, 2)
-    SELECT prop_id, page_number, hits, row_number() OVER (PARTITION BY prop_id ORDER BY hits DESC, page_number)::INT AS rank FROM n QUALIFY rank <= 5""")
+#: The values of a list, each where it comes first.
+FIRSTS = "list_filter({list}, lambda x, i: list_position({list}, x) = i)"
+BONUS, PENALTY = [("market", "the ", 2), ("market", "ation", 1), ("own", "que", 3)], [("market", "der", 2), ("own", "and", 1)]
+
+
+@query(with_(A.PAGES_SQL) + f""", w AS (SELECT doc_id AS prop_id, doc_id, {FIRSTS.format(list="regexp_extract_all(lower(text), '[a-z]{4,}')")}[:25] AS ks, {FIRSTS.format(list="regexp_extract_all(lower(text), '[a-z]{3,}')")}[:12] AS topic FROM text_pages WHERE page_number = 1),
+    t AS (SELECT doc_id, page_number, lower(text) AS t, CASE page_number % 4 WHEN 0 THEN '' WHEN 1 THEN substring(text, 1, 20) ELSE 'one > ' || substring(text, 1, 30) END AS path FROM text_pages WHERE length(text) > 0 AND len(regexp_extract_all(text, '\\.{{4,}}')) < 4),
+    d AS (SELECT prop_id, page_number, t, path, topic, len([k for k in ks if contains(t, k)]) AS hits, {FIRSTS.format(list="regexp_extract_all(lower(path), '[a-z]{3,}')")}[:12] AS section FROM w JOIN t USING (doc_id)),
+    x AS (SELECT *, {" + ".join(f"CASE WHEN contains(t, '{p}') THEN {v} ELSE 0 END" for _, p, v in BONUS)} AS bonus, {" + ".join(f"CASE WHEN contains(t, '{p}') THEN {v} ELSE 0 END" for _, p, v in PENALTY)} AS penalty, len(list_intersect(topic, section)) AS o FROM d WHERE hits > 0),
+    y AS (SELECT *, CASE WHEN len(topic) = 0 OR len(section) = 0 THEN 0 WHEN o >= 2 THEN 6 WHEN o = 1 THEN 3 ELSE 0 END AS topic_bonus, CASE WHEN len(topic) = 0 OR len(section) = 0 OR o > 0 THEN 0 WHEN contains(path, ' > ') THEN 5 ELSE 2 END AS topic_penalty FROM x),
+    z AS (SELECT *, CASE WHEN topic_penalty >= 4 THEN hits - 2 * topic_penalty ELSE hits + 2 * bonus - 2 * penalty + 2 * topic_bonus - 3 * topic_penalty END AS score FROM y)
+    SELECT prop_id, page_number, hits, bonus, penalty, topic_bonus, topic_penalty, score, row_number() OVER (PARTITION BY prop_id ORDER BY score DESC, page_number)::INT AS rank FROM z QUALIFY rank <= 5""")
 def w15_candidate_pages(spark, sf):
+    """The first page of each document as a proposition, its pages as candidates, in sections named by their first words."""
     p = A.text_pages(spark, sf)
-    return P.candidate_pages(p.where("page_number = 1").select(F.col("doc_id").alias("prop_id"), "doc_id", "text"), p)
+    words = P.keywords(F.col("text"), [], 25)
+    props = p.where("page_number = 1").select(F.col("doc_id").alias("prop_id"), "doc_id", words.alias("keywords"), F.array(F.lit("market"), F.lit("own")).alias("kinds"), F.col("text").alias("name"))
+    path = F.expr("case page_number % 4 when 0 then '' when 1 then substring(text, 1, 20) else concat('one > ', substring(text, 1, 30)) end")
+    return P.candidate_pages(props, p.withColumn("path", path), BONUS, PENALTY)
 
 
 @query(with_(PASSAGES_SQL) + """, m AS (SELECT case_id, unnest(supports_markets) AS market_id, unnest([1, 0]) AS direct, role, passage_id AS seq FROM passages)

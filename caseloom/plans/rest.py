@@ -119,10 +119,30 @@ def w06_section_batches(spark, sf):
     return R.prefix_batches(S.chunks(X.pages(spark, sf), "section", 2), "^([a-m])")
 
 
-@query(CHUNKS_SQL + """, gg AS (SELECT doc_id, coalesce(sum(pages) FILTER (path = 't'), 0)::BIGINT AS focused, sum(pages)::BIGINT AS "all" FROM chunks GROUP BY 1)
-    SELECT *, focused < 2 OR ("all" >= 5 AND focused < 0.25 * "all") AS supplement FROM gg""")
-def w05_coverage_test(spark, sf):
-    return R.covered_selection(S.chunks(X.pages(spark, sf), "section", 2), F.col("path") == "t", 2, 0.25, 5)
+FALLBACK_SQL = X.ORACLES["w03_fallback_pages"].removeprefix("WITH " + X.SECTIONS_SQL).replace("SELECT doc_id, page_number, island FROM i WHERE island <= 3", "SELECT 1")
+
+
+@query(CHUNKS_SQL + f"""{FALLBACK_SQL.strip().removesuffix("SELECT 1").rstrip().replace("p AS (", "fp AS (").replace("FROM p)", "FROM fp)").replace("k AS (", "fk AS (").replace("FROM k)", "FROM fk)").replace("n AS (", "fn AS (").replace("FROM n ", "FROM fn ").replace("i AS (", "fi AS (")},
+    fb AS (SELECT doc_id, island AS rank, list(page_number ORDER BY page_number) AS ps FROM fi WHERE island <= 4 GROUP BY 1, 2),
+    ch AS (SELECT c.doc_id, c.chunk, c.path = 't' AS focus, list(t.page_number ORDER BY t.page_number) AS ps FROM chunks c JOIN pages2 t ON t.doc_id = c.doc_id AND t.page_number BETWEEN c.first_page AND c.last_page AND length(t.text) > 0 GROUP BY ALL),
+    nn AS (SELECT doc_id, sum(len(ps)) AS a, coalesce(sum(len(ps)) FILTER (focus), 0) AS f, coalesce(bool_or(focus), FALSE) AS has FROM ch GROUP BY 1),
+    mm AS (SELECT *, f < 2 OR (a >= 5 AND f < 0.25 * a) AS thin, CASE WHEN a >= 5 AND has THEN 4 ELSE 2 END AS most FROM nn),
+    ev AS (SELECT doc_id, chunk, 0 AS rank, ps, has FROM ch JOIN mm USING (doc_id) WHERE focus
+           UNION ALL SELECT doc_id, 'fallback_' || lpad(rank::VARCHAR, 3, '0'), rank, ps, has FROM fb JOIN mm USING (doc_id) WHERE (thin OR NOT has) AND rank <= most),
+    pg AS (SELECT doc_id, chunk, rank, unnest(ps) AS p FROM ev),
+    ad AS (SELECT doc_id, chunk, bool_or(rank = r) AS adds FROM (SELECT *, min(rank) OVER (PARTITION BY doc_id, p) AS r FROM pg) GROUP BY 1, 2),
+    tk AS (SELECT *, list_min(ps) AS first_page, len(ps)::INT AS pages FROM ev JOIN ad USING (doc_id, chunk) WHERE rank = 0 OR adds OR NOT has),
+    up AS (SELECT *, sum(pages) OVER (PARTITION BY doc_id ORDER BY first_page, rank, chunk) AS upto FROM tk),
+    pa AS (SELECT *, max(CASE WHEN has AND upto > 6 THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY first_page, rank, chunk) AS passed FROM up)
+    SELECT doc_id, chunk, CASE WHEN rank = 0 THEN 'section' ELSE 'fallback' END AS how, first_page, pages FROM pa WHERE passed = 0""")
+def w05_covering_selection(spark, sf):
+    """Chunks of sections that begin with t, supplemented by groups of pages that name `the`, up to six pages."""
+    p = X.pages(spark, sf)
+    c = S.chunks(p, "section", 2)
+    inside = p.where("length(text) > 0").alias("p").join(c.alias("c"), (F.col("p.doc_id") == F.col("c.doc_id")) & F.col("p.page_number").between(F.col("c.first_page"), F.col("c.last_page")))
+    numbers = inside.groupBy("c.doc_id", "c.chunk", (F.col("c.path") == "t").alias("focus")).agg(F.sort_array(F.collect_list("p.page_number")).alias("page_numbers"))
+    f = S.fallback_pages(p, "score", most=4, groups=4).groupBy("doc_id", F.col("island").alias("rank")).agg(F.sort_array(F.collect_list("page_number")).alias("page_numbers"))
+    return S.covering_selection(numbers, f, 6, 2, 0.25, 5, 2)
 
 
 @query(with_(X.SECTIONS_SQL) + """, c AS (SELECT doc_id, page_number // 8 AS cluster, page_number, section AS prefix FROM pages2),
@@ -230,6 +250,20 @@ def g11_rule_verification(spark, sf):
     return R.verified(conditions, passages, sources)
 
 
+@query(with_(A.PAGES_SQL) + """, o AS (SELECT doc_id, count(*) AS have, list(DISTINCT page_number * 2) AS taken FROM text_pages WHERE page_number <= 6 GROUP BY 1),
+    f AS (SELECT doc_id, have, unnest(list_filter(range(have + 1, have + 20), x -> NOT list_contains(taken, x))) AS n, generate_subscripts(list_filter(range(have + 1, have + 20), x -> NOT list_contains(taken, x)), 1) AS i FROM o)
+    SELECT doc_id AS case_id, 'sp_' || n AS passage_id, i::VARCHAR AS page, CASE i WHEN 1 THEN doc_id END AS market, CASE i WHEN 2 THEN doc_id END AS place, CASE i WHEN 3 THEN doc_id END AS theory FROM f WHERE i <= 3""".replace("x ->", "lambda x:"))
+def g20_added_passages(spark, sf):
+    """A passage for each of the first pages of a document, with even numbers; three candidates are accepted for each."""
+    p = A.text_pages(spark, sf).where("page_number <= 6")
+    have = p.select(F.col("doc_id").alias("case_id"), F.concat(F.lit("sp_"), (F.col("page_number") * 2).cast("string")).alias("passage_id"))
+    kinds = F.explode(F.array(*[F.struct(F.lit(k).alias("kind"), F.lit(i).alias("order")) for i, k in enumerate(R.SUPPORTS, 1)])).alias("k")
+    a = p.where("page_number = 1").select(F.col("doc_id").alias("case_id"), F.col("doc_id").alias("prop_id"), "doc_id", kinds)
+    a = a.select("case_id", "prop_id", "k.kind", "doc_id", F.col("k.order").alias("page"), F.lit("said").alias("quote"), "k.order")
+    only = lambda c, name: F.get(c, F.lit(0)).alias(name)
+    return R.added_passages(have, a).select("case_id", "passage_id", "page", only("supports_markets", "market"), only("supports_geographic_markets", "place"), only("supports_theories", "theory"))
+
+
 @query(with_(A.PAGES_SQL, X.QUOTES_SQL) + " SELECT q.passage_id, CASE WHEN status = 'wrong_page' THEN found_page ELSE q.page END AS page, CASE WHEN status = 'wrong_page' THEN 'unreviewed' ELSE 'reviewed' END AS review FROM quotes q JOIN ground USING (passage_id)")
 def g20_passage_repair(spark, sf):
     q = X.quotes(spark, sf)
