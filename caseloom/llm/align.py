@@ -20,8 +20,10 @@ from caseloom.llm.shared import forget, remembered, written
 
 #: UTF-8 bytes of texts that a worker aligns at a time, and of a lane: a stretch of a document that ends with a word.
 BATCH_BYTES, LANE_BYTES = 1 << 20, 1 << 10
+#: Documents whose links are counted at a time.
+ROWS = 256
 #: Words, with the space before them, that a worker remembers at most; beyond that it starts anew.
-REMEMBERED = 150_000
+REMEMBERED = 300_000
 
 #: Signs whose class is the same in every Unicode version, and whose class Python's expressions tell: other texts are encoded whole.
 _OTHER = re.compile("[^\t-\r\x20-\x7e\xa0-\xb1\xb4-\xb8\xba\xbb\xbf-\u024f]")
@@ -328,10 +330,12 @@ def with_counts(aligned: DataFrame, a_path: str, b_path: str) -> DataFrame:
         forget()  # the words that the worker keeps from aligning
         pairs, many, best = known.value
         for batch in batches:
-            links = batch.column("links")
-            at = np.searchsorted(pairs, links.flatten().to_numpy())
-            ends = np.r_[0, np.cumsum(links.value_lengths().to_numpy())]
-            sums = [pa.array(np.diff(np.r_[0, np.cumsum(v[at], dtype=np.int64)][ends])) for v in (best, many)]
-            yield pa.RecordBatch.from_arrays([*(batch.column(n) for n in names), *sums], names + ["n_best", "count_sum"])
+            for begin in range(0, batch.num_rows, ROWS):
+                part = batch.slice(begin, ROWS)
+                links = part.column("links")
+                at = np.searchsorted(pairs, links.flatten().to_numpy())
+                ends = np.r_[0, np.cumsum(links.value_lengths().to_numpy())]
+                sums = [pa.array(np.diff(np.r_[0, np.cumsum(v[at], dtype=np.int64)][ends])) for v in (best, many)]
+                yield pa.RecordBatch.from_arrays([*(part.column(n) for n in names), *sums], names + ["n_best", "count_sum"])
 
     return aligned.mapInArrow(run, T.StructType([*rest, T.StructField("n_best", T.LongType()), T.StructField("count_sum", T.LongType())]))
