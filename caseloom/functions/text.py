@@ -182,15 +182,91 @@ def amounts(text: Column, currency: str) -> Column:
 
 
 def within(value: Column, expected: Column, share: float = 0.02, floor: float = 1.0) -> Column:
-    """Whether a value is the expected one, to a share of it or a floor."""
-    return F.abs(value - expected) <= F.greatest(F.abs(expected) * share, F.lit(floor))
+    """Whether a value is the expected one, to a share of it or a floor; an expected nothing is met by values up to the share."""
+    return F.when(expected == 0, F.abs(value) <= share).otherwise(F.abs(value - expected) <= F.greatest(F.abs(expected) * share, F.lit(floor)))
+
+
+def any_within(values: Column, expected: Column, share: float = 0.02, floor: float = 1.0) -> Column:
+    """Whether any of the values mentioned is the expected one. Shares have no floor."""
+    return F.exists(values, lambda v: within(v, expected, share, floor))
+
+
+#: Fractions in words, as percent.
+FRACTIONS = [(r"\bone[- ]quarter\b", 25.0), (r"\bthree[- ]quarters\b", 75.0), (r"\bone[- ]third\b", 100 / 3), (r"\btwo[- ]thirds\b", 200 / 3), (r"\bone[- ]half\b", 50.0)]
 
 
 def shares(text: Column) -> Column:
-    """Percentages and worded fractions named in a text, as percent."""
-    percent = F.transform(F.regexp_extract_all(text, F.lit(r"([0-9]+(?:[.,][0-9]+)?)\s*(?:%|per cent|percent)"), F.lit(1)), lambda m: F.replace(m, F.lit(","), F.lit(".")).cast("double"))
-    words = F.array_compact(F.array(*[F.when(F.lower(text).rlike(w), F.lit(v)) for w, v in (("one[- ]half|a half", 50.0), ("one[- ]third", 100 / 3), ("one[- ]quarter", 25.0))]))
-    return F.concat(percent, words)
+    """Shares named in a text, as percent: percentages, then numbers from 0 to 1 with a fraction, then fractions in words."""
+    plain = lambda m: F.replace(m, F.lit(","), F.lit(".")).cast("double")
+    percent = F.transform(F.regexp_extract_all(text, F.lit(r"(?i)([0-9]+(?:[.,][0-9]+)?)\s*(?:%|per cent|percent|τοις εκατο)"), F.lit(1)), plain)
+    unit = F.transform(F.regexp_extract_all(text, F.lit(r"\b0[.,][0-9]+\b"), F.lit(0)), lambda m: plain(m) * 100)
+    words = F.array_compact(F.array(*[F.when(F.lower(text).rlike(w), F.lit(v)) for w, v in FRACTIONS]))
+    return F.concat(percent, unit, words)
+
+
+@F.pandas_udf(StringType())
+def unaccented(s: pd.Series) -> pd.Series:
+    """Lower case without accents, in any script (Spark has no Unicode normaliser)."""
+    strip = lambda x: "".join(c for c in unicodedata.normalize("NFD", x.lower()) if unicodedata.category(c) != "Mn")
+    return s.map(lambda x: x if x is None else x.lower() if x.isascii() else strip(x))
+
+
+#: Number words in three languages, without accents.
+NUMBER_WORDS = [
+    ("one two three four five six seven eight nine ten eleven twelve thirteen fourteen fifteen sixteen seventeen eighteen nineteen", range(1, 20)),
+    ("twenty thirty forty fifty sixty seventy eighty ninety hundred", range(20, 101, 10)),
+    ("один одна одно два две три четыре пять шесть семь восемь девять десять", [1, 1, 1, 2, 2, 3, 4, 5, 6, 7, 8, 9, 10]),
+    ("одиннадцать двенадцать тринадцать четырнадцать пятнадцать шестнадцать семнадцать восемнадцать девятнадцать", range(11, 20)),
+    ("двадцать тридцать сорок пятьдесят шестьдесят семьдесят восемьдесят девяносто сто", range(20, 101, 10)),
+    ("двести триста четыреста пятьсот шестьсот семьсот восемьсот девятьсот", range(200, 901, 100)),
+    ("ενα δυο τρια τεσσερα πεντε εξι επτα εφτα οκτω οχτω εννεα δεκα", [1, 2, 3, 4, 5, 6, 7, 7, 8, 8, 9, 10]),
+    ("εικοσι τριαντα σαραντα πενηντα εξηντα εβδομηντα ογδοντα ενενηντα εκατο", range(20, 101, 10)),
+    ("διακοσια τριακοσια τετρακοσια πεντακοσια εξακοσια επτακοσια οκτακοσια εννιακοσια", range(200, 901, 100)),
+]
+#: Words of scale, and beginnings of words of scale in further forms and languages.
+SCALE_WORDS = {"thousand": 10**3, "million": 10**6, "billion": 10**9, "trillion": 10**12, "χιλιαδες": 10**3}
+SCALE_STEMS = {"тысяч": 10**3, "миллион": 10**6, "миллиард": 10**9, "триллион": 10**12, "εκατομμυρ": 10**6, "δισεκατομμυρ": 10**9}
+SCALE_STEMS |= {"milliard": 10**9, "miliard": 10**9, "million": 10**6, "milion": 10**6, "millon": 10**6, "milhao": 10**6, "milhoe": 10**6}
+
+
+def spelled_values(text: Column) -> Column:
+    """The values written in words in a text, in order: those with a word of scale; in English, Russian and Greek.
+
+    A fold over the words carries the number so far. Units add up in a group, hundreds multiply it, and a word of scale
+    multiplies all of the number before it; any other word ends the number.
+    """
+    units = {w: float(n) for words, values in NUMBER_WORDS for w, n in zip(words.split(), values, strict=True)}
+    as_map = lambda d: F.create_map(*[F.lit(x) for k, v in d.items() for x in (k, float(v))])
+    stem = F.lit(None).cast("double")
+    stems = f"^({'|'.join(SCALE_STEMS)})"
+
+    def scale(w: Column) -> Column:
+        found = stem
+        for begin in sorted(SCALE_STEMS, key=len):  # the longest last, so that it is asked first
+            found = F.when(F.startswith(w, F.lit(begin)), float(SCALE_STEMS[begin])).otherwise(found)
+        return F.when(w.isin(*SCALE_WORDS), F.try_element_at(as_map(SCALE_WORDS), w)).when(w.rlike(stems), found)
+
+    tokens = F.regexp_extract_all(unaccented(text), F.lit("[a-z\u0400-\u04ff\u0370-\u03ff]+"), F.lit(0))
+    # (value, of scale) of each word of a number, and null for any other
+    read = F.transform(tokens, lambda w: F.when(w.isin(*units), F.struct(F.try_element_at(as_map(units), w).alias("n"), F.lit(False).alias("scale"))).otherwise(F.when(scale(w).isNotNull(), F.struct(scale(w).alias("n"), F.lit(True).alias("scale")))))
+    zero = F.lit(0.0)
+    state = lambda total, group, scaled, out: F.struct(total.alias("total"), group.alias("group"), scaled.alias("scaled"), out.alias("out"))
+    ended = lambda s: F.when(s["scaled"] & (s["total"] + s["group"] > 0), F.concat(s["out"], F.array(s["total"] + s["group"]))).otherwise(s["out"])
+
+    def step(s: Column, x: Column) -> Column:
+        before = s["total"] + s["group"]
+        return (
+            F.when(x.isNull(), F.when((before > 0) | s["scaled"], state(zero, zero, F.lit(False), ended(s))).otherwise(s))
+            .when(x["scale"], F.when(before > 0, state(before * x["n"], zero, F.lit(True), s["out"])).otherwise(s))
+            .when(x["n"] == 100, state(s["total"], F.when(s["group"] > 0, s["group"]).otherwise(1.0) * 100, s["scaled"], s["out"]))
+            .otherwise(state(s["total"], s["group"] + x["n"], s["scaled"], s["out"]))
+        )
+
+    start = state(zero, zero, F.lit(False), F.array().cast("array<double>"))
+    return F.aggregate(F.coalesce(read, F.array().cast(SPELLED)), start, step, ended)
+
+
+SPELLED = "array<struct<n:double,scale:boolean>>"
 
 
 def date_of(c: Column) -> Column:

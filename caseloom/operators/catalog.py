@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import math
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
@@ -164,23 +166,62 @@ def stats(catalog: DataFrame, markets: DataFrame) -> DataFrame:
     return one.join(F.broadcast(markets.agg(F.count_distinct(name_key(F.col("name"))).alias("markets"))))
 
 
-def _is(value: str):
-    return lambda w: w == value
+#: Documents of a block of postings, and folders of terms.
+BLOCK, FOLDERS = 4096, 64
+#: Parameters of BM25.
+K1, B = 1.2, 0.75
 
 
-def full_text(docs: DataFrame, query: str, k: int = 20, k1: float = 1.2, b: float = 0.75) -> DataFrame:
-    """The k best of doc_id, text by BM25 for the words of the query."""
-    terms = sorted({w for w in query.lower().split() if w})
+def full_text_index(docs: DataFrame, path: str) -> None:
+    """An inverted index of doc_id (a number), text under path: postings, terms, blocks, corpus.
+
+    postings: term, doc_id, part (its weight by BM25, less the rareness of the term), in folders by a hash of the term and sorted by it, so that a search reads
+    the row groups of its terms alone; terms: in how many documents; blocks: the largest part of a term in BLOCK document
+    numbers; corpus: documents and mean length. Words are runs of letters and digits in lower case.
+    """
     words = F.filter(F.split(F.lower("text"), r"[^\p{L}\p{N}]+"), lambda w: F.length(w) > 0)
-    d = docs.select("doc_id", words.alias("w"))
-    d = d.select("doc_id", F.size("w").alias("n"), *[F.size(F.filter("w", _is(t))).alias(f"t{i}") for i, t in enumerate(terms)])
-    corpus = d.agg(F.count("*").alias("docs"), F.avg("n").alias("mean"), *[F.count_if(F.col(f"t{i}") > 0).alias(f"d{i}") for i in range(len(terms))]).first()  # one row
-    score = F.lit(0.0)
-    for i in range(len(terms)):
-        idf = F.log(F.lit(1 + (corpus["docs"] - corpus[f"d{i}"] + 0.5) / (corpus[f"d{i}"] + 0.5)))
-        tf = F.col(f"t{i}")
-        score = score + idf * tf * (k1 + 1) / (tf + k1 * (1 - b + b * F.col("n") / F.lit(corpus["mean"])))
-    return d.select("doc_id", score.alias("score")).where("score > 0").orderBy(F.col("score").desc(), "doc_id").limit(k)
+    d = docs.select("doc_id", words.alias("w")).select("doc_id", F.size("w").alias("n"), "w")
+    corpus = d.agg(F.count("*").alias("docs"), F.avg("n").alias("mean"))
+    corpus.write.parquet(f"{path}/corpus")
+    mean = docs.sparkSession.read.parquet(f"{path}/corpus").first()["mean"] or 1.0
+    p = d.select("doc_id", "n", F.explode("w").alias("term")).groupBy("term", "doc_id").agg(F.first("n").alias("n"), F.count("*").alias("tf"))
+    part = F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("n") / F.lit(mean)))
+    p = p.select("term", "doc_id", part.alias("part"), _folder(F.col("term")).alias("folder"))
+    p.repartition("folder", "term").sortWithinPartitions("folder", "term", "doc_id").write.partitionBy("folder").parquet(f"{path}/postings")
+    p = docs.sparkSession.read.parquet(f"{path}/postings")
+    b = p.groupBy("folder", "term", F.floor(F.col("doc_id") / BLOCK).alias("block")).agg(F.max("part").alias("most"), F.count("*").alias("df"))
+    b.repartition("folder", "term").sortWithinPartitions("folder", "term").write.partitionBy("folder").parquet(f"{path}/blocks")
+    t = docs.sparkSession.read.parquet(f"{path}/blocks").groupBy("folder", "term").agg(F.sum("df").alias("df"))
+    t.repartition("folder").sortWithinPartitions("folder", "term").write.partitionBy("folder").parquet(f"{path}/terms")
+
+
+def _folder(term: Column) -> Column:
+    return F.pmod(F.xxhash64(term), F.lit(FOLDERS)).cast("int")
+
+
+def searched_index(spark: SparkSession, path: str, query: str, k: int = 20) -> DataFrame:
+    """doc_id, score: the k best documents of an index for the words of a query, by BM25; ties to the smaller doc_id.
+
+    Only the query's terms are read. The best blocks (by the sum of their terms' largest parts, as many as hold k
+    documents or more) give k scores; blocks whose sum is below the k-th of them cannot hold a better document and are left out.
+    """
+    terms = sorted({w for w in query.lower().split() if w})
+    folders = [r[0] for r in spark.createDataFrame([(t,) for t in terms], "term string").select(_folder(F.col("term"))).distinct().collect()]
+    mine = lambda name: spark.read.parquet(f"{path}/{name}").where(F.col("folder").isin(folders) & F.col("term").isin(terms))
+    docs = spark.read.parquet(f"{path}/corpus").first()["docs"]
+    idf = {r["term"]: math.log(1 + (docs - r["df"] + 0.5) / (r["df"] + 0.5)) for r in mine("terms").collect()}
+    weight = F.lit(0.0)
+    for term, value in idf.items():
+        weight = F.when(F.col("term") == term, value).otherwise(weight)
+    blocks = mine("blocks").groupBy("block").agg(F.sum(weight * F.col("most")).alias("most"), F.max("df").alias("docs"))
+    scored = mine("postings").select("doc_id", F.floor(F.col("doc_id") / BLOCK).alias("block"), (weight * F.col("part")).alias("part"))
+    best = lambda d: d.groupBy("doc_id").agg(F.sum("part").alias("score")).orderBy(F.col("score").desc(), "doc_id").limit(k)
+    first = blocks.orderBy(F.col("most").desc(), "block").limit(k).collect()
+    upto = next((i for i in range(1, len(first) + 1) if sum(r["docs"] for r in first[:i]) >= k), len(first))
+    some = best(scored.where(F.col("block").isin([r["block"] for r in first[:upto]]))).collect()
+    floor = some[-1]["score"] if len(some) == k else 0.0
+    left = blocks.where(F.col("most") >= floor * (1 - 1e-9)).select("block")
+    return best(scored.join(left, "block"))
 
 
 def in_layers(canonical: DataFrame, indexed: DataFrame, column: str) -> DataFrame:

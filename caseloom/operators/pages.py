@@ -97,32 +97,6 @@ def edition(editions: DataFrame, languages: list[str]) -> DataFrame:
     return g.select("doc_id", F.coalesce("found", "other", F.lit("manual")).alias("lang"))
 
 
-#: Number words.
-UNITS = {w: i for i, w in enumerate("zero one two three four five six seven eight nine ten eleven twelve thirteen fourteen fifteen sixteen seventeen eighteen nineteen".split())}
-TENS = {w: 10 * (i + 2) for i, w in enumerate("twenty thirty forty fifty sixty seventy eighty ninety".split())}
-SCALES = {"thousand": 10**3, "million": 10**6, "billion": 10**9}
-
-
-def spelled(c: Column) -> Column:
-    """The value of a number written in words with a scale word; null without one. A fold over the words carries (total, group, scaled)."""
-    words = F.filter(F.split(F.lower(c), r"[\s-]+"), lambda w: (w != "") & (w != "and"))
-    as_map = lambda d: F.create_map(*[F.lit(x) for k, v in d.items() for x in (k, int(v))])
-    small, scale = as_map(UNITS | TENS), as_map({k: v for k, v in SCALES.items()})
-    start = F.struct(F.lit(0).cast("long").alias("total"), F.lit(0).cast("long").alias("group"), F.lit(False).alias("scaled"))
-
-    def step(s: Column, w: Column) -> Column:
-        value, times = F.try_element_at(small, w).cast("long"), F.try_element_at(scale, w).cast("long")
-        make = lambda t, g, k: F.struct(t.alias("total"), g.alias("group"), k.alias("scaled"))
-        return (
-            F.when(times.isNotNull(), make(s["total"] + F.greatest(s["group"], F.lit(1).cast("long")) * times, F.lit(0).cast("long"), F.lit(True)))
-            .when(w == "hundred", make(s["total"], F.greatest(s["group"], F.lit(1).cast("long")) * 100, s["scaled"]))
-            .when(value.isNotNull(), make(s["total"], s["group"] + value, s["scaled"]))
-            .otherwise(s)
-        )
-
-    return F.aggregate(words, start, step, lambda s: F.when(s["scaled"], s["total"] + s["group"]))
-
-
 def unit_label(c: Column, structural: list[str]) -> Column:
     """A heading of one to four words, none of them structural, is a unit's label."""
     words = F.split(F.trim(F.regexp_replace(F.lower(c), r"[^a-z\s]", "")), r"\s+")

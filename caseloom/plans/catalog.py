@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from caseloom.operators import catalog as C
 from caseloom.sources import adapters as A
+from caseloom.sources.scratch import fresh_folder
 
 QUERIES, ORACLES = {}, {}
 MARK = "-"
@@ -165,4 +166,6 @@ def j06_theory_cases(spark, sf):
                        + ln(1 + (docs - db + 0.5) / (db + 0.5)) * b * 2.2 / (b + 1.2 * (0.25 + 0.75 * n / mean)) AS score FROM t, c)
     SELECT doc_id, round(score, 6) AS score FROM s WHERE score > 0 ORDER BY s.score DESC, doc_id LIMIT 20""")
 def k05_full_text(spark, sf):
-    return C.full_text(A.table(spark, sf, "documents"), "rend threlyes").withColumn("score", F.round("score", 6))
+    path = fresh_folder(spark, "postings")
+    C.full_text_index(A.table(spark, sf, "documents"), path)
+    return C.searched_index(spark, path, "rend threlyes").withColumn("score", F.round("score", 6))

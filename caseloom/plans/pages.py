@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from caseloom.functions import text as T
 from caseloom.operators import pages as P
 from caseloom.plans.catalog import with_
 from caseloom.plans.records import PASSAGES_SQL, passages
@@ -86,16 +87,20 @@ def w20_language_edition(spark, sf):
     return P.edition(d.select("doc_id", "e.*"), ["en", "de", "fr"])
 
 
-WORDS = "zero one two three four five six seven eight nine".split()
 
 
-@query("SELECT o_orderkey AS id, CASE WHEN o_orderkey % 3 = 0 THEN NULL ELSE ((o_orderkey % 10) * 100 + 20 + (o_orderkey // 10) % 10) * 1000000 + CASE WHEN o_orderkey % 3 = 1 THEN 5000 ELSE 0 END END::BIGINT AS value FROM orders WHERE o_orderkey % 10 > 0")
+@query("""SELECT o_orderkey AS id, CASE o_orderkey % 4 WHEN 0 THEN '' WHEN 1 THEN ((o_orderkey % 9 + 1) * 100 + 20 + (o_orderkey // 10) % 9 + 1) || '000000,' || (o_orderkey % 9 + 1) || '000'
+    WHEN 2 THEN (o_orderkey % 9 + 1) * 1000 || '000000,7000' ELSE (800 + o_orderkey % 9 + 1) || '000000' END AS found FROM orders""")
 def n04_spelled_numbers(spark, sf):
-    digit = lambda e: f"element_at(array({', '.join(repr(w) for w in WORDS)}), cast({e} AS int) + 1)"
-    base = f"concat({digit('o_orderkey % 10')}, ' hundred and twenty-', {digit('floor(o_orderkey / 10) % 10')})"
-    text = f"concat({base}, case o_orderkey % 3 when 0 then ' people' when 1 then ' million five thousand euros' else ' million' end)"
-    o = A.table(spark, sf, "orders").where("o_orderkey % 10 > 0").selectExpr("o_orderkey AS id", f"{text} AS text")
-    return o.select("id", P.spelled(F.col("text")).alias("value"))
+    """Numbers in words amid other words: none with a scale, two in English, two in Greek, one in Russian."""
+    at = lambda words, e: f"element_at(array({', '.join(repr(w) for w in words.split()[:9])}), cast({e} AS int) + 1)"
+    english, greek = "one two three four five six seven eight nine", "ενα δυο τρια τεσσερα πεντε εξι επτα οκτω εννεα"
+    russian = "один два три четыре пять шесть семь восемь девять"
+    text = f"""case o_orderkey % 4 when 0 then concat('about ', {at(english, 'o_orderkey % 9')}, ' of the two parties')
+        when 1 then concat('worth ', {at(english, 'o_orderkey % 9')}, ' hundred twenty-', {at(english, 'floor(o_orderkey / 10) % 9')}, ' million euros, of it ', {at(english, 'o_orderkey % 9')}, ' Thousand in cash')
+        when 2 then concat({at(greek, 'o_orderkey % 9')}, ' δισεκατομμύρια ευρώ ή επτά χιλιάδες') else concat('свыше восемьсот ', {at(russian, 'o_orderkey % 9')}, ' миллионов рублей') end"""
+    o = A.table(spark, sf, "orders").selectExpr("o_orderkey AS id", f"{text} AS text")
+    return o.select("id", F.array_join(F.transform(T.spelled_values(F.col("text")), lambda v: v.cast("long").cast("string")), ",").alias("found"))
 
 
 @query(with_(PASSAGES_SQL) + """, n AS (SELECT case_id, unnest(supports_theories) AS theory_id, passage_id FROM passages), i AS (SELECT case_id, market_id AS theory_id FROM items),

@@ -87,18 +87,21 @@ def n03_money_mentions(spark, sf):
     return a.select("id", (F.col("p") + 1).alias("pos"), F.round("value", 2).alias("value"))
 
 
-@query("""SELECT o_orderkey AS id, round(o_orderkey % 77 + 0.5, 4)::DOUBLE AS first, CASE WHEN o_orderkey % 2 = 0 THEN 2 ELSE 1 END::INT AS n FROM orders""")
+@query("""SELECT o_orderkey AS id, round(o_orderkey % 77 + 0.5, 4)::DOUBLE AS first, (CASE WHEN o_orderkey % 2 = 0 THEN 2 ELSE 1 END + CASE WHEN o_orderkey % 77 = 0 THEN 1 ELSE 0 END + CASE WHEN o_orderkey % 3 = 0 THEN 3 ELSE 0 END)::INT AS n,
+    round(CASE WHEN o_orderkey % 2 = 0 THEN 200 / 3.0 WHEN o_orderkey % 3 = 0 THEN 75.0 WHEN o_orderkey % 77 = 0 THEN 50.0 ELSE o_orderkey % 77 + 0.5 END, 4)::DOUBLE AS last FROM orders""")
 def n05_share_mentions(spark, sf):
-    text = "concat('a share of ', o_orderkey % 77, ',5 % overall', if(o_orderkey % 2 = 0, ' and one third of the rest', ''))"
+    text = "concat('a share of ', o_orderkey % 77, ',5 % overall', if(o_orderkey % 3 = 0, ', three quarters of it at 0.25 or 0,3', ''), if(o_orderkey % 2 = 0, ' and Two-Thirds of the rest', ''))"
     o = A.table(spark, sf, "orders").selectExpr("o_orderkey AS id", f"{text} AS text").withColumn("s", T.shares(F.col("text")))
-    return o.select("id", F.round(F.get("s", F.lit(0)), 4).alias("first"), F.size("s").alias("n"))
+    return o.select("id", F.round(F.get("s", F.lit(0)), 4).alias("first"), F.size("s").alias("n"), F.round(F.element_at("s", -1), 4).alias("last"))
 
 
-@query("""SELECT o_orderkey AS id, abs(round(o_totalprice, 2) - o_totalprice * (1 + (o_orderkey % 5) / 100.0)) <= greatest(abs(o_totalprice * (1 + (o_orderkey % 5) / 100.0)) * 0.02, 1)
-    AS verified FROM orders""")
+@query("""WITH e AS (SELECT *, o_totalprice * (1 + (o_orderkey % 5) / 100.0) AS expected FROM orders), t AS (SELECT *, greatest(abs(expected) * 0.02, 1) AS most FROM e)
+    SELECT o_orderkey AS id, abs(round(o_totalprice, 2) - expected) <= most OR (o_orderkey % 7 = 0 AND abs(round(o_totalprice * 1.04, 2) - expected) <= most) AS verified FROM t""")
 def n06_amount_tolerance(spark, sf):
-    o = A.table(spark, sf, "orders").selectExpr("o_orderkey AS id", f"{MONEY} AS text", "o_totalprice * (1 + (o_orderkey % 5) / 100.0D) AS expected")
-    return o.select("id", F.exists(F.slice(T.amounts(F.col("text"), "EUR"), 1, 1), lambda v: T.within(v, F.col("expected"))).alias("verified"))
+    """Any of the amounts that a text mentions may be the expected one: every seventh text names a second."""
+    text = f"concat({MONEY}, if(o_orderkey % 7 = 0, concat(' or EUR ', format_number(o_totalprice * 1.04D, 2)), ''))"
+    o = A.table(spark, sf, "orders").selectExpr("o_orderkey AS id", f"{text} AS text", "o_totalprice * (1 + (o_orderkey % 5) / 100.0D) AS expected")
+    return o.select("id", T.any_within(T.amounts(F.col("text"), "EUR"), F.col("expected")).alias("verified"))
 
 
 @query("""SELECT o_orderkey AS id, CASE WHEN o_orderkey % 4 = 3 THEN NULL ELSE o_orderdate::DATE END AS day FROM orders""")
