@@ -124,3 +124,73 @@ def sidecar_tiers(passages: DataFrame, key: str) -> DataFrame:
     """Per rule its tier (2 with a number confirmed in a grounded passage, 1 with a grounded one, else 0) and how many passages failed."""
     tier = F.max(F.when(F.col("grounded") & F.col("numbers"), 2).when(F.col("grounded"), 1).otherwise(0))
     return passages.groupBy(key).agg(tier.alias("tier"), F.count_if(~F.col("grounded")).alias("failures"))
+
+
+#: Statuses of sites that turn scripts away, what errors of certificates say, seconds of a slow answer.
+GUARDED, CERTIFICATE, SLOW = [400, 403], ["CERTIFICATE_VERIFY_FAILED", "SSL:", "[SSL"], 8
+
+
+def link_flags(status: Column, error: Column, redirects: Column, seconds: Column) -> dict[str, Column]:
+    """What a link check says: bot_protected and ssl_uncertain links are not broken; a slow one answered, after SLOW seconds; ok is none of the others but slow."""
+    guarded = F.coalesce(status.isin(GUARDED), F.lit(False))
+    unsure = F.coalesce(F.exists(F.lit(CERTIFICATE), lambda x: F.contains(error, x)), F.lit(False))
+    broken = ~guarded & ~unsure & (F.coalesce(error != "", F.lit(False)) | F.coalesce(status >= 400, F.lit(False)))
+    moved = (F.coalesce(redirects, F.lit(0)) > 0) & ~broken & ~guarded
+    slow = F.coalesce(seconds > SLOW, F.lit(False)) & ~broken
+    return {"broken": broken, "redirected": moved, "bot_protected": guarded, "ssl_uncertain": unsure, "slow": slow, "ok": ~broken & ~moved & ~guarded & ~unsure}
+
+
+def link_classes(checks: DataFrame, *keys: str) -> DataFrame:
+    """Counts of each class by keys; checks: keys, status, error, redirects, seconds. A slow link counts in its class too."""
+    flags = link_flags(F.col("status"), F.col("error"), F.col("redirects"), F.col("seconds"))
+    return checks.groupBy(*keys).agg(F.count("*").alias("links"), *[F.count_if(f).alias(name) for name, f in flags.items()])
+
+
+def review_status(text: Column) -> Column:
+    """The status of a review text: that of the first line that begins with it in bold; UNKNOWN without one, NO_REVIEW without a text."""
+    line = F.regexp_extract(text, r"(?m)^[ \t]*\*\*Status:(.*)$", 1)
+    found = F.regexp_like(text, F.lit(r"(?m)^[ \t]*\*\*Status:"))
+    return F.when(text.isNull(), "NO_REVIEW").when(found, F.upper(F.trim(F.replace(line, F.lit("**"), F.lit(""))))).otherwise("UNKNOWN")
+
+
+def readiness(text: Column) -> Column:
+    """The first word of the readiness line of a review packet; UNKNOWN without one, NO_REVIEW without a text."""
+    word = F.regexp_extract(text, r"(?im)^[ \t]*## readiness:[ \t]*(\S*)", 1)
+    return F.when(text.isNull(), "NO_REVIEW").otherwise(F.coalesce(F.upper(F.nullif(word, F.lit(""))), F.lit("UNKNOWN")))
+
+
+def market_count(text: Column) -> Column:
+    """Entries of the list of product markets in a record's raw text: those under its key, up to the next line that is not indented."""
+    step = lambda inside, n: F.struct(inside.alias("inside"), n.alias("n"))
+    of = lambda s, line: (
+        F.when(F.startswith(F.trim(line), F.lit("product_markets_considered:")), step(F.lit(True), s["n"]))
+        .when(s["inside"] & F.startswith(F.trim(line), F.lit("- market_id:")), step(s["inside"], s["n"] + 1))
+        .when(s["inside"] & F.regexp_like(line, F.lit(r"^\S")), step(F.lit(False), s["n"]))
+        .otherwise(s)
+    )
+    return F.aggregate(F.split(F.coalesce(text, F.lit("")), "\n"), step(F.lit(False), F.lit(0)), of, lambda s: s["n"])
+
+
+#: Statuses of definitions; how drafts' others are read when drafts merge, and when one is promoted.
+DEFINITIONS = ["defined", "discussed", "segmented", "left_open", "considered"]
+ON_MERGE = {"not_conclusive": "left_open", "precedent_only": "discussed", "possible_segmentation": "discussed"}
+ON_PROMOTION = {
+    "precedent_only": "considered", "not_conclusive": "left_open", "assessed_no_overlap": "considered", "unknown": "considered", "possible_segmentation": "discussed",
+    "not_appropriate": "considered", "incomplete_source": "considered", "background": "considered",
+}
+
+
+def _mapped(c: Column, table: dict[str, str]) -> Column:
+    return F.try_element_at(F.create_map(*[F.lit(x) for kv in table.items() for x in kv]), c)
+
+
+def merged_definition(status: Column) -> tuple[Column, Column]:
+    """A definition status as it stands after a merge, and the level of its warning: none for a valid one, INFO for one read as another, WARN for any other, which stays."""
+    new = _mapped(status, ON_MERGE)
+    level = F.when(status.isin(DEFINITIONS), F.lit(None).cast("string")).when(new.isNotNull(), "INFO").otherwise("WARN")
+    return F.coalesce(new, status), level
+
+
+def promoted_definition(status: Column) -> Column:
+    """A definition status as a promoted record has it."""
+    return F.coalesce(_mapped(status, ON_PROMOTION), status)

@@ -118,6 +118,41 @@ def promotion_action(importance: Column, status: Column, has_refs: Column) -> Co
     )
 
 
+#: Roles of passages that can carry a promotion; what caveats on a missing conclusion say; statuses that such a caveat holds back.
+CONCLUSIVE_ROLES = ["commission_assessment", "conclusion"]
+NO_CONCLUSION = ["conclusion", "absent", "missing", "incomplete", "cut off", "not in supplied"]
+HELD_BACK = ["left_open", "considered", "not_conclusive"]
+
+
+def promotion_plan(markets: DataFrame, passages: DataFrame, caveats: DataFrame) -> DataFrame:
+    """case_id, market_id, kind, action, guard (role, caveat, pairing or null): what to do with each draft market, after the guards.
+
+    markets: case_id, market_id, kind, importance, status, name; passages: case_id, page, role, supports (array of market_id); caveats:
+    case_id, caveat. A market has sources if a passage with a page supports it. Of one to be promoted: role holds it if it has
+    passages, none of them conclusive; then caveat, if its case lacks a conclusion and its status is one of HELD_BACK (with
+    uncertainty too); then pairing sends a place to review that shares no word of its name with a product of its case.
+    """
+    p = passages.select("case_id", F.explode("supports").alias("market_id"), (F.trim(F.coalesce("page", F.lit(""))) != "").alias("paged"), F.col("role").isin(CONCLUSIVE_ROLES).alias("firm"))
+    p = p.groupBy("case_id", "market_id").agg(F.bool_or("paged").alias("refs"), F.bool_or(F.coalesce("firm", F.lit(False))).alias("firm"))
+    said = F.exists(F.lit(NO_CONCLUSION), lambda x: F.contains(F.lower("caveat"), x))
+    c = caveats.groupBy("case_id").agg(F.coalesce(F.bool_or(said), F.lit(False)).alias("lacks"))
+    words = lambda d: d.select("case_id", "market_id", F.explode(F.filter(F.split(F.lower(F.coalesce("name", F.lit(""))), r"\s+"), lambda w: w != "")).alias("word"))
+    product = words(markets.where("kind = 'product'")).select("case_id", "word").distinct()
+    paired = words(markets.where("kind = 'geographic'")).join(product, ["case_id", "word"], "left_semi").select("case_id", "market_id").distinct().withColumn("paired", F.lit(True))
+    d = markets.join(p, ["case_id", "market_id"], "left").join(c, "case_id", "left").join(paired, ["case_id", "market_id"], "left")
+    base = promotion_action(F.col("importance"), F.col("status"), F.coalesce("refs", F.lit(False)))
+    d = d.withColumn("base", base)
+    sure, promoted = F.col("base") == "promote_to_canonical", F.col("base").isin("promote_to_canonical", "promote_with_uncertainty")
+    guard = (
+        F.when(sure & F.col("firm").isNotNull() & ~F.col("firm"), "role")
+        .when(promoted & F.coalesce("lacks", F.lit(False)) & F.col("status").isin(HELD_BACK), "caveat")
+        .when(promoted & (F.col("kind") == "geographic") & F.col("paired").isNull(), "pairing")
+    )
+    d = d.withColumn("guard", guard)
+    action = F.when(F.col("guard").isin("role", "caveat"), "hold_pending_source_check").when(F.col("guard") == "pairing", "manual_review_geo_pairing").otherwise(F.col("base"))
+    return d.select("case_id", "market_id", "kind", action.alias("action"), "guard")
+
+
 def review_score(entries: DataFrame, passages: DataFrame, weights: dict[str, dict[str, float]], refs_scale: float = 5.0) -> DataFrame:
     """Item, score: having passages (3), their number up to three (2), the strongest role (2), importance (1.5), status (1), category (0.5), cited pages (0.25).
 

@@ -361,18 +361,38 @@ def paired_overlap(a: DataFrame, b: DataFrame) -> DataFrame:
     return p.groupBy("case_id", "item").agg(F.max("overlap").alias("overlap"))
 
 
-def review_set(products: DataFrame, geographies: DataFrame, count: int, bonus: float = 0.4) -> DataFrame:
-    """case_id, item, pick, list: products first, each with a bonus by its overlap with a geography; then geographies, with one by the chosen products.
+def _with_pairing(items: DataFrame, partners: DataFrame, bonus: float) -> DataFrame:
+    """items with their score raised by the largest signal of a partner of their case: one of their market group counts fully, else the share of name tokens in common."""
+    group = partners.where("market_group <> ''").select("case_id", "market_group", F.lit(1.0).alias("same")).distinct()
+    d = items.join(paired_overlap(items, partners), ["case_id", "item"], "left").join(group, ["case_id", "market_group"], "left")
+    return d.withColumn("score", F.col("score") + bonus * F.coalesce("same", "overlap", F.lit(0.0))).drop("same", "overlap")
+
+
+def _first_scored(items: DataFrame, count: int) -> DataFrame:
+    n = F.row_number().over(W.partitionBy("case_id").orderBy(F.col("score").desc(), "item"))
+    return items.select("case_id", "item", n.cast("int").alias("pick")).where(F.col("pick") <= count)
 
-    Both: case_id, item, name, status, score. Picks are diverse in status; a case short of items gives what it has.
-    """
 
-    def chosen(items: DataFrame, partners: DataFrame) -> DataFrame:
-        d = items.join(paired_overlap(items, partners), ["case_id", "item"], "left")
-        return diverse(d.withColumn("score", F.col("score") + bonus * F.coalesce("overlap", F.lit(0.0))), count)
+def _filled(chosen: DataFrame, low: DataFrame, count: int) -> DataFrame:
+    """chosen, and where a case has fewer than count, its best items of low signal after them."""
+    have = chosen.groupBy("case_id").agg(F.count("*").cast("int").alias("have"))
+    more = _first_scored(low, count).join(have, "case_id", "left").withColumn("pick", F.col("pick") + F.coalesce("have", F.lit(0)))
+    return chosen.select("case_id", "item", "pick").unionByName(more.where(F.col("pick") <= count).select("case_id", "item", "pick"))
 
-    first = chosen(products, geographies)
-    second = chosen(geographies, products.join(first, ["case_id", "item"], "left_semi"))
+
+def review_set(products: DataFrame, geographies: DataFrame, count: int, bonus: float = 0.4) -> DataFrame:
+    """case_id, item, pick, list: products first, each with a bonus by its pairing with a geography; then geographies, with one by the chosen products.
+
+    Both: case_id, item, name, status, score, and where they have them market_group and low (of a category with little signal).
+    Products are picked for diversity of status, geographies by score alone; ties go to the first. Items of low signal
+    only fill up a case that has too few others, by score.
+    """
+    default = lambda d: d.withColumns({c: v for c, v in (("market_group", F.lit("")), ("low", F.lit(False))) if c not in d.columns}).withColumns({"market_group": F.coalesce("market_group", F.lit("")), "low": F.coalesce("low", F.lit(False))})
+    products, geographies = default(products), default(geographies)
+    p = kept(_with_pairing(products, geographies, bonus), "products")
+    first = kept(_filled(diverse(p.where("not low"), count), p.where("low"), count), "picked")
+    g = kept(_with_pairing(geographies, products.join(first, ["case_id", "item"], "left_semi"), bonus), "places")
+    second = _filled(_first_scored(g.where("not low"), count), g.where("low"), count)
     return first.withColumn("list", F.lit("product")).unionByName(second.withColumn("list", F.lit("geographic")))
 
 

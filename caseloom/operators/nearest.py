@@ -75,6 +75,16 @@ def exact_then_semantic(exact: DataFrame, hits: DataFrame) -> DataFrame:
     return exact.select("case_id", F.lit(0).alias("rank"), F.lit("exact").alias("match")).distinct().unionByName(more)
 
 
+def names_of_both(cooccurring: DataFrame, hits: DataFrame, name: str, limit: int) -> DataFrame:
+    """Key, origin of up to `limit` names: those of the same cases (key, shared_cases, first_seq) first, then hits of a vector search (name, rank) that are neither among them nor the name asked for."""
+    co = cooccurring.orderBy(F.col("shared_cases").desc(), "first_seq").limit(limit).select("key", F.lit(0).alias("src"), (-F.col("shared_cases").cast("long")).alias("r"), F.col("first_seq").cast("long").alias("s"))
+    key = F.lower(F.trim("name"))
+    more = hits.groupBy(key.alias("key")).agg(F.min("rank").cast("long").alias("r")).where(F.col("key") != name.strip().lower())
+    more = more.join(cooccurring, "key", "left_anti").select("key", F.lit(1).alias("src"), "r", F.lit(0).cast("long").alias("s"))
+    every = co.unionByName(more).orderBy("src", "r", "s").limit(limit)
+    return every.select("key", F.when(F.col("src") == 0, "cooccurrence").otherwise("semantic").alias("origin"))
+
+
 def upserted(old: DataFrame, new: DataFrame, key: str, updated: list[str]) -> DataFrame:
     """Rows of both; where a key is in both, only the updated columns take the new value."""
     n = new.select(key, F.lit(True).alias("_new"), *[F.col(c).alias(f"_{c}") for c in new.columns if c != key])

@@ -86,6 +86,41 @@ def min_recall(a: Column, b: Column, stop: list[str]) -> Column:
     return F.coalesce(F.try_divide(F.size(F.array_intersect(x, y)), F.least(F.size(x), F.size(y))), F.lit(0.0))
 
 
+#: Outcomes whose decisions are not published in the register; its languages, in order.
+MANUAL_OUTCOMES = ["cleared_with_conditions", "blocked", "annulled", "partially_annulled", "under_appeal"]
+LANGUAGES = "ENG FRA DEU ITA NLD SPA POL POR SWE DAN FIN CES ELL HUN RON BUL HRV SLK SLV EST LAV LIT GLE MLT".split()
+
+
+def register_id(source_url: Column, year: Column) -> Column:
+    """The id of a decision in the register, by the case number at the end of its link and the year; null without either."""
+    number = F.nullif(F.regexp_extract(source_url, r"M\.([0-9]+)$", 1), F.lit(""))
+    return F.when(year.cast("string").rlike("^[0-9]+$"), F.concat(F.lit("3"), year.cast("string"), F.lit("M"), number))
+
+
+def resolved_edition(cases: DataFrame, editions: DataFrame, languages: list[str] = LANGUAGES) -> DataFrame:
+    """case_id, how (resolved, manual, missing), register_id, lang, reason: the first language edition in order that the register has as a PDF.
+
+    cases: case_id, outcome, source_url, year; editions: register_id, lang, status (of the link), kind (content type). Phase-2 and
+    appeal outcomes are looked up by hand; the reason of a missing one names the first status other than 404, else 404.
+    """
+    c = cases.withColumn("register_id", register_id(F.col("source_url"), F.col("year")))
+    at = F.array_position(F.lit(languages), F.upper("lang"))
+    e = editions.withColumn("place", at).where("place > 0")
+    good = (F.col("status") == 200) & F.contains("kind", F.lit("pdf"))
+    g = e.groupBy("register_id").agg(F.min_by("lang", F.when(good, F.col("place"))).alias("lang"), F.min_by("status", F.struct((F.col("status") == 404).alias("absent"), "place")).alias("last"))
+    d = c.join(g, "register_id", "left")
+    manual = F.coalesce(F.col("outcome").isin(MANUAL_OUTCOMES), F.lit(False))
+    how = F.when(manual, "manual").when(F.col("lang").isNotNull(), "resolved").otherwise("missing")
+    reason = (
+        F.when(manual, "phase_ii_not_in_cellar")
+        .when(F.regexp_extract("source_url", r"M\.([0-9]+)$", 1) == "", "no_case_number_in_source_url")
+        .when(F.col("register_id").isNull(), F.when(F.col("source_url").isNull(), "no_case_number_in_source_url").otherwise("no_decision_year"))
+        .when(how == "resolved", F.concat(F.lit("cellar_celex_"), "register_id", F.lit("_"), F.lower("lang")))
+        .otherwise(F.concat(F.lit("cellar_no_pdf_status_"), F.coalesce(F.col("last").cast("string"), F.lit("None"))))
+    )
+    return d.select("case_id", how.alias("how"), F.when(~manual, F.col("register_id")).alias("register_id"), F.when(how == "resolved", F.lower("lang")).alias("lang"), reason.alias("reason"))
+
+
 def edition(editions: DataFrame, languages: list[str]) -> DataFrame:
     """Per document the first available language edition in order of priority, else the first that is not missing, else manual."""
     at = F.array_position(F.lit(languages), F.col("lang"))

@@ -110,24 +110,6 @@ def approximate(vectors: DataFrame, queries: DataFrame, k: int, bucket: float =
     return pairs.withColumn("rank", rank).where(F.col("rank") <= k)
 
 
-def renamed_synonyms(c: Column, synonyms: list[tuple[str, str]]) -> Column:
-    """A name with its synonyms written one way, in lower case and single blanks."""
-    out = F.lower(c)
-    for pattern, plain in synonyms:
-        out = F.regexp_replace(out, rf"\b{pattern}\b", plain)
-    return F.trim(F.regexp_replace(out, r"\s+", " "))
-
-
-def context_factor(a: Column, b: Column, devices: list[str], penalty: float = 0.55) -> Column:
-    """The penalty where both names name devices and none in common, else 1."""
-    x, y = _named(a, devices), _named(b, devices)
-    return F.when((F.size(x) > 0) & (F.size(y) > 0) & ~F.arrays_overlap(x, y), penalty).otherwise(1.0)
-
-
-def _named(c: Column, names: list[str]) -> Column:
-    return F.filter(F.lit(names), lambda d: F.contains(F.lower(c), d))
-
-
 def concept_label(c: Column) -> Column:
     """A concept id as a label: prefix off, words with capitals."""
     return F.initcap(F.replace(F.regexp_replace(c, "^(toh|mkt|rem|proc)_", ""), F.lit("_"), F.lit(" ")))

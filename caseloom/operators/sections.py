@@ -219,18 +219,19 @@ NO_REPORT = (
 )
 
 
-def report_score(url: Column) -> Column:
-    """The score of the first of REPORTS that a file's name has; null for other papers, 0 for the rest."""
+def report_score(url: Column, text: Column | None = None) -> Column:
+    """The score of the first of REPORTS that a file's name has, or the name and the link's text where that is given; null for other papers, 0 for the rest."""
     name = F.element_at(F.split(url, "/"), -1)
+    name = name if text is None else F.concat(name, F.lit(" "), F.coalesce(text, F.lit("")))
     out = F.lit(0)
     for score, pattern in reversed(REPORTS):
         out = F.when(F.regexp_like(name, F.lit(f"(?i){pattern}")), score).otherwise(out)
     return F.when(~F.regexp_like(name, F.lit(f"(?i){NO_REPORT}")), out)
 
 
-def best_reports(links: DataFrame, url: Column) -> DataFrame:
+def best_reports(links: DataFrame, url: Column, text: Column | None = None) -> DataFrame:
     """page_id, url, how: the first link of the highest score over 0; else the only one that is no other paper; else none, to be looked up by hand."""
-    d = links.withColumn("score", report_score(url))
+    d = links.withColumn("score", report_score(url, text))
     ours = F.when(F.col("score").isNotNull(), F.col("pos"))
     g = d.groupBy("page_id").agg(F.max("score").alias("top"), F.max_by("url", F.when(F.col("score") > 0, F.struct("score", -F.col("pos")))).alias("best"), F.min_by("url", ours).alias("lone"), F.count("score").alias("n"))
     how = F.when(F.col("top") > 0, "scored").when(F.col("n") == 1, "only").otherwise("manual")

@@ -282,13 +282,14 @@ def w12_best_dated(spark, sf):
 
 
 @query("""WITH n AS (SELECT o_custkey AS page_id, o_orderkey AS pos, CASE o_orderkey % 6 WHEN 0 THEN 'final-report' WHEN 1 THEN 'summary-final-report' WHEN 2 THEN 'decision' WHEN 3 THEN 'map' WHEN 4 THEN 'annex' ELSE 'non-confidential' END AS f FROM orders),
-    s AS (SELECT *, CASE WHEN contains(f, 'summary') OR contains(f, 'annex') THEN NULL WHEN f = 'final-report' THEN 100 WHEN f = 'decision' THEN 42 WHEN f = 'non-confidential' THEN 38 ELSE 0 END AS s FROM n),
+    s AS (SELECT *, CASE WHEN contains(f, 'summary') OR contains(f, 'annex') OR pos % 5 = 1 THEN NULL WHEN f = 'final-report' THEN 100 WHEN pos % 5 = 2 THEN 70 WHEN f = 'decision' THEN 42 WHEN f = 'non-confidential' THEN 38 ELSE 0 END AS s FROM n),
     p AS (SELECT page_id, max(s) AS top, arg_min(pos, pos) FILTER (s IS NOT NULL) AS lone, count(*) FILTER (s IS NOT NULL) AS n FROM s GROUP BY 1)
     SELECT p.page_id, CASE WHEN top > 0 THEN min(pos) WHEN n = 1 THEN any_value(lone) END AS url, CASE WHEN top > 0 THEN 'scored' WHEN n = 1 THEN 'only' ELSE 'manual' END AS how
     FROM p LEFT JOIN s ON s.page_id = p.page_id AND s.s = top AND top > 0 GROUP BY p.page_id, top, n""")
 def w13_best_report(spark, sf):
     o = A.table(spark, sf, "orders").selectExpr("o_custkey AS page_id", "o_orderkey AS url", "o_orderkey AS pos", "case o_orderkey % 6 when 0 then 'final-report' when 1 then 'summary-final-report' when 2 then 'decision' when 3 then 'map' when 4 then 'annex' else 'non-confidential' end AS name")
-    return L.best_reports(o, F.concat(F.lit("https://x.example/"), "name", F.lit(".pdf")))
+    said = F.expr("case pos % 5 when 1 then 'Appendices' when 2 then 'Provisional findings' else '' end")
+    return L.best_reports(o, F.concat(F.lit("https://x.example/"), "name", F.lit(".pdf")), said)
 
 
 @query("""WITH v AS (SELECT vec_id AS id, label, [x::DOUBLE for x in embedding] AS e FROM embeddings), s AS (SELECT q.id AS query_id, v.id, v.label, list_cosine_similarity(q.e, v.e) AS s FROM v, (SELECT * FROM v WHERE id % 100 = 0) q WHERE q.id <> v.id),

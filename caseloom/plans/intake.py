@@ -167,11 +167,38 @@ def n23_promotion_actions(spark, sf):
     return A.table(spark, sf, "part").select(F.col("p_partkey").alias("id"), E.promotion_action(imp, st, F.col("p_partkey") % 2 == 0).alias("action"))
 
 
-@query("""WITH p AS (SELECT l_partkey AS item, count(*) AS n, max(CASE l_returnflag WHEN 'A' THEN 1.0 WHEN 'N' THEN 0.6 ELSE 0.2 END) AS role FROM lineitem WHERE l_linenumber = 1 GROUP BY 1)
+@query("""WITH m AS (SELECT p_size::BIGINT AS c, p_partkey AS id, CASE WHEN p_partkey % 3 = 0 THEN 'geographic' ELSE 'product' END AS kind, ['core_assessed', 'core_assessed', 'core_assessed', 'background', ''][1 + p_partkey % 5] AS imp,
+      ['defined', 'left_open', 'considered', 'segmented'][1 + (p_partkey // 5) % 4] AS st, lower(p_name) || CASE WHEN p_partkey % 3 = 0 THEN ' zone' || p_partkey ELSE '' END AS name FROM part),
+    p AS (SELECT l_partkey AS id, bool_or(l_quantity > 10) AS refs, bool_or(l_returnflag = 'A' AND l_suppkey % 4 = 0) AS firm FROM lineitem WHERE l_partkey % 7 <> 0 GROUP BY 1),
+    k AS (SELECT (o_orderkey % 60)::BIGINT AS c, bool_or(o_orderkey % 60 % 4 = 0) AS lacks FROM orders GROUP BY 1),
+    w AS (SELECT DISTINCT c, unnest(regexp_split_to_array(CASE WHEN id % 3 = 1 THEN name ELSE 'other ' || id END, '\\s+')) AS x FROM m WHERE kind = 'product'),
+    g AS (SELECT DISTINCT m.c, m.id FROM (SELECT c, id, unnest(regexp_split_to_array(name, '\\s+')) AS x FROM m WHERE kind = 'geographic') m JOIN w ON w.c = m.c AND w.x = m.x),
+    b AS (SELECT m.*, firm, coalesce(lacks, FALSE) AS lacks, g.id IS NOT NULL AS paired, CASE WHEN imp = 'background' THEN 'exclude_from_canonical' WHEN st = 'segmented' THEN 'promote_with_uncertainty'
+        WHEN imp = 'core_assessed' AND coalesce(refs, FALSE) THEN 'promote_to_canonical' ELSE 'manual_review' END AS base FROM m LEFT JOIN p USING (id) LEFT JOIN k USING (c) LEFT JOIN g ON g.c = m.c AND g.id = m.id),
+    r AS (SELECT *, CASE WHEN base = 'promote_to_canonical' AND firm = FALSE THEN 'role' WHEN base LIKE 'promote%' AND lacks AND st IN ('left_open', 'considered') THEN 'caveat' WHEN base LIKE 'promote%' AND kind = 'geographic' AND NOT paired THEN 'pairing' END AS guard FROM b)
+    SELECT c AS case_id, id AS market_id, kind, CASE WHEN guard IN ('role', 'caveat') THEN 'hold_pending_source_check' WHEN guard = 'pairing' THEN 'manual_review_geo_pairing' ELSE base END AS action, guard FROM r""")
+def n23_promotion_plan(spark, sf):
+    """Parts as draft markets of cases by size, line items as their passages, orders as caveats; every third part is a place."""
+    p = A.table(spark, sf, "part")
+    pick = lambda values, at: F.element_at(F.lit(values), (1 + at).cast("int"))
+    kind = F.expr("if(p_partkey % 3 = 0, 'geographic', 'product')")
+    name = F.expr("case p_partkey % 3 when 0 then concat(p_name, ' zone', p_partkey) when 1 then p_name else concat('other ', p_partkey) end")
+    m = p.select(
+        F.col("p_size").cast("long").alias("case_id"), F.col("p_partkey").alias("market_id"), kind.alias("kind"), pick(["core_assessed", "core_assessed", "core_assessed", "background", ""], F.col("p_partkey") % 5).alias("importance"),
+        pick(["defined", "left_open", "considered", "segmented"], F.floor(F.col("p_partkey") / 5) % 4).alias("status"), name.alias("name"),
+    )
+    li = A.table(spark, sf, "lineitem").where("l_partkey % 7 <> 0").join(p, F.col("l_partkey") == F.col("p_partkey"))
+    role = F.expr("if(l_returnflag = 'A' and l_suppkey % 4 = 0, 'conclusion', 'precedent')")
+    passages = li.select(F.col("p_size").cast("long").alias("case_id"), F.expr("if(l_quantity > 10, '7', ' ')").alias("page"), role.alias("role"), F.array("l_partkey").alias("supports"))
+    caveats = A.table(spark, sf, "orders").selectExpr("o_orderkey % 60 AS case_id", "if(o_orderkey % 60 % 4 = 0, 'The text is Cut Off', 'fine') AS caveat")
+    return E.promotion_plan(m, passages, caveats)
+
+
+@query("""WITH p AS (SELECT l_partkey AS item, count(*) AS n, max(CASE l_returnflag WHEN 'A' THEN 1.0 WHEN 'N' THEN 0.6 ELSE 0.2 END) AS role FROM lineitem GROUP BY 1)
     SELECT p_partkey AS item, round(CASE WHEN n > 0 THEN 3.0 ELSE 0 END + 2 * least(coalesce(n, 0) / 3.0, 1) + 2 * coalesce(role, 0) + 1.5 * CASE p_type WHEN 'ECONOMY' THEN 1.0 ELSE 0.3 END + CASE p_brand WHEN 'Brand#1' THEN 1.0 ELSE 0 END
       + 0.5 * 0.5 + 0.25 * least(p_size / 5.0, 1), 6)::DOUBLE AS score FROM part LEFT JOIN p ON item = p_partkey""")
 def n24_review_scores(spark, sf):
     w = {"role": {"A": 1.0, "N": 0.6, "default": 0.2}, "importance": {"ECONOMY": 1.0, "default": 0.3}, "status": {"Brand#1": 1.0}, "category": {"x": 0.5}}
     entries = A.table(spark, sf, "part").selectExpr("p_partkey AS item", "p_type AS importance", "p_brand AS status", "'x' AS category", "p_size AS source_refs")
-    passages = A.table(spark, sf, "lineitem").where("l_linenumber = 1").selectExpr("l_partkey AS item", "l_returnflag AS role")
+    passages = A.table(spark, sf, "lineitem").selectExpr("l_partkey AS item", "l_returnflag AS role")
     return E.review_score(entries, passages, w).withColumn("score", F.round("score", 6))

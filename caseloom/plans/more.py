@@ -11,6 +11,7 @@ from caseloom.operators import checks as K
 from caseloom.operators import evals as E
 from caseloom.operators import grounding as G
 from caseloom.operators import matching as M
+from caseloom.operators import nearest as N
 from caseloom.operators import sections as S
 from caseloom.plans.catalog import with_
 from caseloom.plans.text import TOK
@@ -112,12 +113,17 @@ def p23_contents_pages(spark, sf):
     return p.groupBy("doc_id").agg(F.count_if(T.is_contents(F.col("text"))).alias("toc_like"))
 
 
-@query("SELECT user_id AS id, CASE WHEN max(CASE WHEN event_type = 'purchase' THEN 1 ELSE 0 END) = 1 THEN 'REVIEWED' WHEN count(*) > 70 THEN 'UNKNOWN' ELSE 'NO_REVIEW' END AS status FROM events GROUP BY 1")
+@query("""SELECT o_orderkey AS id, CASE WHEN o_orderkey % 5 = 0 THEN 'NO_REVIEW' WHEN o_orderkey % 5 = 1 THEN 'UNKNOWN' ELSE CASE o_orderstatus WHEN 'F' THEN 'PASS' WHEN 'O' THEN 'WARNINGS' ELSE 'BLOCKED' END END AS status,
+    CASE WHEN o_orderkey % 5 = 0 THEN 'NO_REVIEW' WHEN o_orderkey % 5 < 3 THEN 'UNKNOWN' ELSE 'WARN' END AS readiness, (o_orderkey % 4)::INT AS markets FROM orders""")
 def p31_review_status(spark, sf):
-    e = A.table(spark, sf, "events").groupBy(F.col("user_id").alias("id")).agg(F.concat_ws("\n", F.collect_list(F.when(F.col("event_type") == "purchase", "status: reviewed"))).alias("text"), F.count("*").alias("n"))
-    text = F.when((F.col("text") == "") & (F.col("n") <= 70), F.lit(None)).otherwise(F.col("text"))
-    status = F.when(text.isNull(), "NO_REVIEW").otherwise(F.coalesce(F.nullif(F.upper(F.regexp_extract(text, r"(?im)^status:\s*(\w+)", 1)), F.lit("")), F.lit("UNKNOWN")))
-    return e.select("id", status.alias("status"))
+    """Review texts of orders: none, without a status, with one, with a readiness line too; and their records' raw text."""
+    word = "case o_orderstatus when 'F' then 'Pass' when 'O' then 'warnings' else 'Blocked' end"
+    text = f"""case o_orderkey % 5 when 0 then null when 1 then 'no status here\\nStatus: PASS' when 2 then concat('# Review\\n  **Status: ', {word}, '**\\n**Status: ERROR**')
+        else concat('**Status: ', {word}, '**\\nwords\\n## Readiness: warn (2 issues)') end"""
+    entry = "repeat('  - market_id: m\\n    name: x\\n', cast(o_orderkey % 4 AS int))"
+    record = f"concat('case_id: c\\nproduct_markets_considered:\\n', {entry}, 'geographic_markets_considered:\\n  - market_id: g\\n')"
+    o = A.table(spark, sf, "orders").selectExpr("o_orderkey AS id", f"{text} AS text", f"{record} AS record")
+    return o.select("id", K.review_status(F.col("text")).alias("status"), K.readiness(F.col("text")).alias("readiness"), K.market_count(F.col("record")).alias("markets"))
 
 
 # ------------------------------------------------------------------ joins and matching
@@ -125,15 +131,17 @@ def p31_review_status(spark, sf):
 
 @query(with_(A.MARKETS_SQL) + """, k AS (SELECT *, lower(trim(name)) AS key FROM markets), f AS (SELECT lower(trim(name)) AS q FROM markets ORDER BY seq LIMIT 1),
     s AS (SELECT DISTINCT case_id FROM k, f WHERE key = q), c AS (SELECT key, count(DISTINCT case_id) AS n, min(seq) AS s FROM k, f WHERE key <> q AND case_id IN (FROM s) GROUP BY 1),
-    b AS (SELECT lower(trim(p_brand)) AS key, min(p_partkey) AS r FROM part GROUP BY 1),
-    u AS (SELECT key, 0 AS src, row_number() OVER (ORDER BY n DESC, s) AS r FROM c UNION ALL SELECT key, 1, r FROM b WHERE key NOT IN (SELECT key FROM c))
+    v AS (SELECT vec_id AS id, [x::DOUBLE for x in embedding] AS e FROM embeddings), w AS (SELECT v.id, round(list_cosine_similarity(q.e, v.e), 12) AS s FROM v, (SELECT * FROM v WHERE id = 0) q WHERE v.id <> 0),
+    t AS (SELECT * FROM w ORDER BY s DESC, id LIMIT 8), b AS (SELECT lower(trim(p_brand)) AS key, min(rn) AS r FROM (SELECT *, row_number() OVER (ORDER BY s DESC, id) AS rn FROM t) JOIN part ON id = p_partkey GROUP BY 1),
+    u AS (SELECT key, 0 AS src, row_number() OVER (ORDER BY n DESC, s) AS r FROM c UNION ALL SELECT key, 1, r FROM b WHERE key NOT IN (SELECT key FROM c) AND key NOT IN (SELECT q FROM f))
     SELECT key, CASE src WHEN 0 THEN 'cooccurrence' ELSE 'semantic' END AS origin FROM u ORDER BY src, r LIMIT 8""")
 def j08_similar_names(spark, sf):
+    """Markets of the same cases as the first market's, then brands by the nearest vectors to the first vector."""
     m = A.markets(spark, sf)
-    co = C.cooccurring(m, m.orderBy("seq").first()["name"]).select("key", F.lit(0).alias("src"), F.row_number().over(W.orderBy(F.col("shared_cases").desc(), "first_seq")).cast("long").alias("r"))
-    sem = A.table(spark, sf, "part").groupBy(C.name_key(F.col("p_brand")).alias("key")).agg(F.min("p_partkey").alias("r")).select("key", F.lit(1).alias("src"), "r")
-    every = co.unionByName(sem.join(co, "key", "left_anti")).orderBy("src", "r").limit(8)
-    return every.select("key", F.when(F.col("src") == 0, "cooccurrence").otherwise("semantic").alias("origin"))
+    name = m.orderBy("seq").first()["name"]
+    v = A.table(spark, sf, "embeddings").select(F.col("vec_id").alias("id"), "embedding")
+    hits = N.top_k(v, v.where("id = 0"), 8, -1.0).join(A.table(spark, sf, "part"), F.col("id") == F.col("p_partkey")).select(F.col("p_brand").alias("name"), "rank")
+    return N.names_of_both(C.cooccurring(m, name), hits, name, 8)
 
 
 @query("""WITH c AS (SELECT DISTINCT p_size AS rule, p_partkey % 7 AS cond FROM part WHERE p_partkey % 2 = 0), s AS (SELECT DISTINCT p_size AS rule, p_partkey % 9 AS cond FROM part WHERE p_partkey % 3 = 0)
@@ -264,11 +272,17 @@ def a13_profile_verdict(spark, sf):
     return d.select("rule", "violations", (F.col("violations") == 0).alias("passed"), tier.cast("int").alias("tier"))
 
 
-@query("""WITH e AS (SELECT user_id AS url, event_type, value FROM events)
-    SELECT url, CASE WHEN bool_or(event_type = 'error') THEN 'broken' WHEN max(value) > 60 THEN 'slow' WHEN bool_or(event_type = 'signup') THEN 'redirected' ELSE 'ok' END AS class FROM e GROUP BY 1""")
+@query("""WITH e AS (SELECT event_type AS kind, CASE WHEN event_id % 23 = 0 THEN NULL WHEN event_type = 'error' THEN [404, 403, 500, 400][1 + event_id % 4] ELSE 200 END AS status,
+      CASE WHEN event_id % 46 = 0 THEN 'SSL: no certificate' WHEN event_id % 23 = 0 THEN 'timed out' END AS error, CASE WHEN event_id % 3 = 0 THEN 2 ELSE 0 END AS r, value / 10 > 8 AS slow FROM events),
+    f AS (SELECT *, coalesce(status IN (400, 403), FALSE) AS g, coalesce(contains(error, 'SSL:'), FALSE) AS u FROM e), b AS (SELECT *, NOT g AND NOT u AND (error IS NOT NULL OR coalesce(status >= 400, FALSE)) AS b FROM f)
+    SELECT kind, count(*) AS links, count(*) FILTER (b) AS broken, count(*) FILTER (r > 0 AND NOT b AND NOT g) AS redirected, count(*) FILTER (g) AS bot_protected, count(*) FILTER (u) AS ssl_uncertain,
+      count(*) FILTER (slow AND NOT b) AS slow, count(*) FILTER (NOT b AND NOT (r > 0 AND NOT g) AND NOT g AND NOT u) AS ok FROM b GROUP BY 1""")
 def a45_url_classes(spark, sf):
-    e = A.table(spark, sf, "events").groupBy(F.col("user_id").alias("url")).agg(F.bool_or(F.col("event_type") == "error").alias("broken"), F.max("value").alias("slowest"), F.bool_or(F.col("event_type") == "signup").alias("moved"))
-    return e.select("url", F.when(F.col("broken"), "broken").when(F.col("slowest") > 60, "slow").when(F.col("moved"), "redirected").otherwise("ok").alias("class"))
+    """Every event as a check of a link; errors have four statuses, and some checks no answer."""
+    status = "case when event_id % 23 = 0 then null when event_type = 'error' then element_at(array(404, 403, 500, 400), cast(1 + event_id % 4 AS int)) else 200 end"
+    error = "case when event_id % 46 = 0 then 'SSL: no certificate' when event_id % 23 = 0 then 'timed out' end"
+    e = A.table(spark, sf, "events").selectExpr("event_type AS kind", f"{status} AS status", f"{error} AS error", "if(event_id % 3 = 0, 2, 0) AS redirects", "value / 10 AS seconds")
+    return K.link_classes(e, "kind")
 
 
 @query("""WITH d AS (SELECT doc_id, quality, toxic, n_chars > 1500 AS a, n_chars > 2000 AS b FROM documents JOIN labels USING (doc_id))
@@ -318,12 +332,14 @@ def w01_heading_paths(spark, sf):
     return S.heading_paths(p.withColumn("text", F.expr("case (page_number - 1) % 7 when 0 then concat('1. H ', text) when 2 then concat('1.2 H ', text) else concat('x ', text) end"))).select("doc_id", "page_number", "path")
 
 
-@query("SELECT p_partkey AS id, CASE p_type WHEN 'ECONOMY' THEN 'defined' WHEN 'SMALL' THEN 'discussed' WHEN 'PROMO' THEN 'considered' END AS status, p_type NOT IN ('ECONOMY', 'SMALL', 'PROMO') AS warning FROM part")
+@query("""WITH p AS (SELECT p_partkey AS id, ['defined', 'left_open', 'not_conclusive', 'precedent_only', 'possible_segmentation', 'unknown', 'background', 'other'][1 + p_partkey % 8] AS s FROM part)
+    SELECT id, CASE s WHEN 'not_conclusive' THEN 'left_open' WHEN 'precedent_only' THEN 'discussed' WHEN 'possible_segmentation' THEN 'discussed' ELSE s END AS status,
+      CASE WHEN s IN ('defined', 'left_open') THEN NULL WHEN s IN ('not_conclusive', 'precedent_only', 'possible_segmentation') THEN 'INFO' ELSE 'WARN' END AS warning,
+      CASE s WHEN 'not_conclusive' THEN 'left_open' WHEN 'precedent_only' THEN 'considered' WHEN 'possible_segmentation' THEN 'discussed' WHEN 'unknown' THEN 'considered' WHEN 'background' THEN 'considered' ELSE s END AS promoted FROM p""")
 def t25_status_remap(spark, sf):
-    table = {"ECONOMY": "defined", "SMALL": "discussed", "PROMO": "considered"}
-    m = F.create_map(*[F.lit(x) for kv in table.items() for x in kv])
-    p = A.table(spark, sf, "part").select(F.col("p_partkey").alias("id"), F.try_element_at(m, F.col("p_type")).alias("status"))
-    return p.withColumn("warning", F.col("status").isNull())
+    s = F.element_at(F.lit(["defined", "left_open", "not_conclusive", "precedent_only", "possible_segmentation", "unknown", "background", "other"]), (1 + F.col("p_partkey") % 8).cast("int"))
+    status, level = K.merged_definition(s)
+    return A.table(spark, sf, "part").select(F.col("p_partkey").alias("id"), status.alias("status"), level.alias("warning"), K.promoted_definition(s).alias("promoted"))
 
 
 @query("""SELECT page_id, CASE WHEN page_id % 5 = 0 THEN 'pdf' ELSE 'html' END AS kind, CASE WHEN regexp_matches(html, '<html lang="[a-z]{2}"') THEN regexp_extract(html, '<html lang="([a-z]{2})"', 1) END AS language FROM pages""")
@@ -360,11 +376,11 @@ def w17_review_set(spark, sf):
 @query("""WITH i AS (SELECT p_size::BIGINT AS case_id, p_partkey AS item, p_name AS name, p_type AS category FROM part),
     w AS (SELECT *, CASE WHEN lower(name) = 'red widget' THEN 1 WHEN category = 'PROMO' THEN 2 WHEN item % 10 = 0 THEN 3 END AS why FROM i),
     d AS (SELECT * FROM w WHERE why IS NOT NULL QUALIFY row_number() OVER (PARTITION BY case_id, lower(trim(name)) ORDER BY why, item) = 1),
-    p AS (SELECT l_partkey AS item, string_agg(DISTINCT l_suppkey::VARCHAR, ',' ORDER BY l_suppkey::VARCHAR) AS ps FROM lineitem WHERE l_linenumber = 1 GROUP BY 1)
+    p AS (SELECT l_partkey AS item, string_agg(DISTINCT l_suppkey::VARCHAR, ',' ORDER BY l_suppkey::VARCHAR) AS ps FROM lineitem GROUP BY 1)
     SELECT case_id, d.item, name, coalesce(ps, '') AS passages FROM d LEFT JOIN p USING (item)""")
 def g18_gold_draft(spark, sf):
     p = A.table(spark, sf, "part")
     items = p.selectExpr("cast(p_size AS bigint) AS case_id", "p_partkey AS item", "p_name AS name", "p_type AS category")
-    li = A.table(spark, sf, "lineitem").where("l_linenumber = 1").join(p, F.col("l_partkey") == F.col("p_partkey"))
+    li = A.table(spark, sf, "lineitem").join(p, F.col("l_partkey") == F.col("p_partkey"))
     passages = li.selectExpr("cast(p_size AS bigint) AS case_id", "p_partkey AS item", "cast(l_suppkey AS string) AS passage")
     return M.gold_draft(items, items.where("item % 10 = 0"), ["Red Widget"], ["PROMO"], passages).withColumn("passages", F.array_join("passages", ","))

@@ -79,12 +79,22 @@ def t18_min_recall(spark, sf):
     return b.join(o, "item_id").select("item_id", F.round(P.min_recall(F.col("text"), F.col("other"), ["the"]), 6).alias("recall"))
 
 
-@query("""WITH e AS (SELECT doc_id, unnest(['en', 'fr', 'de']) AS lang, unnest([CASE WHEN doc_id % 3 = 0 THEN 200 ELSE 404 END, CASE WHEN doc_id % 4 = 0 THEN 200 WHEN doc_id % 4 = 1 THEN 202 ELSE 404 END, CASE WHEN doc_id % 5 = 0 THEN 200 ELSE 404 END]) AS s FROM documents)
-    SELECT doc_id, coalesce(arg_min(lang, CASE lang WHEN 'en' THEN 1 WHEN 'de' THEN 2 ELSE 3 END) FILTER (s = 200), arg_min(lang, CASE lang WHEN 'en' THEN 1 WHEN 'de' THEN 2 ELSE 3 END) FILTER (s <> 404), 'manual') AS lang FROM e GROUP BY 1""")
+@query("""WITH c AS (SELECT o_orderkey AS case_id, CASE o_orderstatus WHEN 'P' THEN 'blocked' WHEN 'F' THEN 'cleared' END AS outcome, CASE WHEN o_orderkey % 11 <> 0 THEN o_orderkey END AS num, CASE WHEN o_orderkey % 13 <> 0 THEN year(o_orderdate::DATE) END AS year FROM orders),
+    i AS (SELECT *, '3' || year || 'M' || num AS id FROM c),
+    e AS (SELECT case_id AS k, unnest(['ENG', 'FRA', 'DEU']) AS lang, unnest([1, 2, 3]) AS place, unnest([CASE WHEN case_id % 3 = 0 THEN 200 ELSE 404 END, CASE WHEN case_id % 4 = 0 THEN 200 WHEN case_id % 4 = 1 THEN 503 ELSE 404 END, CASE WHEN case_id % 5 = 0 THEN 200 ELSE 404 END]) AS s, CASE WHEN case_id % 7 = 0 THEN 'text/html' ELSE 'application/pdf' END AS kind FROM c),
+    g AS (SELECT k, arg_min(lang, place) FILTER (s = 200 AND contains(kind, 'pdf')) AS lang, arg_min(s, CASE WHEN s = 404 THEN 10 ELSE 0 END + place) AS last FROM e GROUP BY 1)
+    SELECT case_id, CASE WHEN outcome = 'blocked' THEN 'manual' WHEN lang IS NOT NULL AND id IS NOT NULL THEN 'resolved' ELSE 'missing' END AS how, CASE WHEN coalesce(outcome <> 'blocked', TRUE) THEN id END AS register_id,
+      CASE WHEN coalesce(outcome <> 'blocked', TRUE) AND id IS NOT NULL THEN lower(lang) END AS lang,
+      CASE WHEN outcome = 'blocked' THEN 'phase_ii_not_in_cellar' WHEN num IS NULL THEN 'no_case_number_in_source_url' WHEN year IS NULL THEN 'no_decision_year' WHEN lang IS NOT NULL THEN 'cellar_celex_' || id || '_' || lower(lang) ELSE 'cellar_no_pdf_status_' || last END AS reason
+    FROM i JOIN g ON k = case_id""")
 def w20_language_edition(spark, sf):
-    status = {"en": "if(doc_id % 3 = 0, 200, 404)", "fr": "case when doc_id % 4 = 0 then 200 when doc_id % 4 = 1 then 202 else 404 end", "de": "if(doc_id % 5 = 0, 200, 404)"}
-    d = A.table(spark, sf, "documents").select("doc_id", F.explode(F.array(*[F.struct(F.lit(k).alias("lang"), F.expr(v).alias("status")) for k, v in status.items()])).alias("e"))
-    return P.edition(d.select("doc_id", "e.*"), ["en", "de", "fr"])
+    o = A.table(spark, sf, "orders")
+    link = F.expr("concat('https://x.example/cases/', if(o_orderkey % 11 = 0, 'none', concat('M.', o_orderkey)))")
+    year = F.when(F.col("o_orderkey") % 13 != 0, F.year(F.to_date("o_orderdate")))
+    cases = o.select(F.col("o_orderkey").alias("case_id"), F.expr("case o_orderstatus when 'P' then 'blocked' when 'F' then 'cleared' end").alias("outcome"), link.alias("source_url"), year.alias("year"))
+    status = {"ENG": "if(o_orderkey % 3 = 0, 200, 404)", "FRA": "case when o_orderkey % 4 = 0 then 200 when o_orderkey % 4 = 1 then 503 else 404 end", "DEU": "if(o_orderkey % 5 = 0, 200, 404)"}
+    e = o.select(P.register_id(link, year).alias("register_id"), F.expr("if(o_orderkey % 7 = 0, 'text/html', 'application/pdf')").alias("kind"), F.explode(F.array(*[F.struct(F.lit(k).alias("lang"), F.expr(v).alias("status")) for k, v in status.items()])).alias("e"))
+    return P.resolved_edition(cases, e.where("register_id is not null").select("register_id", "kind", "e.*"))
 
 
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from caseloom.functions import text as T
 from caseloom.operators import catalog as C
 from caseloom.operators import grounding as G
+from caseloom.operators import matching as M
 from caseloom.operators import rest as R
 from caseloom.operators import sections as S
 from caseloom.plans import text as X
@@ -176,13 +177,14 @@ def u02_ordered_distinct(spark, sf):
     return d.select("id", F.array_join("vs", ",").alias("vs"), F.when(F.size(rest) > 0, F.array_join(rest, ",")).alias("rest"))
 
 
-@query("""WITH r AS (SELECT p_partkey AS id, replace(replace(lower(p_name), 'widget', 'device'), 'ring', 'device') AS name FROM part)
-    SELECT id, name, CASE WHEN name LIKE '%bolt%' OR name LIKE '%gear%' THEN CASE WHEN id % 2 = 0 AND name LIKE '%bolt%' THEN 1.0 WHEN id % 2 = 1 AND name LIKE '%gear%' THEN 1.0 ELSE 0.55 END ELSE 1.0 END::DOUBLE AS factor FROM r""")
+@query("""WITH p AS (SELECT p_partkey AS id, lower(p_name) AS n FROM part)
+    SELECT id, n || CASE id % 4 WHEN 0 THEN ' wearable operating system' WHEN 1 THEN ' app store for advertising technology' WHEN 2 THEN ' operating system for personal computer' ELSE ' wearable advertising' END AS name,
+      CASE WHEN id % 4 IN (0, 3) THEN 0.55 ELSE 1.0 END::DOUBLE AS factor FROM p""")
 def t14_synonyms(spark, sf):
-    """Names with synonyms written one way; the factor against a name of another device."""
-    p = A.table(spark, sf, "part").select(F.col("p_partkey").alias("id"), R.renamed_synonyms(F.col("p_name"), [("widget", "device"), ("ring", "device")]).alias("name"))
-    other = F.when(F.col("id") % 2 == 0, "steel bolt").otherwise("large gear")
-    return p.withColumn("factor", R.context_factor(F.col("name"), other, ["bolt", "gear"]))
+    """Names with synonyms written one way; what is left of their likeness to a name of PCs."""
+    more = F.expr("case p_partkey % 4 when 0 then ' Wearable OSs' when 1 then ' application stores for ad-tech' when 2 then ' platforms for personal computer' else ' wrist-worn intermediation' end")
+    p = A.table(spark, sf, "part").select(F.col("p_partkey").alias("id"), F.concat("p_name", more).alias("name"))
+    return p.select("id", M.synonymous(F.col("name")).alias("name"), M.device_factor(F.col("name"), F.lit("OSs for PCs")).alias("factor"))
 
 
 @query("SELECT p_partkey AS id, CASE WHEN p_partkey % 2 = 0 THEN 'Vertical ' ELSE 'Market ' END || upper(substring(p_type, 1, 1)) || lower(substring(p_type, 2)) AS label FROM part")
@@ -206,9 +208,9 @@ def n02_magnitudes(spark, sf):
     return A.table(spark, sf, "orders").select(F.col("o_orderkey").alias("id"), R.magnitude(unit, stems).alias("times"))
 
 
-@query("""SELECT o_orderkey AS doc_id, 'c1' AS condition_id, CASE WHEN o_orderkey % 3 = 0 THEN round(o_totalprice, 2) WHEN o_orderkey % 90 = 0 THEN 500000 ELSE (o_orderkey % 90 + 0.5) * 1000000 END::DOUBLE AS nearest, CASE WHEN o_orderkey % 3 = 0 THEN o_totalprice ELSE (o_orderkey % 90 + 0.5) * 1000000 END::DOUBLE AS expected, FALSE AS mismatch FROM orders WHERE o_totalprice > 1000""")
+@query("""SELECT o_orderkey AS doc_id, 'c1' AS condition_id, CASE WHEN o_orderkey % 3 = 0 THEN round(o_totalprice, 2) WHEN o_orderkey % 90 = 0 THEN 500000 ELSE (o_orderkey % 90 + 0.5) * 1000000 END::DOUBLE AS nearest, CASE WHEN o_orderkey % 3 = 0 THEN o_totalprice ELSE (o_orderkey % 90 + 0.5) * 1000000 END::DOUBLE AS expected, FALSE AS mismatch FROM orders""")
 def n07_nearest_mention(spark, sf):
-    o = A.table(spark, sf, "orders").where("o_totalprice > 1000").selectExpr("o_orderkey AS doc_id", f"{X.MONEY} AS text", "o_totalprice", "o_orderkey")
+    o = A.table(spark, sf, "orders").selectExpr("o_orderkey AS doc_id", f"{X.MONEY} AS text", "o_totalprice", "o_orderkey")
     amounts = o.select("doc_id", F.explode(T.amounts(F.col("text"), "EUR")).alias("value"))
     expected = o.selectExpr("doc_id", "'c1' AS condition_id", "cast(if(o_orderkey % 3 = 0, o_totalprice, (o_orderkey % 90 + 0.5D) * 1000000) AS double) AS expected")
     return R.nearest_amount(amounts, expected)
@@ -237,10 +239,10 @@ def g10_mislabelled(spark, sf):
     return R.mislabelled(p.select(F.col("doc_id").alias("prop_id"), (F.col("section") == "t").alias("wrong"), rank.alias("rank")))
 
 
-@query("""SELECT 'c' || o_orderkey AS condition_id, CASE WHEN o_orderkey % 5 = 4 THEN 0 WHEN o_orderkey % 5 = 3 OR o_orderkey % 5 = 2 THEN 1 WHEN o_orderkey % 5 = 1 THEN 1 ELSE 2 END::INT AS tier, 1::BIGINT AS passages FROM orders WHERE o_totalprice > 1000""")
+@query("""SELECT 'c' || o_orderkey AS condition_id, CASE WHEN o_orderkey % 5 = 4 THEN 0 WHEN o_orderkey % 5 = 3 OR o_orderkey % 5 = 2 THEN 1 WHEN o_orderkey % 5 = 1 THEN 1 ELSE 2 END::INT AS tier, 1::BIGINT AS passages FROM orders""")
 def g11_rule_verification(spark, sf):
     """Conditions whose passage gives the figure, another figure, a yearly one, and one whose source lacks the quote."""
-    o = A.table(spark, sf, "orders").where("o_totalprice > 1000")
+    o = A.table(spark, sf, "orders")
     k = F.concat(F.lit("c"), "o_orderkey")
     value = F.when(F.col("o_orderkey") % 5 == 1, F.col("o_totalprice") * 3).otherwise(F.col("o_totalprice"))
     conditions = o.select(k.alias("condition_id"), value.alias("value"), (F.col("o_orderkey") % 5).isin(2, 3).alias("annual"))
