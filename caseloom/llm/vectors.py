@@ -13,15 +13,14 @@ from pyspark.sql.window import Window as W
 from caseloom.llm.shared import written
 
 
-def numbered(vectors: DataFrame, value: Column, zero: bool, most: float = float("inf")) -> DataFrame:
+def numbered(vectors: DataFrame, value: Column, zero: bool) -> DataFrame:
     """(row, vec_id, v array<double or long>, query) of the vectors that take part, written: row numbers tell repeated rows apart.
 
-    Left out: null vectors, empty ones, those with null or non-finite components, zero vectors unless zero, and those with
-    components of size `most` or over, whose products no long holds. Vectors of unequal lengths: the shorter ones
-    get zeros at their ends.
+    Left out: null vectors, empty ones, those with null or non-finite components, and zero vectors unless zero. Vectors
+    of unequal lengths: the shorter ones get zeros at their ends.
     """
     e = F.col("embedding")
-    fine = F.forall(e, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < most))
+    fine = F.forall(e, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
     if not zero:
         fine = fine & F.exists(e, lambda x: x != 0)
     d = vectors.where(e.isNotNull() & (F.size(e) > 0)).where(fine)
@@ -320,11 +319,27 @@ def _unpacked(rows: bytes, ids: bytes, v: bytes) -> tuple[np.ndarray, np.ndarray
 
 
 def _products(q: np.ndarray, v: np.ndarray) -> np.ndarray:
-    """Integer inner products; by doubles while those hold them exactly."""
-    bound = float(np.abs(q).max(initial=0)) * float(np.abs(v).max(initial=0)) * q.shape[1]
+    """Integer inner products, exact: by doubles or longs while those hold all of them, else by whole numbers of any size."""
+    largest = lambda x: max(-float(x.min(initial=0)), float(x.max(initial=0)))
+    bound = largest(q) * largest(v) * q.shape[1]
     if bound < 2**53:
         return (q.astype(np.float64) @ v.astype(np.float64).T).astype(np.int64)
-    return np.einsum("id,jd->ij", q, v)
+    if bound < 2**62:
+        return np.einsum("id,jd->ij", q, v)
+    return q.astype(object) @ v.astype(object).T
+
+
+def _top_scores(s: np.ndarray, ids: np.ndarray, rows: np.ndarray, k: int) -> np.ndarray:
+    """Places of the k highest scores, ties to smaller id, then row. A score among them that no long holds raises OverflowError."""
+    if s.dtype == object:
+        top = np.array(sorted(range(len(s)), key=lambda i: (-s[i], ids[i], rows[i]))[:k], np.int64)
+        if any(not -(2**63) <= s[i] < 2**63 for i in top):
+            raise OverflowError("an inner product among the highest does not fit a long")
+        return top
+    if len(s) <= k:
+        return np.arange(len(s))
+    top = np.nonzero(s >= np.partition(s, len(s) - k)[len(s) - k])[0]
+    return top[np.lexsort((rows[top], ids[top], -s[top]))[:k]]
 
 
 def candidates(q: np.ndarray, nq: float, theta: float, v: np.ndarray, nv: np.ndarray, steep: float = 0.7, focus: int = 3) -> np.ndarray:
@@ -360,10 +375,14 @@ def top_products(vectors: DataFrame, k: int = 5, scale: int = 256, bucket: int =
     reach it, and inside a chunk each query prunes by coordinates or by length (candidates), then verifies products.
     Pruning only leaves out what cannot reach the threshold; ties are kept, and go to the smaller vec_id.
 
+    Components and scores are exact at any size: a component that no long holds raises an error, as does such a score
+    among a query's highest of a chunk.
+
     Left out as queries and candidates: null vectors and those with null or non-finite components (numbered). Zero vectors take part. Null vec_ids: candidates only, first among ties. Empty input: no rows.
     """
-    value = F.transform("embedding", lambda x: F.floor(x.cast("double") * scale))
-    d = numbered(vectors, value, zero=True, most=2.0**62 / scale)
+    too_large = F.raise_error(F.lit("a component does not fit a long")).cast("long")
+    value = F.transform("embedding", lambda x: F.when(F.abs(x.cast("double")) * scale < 2.0**63, F.floor(x.cast("double") * scale)).otherwise(too_large))
+    d = numbered(vectors, value, zero=True)
     d = d.withColumn("norm", F.sqrt(F.aggregate("v", F.lit(0.0), lambda s, x: s + x.cast("double") * x.cast("double"))))
     total, queries = d.agg(F.count("*"), F.count_if("query")).first()
     if not total or not queries:
@@ -432,18 +451,14 @@ def top_products(vectors: DataFrame, k: int = 5, scale: int = 256, bucket: int =
                         continue
                     if len(at) > len(v) // 4:  # much of the chunk: one product of matrices serves all such queries
                         scores = _products(q, v) if scores is None else scores
-                        s = scores[j, at].astype(np.float64) if np.abs(scores[j, at]).max() < 2**53 else scores[j, at]
+                        s = scores[j, at]
                     else:
                         s = _products(q[j : j + 1], v[at])[0]
                     keep = rows[at] != q_rows[j]
-                    at, s = at[keep], s[keep].astype(np.int64)
-                    if len(s) > k:
-                        top = np.nonzero(s >= np.partition(s, len(s) - k)[len(s) - k])[0]
-                        top = top[np.lexsort((rows[at[top]], ids[at[top]], -s[top]))[:k]]
-                    else:
-                        top = np.arange(len(s))
+                    at, s = at[keep], s[keep]
+                    top = _top_scores(s, ids[at], rows[at], k)
                     n = len(top)
-                    parts.append((np.full(n, q_rows[j]), np.full(n, q_ids[j]), rows[at[top]], ids[at[top]], s[top]))
+                    parts.append((np.full(n, q_rows[j]), np.full(n, q_ids[j]), rows[at[top]], ids[at[top]], s[top].astype(np.int64)))
             if (r := _rows(parts, pa.int64())) is not None:
                 yield r
 
