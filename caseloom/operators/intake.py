@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
 from caseloom.functions import text as T
+from caseloom.operators.grounding import grounded
 from caseloom.operators import checks as K
 
 
@@ -150,16 +151,49 @@ def validated(merged: DataFrame, key: str, draft_only: list[str], defaults: dict
     return K.violations(d, key, rules)
 
 
-def chunk_quotes(passages: DataFrame, pages: DataFrame) -> DataFrame:
-    """passage_id, verdict, page: quotes on their cited page, else on another page of the same chunk (page corrected), else rejected with a reason."""
-    q, t = T.normalized(F.col("quote")), T.normalized(F.col("text"))
-    hit = F.coalesce(F.contains(t, q), F.lit(False))
-    d = passages.join(pages, "chunk_id", "left")
-    g = d.groupBy("passage_id").agg(
-        F.first("page").alias("page"), F.first("quote").alias("quote"), F.max((hit & (F.col("page_number") == F.col("page"))).cast("int")).alias("cited"), F.min(F.when(hit, F.col("page_number"))).alias("other")
-    )
-    verdict = F.when(F.coalesce(F.trim("quote"), F.lit("")) == "", "empty").when(F.col("cited") == 1, "ok").when(F.col("other").isNotNull(), "corrected").otherwise("not_found")
-    return g.select("passage_id", verdict.alias("verdict"), F.when(verdict == "ok", F.col("page")).when(verdict == "corrected", F.col("other")).alias("page"))
+#: Roles of passages; signs from which a quote may be cut short; signs of a quote that tell whether it is listed elsewhere.
+ROLES = ["commission_assessment", "conclusion", "precedent", "notifying_party_view", "market_investigation", "background"]
+CUT_FROM, SAME_START = 50, 80
+
+
+def cut_quote(c: Column) -> Column:
+    """A quote of several sentences that ends inside one: CUT_FROM signs or more, a sentence's end with more after it, none at its own end."""
+    q = F.trim(c)
+    return (F.length(q) >= CUT_FROM) & q.rlike(r"[.!?]\s+\S") & ~q.rlike(r'[.!?"\u201d)]\s*$')
+
+
+def chunk_quotes(passages: DataFrame, pages: DataFrame, languages: DataFrame | None = None) -> DataFrame:
+    """passage_id, verdict, page, role, language of quotes that an extraction cites from its chunks.
+
+    passages: passage_id, chunk_id, page, quote, and where they have them role, language; pages: chunk_id, page_number, text; languages:
+    chunk_id, language of its document. Verdicts in order: missing chunk_id, quote or page; truncated; unknown_chunk;
+    unknown_page (not in the chunk); ok; corrected (the first other page of the chunk that has the quote); not_found. An
+    unknown role is empty, as is a language that is no code; an empty one is that of the document.
+    """
+    p = passages.withColumns({c: F.lit(None).cast("string") for c in ("role", "language") if c not in passages.columns})
+    quote, chunk = F.trim(F.coalesce("quote", F.lit(""))), F.coalesce(F.col("chunk_id").cast("string"), F.lit(""))
+    flaw = F.when(chunk == "", "missing_chunk").when(quote == "", "missing_quote").when(F.coalesce("page", F.lit(0)) == 0, "missing_page").when(cut_quote(quote), "truncated")
+    p = p.withColumn("flaw", flaw)
+    here = pages.select("chunk_id", F.col("page_number").alias("page"), F.lit(True).alias("listed")).distinct()
+    known = pages.select("chunk_id", F.lit(True).alias("known")).distinct()
+    d = p.join(known, "chunk_id", "left").join(here, ["chunk_id", "page"], "left")
+    open_ = d.where("flaw is null and listed").select("passage_id", F.col("chunk_id").alias("doc_id"), "page", "quote")
+    found = grounded(open_, pages.withColumnRenamed("chunk_id", "doc_id")).select("passage_id", "status", "found_page")
+    d = d.join(found, "passage_id", "left")
+    verdict = F.coalesce("flaw", F.when(F.col("known").isNull(), "unknown_chunk").when(F.col("listed").isNull(), "unknown_page").when(F.col("status") == "wrong_page", "corrected").otherwise(F.coalesce("status", F.lit("not_found"))))
+    role = F.when(F.col("role").isin(ROLES), F.col("role")).otherwise("")
+    spoken = F.when(F.coalesce(T.is_language(F.trim("language")), F.lit(False)), F.trim("language")).otherwise("")
+    if languages is not None:
+        d = d.join(languages.select("chunk_id", F.col("language").alias("document_language")), "chunk_id", "left")
+        spoken = F.when(spoken == "", F.coalesce("document_language", F.lit(""))).otherwise(spoken)
+    return d.select("passage_id", verdict.alias("verdict"), F.when(verdict.isin("ok", "corrected"), F.col("found_page")).alias("page"), role.alias("role"), spoken.alias("language"))
+
+
+def top_level(passages: DataFrame, nested: DataFrame) -> DataFrame:
+    """Passages of a case's own list whose quote begins as none does that a proposition of the case lists; both: case_id, quote."""
+    begin = F.substring(F.coalesce("quote", F.lit("")), 1, SAME_START)
+    there = nested.select("case_id", begin.alias("begin")).distinct()
+    return passages.withColumn("begin", begin).join(there, ["case_id", "begin"], "left_anti").drop("begin")
 
 
 def listing_rows(pages: DataFrame, kind: str) -> DataFrame:
@@ -185,6 +219,42 @@ def unit_findings(units: DataFrame, kinds: list[str]) -> DataFrame:
     return units.where(F.length(F.trim("label")) > 0).withColumn("findings", fixed)
 
 
+#: What names a market in a passage, and names that say nothing, are cut short, run over a list or are clauses.
+ALIAS_PATTERNS = [
+    r"\bthe relevant (?:product |geographic )?market is (?:an? )?([A-Za-z][^.;\n]{5,79}?)(?=\s*[.,;]|\s*$)",
+    r"\b(?:an? |the )?overall market for (?:the )?([A-Za-z][^.;\n]{5,79}?)(?=\s*[.,;]|\s*$)",
+    r"\brelevant product market for (?:the )?([A-Za-z][^.;\n]{5,79}?)(?=\s*[.,;]|\s*$)",
+    r"\brelevant geographic market for (?:the )?([A-Za-z][^.;\n]{5,79}?)(?=\s*[.,;]|\s*$)",
+    r"\bmarket for (?!(?:the purpose|assessing ))(?:the )?([A-Za-z][^.;\n]{5,79}?)(?=\s*[.,;]|\s*$)",
+]
+GENERIC = (
+    "relevant market|relevant markets|relevant product market|relevant geographic market|relevant product markets|relevant geographic markets|product market|product markets|geographic market|geographic markets"
+    "|overall market|the market|this market|the relevant market|a relevant market|the product market|the geographic market|left open|not defined"
+).split("|")
+ALIAS_CUT = r"(?:\(\w*$|:\s*\(\w*$|,\s*\(\w*$|:\s*$)"
+ALIAS_LIST = r"(?i)\(\s*(?:i{1,3}|iv|v|ix|x|[a-z])\s*\)"
+ALIAS_CLAUSE = r"(?i)\b(?:should|would|could|must|shall|will|cannot|need not|is not|are not|does not|do not|did not|would not|should not|could not)\b"
+ALIAS_SHORTEST = 8
+
+
+def alias_phrases(markets: DataFrame, passages: DataFrame, patterns: list[str] = ALIAS_PATTERNS) -> DataFrame:
+    """market_id, alias, passage_id: names that a market's own passages give it, each once whatever its case, with the first passage, pattern and place that has it.
+
+    markets: market_id, name (which is no alias of itself); passages: market_id, passage_id, quote. Left out are generic names,
+    those under ALIAS_SHORTEST signs, cut short, running over a list, or with the verb of a clause.
+    """
+    at = lambda p: F.regexp_extract_all(F.trim("quote"), F.lit(f"(?im){p}"), F.lit(1))
+    found = F.flatten(F.array(*[F.coalesce(at(p), F.array().cast("array<string>")) for p in patterns]))
+    bare = lambda c: F.rtrim(F.regexp_replace(F.trim(c), "[.,;:]+$", ""))
+    d = passages.select("market_id", "passage_id", F.posexplode(found).alias("nth", "said")).withColumn("said", F.regexp_replace(F.trim("said"), "[.,;:]+$", ""))
+    d = d.where((F.col("said") != "") & ~F.col("said").rlike(ALIAS_CUT) & ~F.col("said").rlike(ALIAS_LIST) & ~F.col("said").rlike(ALIAS_CLAUSE))
+    d = d.withColumn("alias", bare(F.regexp_replace("said", r"(?i)^the market for\s+", ""))).withColumn("k", F.lower("alias"))
+    d = d.where((F.length("alias") >= ALIAS_SHORTEST) & ~F.col("k").isin(GENERIC))
+    own = markets.select("market_id", F.lower(F.trim("name")).alias("k")).distinct()
+    first = F.min_by(F.struct("alias", "passage_id"), F.struct("passage_id", "nth")).alias("x")
+    return d.join(own, ["market_id", "k"], "left_anti").groupBy("market_id", "k").agg(first).select("market_id", "x.alias", "x.passage_id")
+
+
 def aliases(passages: DataFrame, patterns: list[str], cut: Column | None = None) -> DataFrame:
     """market_id, alias: phrases in a market's passages that a pattern's group names, once whatever their case."""
     found = F.explode(F.array_distinct(F.flatten(F.array(*[F.regexp_extract_all("quote", F.lit(p), F.lit(1)) for p in patterns])))).alias("alias")

@@ -118,15 +118,25 @@ def g19_merged_validation(spark, sf):
     return I.validated(p, "id", ["_draft_note"], {"status": "draft"}, {"status": F.col("status") == "draft", "name": F.length("name") > 0})
 
 
-@query(with_(A.PAGES_SQL) + r""", q AS (SELECT doc_id AS passage_id, doc_id AS chunk_id, CASE WHEN doc_id % 3 = 1 THEN 3 ELSE 2 END AS page, trim(regexp_replace(CASE doc_id % 3 WHEN 2 THEN 'zz ' || substring(text, 1, 20) ELSE substring(text, 1, 30) END, '\s+', ' ', 'g')) AS quote FROM text_pages WHERE page_number = 2 AND length(text) > 40),
-    g AS (SELECT passage_id, any_value(page) AS page, bool_or(p.page_number = page AND contains(trim(regexp_replace(text, '\s+', ' ', 'g')), quote)) AS cited, min(p.page_number) FILTER (contains(trim(regexp_replace(text, '\s+', ' ', 'g')), quote)) AS other
-          FROM q JOIN text_pages p ON p.doc_id = chunk_id AND p.page_number BETWEEN 2 AND 5 GROUP BY 1)
-    SELECT passage_id, CASE WHEN cited THEN 'ok' WHEN other IS NOT NULL THEN 'corrected' ELSE 'not_found' END AS verdict, CASE WHEN cited THEN page ELSE other END::INT AS page FROM g""")
+@query(with_(A.PAGES_SQL) + r""", c AS (SELECT doc_id || ':' || (page_number - 1) // 4 AS chunk_id, page_number, text, trim(regexp_replace(text, '\s+', ' ', 'g')) AS t, doc_id * 100000 + page_number AS id, doc_id % 7 AS k FROM text_pages),
+    q AS (SELECT id, CASE k WHEN 0 THEN '' WHEN 1 THEN 'none' ELSE chunk_id END AS chunk_id, CASE k WHEN 2 THEN 0 WHEN 3 THEN page_number + 1 WHEN 4 THEN page_number + 4 ELSE page_number END AS page,
+             CASE k WHEN 5 THEN text || ' zz' WHEN 6 THEN substring(text, 1, 400) || '. And so it' ELSE text END AS quote, k FROM c WHERE length(text) > 30),
+    f AS (SELECT *, CASE WHEN chunk_id = '' THEN 'missing_chunk' WHEN page = 0 THEN 'missing_page'
+            WHEN length(trim(quote, ' ')) >= 50 AND regexp_matches(trim(quote, ' '), '[.!?]\s+\S') AND NOT regexp_matches(trim(quote, ' '), '[.!?"”)]\s*$') THEN 'truncated' END AS flaw, trim(regexp_replace(quote, '\s+', ' ', 'g')) AS n FROM q),
+    g AS (SELECT f.id, any_value(flaw) AS flaw, any_value(page) AS page, count(c.id) AS pages, coalesce(bool_or(c.page_number = page), FALSE) AS listed, coalesce(bool_or(c.page_number = page AND contains(t, n)), FALSE) AS cited,
+            min(c.page_number) FILTER (contains(t, n)) AS other FROM f LEFT JOIN c USING (chunk_id) GROUP BY 1),
+    v AS (SELECT *, coalesce(flaw, CASE WHEN pages = 0 THEN 'unknown_chunk' WHEN NOT listed THEN 'unknown_page' WHEN cited THEN 'ok' WHEN other IS NOT NULL THEN 'corrected' ELSE 'not_found' END) AS verdict FROM g)
+    SELECT id AS passage_id, verdict, CASE verdict WHEN 'ok' THEN page WHEN 'corrected' THEN other END::INT AS page, CASE WHEN id % 2 = 0 THEN 'precedent' ELSE '' END AS role, CASE WHEN id % 3 = 0 THEN 'fra' ELSE '' END AS language FROM v""")
 def g07_chunk_quotes(spark, sf):
-    p = A.text_pages(spark, sf)
-    quote = F.expr("if(doc_id % 3 = 2, concat('zz ', substring(text, 1, 20)), substring(text, 1, 30))")
-    q = p.where("page_number = 2 and length(text) > 40").select(F.col("doc_id").alias("passage_id"), F.col("doc_id").alias("chunk_id"), F.expr("if(doc_id % 3 = 1, 3, 2)").alias("page"), quote.alias("quote"))
-    return I.chunk_quotes(q, p.where("page_number between 2 and 5").withColumnRenamed("doc_id", "chunk_id"))
+    """A quote of each page of some text from its chunk of four pages, with a flaw of each kind in turn."""
+    p = A.text_pages(spark, sf).withColumn("chunk_id", F.concat_ws(":", "doc_id", F.floor((F.col("page_number") - 1) / 4)))
+    k = "doc_id % 7"
+    chunk = f"case {k} when 0 then '' when 1 then 'none' else chunk_id end AS chunk_id"
+    page = f"cast(case {k} when 2 then 0 when 3 then page_number + 1 when 4 then page_number + 4 else page_number end AS int) AS page"
+    quote = f"case {k} when 5 then concat(text, ' zz') when 6 then concat(substring(text, 1, 400), '. And so it') else text end AS quote"
+    said = ("if((doc_id * 100000 + page_number) % 2 = 0, 'precedent', 'hearsay') AS role", "if((doc_id * 100000 + page_number) % 3 = 0, 'fra', 'fr') AS language")
+    q = p.where("length(text) > 30").selectExpr("doc_id * 100000 + page_number AS passage_id", chunk, page, quote, *said)
+    return I.chunk_quotes(q, p.select("chunk_id", "page_number", "text"))
 
 
 @query("""SELECT page_id, '/case/' || page_id AS url, 'Case ' || page_id AS title, '2024-02-01' AS day FROM pages WHERE page_id % 3 <> 0""")
@@ -150,11 +160,16 @@ def g08_unit_findings(spark, sf):
     return u.groupBy("unit").agg(F.count_if(F.col("f.kind") != "other").alias("known"), F.count_if(F.col("f.kind") == "other").alias("other"))
 
 
-@query("""SELECT DISTINCT p_size AS market_id, p_name AS alias FROM part WHERE p_partkey % 2 = 0 UNION SELECT DISTINCT p_size, p_brand FROM part WHERE p_partkey % 2 = 1""")
+@query("""WITH p AS (SELECT p_partkey AS id, p_size AS market_id, p_name || ' supply' AS n, p_partkey % 6 AS k FROM part), d AS (SELECT market_id, lower(n) AS k, min(id) AS id FROM p WHERE k < 4 AND id % 35 <> 1 GROUP BY 1, 2)
+    SELECT d.market_id, n AS alias, d.id AS passage_id FROM d JOIN p USING (id) WHERE NOT EXISTS (SELECT 1 FROM part o WHERE o.p_size = d.market_id AND o.p_partkey % 7 = 0 AND lower(o.p_name || ' supply') = d.k)""")
 def t19_alias_phrases(spark, sf):
-    quote = F.expr("if(p_partkey % 2 = 0, concat('the market (\"', p_name, '\") is wide'), concat('it is also known as ', p_brand, '.'))")
-    p = A.table(spark, sf, "part").select(F.col("p_size").alias("market_id"), quote.alias("quote"))
-    return I.aliases(p, [r'\("([^"]+)"\)', r"also known as ([^.,;]+)"])
+    """Parts as passages of markets by size that name a market in one of four ways, are clauses, or run over a list; every seventh part is a market of its own name."""
+    quote = """case when p_partkey % 35 = 1 then 'The market for it must be wide.' else case p_partkey % 6 when 0 then concat('Here the relevant product market is a ', p_name, ' supply, as said')
+        when 1 then concat('An overall market for the ', p_name, ' supply') when 2 then concat('the relevant geographic market for ', p_name, ' supply; so') when 3 then concat('There is a Market For ', p_name, ' supply.')
+        when 4 then concat('a market for ', p_name, ' that would do.') else concat('the market for (i) ', p_name, ' and (ii) more.') end end"""
+    p = A.table(spark, sf, "part")
+    passages = p.selectExpr("p_size AS market_id", "p_partkey AS passage_id", f"{quote} AS quote")
+    return I.alias_phrases(p.where("p_partkey % 7 = 0").selectExpr("p_size AS market_id", "concat(p_name, ' Supply') AS name"), passages)
 
 
 @query("""WITH m AS (SELECT p_partkey AS id, ['background', 'ancillary', 'core_assessed', 'assessed_no_overlap', 'incomplete_source', ''][1 + p_partkey % 6] AS imp,

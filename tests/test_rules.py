@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from caseloom.operators import checks, evals, matching, nearest, pages, sections
+from caseloom.operators import checks, evals, intake, matching, nearest, pages, sections
 from tests.test_operators import one
 
 ITEMS = "case_id long, item long, name string, status string, score double, market_group string, low boolean"
@@ -90,3 +90,29 @@ def test_names_of_both_arms(spark):
     names = lambda n: [(r.key, r.origin[0]) for r in nearest.names_of_both(co, hits, "me", n).collect()]
     assert names(9) == [("a", "c"), ("b", "c"), ("c", "c"), ("d", "s"), ("e", "s")]
     assert names(2) == [("a", "c"), ("b", "c")]
+
+
+def test_aliases_by_five_patterns(spark):
+    quotes = {
+        1: "The relevant product market is an online search advertising service, in all.", 2: "an overall market for the wholesale supply of fish. More", 3: "the relevant product market for display ads; and",
+        4: "relevant geographic market for smart watches", 5: "There is a market for cloud gaming, perhaps", 6: "market for the purpose of this decision.", 7: "market for things that should be left", 8: "a market for (i) one thing and (ii) another.",
+        9: "the relevant market is left open.", 10: "market for ads", 11: "a market for Cloud Gaming.", 12: "the market for its own name.", 13: None, 14: "market for goods as listed: (i",
+    }
+    passages = spark.createDataFrame([(1, i, q) for i, q in quotes.items()], "market_id int, passage_id int, quote string")
+    markets = spark.createDataFrame([(1, " Its Own Name ")], "market_id int, name string")
+    got = {(r.alias, r.passage_id) for r in intake.alias_phrases(markets, passages).collect()}
+    assert got == {("online search advertising service", 1), ("wholesale supply of fish", 2), ("display ads", 3), ("smart watches", 4), ("cloud gaming", 5)}
+
+
+def test_quotes_of_chunks(spark):
+    long = "A first sentence that is long enough to count. And then one that stops in the"
+    pages_ = [("c1", 1, "some words here"), ("c1", 2, "other  words there"), ("c2", 3, long)]
+    rows = [("", 1, "some", None, None), ("c1", 1, " ", None, None), ("c1", 0, "some", None, None), ("c2", 3, long, None, None), ("c9", 1, "some", None, None), ("c1", 3, "some words", None, None), ("c1", 1, "some words", "conclusion", "fra"), ("c1", 1, "other words there", "gossip", "french"), ("c1", 2, "no such", "background", None), ("c2", 3, "long enough", None, " deu ")]
+    p = spark.createDataFrame([(i, *r) for i, r in enumerate(rows)], "passage_id int, chunk_id string, page int, quote string, role string, language string")
+    langs = spark.createDataFrame([("c1", "eng")], "chunk_id string, language string")
+    got = {r.passage_id: (r.verdict, r.page, r.role, r.language) for r in intake.chunk_quotes(p, spark.createDataFrame(pages_, "chunk_id string, page_number int, text string"), langs).collect()}
+    assert [got[i][0] for i in range(10)] == ["missing_chunk", "missing_quote", "missing_page", "truncated", "unknown_chunk", "unknown_page", "ok", "corrected", "not_found", "ok"]
+    assert got[6][1:] == (1, "conclusion", "fra") and got[7][1:] == (2, "", "eng") and got[8][1:] == (None, "background", "eng") and got[9][1:] == (3, "", "deu")
+    own = spark.createDataFrame([(1, "x" * 90), (1, "x" * 80 + "y"), (1, "z"), (2, "z"), (1, None)], "case_id int, quote string")
+    left = intake.top_level(own, spark.createDataFrame([(1, "x" * 100), (2, "z")], "case_id int, quote string")).collect()
+    assert sorted((r.case_id, r.quote or "") for r in left) == [(1, ""), (1, "z")]
