@@ -153,7 +153,7 @@ def review_status(text: Column) -> Column:
     return F.when(text.isNull(), "NO_REVIEW").when(found, F.upper(F.trim(F.replace(line, F.lit("**"), F.lit(""))))).otherwise("UNKNOWN")
 
 
-def readiness(text: Column) -> Column:
+def packet_readiness(text: Column) -> Column:
     """The first word of the readiness line of a review packet; UNKNOWN without one, NO_REVIEW without a text."""
     word = F.regexp_extract(text, r"(?im)^[ \t]*## readiness:[ \t]*(\S*)", 1)
     return F.when(text.isNull(), "NO_REVIEW").otherwise(F.coalesce(F.upper(F.nullif(word, F.lit(""))), F.lit("UNKNOWN")))

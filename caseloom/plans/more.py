@@ -123,7 +123,7 @@ def p31_review_status(spark, sf):
     entry = "repeat('  - market_id: m\\n    name: x\\n', cast(o_orderkey % 4 AS int))"
     record = f"concat('case_id: c\\nproduct_markets_considered:\\n', {entry}, 'geographic_markets_considered:\\n  - market_id: g\\n')"
     o = A.table(spark, sf, "orders").selectExpr("o_orderkey AS id", f"{text} AS text", f"{record} AS record")
-    return o.select("id", K.review_status(F.col("text")).alias("status"), K.readiness(F.col("text")).alias("readiness"), K.market_count(F.col("record")).alias("markets"))
+    return o.select("id", K.review_status(F.col("text")).alias("status"), K.packet_readiness(F.col("text")).alias("readiness"), K.market_count(F.col("record")).alias("markets"))
 
 
 # ------------------------------------------------------------------ joins and matching
@@ -140,7 +140,7 @@ def j08_similar_names(spark, sf):
     m = A.markets(spark, sf)
     name = m.orderBy("seq").first()["name"]
     v = A.table(spark, sf, "embeddings").select(F.col("vec_id").alias("id"), "embedding")
-    hits = N.top_k(v, v.where("id = 0"), 8, -1.0).join(A.table(spark, sf, "part"), F.col("id") == F.col("p_partkey")).select(F.col("p_brand").alias("name"), "rank")
+    hits = N.top_k(v, v.where("id = 0"), 9, -1.0).where("id <> query_id").join(A.table(spark, sf, "part"), F.col("id") == F.col("p_partkey")).select(F.col("p_brand").alias("name"), "rank")
     return N.names_of_both(C.cooccurring(m, name), hits, name, 8)
 
 

@@ -49,12 +49,12 @@ def test_link_classes(spark):
 def test_review_texts(spark):
     status = lambda t: one(spark, checks.review_status(F.col("t")), t=t)
     assert [status(t) for t in ("# x\n  **Status: pass**\n**Status: FAIL**", "**Status:** ok", "Status: PASS", "")] == ["PASS", "OK", "UNKNOWN", "UNKNOWN"]
-    ready = lambda t: one(spark, checks.readiness(F.col("t")), t=t)
+    ready = lambda t: one(spark, checks.packet_readiness(F.col("t")), t=t)
     assert [ready(t) for t in ("x\n## Readiness: warn now", "## readiness:\nPASS", "none")] == ["WARN", "UNKNOWN", "UNKNOWN"]
     record = "id: 1\nproduct_markets_considered:\n- market_id: a\n  - market_id: b\n\nother:\n  - market_id: c\n  product_markets_considered:\n  - market_id: d\n"
     assert one(spark, checks.market_count(F.col("t")), t="product_markets_considered:\n  - market_id: a\n    name: x\n\n  - market_id: b\nother: 1\n  - market_id: c") == 2
     assert one(spark, checks.market_count(F.col("t")), t=record) == 3  # a dash at the margin is an entry too, and a later key begins the list again
-    d = spark.createDataFrame([(None,)], "t string").select(checks.review_status(F.col("t")), checks.readiness(F.col("t")), checks.market_count(F.col("t"))).first()
+    d = spark.createDataFrame([(None,)], "t string").select(checks.review_status(F.col("t")), checks.packet_readiness(F.col("t")), checks.market_count(F.col("t"))).first()
     assert tuple(d) == ("NO_REVIEW", "NO_REVIEW", 0)
 
 
