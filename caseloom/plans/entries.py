@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import functions as F
 
 from caseloom.functions import text as T
@@ -27,6 +25,7 @@ from caseloom.plans.catalog import with_
 from caseloom.plans.text import TOK
 from caseloom.sources import adapters as A
 from caseloom.sources import tables as R
+from caseloom.sources.scratch import fresh_folder
 
 QUERIES, ORACLES = {}, {}
 
@@ -43,8 +42,7 @@ def query(sql: str | None = None):
 
 def landed(spark, *parts):
     """A fresh folder in the shared one, with a folder of JSON lines for each (name, column of JSON) of parts."""
-    place = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir")
-    path = f"{place.rstrip('/')}/landed-{uuid.uuid4().hex}"
+    path = fresh_folder(spark, "landed")
     for name, rows, line in parts:
         rows.select(line.alias("value")).write.text(f"{path}/{name}")
     return path
