@@ -129,28 +129,66 @@ def _device_factors() -> np.ndarray:
     return out
 
 
+class _Overlaps:
+    """Word lists of a block, ready to tell the words that another list has in common with each, over all words of the two."""
+
+    def __init__(self, lists: list[list[str]]):
+        places: dict[str, list[int]] = {}
+        for k, words in enumerate(lists):
+            for w in set(words):
+                places.setdefault(w, []).append(k)
+        self.places = {w: np.array(ks) for w, ks in places.items()}
+        self.sizes = np.array([len(set(words)) for words in lists], np.int64)
+
+    def shares(self, words: list[str]) -> np.ndarray:
+        own, met = set(words), np.zeros(len(self.sizes), np.int64)
+        for w in own & self.places.keys():
+            met[self.places[w]] += 1
+        return np.where(met > 0, met / np.maximum(len(own) + self.sizes - met, 1), 0.0)
+
+
 def _best_drafts(existing: list[tuple], drafts: list[tuple]) -> Iterator[tuple]:
     """id, similarity, draft, gated, gated_draft of each existing name of a block that has a draft of RENAME or more: the best one, and the best of those that share enough context."""
+    n = len(drafts)
     raw, plain = similar.Names([d[2] for d in drafts]), similar.Names([d[3] for d in drafts])
-    word_sets, place_sets = ([set(d[k]) for d in drafts] for k in (4, 5))
+    changed = np.flatnonzero([d[2] != d[3] for d in drafts])
+    some = similar.Names([drafts[k][3] for k in changed])
     devices, factors = np.array([d[6] for d in drafts], np.int64), _device_factors()
-
-    def shares(words: list[str], sets: list[set]) -> np.ndarray:
-        own = set(words)
-        return np.array([len(own & s) / len(own | s) if own and s else 0.0 for s in sets])
+    words_of, places_of = (_Overlaps([d[k] for d in drafts]) for k in (4, 5))
 
     for id, rule, name, form, words, places, device in existing:
-        common = shares(words, word_sets)
-        factor = factors[device][devices] if rule == 1 else np.ones(len(drafts))
-        context = shares(places, place_sets) if rule == 2 else np.zeros(len(drafts))
+        common = words_of.shares(words)
+        factor = factors[device][devices] if rule == 1 else np.ones(n)
+        context = places_of.shares(places) if rule == 2 else np.zeros(n)
         raised = np.minimum(context * CONTEXT_WEIGHT, MATCH - 0.01)
-        bound = np.maximum(np.maximum(np.maximum(raw.bounds(name, RENAME), plain.bounds(form, RENAME)), common) * factor, raised)
+        together = lambda r, f: np.maximum(np.maximum(np.maximum(r, f), common) * factor, raised)  # noqa: B023, E731
+        exact = lambda k: max(max(similar.ratio(name, raw.names[k]), similar.ratio(form, plain.names[k]), common[k]) * factor[k], raised[k])  # noqa: B023, E731
+
+        # Where neither form differs from the name itself, one bound serves both.
+        by_name = raw.cheap(name)
+        if form == name:
+            by_form = by_name.copy()
+            by_form[changed] = some.cheap(form)
+        else:
+            by_form = plain.cheap(form)
+        least = RENAME
+        if n and rule != 2:  # one pair in full first: what cannot reach it needs no closer look
+            least = max(least, exact(int(together(by_name, by_form).argmax())))
+        near = by_name if (by_name < least).all() else raw.tighter(name, by_name, least)
+        if form == name:
+            by_form[changed] = some.tighter(form, by_form[changed], least)
+            same = np.ones(n, bool)
+            same[changed] = False
+            by_form[same] = near[same]
+        else:
+            by_form = plain.tighter(form, by_form, least)
+        bound = together(near, by_form)
         best = gated = (0.0, 0)
-        for k in np.argsort(-bound, kind="stable").tolist():
-            enough = bound[k] < best[0] and (rule != 2 or best[0] >= MATCH or bound[k] < gated[0])
-            if bound[k] < RENAME or enough:
+        reach = np.flatnonzero(bound >= RENAME)
+        for k in reach[np.argsort(-bound[reach], kind="stable")].tolist():
+            if bound[k] < best[0] and (rule != 2 or best[0] >= MATCH or bound[k] < gated[0]):
                 break
-            s = max(max(similar.ratio(name, raw.names[k]), similar.ratio(form, plain.names[k]), common[k]) * factor[k], raised[k])
+            s = exact(k)
             if s >= RENAME:
                 best = max(best, (s, -drafts[k][0])) if best[0] else (s, -drafts[k][0])
                 if context[k] >= CONTEXT_LEAST:

@@ -40,14 +40,23 @@ class Names:
 
     def bounds(self, name: str, least: float) -> np.ndarray:
         """No less than the ratio of name with each of the names; where that is under least, by the cheaper bounds alone."""
+        return self.tighter(name, self.cheap(name), least)
+
+    def _share(self, name: str, m: np.ndarray) -> np.ndarray:
         total = self.lengths + len(name)
-        share = lambda m: np.where(total > 0, 2 * m / np.maximum(total, 1), 1.0)
-        out = share(np.minimum(self.lengths, len(name)))
-        open_ = np.flatnonzero(out >= least)
-        out[open_] = np.minimum(out[open_], share(np.minimum(self.counts, letters(name)).sum(1, dtype=np.int64))[open_])
-        open_ = open_[out[open_] >= least]
-        if 0 < len(name) <= 64 and len(open_):
-            out[open_] = np.minimum(out[open_], share(self._subsequences(name, open_, total))[open_])
+        return np.where(total > 0, 2 * m / np.maximum(total, 1), 1.0)
+
+    def cheap(self, name: str) -> np.ndarray:
+        """Bounds by the letters in common, which are no more than the shorter length."""
+        return self._share(name, np.minimum(self.counts, letters(name)).sum(1, dtype=np.int64)) if self.names else np.zeros(0)
+
+    def tighter(self, name: str, bounds: np.ndarray, least: float) -> np.ndarray:
+        """The bounds, of those of `least` or more that of the longest common subsequence too."""
+        which = np.flatnonzero(bounds >= least)
+        if not 0 < len(name) <= 64 or not len(which):
+            return bounds
+        out = bounds.copy()
+        out[which] = np.minimum(out[which], self._share(name, self._subsequences(name, which, self.lengths))[which])
         return out
 
     def _subsequences(self, name: str, which: np.ndarray, total: np.ndarray) -> np.ndarray:
