@@ -2,13 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.ml.feature import BucketedRandomProjectionLSH
-from pyspark.ml.functions import array_to_vector
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
 from caseloom.functions import text as T
+from caseloom.operators import nearest
 
 
 def rule_list(rules: DataFrame, tests: DataFrame) -> DataFrame:
@@ -99,15 +98,11 @@ def split_points(windows: DataFrame, most: int = 15) -> DataFrame:
     return g.withColumn("part", F.row_number().over(W.partitionBy("doc_id", "cluster").orderBy("first_page"))).drop("segment", "piece")
 
 
-def approximate(vectors: DataFrame, queries: DataFrame, k: int, bucket: float = 1.0, tables: int = 8, threshold: float = 1.4) -> DataFrame:
-    """Approximate neighbours by random projections of unit vectors: rows that share a bucket with a query, ranked by distance."""
-    unit = lambda c: F.transform(c, lambda x: x / F.sqrt(F.aggregate(c, F.lit(0.0), lambda s, y: s + y * y)))
-    as_unit = lambda d: d.select("id", array_to_vector(unit(F.transform("embedding", lambda x: x.cast("double")))).alias("v"))
-    v, q = as_unit(vectors), as_unit(queries)
-    model = BucketedRandomProjectionLSH(inputCol="v", outputCol="h", bucketLength=bucket, numHashTables=tables, seed=1).fit(v)
-    pairs = model.approxSimilarityJoin(q, v, threshold, "distance").select(F.col("datasetA.id").alias("query_id"), F.col("datasetB.id").alias("id"), "distance").where("query_id <> id")
-    rank = F.row_number().over(W.partitionBy("query_id").orderBy("distance", "id"))
-    return pairs.withColumn("rank", rank).where(F.col("rank") <= k)
+def approximate(vectors: DataFrame, queries: DataFrame, k: int, threshold: float = 1.4) -> DataFrame:
+    """Approximate neighbours by an index of cells over unit vectors: query_id, id, distance, rank, of those nearer than threshold."""
+    near = nearest.indexed_top_k(vectors, queries, k, 1 - threshold * threshold / 2)
+    distance = F.sqrt(F.greatest(2 - 2 * F.round("similarity", 12), F.lit(0.0)))
+    return near.select("query_id", "id", distance.alias("distance"), "rank").where(F.col("distance") < threshold)
 
 
 def concept_label(c: Column) -> Column:
