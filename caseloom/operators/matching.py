@@ -225,18 +225,43 @@ def additions(drafts: DataFrame, reconciled: DataFrame) -> DataFrame:
     return drafts.join(reconciled.where("draft is not null"), ["case_id", "kind", "draft"], "left_anti").select("case_id", "kind", "draft")
 
 
+def sharing_tokens(a: DataFrame, b: DataFrame, on: str) -> DataFrame:
+    """on, tokens, others, n: sets of tokens of a group with the further sets that share n tokens with them, by a join on tokens.
+
+    a: on, tokens; b: on, others; distinct rows.
+    """
+    x, y = a.select(on, "tokens", F.explode("tokens").alias("token")), b.select(on, "others", F.explode("others").alias("token"))
+    return x.join(y, [on, "token"]).groupBy(on, "tokens", "others").agg(F.count("*").alias("n"))
+
+
 def token_pairs(a: DataFrame, b: DataFrame, a_id: str, b_id: str, stop: list[str]) -> DataFrame:
-    """Items of two lists of a case that share a token, by a join on tokens."""
-    words = lambda d, i: d.select("case_id", i, F.explode(F.array_except(F.array_distinct(F.split(F.lower("name"), r"\s+")), F.lit(stop))).alias("token"))
-    return words(a, a_id).join(words(b, b_id), ["case_id", "token"]).groupBy("case_id", a_id).agg(F.array_join(F.transform(F.sort_array(F.collect_set(b_id)), lambda x: x.cast("string")), ",").alias("paired"))
+    """Items of two lists of a case that share a token, by a join on tokens.
+
+    Items with the same tokens have the same partners, so only distinct sets of tokens meet: the partners are written
+    once for each set, and each item takes those of its set.
+    """
+    words = F.array_except(F.array_distinct(F.split(F.lower("name"), r"\s+")), F.lit(stop))
+    united = lambda c: F.array_sort(F.array_distinct(F.flatten(F.collect_list(c))))
+    x = a.groupBy("case_id", a_id).agg(united(words).alias("tokens"))
+    y = b.select("case_id", b_id, F.array_sort(words).alias("others")).groupBy("case_id", "others").agg(F.collect_set(b_id).alias("ids"))
+    met = sharing_tokens(x.select("case_id", "tokens").distinct(), y.select("case_id", "others"), "case_id")
+    lists = met.join(y, ["case_id", "others"]).groupBy("case_id", "tokens").agg(F.array_join(F.transform(united("ids"), lambda i: i.cast("string")), ",").alias("paired"))
+    return x.join(lists, ["case_id", "tokens"]).select("case_id", a_id, "paired")
 
 
 def nearest_names(missed: DataFrame, drafts: DataFrame, k: int = 5) -> DataFrame:
-    """For each missed name of a case, the k drafts of largest token overlap over 0; ties to the first. Names meet block by block."""
-    words = lambda d, id, name, to: d.select("case_id", F.col(id).cast("long").alias(to), F.array_distinct(T.tokens(F.col(name))).alias("words")).where("size(words) > 0")
-    d = similar.overlapping(words(missed, "item", "name", "id"), words(drafts, "draft", "draft_name", "other"), ["case_id"], k)
+    """For each missed name of a case, the k drafts of largest token overlap over 0; ties to the first.
+
+    Distinct sets of tokens meet block by block: of the drafts with one set only the first k can be among the nearest, and missed names with one set have the same ones.
+    """
+    words = lambda d, id, name, to: d.select("case_id", F.col(id).cast("long").alias(to), F.array_sort(F.array_distinct(T.tokens(F.col(name)))).alias("words")).where("size(words) > 0")
+    m, d = words(missed, "item", "name", "item"), words(drafts, "draft", "draft_name", "other")
+    sets = m.groupBy("case_id", "words").agg(F.min("item").alias("id"))
+    first = F.row_number().over(W.partitionBy("case_id", "words").orderBy("other"))
+    d = d.withColumn("n", first).where(F.col("n") <= k).drop("n")
+    found = similar.overlapping(sets, d, ["case_id"], k).join(sets, ["case_id", "id"]).join(m, ["case_id", "words"])
     kinds = missed.schema["item"].dataType, drafts.schema["draft"].dataType
-    return d.select("case_id", F.col("id").cast(kinds[0]).alias("item"), F.col("other").cast(kinds[1]).alias("draft"), "rank", F.round("overlap", 6).alias("overlap"))
+    return found.select("case_id", F.col("item").cast(kinds[0]).alias("item"), F.col("other").cast(kinds[1]).alias("draft"), "rank", F.round("overlap", 6).alias("overlap"))
 
 
 def diverse(scored: DataFrame, count: int, bonus: float = 0.25) -> DataFrame:
@@ -391,12 +416,13 @@ def merged_items(items: DataFrame, threshold: float = MATCH) -> DataFrame:
 def paired_overlap(a: DataFrame, b: DataFrame) -> DataFrame:
     """case_id, item, overlap: for each item of a, the largest share of the shorter name's tokens that it has in common with an item of b of its case.
 
-    a and b: case_id, item, name; pairs meet by a join on tokens.
+    a and b: case_id, item, name; distinct sets of tokens meet by a join on tokens, and items take the share of their set.
     """
-    words = lambda d: d.select("case_id", "item", F.array_distinct(T.tokens(F.col("name"))).alias("ws")).select("case_id", "item", F.size("ws").alias("n"), F.explode("ws").alias("token"))
-    x, y = words(a), words(b).withColumnsRenamed({"item": "other", "n": "m"})
-    p = x.join(y, ["case_id", "token"]).groupBy("case_id", "item", "other").agg((F.count("*") / F.least(F.first("n"), F.first("m"))).alias("overlap"))
-    return p.groupBy("case_id", "item").agg(F.max("overlap").alias("overlap"))
+    words = lambda d, to: d.select("case_id", "item", F.array_sort(F.array_distinct(T.tokens(F.col("name")))).alias(to))
+    x, y = words(a, "tokens"), words(b, "others")
+    p = sharing_tokens(x.select("case_id", "tokens").distinct(), y.select("case_id", "others").distinct(), "case_id")
+    best = p.groupBy("case_id", "tokens").agg(F.max(F.col("n") / F.least(F.size("tokens"), F.size("others"))).alias("overlap"))
+    return x.join(best, ["case_id", "tokens"]).groupBy("case_id", "item").agg(F.max("overlap").alias("overlap"))
 
 
 def _with_pairing(items: DataFrame, partners: DataFrame, bonus: float) -> DataFrame:

@@ -2,7 +2,8 @@
 
 import numpy as np
 
-from caseloom.operators import nearest, rest
+from caseloom.operators import drafts, intake, matching, nearest, rest
+from caseloom.plans import rest as more_plans
 
 
 def plan(d):
@@ -42,3 +43,76 @@ def test_best_rows_of_a_task_hold_a_bounded_number(monkeypatch):
         assert best.size <= best.most + 4 * 16
     which, _, ids, *_ = best.fold()
     assert sorted(zip(which.tolist(), ids.tolist(), strict=True)) == [(i, j) for i in range(4) for j in range(3)]
+
+
+def pairs_met(d):
+    """Rows that the joins of a plan made, the largest of them."""
+    d.collect()
+    most, todo = 0, [d._jdf.queryExecution().executedPlan()]
+    while todo:
+        node = todo.pop()
+        if "AdaptiveSparkPlan" in node.nodeName():
+            todo.append(node.executedPlan())
+        elif "QueryStage" in node.nodeName():
+            todo.append(node.plan())
+        if "Join" in node.nodeName() and node.metrics().contains("numOutputRows"):
+            most = max(most, node.metrics().apply("numOutputRows").value())
+        children = node.children()
+        todo.extend(children.apply(i) for i in range(children.size()))
+    return most
+
+
+def test_items_with_the_same_tokens_meet_once(spark):
+    a = spark.createDataFrame([(1, i, f"{'red blue'.split()[i % 2]} bolt the") for i in range(400)] + [(1, 900, None), (1, 901, "the"), (2, 0, "red"), (None, 7, "red")], "case_id long, item long, name string")
+    b = spark.createDataFrame([(1, i, f"green {'red anvil'.split()[i % 2]}") for i in range(400)] + [(1, 1000, "Bolt  red RED"), (None, 7, "red")], "case_id long, draft long, name string")
+    d = matching.token_pairs(a, b, "item", "draft", ["the"])
+    got = {(r.case_id, r.item): r.paired for r in d.collect()}
+    red = ",".join(str(i) for i in [*range(0, 400, 2), 1000])
+    assert got == {(1, i): red if i % 2 == 0 else "1000" for i in range(400)}
+    assert pairs_met(d) < 2000
+    o = matching.paired_overlap(a, b.withColumnRenamed("draft", "item"))
+    assert {(r.item, r.overlap) for r in o.where("case_id = 1 and item < 2").collect()} == {(0, 1.0), (1, 0.5)}
+    assert pairs_met(o) < 2000
+
+
+def test_nearest_names_take_few_drafts_of_a_set(spark, monkeypatch):
+    seen = []
+    whole = matching.similar.overlapping
+    monkeypatch.setattr(matching.similar, "overlapping", lambda left, right, on, most: seen.append((left.count(), right.count())) or whole(left, right, on, most))
+    missed = spark.createDataFrame([(1, i, "old plate" if i % 2 else "plate old") for i in range(50)], "case_id long, item long, name string")
+    drafts = spark.createDataFrame([(1, i, "plate ring" if i % 2 else "old plate") for i in range(50)], "case_id long, draft long, draft_name string")
+    got = matching.nearest_names(missed, drafts, 3).collect()
+    assert sorted((r.item, r["rank"], r.draft, r.overlap) for r in got) == [(i, k, 2 * k - 2, 1.0) for i in range(50) for k in (1, 2, 3)]
+    assert seen == [(1, 6)]
+
+
+def test_gold_items_meet_the_first_draft_of_a_name(spark):
+    gold = spark.createDataFrame([(g, "Name", ["other"], ["x"], [3]) for g in range(100)] + [(200, "none", None, None, [5]), (201, None, [None, "b", "name"], [], [])], "gold_id long, name string, aliases array<string>, expected_names array<string>, expected_ids array<long>")
+    found = spark.createDataFrame([(i, " name ", 1000 - i) for i in range(1, 100)] + [(5, None, 1), (300, "name", 901)], "draft_id long, name string, seq long")
+    d = drafts.gold_matches(gold, found)
+    got = {(r.gold_id, r.draft_id, r.tier) for r in d.collect()}
+    assert got == {(g, 99, 1) for g in range(100)} | {(200, 5, 4), (201, 99, 2)}
+    assert pairs_met(d) < 2000
+
+
+def test_gold_passages_by_tiers(spark):
+    gold = [(1, 10, [11], 1, "red bolt"), (1, 12, [], 1, "red bolt"), (2, 99, [11, 13], 1, "red bolt"), (3, 98, [97], 1, "red bolt"), (3, 98, None, 2, "new anvil"), (4, None, [], 3, "x y")]
+    passages = [(100, [10, 12, 12], 5, "no"), (101, [12], 5, "no"), (102, [11, 13], 5, "no"), (103, [], 1, "a red one"), (104, None, 2, "the anvil, new"), (105, [None], 2, "other")]
+    g = spark.createDataFrame(gold, "gold_id long, market_id long, alias_ids array<long>, page int, name string")
+    p = spark.createDataFrame(passages, "passage long, supports array<long>, page int, quote string")
+    got = sorted((r.gold_id, r.passage, r.tier) for r in intake.gold_passages(g, p).collect())
+    assert got == [(1, 100, 1), (1, 101, 1), (2, 102, 2), (3, 103, 3), (3, 104, 3)]
+
+
+def test_gold_passages_do_not_seek_later_tiers_of_what_is_found(spark):
+    g = spark.createDataFrame([(i, 1, [2], 1, "red bolt") for i in range(60)], "gold_id long, market_id long, alias_ids array<long>, page int, name string")
+    p = spark.createDataFrame([(0, [1], 9, "no")] + [(i, [2], 1, "red bolt") for i in range(1, 60)], "passage long, supports array<long>, page int, quote string")
+    d = intake.gold_passages(g, p)
+    assert sorted((r.gold_id, r.passage, r.tier) for r in d.collect()) == [(i, 0, 1) for i in range(60)]
+    assert pairs_met(d) <= 60
+
+
+def test_renames_meet_one_draft_of_a_kind(spark, tmp_path):
+    spark.range(4000).selectExpr("id AS p_partkey", "1 AS p_size", "'t' AS p_type").write.parquet(str(tmp_path / "part.parquet"))
+    d = more_plans.QUERIES["j18_gated_renames"](spark, str(tmp_path))
+    assert d.count() == 2000 and pairs_met(d) <= 2000 * 50
