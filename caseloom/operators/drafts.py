@@ -80,17 +80,19 @@ def overlaid(draft: DataFrame, seed: DataFrame, key: str, fields: list[str]) ->
 def gold_matches(gold: DataFrame, drafts: DataFrame) -> DataFrame:
     """gold_id, draft_id, tier: exact name, alias, expected name, expected id in that order; the first draft in a tier.
 
+    Of the drafts of one name only the first can be taken, so each key has one draft.
+
     gold: gold_id, name, aliases, expected_names, expected_ids; drafts: draft_id, name, seq.
     """
     norm = lambda c: F.lower(F.trim(c))
+    first = lambda d, key: d.where(f"{key} is not null").groupBy(key).agg(F.min(F.struct("seq", "draft_id")).alias("first"))
     d = drafts.select("draft_id", norm(F.col("name")).alias("k"), "seq")
     g = gold.select("gold_id", F.array(norm(F.col("name"))).alias("t1"), F.transform("aliases", norm).alias("t2"), F.transform("expected_names", norm).alias("t3"), "expected_ids")
     by_name = g.select("gold_id", F.explode(F.array(*[F.struct(F.lit(i).alias("tier"), F.col(f"t{i}").alias("ks")) for i in (1, 2, 3)])).alias("x"))
-    by_name = by_name.select("gold_id", "x.tier", F.posexplode("x.ks").alias("pos", "k")).join(d, "k")
-    by_id = g.select("gold_id", F.lit(4).alias("tier"), F.posexplode("expected_ids").alias("pos", "draft_id")).join(d, "draft_id")
-    both = by_name.select("gold_id", "tier", "pos", "draft_id", "seq").unionByName(by_id.select("gold_id", "tier", "pos", "draft_id", "seq"))
-    one = F.row_number().over(W.partitionBy("gold_id").orderBy("tier", "pos", "seq"))
-    return both.withColumn("n", one).where("n = 1").select("gold_id", "draft_id", "tier")
+    by_name = by_name.select("gold_id", "x.tier", F.posexplode("x.ks").alias("pos", "k")).join(first(d, "k"), "k")
+    by_id = g.select("gold_id", F.lit(4).alias("tier"), F.posexplode("expected_ids").alias("pos", "id")).join(first(d.withColumn("id", F.col("draft_id")), "id"), "id")
+    both = by_name.select("gold_id", "tier", "pos", "first").unionByName(by_id.select("gold_id", "tier", "pos", "first"))
+    return both.groupBy("gold_id").agg(F.min(F.struct("tier", "pos", "first")).alias("one")).select("gold_id", "one.first.draft_id", "one.tier")
 
 
 def known_to_gold(gold: DataFrame, drafts: DataFrame) -> DataFrame:
