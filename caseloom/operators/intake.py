@@ -11,6 +11,8 @@ from pyspark.sql.window import Window as W
 from caseloom.functions import text as T
 from caseloom.operators.grounding import grounded
 from caseloom.operators import checks as K
+from caseloom.operators import matching, similar
+from caseloom.sources.scratch import kept
 
 
 #: Fixed value: what follows a text that is cut.
@@ -62,14 +64,27 @@ def minority_blocks(rules: DataFrame) -> DataFrame:
 
 
 def gold_passages(gold: DataFrame, drafts: DataFrame) -> DataFrame:
-    """gold_id, passage, tier: passages that name the gold's id, else an alias id, else lie on its cited page and share a token of its name."""
-    d = drafts.select("passage", F.explode("supports").alias("ref"))
-    by_id = gold.join(d, gold.market_id == d.ref).select("gold_id", "passage", F.lit(1).alias("tier"))
-    by_alias = gold.select("gold_id", F.explode("alias_ids").alias("ref")).join(d, "ref").select("gold_id", "passage", F.lit(2).alias("tier"))
-    page = gold.join(drafts, "page").where(F.arrays_overlap(T.tokens(F.col("name")), T.tokens(F.col("quote")))).select("gold_id", "passage", F.lit(3).alias("tier"))
-    every = by_id.union(by_alias).union(page)
-    best = F.min("tier").over(W.partitionBy("gold_id"))
-    return every.withColumn("best", best).where("tier = best").select("gold_id", "passage", "tier").distinct()
+    """gold_id, passage, tier: passages that name the gold's id, else an alias id, else lie on its cited page and share a token of its name.
+
+    A tier is sought only for the gold items that the tiers before it have nothing for. Items and passages of an id meet in blocks; a pair that several ids join
+    counts at the smallest, so that pairs are made once and need no shuffle.
+    """
+    ids = lambda c: F.array_distinct(F.array_compact(F.flatten(F.collect_list(c))))
+    d = drafts.groupBy("passage").agg(ids("supports").alias("theirs"))
+    refs = d.select("passage", "theirs", F.explode("theirs").alias("ref"))
+    known, found, left = refs.select("ref").distinct(), [], gold
+    for tier, own in ((1, F.array("market_id")), (2, F.col("alias_ids"))):
+        g = left.groupBy("gold_id").agg(ids(own).alias("own"))
+        g = kept(g.select("gold_id", "own", F.explode("own").alias("ref")).join(known, "ref", "left_semi"), "gold")
+        x, y = similar.dealt(g, refs, ["ref"])
+        once = (F.size("own") == 1) | (F.size("theirs") == 1) | (F.col("ref") == F.array_min(F.array_intersect("own", "theirs")))
+        found.append(x.join(y, ["ref", "b0", "b1"]).where(once).select("gold_id", "passage", F.lit(tier).alias("tier")))
+        left = left.join(g.select("gold_id").distinct(), "gold_id", "left_anti")
+    words = lambda c, to: F.array_sort(F.array_distinct(T.tokens(F.col(c)))).alias(to)
+    x, y = left.select("gold_id", "page", words("name", "tokens")).distinct(), drafts.select("passage", "page", words("quote", "others")).distinct()
+    met = matching.sharing_tokens(x.select("page", "tokens").distinct(), y.select("page", "others").distinct(), "page")
+    page = x.join(met, ["page", "tokens"]).join(y, ["page", "others"]).select("gold_id", "passage", F.lit(3).alias("tier")).distinct()
+    return found[0].union(found[1]).union(page)
 
 
 def seed_records(seeds: DataFrame) -> tuple[DataFrame, DataFrame]:

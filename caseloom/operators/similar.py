@@ -84,6 +84,21 @@ def ratio(a: str, b: str) -> float:
     return SequenceMatcher(None, a, b).ratio()
 
 
+def dealt(left: DataFrame, right: DataFrame, on: list[str]) -> tuple[DataFrame, DataFrame]:
+    """left and right with b0 and b1: rows of a group in both are cut into blocks of about BLOCK by a hash, and a row is copied once for each block of the other side, so that equal on, b0 and b1 join each pair once."""
+    count = lambda d, own, other: d.groupBy(*on).agg(F.count("*").alias(own), F.lit(0).cast("long").alias(other))
+    sizes = count(left, "n_l", "n_r").unionByName(count(right, "n_r", "n_l"))
+    blocks = lambda c: F.ceil(F.sum(c) / BLOCK).cast("int").alias(c)
+    sizes = sizes.groupBy(*on).agg(blocks("n_l"), blocks("n_r")).where("n_l > 0 and n_r > 0")
+
+    def side(rows: DataFrame, own: str, other: str, which: int) -> DataFrame:
+        block = F.pmod(F.xxhash64(*[c for c in rows.columns if c not in on]), F.col(own)).cast("int")
+        d = rows.join(sizes, on).withColumn(f"b{which}", block)
+        return d.withColumn(f"b{1 - which}", F.explode(F.sequence(F.lit(0), F.col(other) - 1))).drop(own, other)
+
+    return side(left, "n_l", "n_r", 0), side(right, "n_r", "n_l", 1)
+
+
 def tiled(left: DataFrame, right: DataFrame, on: list[str], score: Callable[[list[tuple], list[tuple]], Iterator[tuple]], fields: str) -> DataFrame:
     """on and the fields of what score makes of each block of left rows against each block of right rows of a group.
 
@@ -91,16 +106,9 @@ def tiled(left: DataFrame, right: DataFrame, on: list[str], score: Callable[[lis
     columns. A group is cut into blocks of about BLOCK rows by a hash of the row, and a pair of blocks is one unit of work.
     """
     rest = [c for c in left.columns if c not in on]
-    sizes = left.groupBy(*on).agg(F.count("*").alias("n_l"), F.lit(0).cast("long").alias("n_r")).unionByName(right.groupBy(*on).agg(F.lit(0).cast("long").alias("n_l"), F.count("*").alias("n_r")))
-    blocks = lambda c: F.ceil(F.sum(c) / BLOCK).cast("int").alias(c)
-    sizes = sizes.groupBy(*on).agg(blocks("n_l"), blocks("n_r")).where("n_l > 0 and n_r > 0")
-
-    def side(rows: DataFrame, own: str, other: str, which: int) -> DataFrame:
-        block = F.pmod(F.xxhash64(*rest), F.col(own)).cast("int")
-        d = rows.join(sizes, on).withColumn(f"b{which}", block).withColumn(f"b{1 - which}", F.explode(F.sequence(F.lit(0), F.col(other) - 1)))
-        return d.select(*on, "b0", "b1", F.lit(which).alias("side"), *rest)
-
-    both = side(left, "n_l", "n_r", 0).unionByName(side(right, "n_r", "n_l", 1))
+    left, right = dealt(left, right, on)
+    side = lambda d, which: d.select(*on, "b0", "b1", F.lit(which).alias("side"), *rest)
+    both = side(left, 0).unionByName(side(right, 1))
     both = both.repartition(*on, "b0", "b1").sortWithinPartitions(*on, "b0", "b1", "side")
     n = len(on)
 
