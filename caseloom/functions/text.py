@@ -1,4 +1,4 @@
-"""Column functions over text: normal forms, tokens, names, numbers, dates, links. All run inside Spark's own expressions but `folded`."""
+"""Column functions over text: normal forms, tokens, names, numbers, dates, links. All run inside Spark's own expressions but `folded` and `composed` of signs beyond ASCII."""
 
 from __future__ import annotations
 
@@ -16,16 +16,29 @@ QUOTES, PLAIN = "‘’“” ", "''\"\" "
 COUNTRIES = {"de": "germany", "fr": "france", "it": "italy", "es": "spain", "uk": "united kingdom", "us": "united states"}
 
 
-@F.pandas_udf(StringType())
-def folded(s: pd.Series) -> pd.Series:
+def beyond_ascii(c: Column) -> Column:
+    """Whether a text has a sign beyond ASCII: only such texts go through Python, a hundred at a time, as they may be long."""
+    return F.coalesce(c.rlike(r"[^\x00-\x7F]"), F.lit(False))
+
+
+@F.udf(StringType(), useArrow=False)
+def folded_row(x: str | None) -> str | None:
+    return None if x is None else unicodedata.normalize("NFKD", x).encode("ascii", "ignore").decode().lower()
+
+
+@F.udf(StringType(), useArrow=False)
+def composed_row(x: str | None) -> str | None:
+    return None if x is None else unicodedata.normalize("NFKC", x)
+
+
+def folded(c: Column) -> Column:
     """Compatibility forms apart, accents dropped, ASCII lower case (Spark has no Unicode normaliser)."""
-    return s.map(lambda x: None if x is None else unicodedata.normalize("NFKD", x).encode("ascii", "ignore").decode().lower())
+    return F.when(beyond_ascii(c), folded_row(F.when(beyond_ascii(c), c))).otherwise(F.lower(c))
 
 
-@F.pandas_udf(StringType())
-def composed(s: pd.Series) -> pd.Series:
+def composed(c: Column) -> Column:
     """Compatibility forms in their plain form, composed (NFKC)."""
-    return s.map(lambda x: x if x is None or x.isascii() else unicodedata.normalize("NFKC", x))
+    return F.when(beyond_ascii(c), composed_row(F.when(beyond_ascii(c), c))).otherwise(c)
 
 
 def plain(c: Column) -> Column:
