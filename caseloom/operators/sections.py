@@ -160,7 +160,7 @@ def section_texts(pages: DataFrame, targets: DataFrame, heading: str = SECTION_H
     d = p.join(cut, [*keys, "nth"], "left")
     group = W.partitionBy(*keys)
     d = d.withColumn("stop", F.min(F.when(F.col("end").isNotNull(), F.col("nth"))).over(group)).where("stop is null or nth <= stop")
-    short = F.regexp_replace(F.substring("text", F.col("start") + 1, (F.col("end") - F.col("start")).cast("int")), r"\s+$", "")
+    short = F.regexp_replace(F.substring("text", F.col("start") + 1, (F.col("end") - F.col("start")).cast("int")), r"\s+\z", "")
     whole = F.substring("text", F.coalesce("start", F.lit(0)) + 1, F.length("text"))
     d = d.withColumn("text", F.when(F.col("end").isNotNull(), short).otherwise(whole)).where("end is null or text <> ''")
     return d.select("doc_id", F.col("target").alias("chunk"), "page_number", "part", "text")

@@ -1,8 +1,13 @@
 """Joins and searches whose work must not grow with the square of their groups."""
 
+import unicodedata
+
 import numpy as np
+from pyspark.sql import functions as F
 
+from caseloom.functions import text as T
 from caseloom.operators import drafts, intake, matching, nearest, rest
+from caseloom.plans import entries
 from caseloom.plans import rest as more_plans
 
 
@@ -116,3 +121,21 @@ def test_renames_meet_one_draft_of_a_kind(spark, tmp_path):
     spark.range(4000).selectExpr("id AS p_partkey", "1 AS p_size", "'t' AS p_type").write.parquet(str(tmp_path / "part.parquet"))
     d = more_plans.QUERIES["j18_gated_renames"](spark, str(tmp_path))
     assert d.count() == 2000 and pairs_met(d) <= 2000 * 50
+
+
+def test_only_texts_beyond_ascii_go_through_python_in_small_batches(spark):
+    rows = [("Ünïté ﬁn",), ("ABC", ), ("",), (None,), ("Ⅻ é",), ("a\u0000B",)]
+    d = spark.createDataFrame(rows, "c string")
+    d = d.select("c", T.folded(F.col("c")).alias("f"), T.composed(F.col("c")).alias("n"))
+    assert "ArrowEvalPython" not in plan(d)
+    for r in d.collect():
+        assert r.f == (None if r.c is None else unicodedata.normalize("NFKD", r.c).encode("ascii", "ignore").decode().lower())
+        assert r.n == (None if r.c is None else unicodedata.normalize("NFKC", r.c))
+
+
+def test_section_texts_take_lines_of_documents_as_text(spark, tmp_path):
+    lines = "56.187.231.175 Keit in lich\n8.1 Other words \n9.9 Zu te \u0085\n7.2 More"
+    spark.createDataFrame([(299, lines)], "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    rows = entries.QUERIES["w07_section_texts"](spark, str(tmp_path)).collect()
+    a, b, c, d = lines.split("\n")
+    assert sorted((r.chunk, r.page_number, r.part, r.text) for r in rows) == [(0, 1, "own", f"7.1 Own part\n{a}"), (0, 2, "own", b), (0, 3, "own", c), (0, 4, "spill", "before"), (1, 4, "own", f"7.1 Own part\n{d}")]
