@@ -21,6 +21,15 @@ def beyond_ascii(c: Column) -> Column:
     return F.coalesce(c.rlike(r"[^\x00-\x7F]"), F.lit(False))
 
 
+#: Signs that NFKC leaves alone wherever they stand, apart or side by side, beside those of ASCII: letters of three scripts, dashes and quotes.
+INERT = r"À-ıĴ-ľŁ-ňŊ-žα-ώЀ-ҁ‒-‖‘-‣"
+
+
+def changeable(c: Column) -> Column:
+    """Whether a text has a sign that NFKC may change: only such texts go through Python."""
+    return F.coalesce(c.rlike(rf"[\x{{80}}-\x{{10FFFF}}&&[^{INERT}]]"), F.lit(False))
+
+
 @F.udf(StringType(), useArrow=False)
 def folded_row(x: str | None) -> str | None:
     return None if x is None else unicodedata.normalize("NFKD", x).encode("ascii", "ignore").decode().lower()
@@ -38,7 +47,7 @@ def folded(c: Column) -> Column:
 
 def composed(c: Column) -> Column:
     """Compatibility forms in their plain form, composed (NFKC)."""
-    return F.when(beyond_ascii(c), composed_row(F.when(beyond_ascii(c), c))).otherwise(c)
+    return F.when(changeable(c), composed_row(F.when(changeable(c), c))).otherwise(c)
 
 
 def plain(c: Column) -> Column:

@@ -85,7 +85,9 @@ def dense(pairs: DataFrame, recall: float = 0.85) -> DataFrame:
     q, t = T.normalized(F.col("quote")), T.normalized(F.col("text"))
     d = pairs.select("pair_id", (F.contains(t, q) & (q != "")).alias("verbatim"), T.tokens(q).alias("qt"), T.tokens(t).alias("tt"))
     d = d.withColumn("qs", F.array_distinct("qt")).withColumn("w", F.size("qt") + F.floor(F.size("qt") / 2))
-    p = d.where((F.size("qt") > 0) & (F.size("tt") >= F.size("qt")) & ~F.col("verbatim")).select("pair_id", "qs", "w", F.size("tt").alias("n"), F.posexplode("tt").alias("pos", "tok")).where(F.array_contains("qs", F.col("tok")))
+    p = d.where((F.size("qt") > 0) & (F.size("tt") >= F.size("qt")) & ~F.col("verbatim"))
+    p = p.where(F.size(F.array_intersect("qs", "tt")) / F.size("qs") >= recall)  # no window has more of them than the whole text
+    p = p.select("pair_id", "qs", "w", F.size("tt").alias("n"), F.posexplode("tt").alias("pos", "tok")).where(F.array_contains("qs", F.col("tok")))
     # A token is inside the windows that begin after its last place before and up to its own: +1 there, -1 past it. The
     # running sum of these is the number of distinct tokens in the window that begins at a place.
     last = F.lag("pos").over(W.partitionBy("pair_id", "tok").orderBy("pos"))
@@ -126,22 +128,28 @@ def verbatim(quotes: DataFrame, texts: DataFrame) -> DataFrame:
     return pairs.unionByName(_short_pairs(quotes, texts))
 
 
+#: Tokens that a quote and a text must share, of the quote's rarest: so many more are looked at than may be missing.
+SHARED = 3
+
+
 def likely(quotes: DataFrame, texts: DataFrame, recall: float = 0.85) -> DataFrame:
     """Pairs (item_id, doc_id) of quotes (item_id, quote) and texts (doc_id, text) of which dense may say yes.
 
-    A quote of n distinct tokens has that share of them in the text, or all but two if it is there verbatim: of its
-    n - ceil(recall * n) + 1 rarest tokens, three at least, one is in the text. A quote under four has all of its tokens in the
-    text, or is there verbatim with no whole token: that is looked for by its first signs, as by `verbatim`.
+    A quote of n distinct tokens has that share of them in the text, or all but two if it is there verbatim: at most
+    m = n - ceil(recall * n), or two, are missing. Of its m + SHARED rarest tokens (of all, if it has fewer), all but m are in the
+    text, one at least. A quote under four has all of its tokens in the text, or is there verbatim with no whole token: that
+    is looked for by its first signs, as by `verbatim`. Texts are taken apart once, and their tokens kept.
     """
     words = lambda d, c, *keys: d.select(*keys, F.array_distinct(T.tokens(T.normalized(F.col(c)))).alias("ts"))
-    docs = words(texts, "text", "doc_id").select("doc_id", F.explode("ts").alias("tok"))
-    df = docs.groupBy("tok").agg(F.count("*").alias("df"))
-    q = words(quotes, "quote", "item_id").select("item_id", F.size("ts").alias("n"), F.explode("ts").alias("tok")).join(df, "tok", "left")
-    q = q.withColumn("i", F.row_number().over(W.partitionBy("item_id").orderBy(F.coalesce("df", F.lit(0)), "tok")))
-    q = q.where(F.col("i") <= F.greatest(F.col("n") - F.ceil(F.lit(recall) * F.col("n")) + 1, F.lit(3)))
-    met = docs.join(q.select("item_id", "tok"), "tok").select("item_id", "doc_id")
+    docs = kept(words(texts, "text", "doc_id"), "tokens").select("doc_id", F.explode("ts").alias("tok"))
+    q = words(quotes, "quote", "item_id").select("item_id", F.size("ts").alias("n"), F.explode("ts").alias("tok"))
+    df = docs.join(q.select("tok").distinct(), "tok", "left_semi").groupBy("tok").agg(F.count("*").alias("df"))
+    missing = F.greatest(F.col("n") - F.ceil(F.lit(recall) * F.col("n") - 1e-9), F.lit(2))
+    q = q.join(df, "tok", "left").withColumn("i", F.row_number().over(W.partitionBy("item_id").orderBy(F.coalesce("df", F.lit(0)), "tok")))
+    q = q.withColumn("most", F.least(missing + SHARED, "n")).where("i <= most").select("item_id", "tok", F.greatest(F.col("most") - missing, F.lit(1)).alias("least"))
+    met = docs.join(q, "tok").groupBy("item_id", "doc_id", "least").agg(F.count("*").alias("shared")).where("shared >= least").select("item_id", "doc_id")
     few = words(quotes, "quote", "item_id", "quote").where(F.size("ts") < 4).select("item_id", T.normalized(F.col("quote")).alias("q")).where("q <> ''")
     if few.isEmpty():
-        return met.distinct()
+        return met
     inner = texts.select("doc_id", T.normalized(F.col("text")).alias("t"))
     return met.unionByName(verbatim(few, inner)).distinct()

@@ -1,12 +1,13 @@
 """Joins and searches whose work must not grow with the square of their groups."""
 
+import re
 import unicodedata
 
 import numpy as np
 from pyspark.sql import functions as F
 
 from caseloom.functions import text as T
-from caseloom.operators import drafts, intake, matching, nearest, rest
+from caseloom.operators import drafts, grounding, intake, matching, nearest, rest
 from caseloom.plans import entries
 from caseloom.plans import rest as more_plans
 
@@ -139,3 +140,19 @@ def test_section_texts_take_lines_of_documents_as_text(spark, tmp_path):
     rows = entries.QUERIES["w07_section_texts"](spark, str(tmp_path)).collect()
     a, b, c, d = lines.split("\n")
     assert sorted((r.chunk, r.page_number, r.part, r.text) for r in rows) == [(0, 1, "own", f"7.1 Own part\n{a}"), (0, 2, "own", b), (0, 3, "own", c), (0, 4, "spill", "before"), (1, 4, "own", f"7.1 Own part\n{d}")]
+
+
+def test_texts_with_one_rare_token_of_a_quote_are_not_looked_through(spark):
+    words = [f"w{i:02d}" for i in range(20)]
+    texts = [(i, f"{words[i % 20]} other words") for i in range(200)] + [(500, "a " + " ".join(words[:18]) + " b"), (501, "x" + " ".join(words) + "y")]
+    q = spark.createDataFrame([(1, " ".join(words)), (2, "w00 w01")], "item_id long, quote string")
+    near = sorted((r.item_id, r.doc_id) for r in grounding.likely(q, spark.createDataFrame(texts, "doc_id long, text string")).collect())
+    assert [x for x in near if x[0] == 1] == [(1, 500), (1, 501)] and (2, 500) in near
+
+
+def test_signs_that_stay_do_not_go_through_python(spark):
+    inert = re.compile(f"[{T.INERT}]")
+    stay = [chr(i) for i in range(0x80, 0x3000) if inert.match(chr(i))]
+    assert len(stay) > 300 and all(unicodedata.normalize("NFKC", x + y) == x + y for x in stay for y in ("e", "é", x))
+    rows = spark.createDataFrame([("ascii",), ("é – “ß”",), ("é",), ("ﬁ",), ("a b",), ("𝐀",), (None,)], "c string").select("c", T.changeable(F.col("c")).alias("x")).collect()
+    assert [r.x for r in rows] == [False, False, True, True, True, True, False]
