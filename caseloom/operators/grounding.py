@@ -43,19 +43,44 @@ def _word_runs(texts: DataFrame, sizes: tuple[int, ...], *keys: str) -> DataFram
     return d.select(*keys, F.explode(F.array_distinct(F.concat(*runs))).alias("k"))
 
 
+#: Pages up to which a document's quotes are looked for in each of its pages.
+NEAR = 128
+
+
 def grounded(passages: DataFrame, pages: DataFrame) -> DataFrame:
     """passage_id, status (ok, wrong_page, not_found, no_cache) and the page where the quote is: the cited one, else the first other.
 
-    passages: passage_id, doc_id, page, quote. Cited pages come first, by an equi-join on document and page. What is
-    still open then looks for its run of words in an index of the word runs of those documents (quotes under three
-    words, which have none, in their document's pages), and only pages that have it are searched.
+    passages: passage_id, doc_id, page, quote. Quotes of documents of up to NEAR pages meet all of these pages, by one join on the
+    document: at most NEAR for each quote. Those of longer documents go through `_grounded_in_long`.
+    """
+    def sides(how: str | None) -> tuple[DataFrame, DataFrame]:
+        """Passages and pages of long documents (left_semi), of the others (left_anti), or of all, in normal form."""
+        p, g = (d.join(long, "doc_id", how) if how else d for d in (passages, pages))
+        return p.select("passage_id", "doc_id", "page", T.normalized(F.col("quote")).alias("q")), g.select("doc_id", F.col("page_number").alias("found"), T.normalized(F.col("text")).alias("t"))
+
+    long = kept(pages.groupBy("doc_id").agg(F.count("*").alias("n")).where(F.col("n") > NEAR).select("doc_id"), "long")
+    some = not long.isEmpty()
+    q, t = sides("left_anti" if some else None)
+    has = F.contains("t", F.col("q"))
+    d = q.join(t.withColumn("cached", F.lit(True)), "doc_id", "left").groupBy("passage_id").agg(
+        F.bool_or("cached").alias("cached"), F.min(F.when(has & (F.col("found") == F.col("page")), F.col("found"))).alias("found"), F.min(F.when(has, F.col("found"))).alias("other")
+    )
+    if some:
+        d = d.unionByName(_grounded_in_long(*(kept(side, "sides") for side in sides("left_semi"))))
+    status = F.when(F.col("cached").isNull(), "no_cache").when(F.col("found").isNotNull(), "ok").when(F.col("other").isNotNull(), "wrong_page").otherwise("not_found")
+    return d.select("passage_id", status.alias("status"), F.coalesce("found", "other").alias("found_page"))
+
+
+def _grounded_in_long(q: DataFrame, t: DataFrame) -> DataFrame:
+    """passage_id, cached, found, other of quotes q in pages t of the same documents, all of which have pages.
+
+    Cited pages come first, by an equi-join on document and page. What is still open then looks for its run of words in an index of
+    the word runs of those documents (quotes under three words, which have none, in their document's pages), and only pages
+    that have it are searched.
     """
-    q = passages.select("passage_id", "doc_id", "page", T.normalized(F.col("quote")).alias("q"))
-    t = pages.select("doc_id", F.col("page_number").alias("found"), T.normalized(F.col("text")).alias("t"))
     at = (F.col("p.doc_id") == F.col("t.doc_id")) & (F.col("p.page") == F.col("t.found")) & F.contains("t.t", F.col("p.q"))
     first = kept(q.alias("p").join(t.alias("t"), at, "left").select("p.*", "t.found"), "cited")
     open_ = first.where("found is null").withColumn("k", _word_key(F.col("q")))
-    known = pages.select("doc_id").distinct()
     several = (F.size(F.split("q", " ")) >= RUN + 2) & F.col("k").isNotNull()
     candidates = []
     for some, size in ((several, RUN), (~several & F.col("k").isNotNull(), 1)):
@@ -65,10 +90,8 @@ def grounded(passages: DataFrame, pages: DataFrame) -> DataFrame:
     shared = candidates[0].unionByName(candidates[1]).join(t, ["doc_id", "found"])
     short = open_.where("k is null").select("passage_id", "doc_id", "q").join(t, "doc_id")
     hit = shared.unionByName(short.select(*shared.columns)).where(F.contains("t", F.col("q"))).groupBy("passage_id").agg(F.min("found").alias("other"))
-    d = first.groupBy("passage_id").agg(F.first("doc_id").alias("doc_id"), F.min("found").alias("found")).join(hit, "passage_id", "left")
-    d = d.join(known.withColumn("cached", F.lit(True)), "doc_id", "left")
-    status = F.when(F.col("cached").isNull(), "no_cache").when(F.col("found").isNotNull(), "ok").when(F.col("other").isNotNull(), "wrong_page").otherwise("not_found")
-    return d.select("passage_id", status.alias("status"), F.coalesce("found", "other").alias("found_page"))
+    d = first.groupBy("passage_id").agg(F.min("found").alias("found")).join(hit, "passage_id", "left")
+    return d.select("passage_id", F.lit(True).alias("cached"), "found", "other")
 
 
 def levels(grounded: DataFrame) -> DataFrame:

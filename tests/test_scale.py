@@ -156,3 +156,21 @@ def test_signs_that_stay_do_not_go_through_python(spark):
     assert len(stay) > 300 and all(unicodedata.normalize("NFKC", x + y) == x + y for x in stay for y in ("e", "é", x))
     rows = spark.createDataFrame([("ascii",), ("é – “ß”",), ("é",), ("ﬁ",), ("a b",), ("𝐀",), (None,)], "c string").select("c", T.changeable(F.col("c")).alias("x")).collect()
     assert [r.x for r in rows] == [False, False, True, True, True, True, False]
+
+
+def test_quotes_meet_the_pages_of_short_documents_by_one_join(spark, monkeypatch):
+    pages = [(d, n, f"page {n} of the text number {d % 3} says  many words on {n * d}") for d in range(6) for n in range(1, 9 if d == 5 else 4)]
+    quotes = [(100 * d + i, d, page, q) for d in range(7) for i, (page, q) in enumerate([(2, "age 2 of the te"), (1, "age 2 of the text number"), (9, "says many"), (1, "on"), (1, "nowhere at all in it"), (1, None), (None, "of the text number 2 says many words")])]
+    p = spark.createDataFrame(pages, "doc_id long, page_number int, text string")
+    q = spark.createDataFrame([*quotes, (900, None, 1, "of")], "passage_id long, doc_id long, page int, quote string")
+    status, flat = {}, [(d, n, " ".join(t.split())) for d, n, t in pages]
+    for i, d, page, x in [*quotes, (900, None, 1, "of")]:
+        hits = [n for e, n, t in flat if e == d and x is not None and x in t]
+        known = any(e == d for e, *_ in flat)
+        status[i] = ("no_cache", None) if not known else ("ok", page) if page in hits else ("wrong_page", min(hits)) if hits else ("not_found", None)
+    read = lambda: {r.passage_id: (r.status, r.found_page) for r in grounding.grounded(q, p).collect()}
+    monkeypatch.setattr(grounding, "NEAR", 4)
+    assert read() == status
+    monkeypatch.setattr(grounding, "NEAR", 8)
+    monkeypatch.setattr(grounding, "_word_runs", None)
+    assert read() == status
