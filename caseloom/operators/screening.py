@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType
 
+from caseloom.sources.scratch import kept
+
 #: Member states by code.
 EU_STATES = ["AT", "BE", "BG", "CY", "CZ", "DE", "DK", "EE", "ES", "FI", "FR", "GR", "HR", "HU", "IE", "IT", "LT", "LU", "LV", "MT", "NL", "PL", "PT", "RO", "SE", "SI", "SK"]
 
@@ -321,9 +323,12 @@ def screened(deals: DataFrame, conditions: DataFrame, rules: DataFrame) -> DataF
 
 
 def ranked(results: DataFrame, ids: list[str] | None = None) -> DataFrame:
-    """Results of the chosen rules (none chosen: all), triggered first."""
+    """Results of the chosen rules (none chosen: all), triggered first.
+
+    They are written first: a sort samples its input to part it, and would work all of it out twice.
+    """
     place = F.coalesce(F.array_position(F.lit(STATUS_ORDER), F.col("status")), F.lit(0))
-    r = results.where(F.col("rule_id").isin(ids)) if ids else results
+    r = kept(results.where(F.col("rule_id").isin(ids)) if ids else results, "results")
     return r.withColumn("place", F.when(place == 0, len(STATUS_ORDER)).otherwise(place).cast("int") - 1).orderBy("deal_id", "place", "rule_id")
 
 

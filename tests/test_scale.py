@@ -7,7 +7,7 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from caseloom.functions import text as T
-from caseloom.operators import drafts, grounding, intake, matching, nearest, rest
+from caseloom.operators import drafts, grounding, intake, matching, nearest, rest, screening
 from caseloom.plans import entries
 from caseloom.plans import rest as more_plans
 
@@ -174,3 +174,11 @@ def test_quotes_meet_the_pages_of_short_documents_by_one_join(spark, monkeypatch
     monkeypatch.setattr(grounding, "NEAR", 8)
     monkeypatch.setattr(grounding, "_word_runs", None)
     assert read() == status
+
+
+def test_ranked_results_are_worked_out_once(spark):
+    d = spark.createDataFrame([(2, "b", "triggered"), (1, "a", "unclear"), (1, "b", "triggered"), (1, "c", "odd")], "deal_id long, rule_id string, status string")
+    seen = spark.sparkContext.accumulator(0)
+    slow = F.udf(lambda x: seen.add(1) or x)
+    r = screening.ranked(d.withColumn("status", slow("status"))).collect()
+    assert [(x.deal_id, x.rule_id, x.place) for x in r] == [(1, "b", 0), (1, "a", 1), (1, "c", 3), (2, "b", 0)] and seen.value == 4
