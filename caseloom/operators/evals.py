@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
@@ -38,6 +40,22 @@ def first_failure(gates: list[tuple[str, Column]], done: str = "promoted") -> Co
     return F.coalesce(*[F.when(~F.coalesce(holds, F.lit(False)), F.lit(name)) for name, holds in gates], F.lit(done))
 
 
+def ordered_means(rows: DataFrame, key: str, value: str, order: list[str], marks: list[float], others: list[Column]) -> DataFrame:
+    """Key, mean, others (aggregates): the mean of value, to be compared with marks, added in the order of the rows where the order of floats can decide.
+
+    order: columns that give the rows of a key their order. Only rows of keys whose mean lies within the error of a sum of
+    floats of a mark are sorted; of the other means any order tells the same.
+    """
+    x, same = F.col(value), F.col(f"a.{key}").eqNullSafe(F.col(f"b.{key}"))
+    means = rows.groupBy(key).agg(F.avg(x).alias("any"), (F.count(x) * F.avg(F.abs(x)) * 2.0**-51).alias("error"), *others)
+    close = means.where(reduce(lambda a, b: a | b, [F.abs(F.col("any") - m) <= F.col("error") for m in marks])).select(key)
+    w = W.partitionBy(key).orderBy(*order)
+    d = rows.where(x.isNotNull()).alias("a").join(close.alias("b"), same, "left_semi")
+    d = d.select(key, F.row_number().over(w).alias("n"), F.sum(x).over(w.rowsBetween(W.unboundedPreceding, W.currentRow)).alias("sum"))
+    exact = d.groupBy(key).agg((F.max_by("sum", "n") / F.max("n")).alias("exact"))
+    return means.alias("a").join(exact.alias("b"), same, "left").select("a.*", F.coalesce("exact", "any").alias("mean")).drop("any", "error")
+
+
 def counts_of(rows: DataFrame, column: str, every: list[str]) -> DataFrame:
     """The count of each listed value, 0 included."""
     known = rows.sparkSession.createDataFrame([(x,) for x in every], f"{column} string")
