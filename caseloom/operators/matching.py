@@ -234,19 +234,27 @@ def sharing_tokens(a: DataFrame, b: DataFrame, on: str) -> DataFrame:
     return x.join(y, [on, "token"]).groupBy(on, "tokens", "others").agg(F.count("*").alias("n"))
 
 
+#: Characters of different lists of partners in a part of the result, on average: a quarter of what a Parquet column takes into its dictionary.
+LISTS_OF_A_PART = 1 << 18
+
+
 def token_pairs(a: DataFrame, b: DataFrame, a_id: str, b_id: str, stop: list[str]) -> DataFrame:
     """Items of two lists of a case that share a token, by a join on tokens.
 
     Items with the same tokens have the same partners, so only distinct sets of tokens meet: the partners are written
-    once for each set, and each item takes those of its set.
+    once for each set, and each item takes those of its set. Items of a set lie together, in parts of few sets, so that
+    a file of the result holds each list once: its size on disk grows with the lists, not with the items that have them.
     """
     words = F.array_except(F.array_distinct(F.split(F.lower("name"), r"\s+")), F.lit(stop))
     united = lambda c: F.array_sort(F.array_distinct(F.flatten(F.collect_list(c))))
     x = a.groupBy("case_id", a_id).agg(united(words).alias("tokens"))
-    y = b.select("case_id", b_id, F.array_sort(words).alias("others")).groupBy("case_id", "others").agg(F.collect_set(b_id).alias("ids"))
+    y = b.select("case_id", b_id, F.array_sort(words).alias("others")).groupBy("case_id", "others").agg(F.collect_set(b_id).alias("ids"), F.sum(F.length(F.col(b_id).cast("string")) + 1).alias("chars"))
     met = sharing_tokens(x.select("case_id", "tokens").distinct(), y.select("case_id", "others"), "case_id")
-    lists = met.join(y, ["case_id", "others"]).groupBy("case_id", "tokens").agg(F.array_join(F.transform(united("ids"), lambda i: i.cast("string")), ",").alias("paired"))
-    return x.join(lists, ["case_id", "tokens"]).select("case_id", a_id, "paired")
+    met = kept(met.join(y.select("case_id", "others", "chars"), ["case_id", "others"]), "sets")
+    parts = 1 + (met.agg(F.sum("chars")).first()[0] or 0) // LISTS_OF_A_PART
+    together = lambda d: d.repartition(parts, "case_id", "tokens")
+    lists = together(met.join(y, ["case_id", "others"]).select("case_id", "tokens", "ids")).groupBy("case_id", "tokens").agg(F.array_join(F.transform(united("ids"), lambda i: i.cast("string")), ",").alias("paired"))
+    return together(x).join(lists.hint("merge"), ["case_id", "tokens"]).select("case_id", a_id, "paired")
 
 
 def nearest_names(missed: DataFrame, drafts: DataFrame, k: int = 5) -> DataFrame:

@@ -81,6 +81,20 @@ def test_items_with_the_same_tokens_meet_once(spark):
     assert pairs_met(o) < 2000
 
 
+def test_a_part_has_few_lists_of_partners(spark):
+    """A Parquet column keeps a list once for all its items as long as a part's lists fit its dictionary of 1 MB."""
+    a = spark.range(1200).selectExpr("id div 10000 AS case_id", "id AS item", "concat('bolt u', id % 120) AS name")
+    b = spark.range(2000).selectExpr("id div 10000 AS case_id", "1000000000L + id AS draft", "if(id < 120, concat('u', id), 'bolt') AS name")
+    rows = matching.token_pairs(a, b, "item", "draft", []).select("item", "paired", F.spark_partition_id().alias("part")).collect()
+    every = ",".join(str(10**9 + i) for i in range(120, 2000))
+    assert {r.item: r.paired for r in rows} == {i: f"{10**9 + i % 120},{every}" for i in range(1200)}
+    lists = {}
+    for r in rows:
+        lists.setdefault(r.part, set()).add(r.paired)
+    assert sum(map(len, lists.values())) == 120
+    assert max(sum(map(len, x)) for x in lists.values()) <= 1 << 20
+
+
 def test_nearest_names_take_few_drafts_of_a_set(spark, monkeypatch):
     seen = []
     whole = matching.similar.overlapping
